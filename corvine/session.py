@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import os
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +29,23 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **more: s
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so that their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="corvine-zip-")
+        atexit.register(shutil.rmtree, folder, True)
+        copy = os.path.join(folder, "tree")
+        shutil.copytree(here, os.path.join(copy, "corvine"), ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "corvine_package"), "zip", copy))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder; the path may be in any store Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
