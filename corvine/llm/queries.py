@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import decontamination, exact_dedup, html_extract, mixing, quality, secret_scan, token_counts, toxicity
+from corvine.llm import decontamination, exact_dedup, html_extract, mixing, near_dedup, quality, secret_scan, token_counts, toxicity
 from corvine.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -57,7 +61,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1,
-        "op3_secret_scan": op3, "op4_token_counts": op4, "op5_quality": op5, "op6_html_extraction": op6, "op7_decontamination": op7, "op8_exact_dedup": op8, "op10_toxicity": op10}
+        "op3_secret_scan": op3, "op4_token_counts": op4, "op5_quality": op5, "op6_html_extraction": op6, "op7_decontamination": op7, "op8_exact_dedup": op8, "op9_near_dedup": op9, "op10_toxicity": op10}
 
 
 def oracle_sql() -> dict[str, str]:
