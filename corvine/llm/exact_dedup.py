@@ -10,8 +10,8 @@
 4. Members are looked up in the index and compared byte for byte with the text that stays.
 
 Defined results: a null text is an empty one; texts of nothing but white space are equal to it; ties on
-the most code points go to the smallest doc_id; a repeated row counts as one more copy; null ids stay
-rows; further columns are ignored; an empty table gives an empty result.
+the most code points go to the smallest doc_id; a repeated row counts as one more copy and is kept with
+its id; a null id is larger than any other; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,6 +109,6 @@ def exact_dedup(docs: DataFrame, capacity: int = 1 << 20, id_col: str = "doc_id"
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )

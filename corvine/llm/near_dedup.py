@@ -21,7 +21,7 @@ shares no band with probability 4e-7.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than a
 shingle make the whole sequence one shingle; equal doc_ids are one document; rows with a null id have no
-component and are not kept; further columns are ignored; an empty table gives an empty result.
+component, link with nothing and are kept; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
 
     known = base.join(classes, sets, "left").join(nodes.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     out = known.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def most_differing(percent: int) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import decontamination, exact_dedup, html_extract, mixing, near_dedup, quality, secret_scan, token_counts, toxicity
+from corvine.llm import decontamination, exact_dedup, html_extract, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from corvine.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "mix_weight", "prob", "sampled", "weight")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1,
+        "op2_suffix_dedup": op2,
         "op3_secret_scan": op3, "op4_token_counts": op4, "op5_quality": op5, "op6_html_extraction": op6, "op7_decontamination": op7, "op8_exact_dedup": op8, "op9_near_dedup": op9, "op10_toxicity": op10}
 
 

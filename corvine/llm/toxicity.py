@@ -335,6 +335,25 @@ def score(docs: DataFrame, model: Crf, threshold: float = 0.7, mod: int = 3, res
     return out.select("doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic", "spans")
 
 
+def reject(docs: DataFrame, model: Crf, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        emissions = Emissions(m)
+        for batch in batches:
+            texts, keep = [t or "" for t in batch.column(at).to_pylist()], []
+            for a, b in _ranges([len(t) for t in texts]):
+                x, _ = evidence(m, emissions, [t.split() for t in texts[a:b]])
+                z = m.doc[0] + x @ m.doc[1:]
+                keep += (1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
     from corvine.llm.textvec import chunks
 
