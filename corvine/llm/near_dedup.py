@@ -10,10 +10,10 @@ Work is linear in copies:
 2. *Attachment* passes: every bucket of equal band keys has one leader (its smallest member by some
    hash, an ordinary minimum, so no bucket is ever gathered). Every text that is not yet connected with
    a leader is verified against the most similar one by signature. Verified links merge components.
-3. *Closure*: buckets that still hold several components join their members outside the largest one
-   with all members of other components; pairs whose signatures rule out the threshold (four standard
-   deviations) are discarded inside the join, the others are verified, best first, until their
-   components have merged or no pair is left.
+3. *Closure*: buckets that still hold several components are dealt into tiles of bounded size, in which
+   members outside the largest component meet each other and that component. Pairs whose signatures rule out
+   the threshold (four standard deviations) are passed over, the others are verified inside the tile, best
+   first, unless their components have merged. A tile returns links only, never pairs.
 
 A link between two texts can be missed only where two components stay apart, so only pairs across
 components are ever looked for; nothing is capped. With 25 bands of 5 slots a pair of similarity 0.85
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.components import components
@@ -40,6 +40,7 @@ from corvine.storage import written
 SLOTS = 128
 BANDS, ROWS = 25, 5
 SLICE = 1 << 17
+TILE = 128  # members of a block in the closure
 STEP = np.uint64(0xD1342543DE82EF95)
 SKETCH = [f"s{i}" for i in range(SLOTS // 16)]
 
@@ -185,7 +186,7 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     cond = same[0] & same[1] & same[2] & (F.col("x.doc_id") == F.col("y.rep"))
     reps = base.alias("x").join(classes.alias("y"), cond).select(F.col("x.doc_id").alias("id"), "x.bands", *[f"x.{s}" for s in SKETCH]).dropDuplicates(["id"])
     # members of buckets with company: everything below starts from these
-    rows = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     member = written(rows.join(shared, "bucket"), "near-members")
     ids = member.select("id").distinct()
@@ -199,37 +200,119 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     for width, salt in ((4, 0), (2, 1), (1, 2)):
         nodes = attached(nodes, sketch, texts, width, salt, most, percent)
 
-    # closure
-    state = member.join(nodes, "id")
-    mixed = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    crowd = written(state.join(mixed, "bucket"), "near-crowd")
-    sizes = crowd.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    crowd = crowd.join(main, "bucket").join(sketch.drop("bands"), "id")
-    a, b = crowd.filter("comp != main").alias("a"), crowd.alias("b")
-    across = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    close = a.join(b, across & (differing("a", "b") <= most)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), differing("a", "b").alias("d"))
-    left = written(close.distinct(), "near-candidates")
-    for take in (3, 30, None):
-        comp_a, comp_b = nodes.select(F.col("id").alias("a"), F.col("comp").alias("ca")), nodes.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-        open_ = left.join(comp_a, "a").join(comp_b, "b").filter("ca != cb")
-        low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
-        open_ = written(open_.select("a", "b", "d", low.alias("ca"), high.alias("cb")), "near-open")
-        if not open_.limit(1).count():
-            break
-        best = open_
-        if take is not None:
-            order = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("d", "a", "b"))
-            best = open_.withColumn("rank", order).filter(F.col("rank") <= take).drop("rank")
-        checked = written(verified(best, texts), "near-verified")
-        nodes = relabelled(nodes, checked.filter(linked(percent)))
-        left = open_.select("a", "b", "d").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    nodes = closed(nodes, member, sketch, texts, most, percent)
 
     known = base.join(classes, sets, "left").join(nodes.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     out = known.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def closed(nodes: DataFrame, member: DataFrame, sketch: DataFrame, texts: DataFrame, most: int, percent: int) -> DataFrame:
+    """Merge the components that a link still joins.
+
+    Only buckets with several components matter. Their members are dealt into tiles of at most two blocks of
+    ``TILE``: the members outside the bucket's largest component meet each other and that component. A tile compares
+    sketches, verifies candidate pairs on full sets from the most similar on, skips pairs that are connected
+    by then, and returns the links it needed: never more rows than it has members.
+    """
+    state = member.join(nodes, "id")
+    sizes = state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("comps"))
+    main = main.filter("comps > 1").select("bucket", "main", F.ceil(F.col("n_main") / TILE).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("n_main")) / TILE).cast("int").alias("sb"))
+    crowd = state.join(main, "bucket").withColumn("apart", F.col("comp") != F.col("main"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("apart"), F.col("sb")).otherwise(F.col("mb"))).cast("int")
+    crowd = written(crowd.withColumn("block", block).select("bucket", "band", "id", "comp", "apart", "block", "mb", "sb"), "near-crowd")
+    # tile (i, j): block i apart with block j apart, i <= j; tile (i, -1 - j): block i apart with block j of the largest component
+    spot = "struct<i:int,j:int,side:int>"
+    mine = F.col("block")
+    others = F.transform(F.sequence(F.lit(0), F.col("sb") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"), F.when(k < mine, 1).otherwise(0).alias("side")))
+    mains = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda k: F.struct(mine.alias("i"), (-1 - k).alias("j"), F.lit(0).alias("side")))
+    met_by = F.transform(F.sequence(F.lit(0), F.col("sb") - 1), lambda k: F.struct(k.alias("i"), (-1 - mine).alias("j"), F.lit(1).alias("side")))
+    spots = F.when(F.col("apart"), F.concat(others.cast(f"array<{spot}>"), mains.cast(f"array<{spot}>"))).otherwise(met_by.cast(f"array<{spot}>"))
+    tiles = crowd.select("bucket", "band", "id", "comp", F.explode(spots).alias("t")).select("bucket", "band", "id", "comp", "t.i", "t.j", "t.side")
+    full = tiles.join(sketch, "id").join(texts, "id")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "band", "id", "comp", "side", "bands", "text", *SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ca", "cb"]
+        held = None
+        for batch in batches:
+            one = pa.Table.from_batches([batch])
+            held = one if held is None else pa.concat_tables([held, one])
+            keys = np.column_stack([held.column(k).to_numpy() for k in ("bucket", "i", "j")])
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            if not len(cut):
+                continue
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in _tiles(held.slice(0, cut[-1]), cut[:-1], most, percent)], schema=link)
+            held = held.slice(cut[-1])
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in _tiles(held, np.zeros(0, np.int64), most, percent)], schema=link)
+
+    kind = nodes.schema["comp"].dataType.simpleString()
+    link = pa.schema([("ca", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()), ("cb", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string())])
+    return relabelled(nodes, dealt.mapInArrow(run, f"ca {kind}, cb {kind}"))
+
+
+def _tiles(rows: pa.Table, cut: np.ndarray, most: int, percent: int) -> Iterator[tuple]:
+    """Links (two components) that tiles of consecutive rows need."""
+    bands = np.array(rows.column("bands").to_pylist(), np.int64).reshape(rows.num_rows, -1)
+    words = np.column_stack([rows.column(s).to_numpy() for s in SKETCH]).view(np.uint64)
+    side, band = rows.column("side").to_numpy(), rows.column("band").to_numpy()
+    within = rows.column("j").to_numpy() == rows.column("i").to_numpy()
+    comp, ids, text = rows.column("comp").to_pylist(), rows.column("id").to_pylist(), rows.column("text")
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), rows.num_rows], strict=True):
+        n = b - a
+        if n < 2:
+            continue
+        number = {c: k for k, c in enumerate(dict.fromkeys(comp[a:b]))}
+        if len(number) < 2:
+            continue
+        c = np.array([number[x] for x in comp[a:b]])
+        ok = np.triu(c[:, None] != c[None, :], 1)
+        if not within[a]:
+            ok &= side[a:b, None] != side[None, a:b]
+        x, y = np.nonzero(ok)
+        w = words[a + x] ^ words[a + y]
+        w |= w >> np.uint64(1)
+        w |= w >> np.uint64(2)
+        d = np.bitwise_count(w & np.uint64(0x1111111111111111)).sum(1)
+        near = np.flatnonzero(d <= most)
+        # the first band that a pair shares is the one that looks at it
+        first = (bands[a + x[near]] == bands[a + y[near]]).argmax(1)
+        near = near[first == band[a]]
+        if not len(near):
+            continue
+        near = near[np.argsort(d[near], kind="stable")]
+        parent = list(range(len(number)))
+
+        def root(k: int, parent: list[int] = parent) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        sets: dict[int, np.ndarray] = {}
+        need = np.unique(np.concatenate([x[near], y[near]])).tolist()
+        bodies = [(text[a + k].as_py() or b"").lower() for k in need]
+        for s, e in chunks([len(t) for t in bodies]):
+            doc, h = shingles(Words(bodies[s:e]))
+            at = np.searchsorted(doc, np.arange(e - s + 1))
+            for k in range(e - s):
+                sets[need[s + k]] = h[at[k] : at[k + 1]]
+        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+            p, q = root(int(c[i])), root(int(c[j]))
+            if p == q:
+                continue
+            m, k = len(sets[i]), len(sets[j])
+            if 100 * min(m, k) < percent * max(m, k):
+                continue
+            inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if inter and 100 * inter >= percent * (m + k - inter):
+                parent[q] = p
+                yield comp[a + i], comp[a + j]
+
+
 def most_differing(percent: int) -> int:
     """Differing 4-bit slots that a pair at the threshold exceeds with a chance below 1 in 10,000."""
     agree = percent / 100 + (1 - percent / 100) / 16
