@@ -1,11 +1,922 @@
-"""Every query of the retrieval engine by name, with the SQL that checks it."""
+"""Every query of the retrieval engine by name, with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvine.functions import text as T
+from corvine.functions import vocab as V
+from corvine.inputs import Inputs, oracle
+from corvine.operators import cache, chunks, entities, fusion, graph, lexical, metrics, vector
+from corvine.plans import ask as asking
+from corvine.plans import decide
+from corvine.sources import files, json_repair
+from corvine.storage import shared_dir, written
+from corvine.streaming import jobs
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable[[Inputs], DataFrame]], Callable[[Inputs], DataFrame]]:
+    def register(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+        _queries[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+        if sql is not None:
+            _oracles[name] = oracle(sql)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# --- lexical search ---------------------------------------------------------------------------------
+
+TOKENS = (
+    f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '{V.TOKEN}'),"
+    f" lambda t : length(t) > 1 AND (regexp_matches(t, '[0-9-]') OR NOT list_contains([{quoted(V.STOPWORDS)}], t)))"
+)
+
+
+def bm25_ctes(docs: str, questions: str, ordinal: str = "") -> str:
+    """Common table expressions up to ``scored``."""
+    o = f", {ordinal}" if ordinal else ""
+    return f"""
+    tok AS (SELECT tenant_id, doc_id, {TOKENS} AS toks FROM {docs}),
+    lens AS (SELECT tenant_id, doc_id, len(toks) AS dl FROM tok),
+    stats AS (SELECT tenant_id, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY tenant_id),
+    post AS (SELECT tenant_id, doc_id, term, count(*) AS tf FROM (SELECT tenant_id, doc_id, unnest(toks) AS term FROM tok) GROUP BY ALL),
+    dfs AS (SELECT tenant_id, term, count(*) AS df FROM post GROUP BY ALL),
+    qt AS (SELECT tenant_id, query_id{o}, term, count(*) AS qtf FROM (SELECT tenant_id, query_id{o}, unnest({TOKENS}) AS term FROM {questions}) GROUP BY ALL),
+    raws AS (SELECT q.tenant_id, q.query_id{o}, p.doc_id,
+        sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw
+      FROM qt q JOIN post p USING (tenant_id, term) JOIN dfs USING (tenant_id, term) JOIN lens l ON l.tenant_id = p.tenant_id AND l.doc_id = p.doc_id
+      JOIN stats s ON s.tenant_id = q.tenant_id GROUP BY ALL),
+    scored AS (SELECT tenant_id, query_id{o}, doc_id, round(raw, 4) AS bm25_score,
+        row_number() OVER (PARTITION BY tenant_id, query_id{o} ORDER BY round(raw, 4) DESC, doc_id) AS bm25_rank FROM raws WHERE raw > 0)
+    """
+
+
+@query("tokenize", f"SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS toks FROM docs)")
+def _(i: Inputs) -> DataFrame:
+    t = lexical.tokenized(i.docs)
+    return t.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+
+
+@query("term_frequency", f"WITH {bm25_ctes('docs', 'questions')} SELECT doc_id, term, tf FROM post")
+def _(i: Inputs) -> DataFrame:
+    return lexical.postings(i.docs).select("doc_id", "term", "tf")
+
+
+@query("doc_length_stats", f"WITH {bm25_ctes('tdocs', 'questions')} SELECT tenant_id, n, round(avgdl, 6) AS avgdl FROM stats")
+def _(i: Inputs) -> DataFrame:
+    return lexical.statistics(lexical.lengths(i.tdocs)).select("tenant_id", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("document_frequency", f"WITH {bm25_ctes('tdocs', 'questions')} SELECT tenant_id, term, df FROM dfs")
+def _(i: Inputs) -> DataFrame:
+    return lexical.document_frequency(lexical.postings(i.tdocs))
+
+
+@query("idf", f"WITH {bm25_ctes('docs', 'questions')} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM dfs JOIN stats USING (tenant_id)")
+def _(i: Inputs) -> DataFrame:
+    posts = lexical.postings(i.docs)
+    return lexical.idf(posts, lexical.statistics(lexical.lengths(i.docs))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("bm25_topk", f"WITH {bm25_ctes('docs', 'questions')} SELECT query_id, doc_id, bm25_score, bm25_rank FROM scored WHERE bm25_rank <= 10")
+def _(i: Inputs) -> DataFrame:
+    return lexical.search(i.docs, i.questions).drop("tenant_id")
+
+
+@query("bm25_tenant_topk", f"WITH {bm25_ctes('tdocs', 'tquestions')} SELECT tenant_id, query_id, doc_id, bm25_score, bm25_rank FROM scored WHERE bm25_rank <= 10")
+def _(i: Inputs) -> DataFrame:
+    return lexical.search(i.tdocs, i.tquestions)
+
+
+BM25_MULTI = f"""WITH {bm25_ctes('docs', 'phrasings', 'ordinal')},
+    picked AS (SELECT * FROM scored WHERE (ordinal = 0 AND bm25_rank <= 15) OR (ordinal > 0 AND bm25_rank <= 7)),
+    once AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ordinal, bm25_rank) AS seen FROM picked)
+    SELECT query_id, doc_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, bm25_rank) AS bm25_rank FROM once WHERE seen = 1"""
+
+
+@query("bm25_multi", BM25_MULTI)
+def _(i: Inputs) -> DataFrame:
+    return lexical.multi_search(i.docs, i.phrasings).drop("tenant_id")
+
+
+@query("bm25_add", "SELECT doc_id, length(text) AS n FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, length(concat('new ', text)) FROM docs WHERE doc_id % 3 = 0")
+def _(i: Inputs) -> DataFrame:
+    old = i.docs.filter("doc_id % 3 <> 0")
+    new = i.docs.filter("doc_id % 2 = 0 OR doc_id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    return lexical.add_documents(old, new).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("bm25_remove", f"WITH {bm25_ctes('(SELECT * FROM docs WHERE doc_id % 7 <> 0)', 'questions')} SELECT term, df FROM dfs")
+def _(i: Inputs) -> DataFrame:
+    left = lexical.remove_documents(i.docs, i.docs.filter("doc_id % 7 = 0").select("tenant_id", "doc_id"))
+    return lexical.document_frequency(lexical.postings(left)).drop("tenant_id")
+
+
+# --- vectors and fusion -----------------------------------------------------------------------------
+
+
+def cosine(a: str, b: str) -> str:
+    return f"round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))), 4)"
+
+
+VECTOR = f"""near AS (SELECT q.tenant_id, q.query_id, v.doc_id, {cosine('v.embedding', 'q.embedding')} AS similarity FROM vectors v JOIN vqueries q USING (tenant_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS vector_rank FROM near)"""
+
+
+@query("vector_topk", f"WITH {VECTOR} SELECT query_id, doc_id, similarity, vector_rank FROM ranked WHERE vector_rank <= 15")
+def _(i: Inputs) -> DataFrame:
+    return vector.top_k(i.vectors, i.vqueries).drop("tenant_id")
+
+
+VECTOR_MULTI = f"""WITH near AS (SELECT q.query_id, q.ordinal, v.doc_id, {cosine('v.embedding', 'q.embedding')} AS similarity FROM vectors v JOIN pvqueries q USING (tenant_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY similarity DESC, doc_id) AS r FROM near),
+    once AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ordinal, r) AS seen FROM ranked WHERE r <= 15),
+    last AS (SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS vector_rank FROM once WHERE seen = 1)
+    SELECT * FROM last WHERE vector_rank <= 15"""
+
+
+@query("vector_multi", VECTOR_MULTI)
+def _(i: Inputs) -> DataFrame:
+    q = i.pvqueries.select("tenant_id", F.struct("query_id", "ordinal").alias("query_id"), "embedding")
+    hits = vector.top_k(i.vectors, q)
+    hits = hits.select("tenant_id", F.col("query_id.query_id").alias("query_id"), F.col("query_id.ordinal").alias("ordinal"), "doc_id", "similarity", "vector_rank")
+    return vector.multi(hits).drop("tenant_id")
+
+
+FUSED = f"""WITH {VECTOR}, {bm25_ctes('docs', 'questions')},
+    v AS (SELECT tenant_id, query_id, doc_id, similarity, vector_rank FROM ranked WHERE vector_rank <= 15),
+    b AS (SELECT * FROM scored WHERE bm25_rank <= 15),
+    both_ AS (SELECT tenant_id, query_id, doc_id, similarity AS vs, vector_rank, bm25_score AS bs, bm25_rank,
+        coalesce(1.0 / (60 + vector_rank), 0.0) + coalesce(1.0 / (60 + bm25_rank), 0.0) AS raw FROM v FULL OUTER JOIN b USING (tenant_id, query_id, doc_id)),
+    fused AS (SELECT tenant_id, query_id, doc_id, coalesce(vs, 0.0) AS vector_score, vector_rank, coalesce(bs, 0.0) AS bm25_score, bm25_rank, round(raw, 6) AS rrf_score,
+        concat_ws(',', CASE WHEN vector_rank IS NOT NULL THEN 'vector' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END) AS origin_channels,
+        row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vector_rank ASC NULLS LAST, bm25_rank ASC NULLS FIRST, doc_id) AS final_rank FROM both_)"""
+
+
+def fused(i: Inputs) -> DataFrame:
+    lex = lexical.search(i.docs, i.questions, 15)
+    return fusion.rrf(vector.top_k(i.vectors, i.vqueries), lex)
+
+
+@query("rrf_fusion", FUSED + " SELECT query_id, doc_id, vector_score, vector_rank, bm25_score, bm25_rank, rrf_score, origin_channels, final_rank FROM fused WHERE final_rank <= 15")
+def _(i: Inputs) -> DataFrame:
+    return fused(i).drop("tenant_id")
+
+
+@query(
+    "rerank_decision",
+    FUSED
+    + f""", top AS (SELECT query_id, count(*) AS n, max(CASE WHEN final_rank = 1 THEN rrf_score END) AS c0, max(CASE WHEN final_rank = 2 THEN rrf_score END) AS c1 FROM fused WHERE final_rank <= 15 GROUP BY query_id),
+    said AS (SELECT q.query_id, CASE WHEN coalesce(n, 0) < 2 THEN 'INSUFFICIENT_CANDIDATES' WHEN regexp_matches(lower(text), '{V.EXACT_CODE}') THEN 'BYPASS_EXACT_IDENTIFIER'
+      WHEN c0 >= 0.032 AND c0 - c1 >= 0.008 THEN 'BYPASS_DOMINANT_RRF' ELSE 'EXECUTE_RERANKING' END AS reason FROM questions q LEFT JOIN top USING (query_id))
+    SELECT query_id, reason, reason LIKE 'EXECUTE%' AS should_rerank FROM said""",
+)
+def _(i: Inputs) -> DataFrame:
+    return fusion.rerank_decision(fused(i), i.questions).drop("tenant_id")
+
+
+@query(
+    "rerank_scores",
+    FUSED
+    + f""", pool AS (SELECT f.query_id, f.doc_id, f.final_rank, (SELECT list_distinct({TOKENS}) FROM (SELECT q.text) t(text)) AS qa, (SELECT {TOKENS} FROM (SELECT substring(d.text, 1, 500)) t(text)) AS pa
+      FROM fused f JOIN docs d USING (doc_id) JOIN questions q USING (query_id) WHERE final_rank <= 10),
+    sc AS (SELECT query_id, doc_id, final_rank, round(CASE WHEN len(qa) > 0 THEN len(list_filter(qa, lambda t : list_contains(pa, t))) / len(qa) ELSE 0.0 END, 4) AS reranker_score FROM pool),
+    rk AS (SELECT query_id, doc_id, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, final_rank) AS reranker_rank FROM sc)
+    SELECT * FROM rk WHERE reranker_rank <= 5""",
+)
+def _(i: Inputs) -> DataFrame:
+    return fusion.rerank(fused(i), i.questions, i.docs).drop("tenant_id")
+
+
+@query("rerank_bypass", FUSED + " SELECT query_id, doc_id, round(rrf_score, 4) AS reranker_score, final_rank AS reranker_rank, 'Bypass: BYPASS_DOMINANT_RRF' AS rerank_rationale FROM fused WHERE final_rank <= 5")
+def _(i: Inputs) -> DataFrame:
+    return fusion.bypassed(fused(i), "BYPASS_DOMINANT_RRF").drop("tenant_id")
+
+
+OVERVIEW = """heads AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, filename ORDER BY ordinal) AS n FROM files),
+    pos AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ordinal) AS position FROM heads WHERE n = 1)"""
+
+
+@query("corpus_overview", f"WITH {OVERVIEW} SELECT tenant_id, filename, doc_id, 0.88::DOUBLE AS similarity, 'corpus_overview' AS origin_channels, position FROM pos WHERE position <= 12")
+def _(i: Inputs) -> DataFrame:
+    return fusion.overview(i.files)
+
+
+@query(
+    "context_sources",
+    FUSED
+    + """, top AS (SELECT * FROM fused WHERE final_rank <= 5), qn AS (SELECT DISTINCT query_id FROM top),
+    more AS (SELECT q.query_id, d.doc_id FROM qn q CROSS JOIN (SELECT doc_id FROM docs WHERE doc_id < 12) d ANTI JOIN top USING (query_id, doc_id)),
+    tags AS (SELECT query_id, origin_channels, doc_id FROM top UNION ALL SELECT query_id, 'corpus_overview', doc_id FROM more)
+    SELECT DISTINCT query_id, concat('DocRRF[', origin_channels, ']:', filename) AS source FROM tags JOIN files USING (doc_id)
+    UNION SELECT query_id, concat('Neo4j:', 'Region', ':', entity) FROM wanted WHERE tenant_id = 'acme'""",
+)
+def _(i: Inputs) -> DataFrame:
+    top = fused(i).filter("final_rank <= 5")
+    heads = i.docs.filter("doc_id < 12").select("doc_id")
+    extra = top.select("tenant_id", "query_id").distinct().crossJoin(F.broadcast(heads))  # at most twelve rows on one side
+    chunks_ = i.files.select(F.lit("default").alias("tenant_id"), "doc_id", "filename")
+    nodes = i.wanted.filter("tenant_id = 'acme'").select(F.lit("default").alias("tenant_id"), "query_id", F.lit("Region").alias("type"), F.col("entity").alias("name"))
+    return fusion.context_sources(top, chunks_, nodes, extra).drop("tenant_id")
+
+
+# --- graph --------------------------------------------------------------------------------------------
+
+
+@query("node_degree", "SELECT n.tenant_id, n.name, n.type, count(e.dst) AS degree FROM nodes n LEFT JOIN edges e ON e.tenant_id = n.tenant_id AND e.src = n.name GROUP BY ALL")
+def _(i: Inputs) -> DataFrame:
+    return graph.out_degree(i.nodes, i.edges)
+
+
+@query(
+    "top_entities",
+    """WITH d AS (SELECT n.tenant_id, n.name, n.type, count(e.dst) AS degree FROM nodes n LEFT JOIN edges e ON e.tenant_id = n.tenant_id AND e.src = n.name GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY degree DESC, name) AS rank FROM d) SELECT tenant_id, concat(name, ' (', type, ')') AS entity, degree, rank FROM r WHERE rank <= 20""",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.most_connected(i.nodes, i.edges, 20).select("tenant_id", F.concat("name", F.lit(" ("), "type", F.lit(")")).alias("entity"), "degree", "rank")
+
+
+@query("graph_stats", "SELECT n.tenant_id, n.c AS n_nodes, e.c AS n_edges, false AS is_empty FROM (SELECT tenant_id, count(*) AS c FROM nodes GROUP BY 1) n JOIN (SELECT tenant_id, count(*) AS c FROM edges GROUP BY 1) e USING (tenant_id)")
+def _(i: Inputs) -> DataFrame:
+    return graph.counts(i.nodes, i.edges)
+
+
+@query("graph_legend", "SELECT tenant_id, type, count(*) AS n FROM nodes GROUP BY ALL")
+def _(i: Inputs) -> DataFrame:
+    return graph.legend(i.nodes)
+
+
+TERMS = """terms AS (SELECT DISTINCT tenant_id, query_id, unnest(list_concat([trim(entity)], list_filter(list_transform(regexp_split_to_array(trim(entity), '\\s+'), lambda w : regexp_replace(w, '[^a-zA-Z0-9áéíóúÁÉÍÓÚñÑ]', '', 'g')), lambda w : length(w) > 3))) AS term FROM wanted)"""
+SEEDS = (
+    TERMS
+    + """, hit AS (SELECT DISTINCT t.tenant_id, query_id, name, type FROM nodes n JOIN terms t USING (tenant_id) WHERE contains(lower(name), lower(term)) OR contains(lower(term), lower(name)) OR contains(lower(type), lower(term))),
+    seeds AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS rank FROM hit)"""
+)
+
+
+@query("term_expansion", f"WITH {TERMS} SELECT * FROM terms")
+def _(i: Inputs) -> DataFrame:
+    return graph.expanded_terms(i.wanted)
+
+
+@query("seed_match", f"WITH {SEEDS} SELECT tenant_id, query_id, name, type, rank FROM seeds WHERE rank <= 20")
+def _(i: Inputs) -> DataFrame:
+    return graph.seeds(i.nodes, graph.expanded_terms(i.wanted))
+
+
+WALKS = """step AS (SELECT tenant_id, src AS at, rel_type, dst AS nxt FROM edges UNION ALL SELECT tenant_id, dst, rel_type, src FROM edges),
+    w0 AS (SELECT tenant_id, query_id, name AS at, [name] AS nn, []::VARCHAR[] AS rr, concat('(', name, ')') AS path_str FROM starts),
+    w1 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w0 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
+    w2 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w1 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt))"""
+
+
+def expansion(upto: int) -> str:
+    every = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, upto + 1))
+    return f"""WITH {WALKS}, a AS ({every}), t AS (SELECT *, len(rr) AS h, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY len(rr), path_str) AS r FROM a),
+    f AS (SELECT DISTINCT tenant_id, query_id, path_str, h AS hop_count FROM t WHERE r <= 25),
+    k AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY hop_count, path_str) AS rank FROM f) SELECT * FROM k WHERE rank <= 15"""
+
+
+@query("expand_1hop", expansion(1))
+def _(i: Inputs) -> DataFrame:
+    return graph.expand(i.edges, i.starts, 1)
+
+
+@query("expand_2hop", expansion(2))
+def _(i: Inputs) -> DataFrame:
+    return graph.expand(i.edges, i.starts, 2)
+
+
+@query(
+    "shortest_path",
+    f"""WITH {WALKS}, w3 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w2 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
+    w4 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w3 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS rank FROM starts),
+    a AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4),
+    m AS (SELECT a.tenant_id, a.query_id, x.name AS a, y.name AS b, path_str, len(rr) AS hop_count, min(len(rr)) OVER (PARTITION BY a.tenant_id, a.query_id, x.name, y.name) AS least
+      FROM a JOIN o x ON x.tenant_id = a.tenant_id AND x.query_id = a.query_id AND x.name = nn[1] JOIN o y ON y.tenant_id = a.tenant_id AND y.query_id = a.query_id AND y.name = a.at WHERE x.rank < y.rank AND y.rank <= 4),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id, a, b ORDER BY path_str) AS n FROM m WHERE hop_count = least)
+    SELECT tenant_id, query_id, a, b, path_str, hop_count FROM n WHERE n <= 3""",
+)
+def _(i: Inputs) -> DataFrame:
+    from pyspark.sql import Window
+
+    ranked = i.starts.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name")))
+    return graph.shortest_paths(i.edges, ranked, 4)
+
+
+@query(
+    "central_paths",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY src, rel_type, dst) AS n FROM edges WHERE src <> dst) SELECT tenant_id, concat('(', src, ') -[:', rel_type, ']-> (', dst, ')') AS path_str, n FROM r WHERE n <= 20",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.central_paths(i.nodes, i.edges)
+
+
+def pagerank_sql(rounds: int) -> str:
+    steps = ["deg AS (SELECT tenant_id, src, count(*) AS d FROM edges GROUP BY ALL)", "r0 AS (SELECT DISTINCT tenant_id, name, 0.15::DOUBLE AS rank FROM nodes)"]
+    for k in range(1, rounds + 1):
+        steps.append(
+            f"r{k} AS MATERIALIZED (SELECT b.tenant_id, b.name, 0.15 + 0.85 * coalesce(g.got, 0.0) AS rank FROM r0 b LEFT JOIN (SELECT e.tenant_id, e.dst AS name, sum(r.rank / d.d) AS got FROM edges e"
+            f" JOIN deg d ON d.tenant_id = e.tenant_id AND d.src = e.src JOIN r{k - 1} r ON r.tenant_id = e.tenant_id AND r.name = e.src GROUP BY ALL) g ON g.tenant_id = b.tenant_id AND g.name = b.name)"
+        )
+    return f"WITH {', '.join(steps)} SELECT tenant_id, name, round(rank, 6) AS pagerank FROM r{rounds}"
+
+
+@query("pagerank", pagerank_sql(20))
+def _(i: Inputs) -> DataFrame:
+    return graph.pagerank(i.nodes, i.edges)
+
+
+COLOR = "CASE type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in V.COLORS.items()) + f" ELSE '{V.DEFAULT_COLOR}' END"
+SHOWN = "shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY name) AS n FROM nodes) WHERE n <= 500)"
+
+
+@query(
+    "viz_nodes",
+    f"""WITH {SHOWN}, o AS (SELECT e.* FROM edges e SEMI JOIN shown s ON s.tenant_id = e.tenant_id AND s.name = e.src),
+    deg AS (SELECT tenant_id, name, count(*) AS degree FROM (SELECT tenant_id, src AS name FROM o UNION ALL SELECT tenant_id, dst FROM o) GROUP BY ALL), top AS (SELECT tenant_id, max(degree) AS top FROM deg GROUP BY 1)
+    SELECT s.tenant_id, s.name AS id, substring(s.name, 1, 40) AS label, {COLOR} AS color, round(3 + coalesce(degree, 0) / coalesce(top, 1) * 10, 2) AS size FROM shown s LEFT JOIN deg USING (tenant_id, name) LEFT JOIN top USING (tenant_id)""",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.viz_nodes(i.nodes, i.edges)
+
+
+@query(
+    "viz_links",
+    f"WITH {SHOWN} SELECT tenant_id, src AS source, dst AS target, rel_type AS type FROM edges e SEMI JOIN shown s ON s.tenant_id = e.tenant_id AND s.name = e.src SEMI JOIN shown t ON t.tenant_id = e.tenant_id AND t.name = e.dst",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.viz_links(i.nodes, i.edges)
+
+
+@query(
+    "router_catalogue",
+    "WITH d AS (SELECT DISTINCT tenant_id, lower(trim(name)) AS name FROM nodes), r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY length(name) DESC, name) AS n FROM d WHERE length(name) >= 2) SELECT * FROM r WHERE n <= 10000",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.catalogue(i.nodes)
+
+
+@query(
+    "entity_lookup",
+    f"""WITH w AS (SELECT DISTINCT tenant_id, query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9áéíóúÁÉÍÓÚñÑüÜ]{{3,}}'), lambda w : NOT list_contains([{quoted(V.LOOKUP_STOP)}], w))) AS word FROM asked WHERE query_id < 0),
+    m AS (SELECT DISTINCT w.tenant_id, query_id, lower(trim(name)) AS name FROM nodes n JOIN w USING (tenant_id) WHERE contains(lower(trim(name)), word)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS n FROM m) SELECT * FROM r WHERE n <= 15""",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.lookup(i.nodes, i.asked.filter("query_id < 0"))
+
+
+# --- merging and deleting -----------------------------------------------------------------------------
+
+OLD_NODES = "old AS (SELECT tenant_id, name, type, CASE WHEN length(name) % 3 = 0 THEN NULL ELSE source_doc END AS source_doc, CASE WHEN length(name) % 2 = 0 THEN [source_doc] END AS source_docs FROM nodes WHERE type <> 'Region')"
+NEW_NODES = "new AS (SELECT tenant_id, name, 'Place' AS type, CASE WHEN length(name) % 5 = 0 THEN NULL WHEN length(name) % 4 = 0 THEN source_doc ELSE 'v2.md' END AS source_doc FROM nodes WHERE type <> 'Organization')"
+
+
+def old_nodes(i: Inputs) -> DataFrame:
+    n = F.length("name")
+    return i.nodes.filter("type <> 'Region'").select("tenant_id", "name", "type", F.when(n % 3 != 0, F.col("source_doc")).alias("source_doc"), F.when(n % 2 == 0, F.array("source_doc")).alias("source_docs"))
+
+
+def new_nodes(i: Inputs) -> DataFrame:
+    n = F.length("name")
+    return i.nodes.filter("type <> 'Organization'").select("tenant_id", "name", F.lit("Place").alias("type"), F.when(n % 5 == 0, None).when(n % 4 == 0, F.col("source_doc")).otherwise("v2.md").alias("source_doc"))
+
+
+@query(
+    "merge_nodes",
+    f"""WITH {OLD_NODES}, {NEW_NODES}, j AS (SELECT coalesce(o.tenant_id, n.tenant_id) AS tenant_id, coalesce(o.name, n.name) AS name, o.name IS NOT NULL AS was, n.name IS NOT NULL AS hit, o.type AS ot, n.type AS nt, o.source_doc AS od, n.source_doc AS nd, o.source_docs AS os
+      FROM old o FULL OUTER JOIN new n ON o.tenant_id = n.tenant_id AND o.name = n.name)
+    SELECT tenant_id, name, CASE WHEN hit THEN nt ELSE ot END AS type, coalesce(od, nd) AS source_doc, array_to_string(CASE WHEN NOT hit THEN os WHEN NOT was THEN CASE WHEN nd IS NULL THEN [] ELSE [nd] END
+      WHEN nd IS NULL THEN coalesce(os, []) WHEN os IS NOT NULL AND list_contains(os, nd) THEN os WHEN os IS NOT NULL THEN list_append(os, nd) WHEN od IS NOT NULL AND od <> nd THEN [od, nd] WHEN od IS NOT NULL THEN [nd] ELSE ['{V.UNKNOWN_ORIGIN}', nd] END, '|') AS docs FROM j""",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.merge_nodes(old_nodes(i), new_nodes(i)).select("tenant_id", "name", "type", "source_doc", F.array_join("source_docs", "|").alias("docs"))
+
+
+@query(
+    "merge_edges",
+    "WITH o AS (SELECT *, ['a.md'] AS d FROM edges WHERE rel_type = 'LOCATED_IN'), n AS (SELECT *, CASE WHEN length(src) % 2 = 0 THEN 'a.md' ELSE 'b.md' END AS s FROM edges WHERE tenant_id = 'beta') SELECT tenant_id, src, rel_type, dst, array_to_string(CASE WHEN s IS NULL THEN d WHEN d IS NULL THEN [s] WHEN list_contains(d, s) THEN d ELSE list_append(d, s) END, '|') AS docs FROM o FULL OUTER JOIN n USING (tenant_id, src, rel_type, dst)",
+)
+def _(i: Inputs) -> DataFrame:
+    old = i.edges.filter("rel_type = 'LOCATED_IN'").withColumn("source_docs", F.array(F.lit("a.md")))
+    new = i.edges.filter("tenant_id = 'beta'").withColumn("source_doc", F.when(F.length("src") % 2 == 0, "a.md").otherwise("b.md"))
+    return graph.merge_edges(old, new).select(*graph.EDGE, F.array_join("source_docs", "|").alias("docs"))
+
+
+@query("implied_nodes", "SELECT DISTINCT e.tenant_id, e.dst AS name, 'Entity' AS type FROM edges e ANTI JOIN (SELECT * FROM nodes WHERE type = 'Organization') n ON n.tenant_id = e.tenant_id AND n.name = e.dst")
+def _(i: Inputs) -> DataFrame:
+    return graph.implied_nodes(i.nodes.filter("type = 'Organization'"), i.edges)
+
+
+GONE = """doc AS (SELECT tenant_id, name, type, source_doc, CASE WHEN length(name) % 2 = 0 THEN [source_doc] ELSE [source_doc, 'other.md'] END AS docs FROM nodes),
+    m AS (SELECT *, tenant_id = 'acme' AND (lower(source_doc) IN ('geo.md') OR len(list_filter(docs, lambda d : lower(d) = 'geo.md')) > 0) AS touched, list_filter(docs, lambda d : lower(d) <> 'geo.md') AS rest FROM doc),
+    dead AS (SELECT tenant_id, name FROM m WHERE touched AND len(rest) = 0)"""
+
+
+def with_docs(i: Inputs) -> DataFrame:
+    return i.nodes.withColumn("source_docs", F.when(F.length("name") % 2 == 0, F.array("source_doc")).otherwise(F.array("source_doc", F.lit("other.md"))))
+
+
+@query("delete_document_nodes", f"WITH {GONE} SELECT tenant_id, name, CASE WHEN touched AND lower(source_doc) = 'geo.md' THEN rest[1] ELSE source_doc END AS source_doc, array_to_string(CASE WHEN touched THEN rest ELSE docs END, '|') AS docs FROM m WHERE NOT (touched AND len(rest) = 0)")
+def _(i: Inputs) -> DataFrame:
+    n, _ = graph.delete_document(with_docs(i), i.edges.withColumn("source_docs", F.array(F.lit("x.md"))), "docs/Geo.md", "acme")
+    return n.select("tenant_id", "name", "source_doc", F.array_join("source_docs", "|").alias("docs"))
+
+
+@query(
+    "delete_document_edges",
+    f"WITH {GONE}, e AS (SELECT *, CASE WHEN rel_type = 'PART_OF' THEN ['GEO.md'] ELSE ['geo.md', 'y.md'] END AS ds FROM edges), f AS (SELECT *, tenant_id = 'acme' AS hit, list_filter(ds, lambda d : lower(d) <> 'geo.md') AS rest FROM e)"
+    " SELECT tenant_id, src, rel_type, dst, array_to_string(CASE WHEN hit THEN rest ELSE ds END, '|') AS docs FROM f ANTI JOIN dead a ON a.tenant_id = f.tenant_id AND a.name = f.src ANTI JOIN dead b ON b.tenant_id = f.tenant_id AND b.name = f.dst WHERE NOT (hit AND len(rest) = 0)",
+)
+def _(i: Inputs) -> DataFrame:
+    e = i.edges.withColumn("source_docs", F.when(F.col("rel_type") == "PART_OF", F.array(F.lit("GEO.md"))).otherwise(F.array(F.lit("geo.md"), F.lit("y.md"))))
+    _, out = graph.delete_document(with_docs(i), e, "docs/Geo.md", "acme")
+    return out.select(*graph.EDGE, F.array_join("source_docs", "|").alias("docs"))
+
+
+@query("delete_document_chunks", "SELECT tenant_id, filename, doc_id FROM files WHERE NOT (tenant_id = 'src3' AND lower(filename) = 'doc3.md')")
+def _(i: Inputs) -> DataFrame:
+    return chunks.delete_file(i.files, "upload/DOC3.md", "src3").select("tenant_id", "filename", "doc_id")
+
+
+@query("chunk_upsert", "SELECT concat(tenant_id, '::', cast(doc_id AS string)) AS id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def _(i: Inputs) -> DataFrame:
+    rows = i.files.select(F.concat_ws("::", "tenant_id", F.col("doc_id").cast("string")).alias("id"), "doc_id")
+    old, new = rows.filter("doc_id % 3 = 0").withColumn("version", F.lit("old")), rows.filter("doc_id % 2 = 0").withColumn("version", F.lit("new"))
+    return chunks.upsert(old, new).select("id", "version")
+
+
+@query("reingest_replace", "SELECT tenant_id, filename, doc_id, 'old' AS version FROM files f WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.tenant_id = f.tenant_id AND g.filename = f.filename AND g.doc_id < 50) UNION ALL SELECT tenant_id, filename, doc_id, 'new' FROM files WHERE doc_id < 50")
+def _(i: Inputs) -> DataFrame:
+    f = i.files.select("tenant_id", "filename", "doc_id")
+    return chunks.replace_files(f.withColumn("version", F.lit("old")), f.filter("doc_id < 50").withColumn("version", F.lit("new")))
+
+
+# --- entities -----------------------------------------------------------------------------------------
+
+CANON = (
+    "CASE WHEN trim(coalesce(t, '')) = '' THEN 'Entity' ELSE coalesce(CASE regexp_replace(lower(trim(t)), '[^a-z]', '', 'g') "
+    + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.TYPES)
+    + " END, CASE "
+    + " ".join(f"WHEN contains(lower(trim(t)), '{a}') THEN '{b}'" for a, b in V.TYPES)
+    + " END, array_to_string(list_transform(string_split(lower(substring(trim(t), 1, 40)), ' '), lambda w : concat(upper(w[1]), w[2:])), ' ')) END"
+)
+
+
+@query("canonical_types", f"SELECT t AS raw, {CANON} AS type FROM (SELECT DISTINCT entity_type AS t FROM named)")
+def _(i: Inputs) -> DataFrame:
+    return i.named.select(F.col("entity_type").alias("raw")).distinct().withColumn("type", entities.canonical_type(F.col("raw")))
+
+
+@query(
+    "normalize_names",
+    r"""WITH a AS (SELECT ordinal, trim(regexp_replace(entity_name, '\s+', ' ', 'g')) AS t FROM named), b AS (SELECT ordinal, trim(regexp_replace(trim(trim(t, '"''“”«»')), '[\s,;:.–—-]+$', '')) AS t FROM a),
+    c AS (SELECT ordinal, CASE WHEN t LIKE '(%)' THEN substring(t, 2, length(t) - 2) WHEN contains(t, '(') AND NOT contains(t, ')') THEN regexp_replace(t, '\([^(]*$', '') ELSE t END AS t FROM b)
+    SELECT ordinal, trim(trim(trim(t), '"''“”«»')) AS name FROM c""",
+)
+def _(i: Inputs) -> DataFrame:
+    return i.named.select("ordinal", entities.normalized(F.col("entity_name")).alias("name"))
+
+
+@query("valid_names")
+def _(i: Inputs) -> DataFrame:
+    name = entities.normalized(F.col("entity_name"))
+    return i.named.select("ordinal", name.alias("name"), entities.rejection(name).alias("reason"))
+
+
+@query("short_variants", "SELECT c_custkey AS k, true AS is_variant, false AS other FROM customer")
+def _(i: Inputs) -> DataFrame:
+    n = F.col("c_name")
+    return i.customer.select(F.col("c_custkey").alias("k"), entities.is_short_variant(n, F.concat(n, F.lit(" Global, S.L."))).alias("is_variant"), entities.is_short_variant(n, F.concat(n, F.lit(" Penalties"))).alias("other"))
+
+
+@query("code_names", r"SELECT ordinal, len(list_filter(string_split(entity_name, ' '), lambda w : regexp_matches(trim(w, ',;()[]'), '\d') AND regexp_matches(trim(w, ',;()[]'), '[A-Za-z/:.-]'))) > 0 AS has_code FROM named")
+def _(i: Inputs) -> DataFrame:
+    return i.named.select("ordinal", entities.has_code(F.col("entity_name")).alias("has_code"))
+
+
+@query("canonicalize_names")
+def _(i: Inputs) -> DataFrame:
+    known = i.nodes.filter("tenant_id = 'acme'").select("tenant_id", F.col("name").alias("existing"))
+    names = i.nation.select(F.lit("acme").alias("tenant_id"), F.concat(F.initcap(F.lower("n_name")), F.lit(" Global")).alias("name")).union(i.nation.select(F.lit("acme"), F.lower("n_name")))
+    return entities.canonicalize(names, known)
+
+
+ORIENT = (
+    "a AS (SELECT *, upper(rel_type) AS r FROM relations), b AS (SELECT *, coalesce("
+    + ", ".join(f"CASE WHEN r = '{r}' AND src_type = '{t}' THEN '{u}' END" for (r, t), u in V.UNIFIED.items())
+    + ", "
+    + ", ".join(f"CASE WHEN r = '{r}' AND dst_type = '{t}' THEN '{u}' END" for (r, t), u in V.UNIFIED.items())
+    + ", r) AS r2 FROM a), c AS (SELECT *, CASE r2 "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.INVERSE.items())
+    + " END AS inv FROM b), d AS (SELECT *, inv IS NOT NULL AS turn, coalesce(inv, r2) AS n_rel FROM c), e AS (SELECT *, CASE WHEN turn THEN dst_type ELSE src_type END AS st, CASE WHEN turn THEN src_type ELSE dst_type END AS dt, CASE n_rel "
+    + " ".join(f"WHEN '{k}' THEN [{quoted(v)}]" for k, v in V.TARGETS.items())
+    + " END AS want FROM d), f AS (SELECT *, turn <> coalesce(want IS NOT NULL AND NOT list_contains(want, dt) AND list_contains(want, st), false) AS swapped FROM e),"
+    " g AS (SELECT *, CASE WHEN swapped THEN dst ELSE src END AS n_src, CASE WHEN swapped THEN src ELSE dst END AS n_dst FROM f)"
+)
+
+
+@query("orient_relations", f"WITH {ORIENT} SELECT ordinal, n_src, n_dst, n_rel, swapped FROM g")
+def _(i: Inputs) -> DataFrame:
+    return entities.oriented(i.relations).select("ordinal", "n_src", "n_dst", "n_rel", "swapped")
+
+
+@query("reorient_batch", f"WITH {ORIENT}, h AS (SELECT *, row_number() OVER (PARTITION BY least(lower(n_src), lower(n_dst)), greatest(lower(n_src), lower(n_dst)), n_rel ORDER BY ordinal) AS k FROM g) SELECT n_src, n_dst, n_rel FROM h WHERE k = 1")
+def _(i: Inputs) -> DataFrame:
+    return entities.reoriented(i.relations).select("n_src", "n_dst", "n_rel")
+
+
+@query("filter_entities")
+def _(i: Inputs) -> DataFrame:
+    kept, gone = entities.filtered(i.named)
+    return kept.select("ordinal", "name", "type", F.lit(None).cast("string").alias("reason")).unionByName(gone.select("ordinal", "name", F.lit(None).cast("string").alias("type"), "reason"))
+
+
+@query("relation_types", "SELECT DISTINCT p_type AS raw, upper(regexp_replace(p_type, '[^a-zA-Z0-9_]', '_', 'g')) AS rel_type FROM part UNION SELECT DISTINCT cast(p_size AS string), 'RELATED_TO' FROM part")
+def _(i: Inputs) -> DataFrame:
+    raw = i.part.select(F.col("p_type").alias("raw")).union(i.part.select(F.col("p_size").cast("string"))).distinct()
+    return raw.withColumn("rel_type", T.relation_type(F.col("raw")))
+
+
+@query("clean_properties", "SELECT event_id, json_extract_string(props, '$.k') AS k, 1 AS n FROM events")
+def _(i: Inputs) -> DataFrame:
+    raw = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("Source_Doc"), F.lit("x"), F.lit("gone"), F.lit(None).cast("string")))
+    clean = entities.clean_properties(raw)
+    return i.events.select("event_id", clean["k"].alias("k"), F.size(clean).alias("n"))
+
+
+# --- decisions ----------------------------------------------------------------------------------------
+
+
+def contains_any(values: list[str], col: str) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{v}')" for v in values) + ")"
+
+
+SIGNALS = (
+    "sig AS (SELECT *, trim(lower(text)) AS q FROM asked), sg AS (SELECT tenant_id, query_id, q, text, "
+    + f"{contains_any(V.RELATIONAL, 'q')} AS is_relational, {contains_any(V.GLOBAL, 'q')} AS is_global, "
+    + "(" + " OR ".join(f"regexp_matches(q, '(^|[^\\w]){p}([^\\w]|$)')" for p in V.FACTUAL) + ") AS is_factual, list_distinct(flatten(["
+    + ", ".join("regexp_extract_all(text, '(?i)" + p + "')" for p in V.IDENTIFIERS)
+    + "])) AS ids FROM sig)"
+)
+MENTIONS = """men AS (SELECT a.tenant_id, a.query_id, n.name FROM sg a JOIN (SELECT DISTINCT tenant_id, lower(trim(name)) AS name FROM nodes) n ON n.tenant_id = a.tenant_id AND contains(a.q, n.name)),
+    kept AS (SELECT * FROM men m WHERE NOT EXISTS (SELECT 1 FROM men o WHERE o.tenant_id = m.tenant_id AND o.query_id = m.query_id AND length(o.name) > length(m.name) AND contains(o.name, m.name)))"""
+
+
+@query("question_signals", f"WITH {SIGNALS} SELECT query_id, array_to_string(list_sort(ids), '|') AS ids, is_relational, is_global, is_factual FROM sg")
+def _(i: Inputs) -> DataFrame:
+    return decide.signals(i.asked).select("query_id", F.array_join(F.array_sort("detected_ids"), "|").alias("ids"), "is_relational", "is_global", "is_factual")
+
+
+@query("entity_mentions", f"WITH {SIGNALS}, {MENTIONS} SELECT query_id, name FROM kept")
+def _(i: Inputs) -> DataFrame:
+    return decide.mentions(i.asked, graph.catalogue(i.nodes)).select("query_id", "name")
+
+
+@query(
+    "route_questions",
+    f"""WITH {SIGNALS}, {MENTIONS}, k AS (SELECT query_id, count(*) AS n FROM kept GROUP BY 1), r AS (SELECT s.query_id, is_global, is_relational, is_factual, len(ids) AS n_ids, coalesce(n, 0) AS n_entities FROM sg s LEFT JOIN k USING (query_id)),
+    p AS (SELECT *, CASE WHEN is_global OR is_relational OR n_entities >= 3 THEN 'FULL_GRAPH_RAG' WHEN n_ids > 0 AND n_entities <= 1 THEN 'FAST_PATH' WHEN is_factual AND n_entities <= 1 THEN 'FAST_PATH' ELSE 'HYBRID_PATH' END AS route FROM r)
+    SELECT query_id, route, is_global, CASE WHEN is_global THEN 2 WHEN route = 'FULL_GRAPH_RAG' THEN CASE WHEN n_entities <= 3 THEN 2 ELSE 3 END WHEN route = 'FAST_PATH' THEN 0 ELSE 1 END AS hops, route <> 'FAST_PATH' AS needs_graph, n_ids, n_entities FROM p""",
+)
+def _(i: Inputs) -> DataFrame:
+    return decide.route(i.asked, graph.catalogue(i.nodes)).drop("tenant_id")
+
+
+@query(
+    "fast_path_guard",
+    f"""WITH {VECTOR}, {bm25_ctes('docs', 'questions')}, b AS (SELECT query_id, max(CASE WHEN bm25_rank = 1 THEN doc_id END) AS bd, max(CASE WHEN bm25_rank = 1 THEN bm25_score END) AS b1, max(CASE WHEN bm25_rank = 2 THEN bm25_score END) AS b2 FROM scored WHERE bm25_rank <= 3 GROUP BY 1),
+    v AS (SELECT query_id, max(CASE WHEN vector_rank = 1 THEN doc_id END) AS vd, max(CASE WHEN vector_rank = 1 THEN similarity END) AS v1 FROM ranked WHERE vector_rank <= 3 GROUP BY 1),
+    m AS (SELECT q.query_id, bd, vd, coalesce(v1, 0) AS v1, coalesce(b1, 0) AS b1, CASE WHEN b2 IS NOT NULL THEN b1 / greatest(b2, 0.001) ELSE 2.0 END AS gap FROM questions q LEFT JOIN b USING (query_id) LEFT JOIN v USING (query_id)),
+    w AS (SELECT query_id, CASE WHEN bd IS NULL AND vd IS NULL THEN 'NO_CANDIDATES' WHEN bd = vd AND v1 >= 0.70 THEN 'CONSENSUS' WHEN v1 >= 0.72 AND gap >= 1.35 THEN 'VECTOR' WHEN b1 >= 4.5 AND gap >= 1.5 THEN 'LEXICAL' ELSE 'ESCALATE' END AS verdict FROM m)
+    SELECT query_id, verdict, verdict NOT IN ('NO_CANDIDATES', 'ESCALATE') AS sufficient FROM w""",
+)
+def _(i: Inputs) -> DataFrame:
+    return decide.fast_path_guard(i.questions, lexical.search(i.docs, i.questions, 3), vector.top_k(i.vectors, i.vqueries, 3), i.docs).drop("tenant_id")
+
+
+BEST = """best AS (SELECT query_id, coalesce(max(CASE WHEN NOT (rerank_rationale LIKE 'Bypass%' OR rerank_rationale LIKE 'Fallback%') THEN coalesce(reranker_score, 0.0) END), -1.0) AS rerank, max(coalesce(bm25_score, 0.0)) AS bm25,
+    max(coalesce(nullif(vector_score, 0), similarity, 0.0)) AS vector, count(*) AS n_passages FROM passages GROUP BY 1)"""
+
+
+@query("best_scores", f"WITH {BEST} SELECT query_id, round(rerank, 6) AS rerank, round(bm25, 6) AS bm25, round(vector, 6) AS vector, n_passages FROM best")
+def _(i: Inputs) -> DataFrame:
+    b = decide.best_scores(i.passages)
+    return b.select("query_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("rerank", "bm25", "vector")], "n_passages")
+
+
+@query(
+    "evidence_level",
+    f"""WITH {BEST} SELECT query_id, CASE WHEN n_passages = 0 AND n_nodes = 0 THEN '{V.D}' WHEN rerank >= 0 AND rerank < 0.0005 AND n_paths = 0 THEN '{V.D}' WHEN rerank < 0 AND bm25 < 1 AND vector < 0.3 AND n_paths = 0 THEN '{V.D}'
+      WHEN rerank >= 0.0005 AND rerank < 0.05 AND n_paths = 0 THEN '{V.C}' WHEN rerank >= 0.5 OR bm25 >= 4.5 OR vector >= 0.6 OR (rerank < 0 AND n_paths >= 2) THEN '{V.A}' ELSE '{V.B_LEVEL}' END AS level
+    FROM best JOIN graphn USING (query_id)""",
+)
+def _(i: Inputs) -> DataFrame:
+    asked = i.passages.select("tenant_id", "query_id").distinct()
+    return decide.evidence(asked, i.passages, i.graphn).select("query_id", "level")
+
+
+@query(
+    "audit_confidence",
+    f"""WITH a AS (SELECT event_id, greatest(0, least(1, faithfulness)) AS f, greatest(0, least(1, relevancy)) AS r, CASE WHEN n_claims > 0 THEN round(n_grounded / n_claims, 2) ELSE 0.0 END AS g,
+      CASE WHEN given LIKE 'LEVEL%' THEN given ELSE '{V.B_LEVEL}' END AS level, n_unsupported AS u, response LIKE '%no consta%' AS quiet FROM judged)
+    SELECT event_id, level, g AS grounding_ratio, round(CASE WHEN level = '{V.D}' AND quiet THEN 0.0 WHEN f < 0.5 OR u > 0 THEN f * least(r, g) ELSE g * (0.60 * f + 0.40 * r) END, 9) AS confidence,
+      CASE WHEN level = '{V.D}' AND quiet THEN true WHEN f < 0.5 OR u > 0 THEN false ELSE f >= 0.7 AND g >= 0.7 END AS is_faithful FROM a""",
+)
+def _(i: Inputs) -> DataFrame:
+    j = i.judged.select("event_id", F.col("faithfulness").cast("double"), F.col("relevancy").cast("double"), "n_grounded", "n_claims", "n_unsupported", "given", "response")
+    out = decide.audit(*[F.col(c) for c in ("faithfulness", "relevancy", "n_grounded", "n_claims", "n_unsupported", "given", "response")])
+    f, r = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in ("faithfulness", "relevancy"))
+    # nine decimals here: a rounded tie would hang on the last bit of a product
+    quiet = (out["level"] == V.D) & T.is_abstention(F.col("response"))
+    fine = F.when(quiet, 0.0).when((f < 0.5) | (F.col("n_unsupported") > 0), f * F.least(r, out["grounding_ratio"])).otherwise(out["grounding_ratio"] * (0.60 * f + 0.40 * r))
+    return j.select("event_id", out["level"].alias("level"), out["grounding_ratio"].alias("grounding_ratio"), F.round(fine, 9).alias("confidence"), out["is_faithful"].alias("is_faithful"))
+
+
+@query(
+    "fast_path_audit",
+    f"""SELECT event_id, CASE WHEN n_passages = 0 THEN 0.0 WHEN response LIKE '%no consta%' THEN 1.0 ELSE round(least(1, n_passages / 3), 2) END AS grounding,
+      CASE WHEN n_passages = 0 OR response LIKE '%no consta%' THEN 0.0 ELSE round(0.85 + 0.15 * round(least(1, n_passages / 3), 2), 2) END AS confidence, CASE WHEN n_passages = 0 OR response LIKE '%no consta%' THEN '{V.D}' ELSE '{V.A}' END AS level FROM judged""",
+)
+def _(i: Inputs) -> DataFrame:
+    g, c, lv = decide.fast_audit(F.col("n_passages"), F.col("response"))
+    return i.judged.select("event_id", g.cast("double").alias("grounding"), c.cast("double").alias("confidence"), lv.alias("level"))
+
+
+@query(
+    "retry_decision",
+    f"SELECT event_id, CASE WHEN given IN ('{V.D}', '{V.C}') THEN 'end' WHEN n_unsupported = 1 OR iteration >= 1 THEN 'end' WHEN faithfulness >= 0.45 THEN 'end' ELSE 'refine' END AS next, CASE WHEN given = '{V.A}' AND response LIKE '%no consta%' THEN '{V.C}' ELSE given END AS final_level,"
+    f" CASE WHEN given = '{V.A}' AND response LIKE '%no consta%' THEN least(faithfulness, 0.5) ELSE faithfulness END AS final_confidence, CASE WHEN given = '{V.A}' AND faithfulness < 0.6 THEN '{V.B_LEVEL}' ELSE given END AS shown FROM judged",
+)
+def _(i: Inputs) -> DataFrame:
+    level, f = F.col("given"), F.col("faithfulness").cast("double")
+    return i.judged.select(
+        "event_id", decide.retry(level, F.col("n_unsupported") == 1, F.col("iteration"), f).alias("next"), decide.final_level(level, F.col("response")).alias("final_level"),
+        decide.final_confidence(level, F.col("response"), f).alias("final_confidence"), decide.display_level(level, f).alias("shown"),
+    )
+
+
+@query("retrieval_depth", "SELECT query_id, CASE WHEN query_id % 2 = 0 AND query_id % 3 = 0 THEN 8 ELSE 5 END AS k, CASE WHEN query_id % 2 = 0 THEN CASE WHEN query_id % 3 = 0 THEN 3 ELSE 2 END ELSE 1 END AS hops FROM questions")
+def _(i: Inputs) -> DataFrame:
+    route = F.when(F.col("query_id") % 2 == 0, "FULL_GRAPH_RAG").otherwise("HYBRID_PATH")
+    k, hops = decide.depth(route, F.col("query_id") % 3 == 0)
+    return i.questions.select("query_id", k.alias("k"), hops.alias("hops"))
+
+
+@query("ingest_warning", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'no entities found' WHEN event_id % 2 = 0 THEN 'entities found but none stored' END AS warning FROM events")
+def _(i: Inputs) -> DataFrame:
+    return i.events.select("event_id", decide.ingest_warning(F.col("event_id") % 3, F.col("event_id") % 2).alias("warning"))
+
+
+@query("injection_guard", "SELECT query_id, (" + " OR ".join(f"regexp_matches(lower(text), '{p}')" for p in V.INJECTION) + ") AS blocked FROM asked")
+def _(i: Inputs) -> DataFrame:
+    return i.asked.select("query_id", T.is_injection(F.col("text")).alias("blocked"))
+
+
+@query("abstention", f"SELECT event_id, {contains_any(V.ABSTENTION, 'lower(response)')} AS abstains FROM judged")
+def _(i: Inputs) -> DataFrame:
+    return i.judged.select("event_id", T.is_abstention(F.col("response")).alias("abstains"))
+
+
+def redacted(col: str) -> str:
+    for p, put in V.REDACTIONS:
+        col = f"regexp_replace({col}, '{p}', '{put}', 'g')"
+    return col
+
+
+@query("redact", f"SELECT doc_id, md5({redacted('text')}) AS digest, {redacted('text')} <> text AS changed FROM documents")
+def _(i: Inputs) -> DataFrame:
+    return i.documents.select("doc_id", F.md5(T.redact(F.col("text")).cast("binary")).alias("digest"), (T.redact(F.col("text")) != F.col("text")).alias("changed"))
+
+
+# --- text and sources ---------------------------------------------------------------------------------
+
+
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\x{00A0}', ' ', 'g'), '[\x{200B}\x{200C}\x{200D}\x{00AD}]', '', 'g'), '\r\n?', chr(10), 'g'), '([a-zA-ZáéíóúÁÉÍÓÚñÑüÜ])-\n([a-zA-ZáéíóúÁÉÍÓÚñÑüÜ])', '\1\2', 'g'), '\n{3,}', concat(chr(10), chr(10)), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("clean_text", f"SELECT doc_id, md5({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents")
+def _(i: Inputs) -> DataFrame:
+    c = T.clean_text(F.col("text"))
+    return i.documents.select("doc_id", F.md5(c.cast("binary")).alias("digest"), F.length(c).cast("long").alias("n"))
+
+
+@query("extraction_windows", "SELECT doc_id, i AS number, md5(substring(text, 1 + i * 10000, 10000)) AS digest FROM documents, unnest(generate_series(0, 19)) t(i) WHERE length(text) > i * 10000")
+def _(i: Inputs) -> DataFrame:
+    w = i.documents.select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
+    return w.select("doc_id", F.col("w.number").cast("long").alias("number"), F.md5(F.col("w.text").cast("binary")).alias("digest"))
+
+
+@query("upload_check", "SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN 400 WHEN octet_length(encode(text)) > 10000 THEN 413 ELSE 200 END AS status FROM documents")
+def _(i: Inputs) -> DataFrame:
+    return i.documents.select("doc_id", files.upload_status(F.octet_length("text"), 10_000).alias("status"))
+
+
+@query("file_kinds", "SELECT DISTINCT filename, CASE WHEN filename LIKE '%.pdf' THEN 'pdf' ELSE 'text' END AS kind, CASE WHEN contains(filename, '.') THEN split_part(filename, '.', 2) ELSE '' END AS extension FROM files")
+def _(i: Inputs) -> DataFrame:
+    return i.files.select("filename").distinct().select("filename", files.kind(F.col("filename")).alias("kind"), files.extension(F.col("filename")).alias("extension"))
+
+
+@query("tenant_ids", f"SELECT DISTINCT p_type AS raw, CASE WHEN regexp_matches(trim(p_type), '{V.TENANT}') THEN trim(p_type) ELSE 'default' END AS tenant_id FROM part UNION SELECT DISTINCT p_brand, CASE WHEN regexp_matches(trim(p_brand), '{V.TENANT}') THEN trim(p_brand) ELSE 'default' END FROM part")
+def _(i: Inputs) -> DataFrame:
+    raw = i.part.select(F.col("p_type").alias("raw")).union(i.part.select("p_brand")).distinct()
+    return raw.withColumn("tenant_id", T.tenant_or_default(F.col("raw")))
+
+
+@query("files_of_chunks", "SELECT DISTINCT concat(tenant_id, '::', filename, '_chunk_', cast(doc_id AS string)) AS id, filename FROM files")
+def _(i: Inputs) -> DataFrame:
+    ids = i.files.select(F.concat("tenant_id", F.lit("::"), "filename", F.lit("_chunk_"), F.col("doc_id").cast("string")).alias("id")).distinct()
+    return ids.withColumn("filename", T.file_of_chunk(F.col("id")))
+
+
+LINES = """ln AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0),
+    fl AS (SELECT *, sum(CASE WHEN starts_with(trim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS fenced FROM ln)"""
+
+
+@query("chunk_lines", f"WITH {LINES} SELECT doc_id, count(*) AS lines, count(CASE WHEN fenced THEN 1 END) AS fenced, count(CASE WHEN NOT fenced AND trim(line) LIKE '|%' AND trim(line) LIKE '%|' THEN 1 END) AS rows FROM fl GROUP BY 1")
+def _(i: Inputs) -> DataFrame:
+    d = i.documents.filter("doc_id % 2 = 0").select("source", F.col("doc_id").alias("filename"), "text").withColumnRenamed("source", "tenant_id")
+    n = chunks.lines(d)
+    return n.groupBy(F.col("filename").alias("doc_id")).agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("fenced"), 1)).alias("fenced"), F.count(F.when(F.col("is_row"), 1)).alias("rows"))
+
+
+@query("chunk_documents")
+def _(i: Inputs) -> DataFrame:
+    d = i.documents.select(F.col("source").alias("tenant_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), "text")
+    return chunks.chunk_documents(d).select("tenant_id", "chunk_id", "chunk_index", "header_path", "char_count", "is_table", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("entity_payloads", "SELECT n_nationkey AS k, n_name AS entity_name, 'LOCATED_IN' AS rel, cast(n_regionkey AS string) AS target FROM nation")
+def _(i: Inputs) -> DataFrame:
+    raw = i.nation.select(F.col("n_nationkey").alias("k"), F.to_json(F.struct(F.col("n_name").alias("entity_name"), F.array(F.struct(F.lit("LOCATED_IN").alias("relation_type"), F.col("n_regionkey").cast("string").alias("target_name"))).alias("relations"))).alias("value"))
+    p = files.parse_entities(raw)
+    return p.select("k", "payload.entity_name", F.explode("payload.relations").alias("r")).select("k", "entity_name", F.col("r.relation_type").alias("rel"), F.col("r.target_name").alias("target"))
+
+
+@query("json_repair", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+def _(i: Inputs) -> DataFrame:
+    raw = i.nation.select(F.col("n_nationkey").alias("k"), F.concat(F.lit('```json\n[{"name": "'), "n_name", F.lit('", "x": [1, 2,]}, {"name": "cut')).alias("raw"))
+    return raw.select("k", F.get(F.from_json(json_repair.repair_json("raw"), "array<struct<name:string>>"), F.lit(0))["name"].alias("name"))
+
+
+# --- cache and metrics ----------------------------------------------------------------------------------
+
+
+@query(
+    "cache_lookup",
+    f"""WITH near AS (SELECT q.query_id, v.doc_id, {cosine('v.embedding', 'q.embedding')} AS similarity, v.original_query AS o, q.text AS t FROM cacherows v JOIN cachequeries q USING (tenant_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS k FROM near)
+    SELECT query_id, doc_id, similarity, similarity >= 0.92 AND list_sort(list_distinct(list_transform(regexp_extract_all(o, '\\w[\\w./,%:-]*\\d[\\w./,%:-]*'), lambda x : trim(lower(x), '.,;:')))) = list_sort(list_distinct(list_transform(regexp_extract_all(t, '\\w[\\w./,%:-]*\\d[\\w./,%:-]*'), lambda x : trim(lower(x), '.,;:')))) AS hit FROM r WHERE k = 1""",
+)
+def _(i: Inputs) -> DataFrame:
+    return cache.lookup(i.cacherows, i.cachequeries).drop("tenant_id")
+
+
+@query("cache_put")
+def _(i: Inputs) -> DataFrame:
+    rows = i.questions.select("tenant_id", F.col("text").alias("query"), F.col("query_id").cast("string").alias("answer"))
+    return cache.put(rows.withColumn("put_at", F.lit(1)), rows.filter("answer % 2 = 0").withColumn("answer", F.concat(F.lit("new "), "answer")).withColumn("put_at", F.lit(2))).select("id", "answer")
+
+
+@query("cache_invalidate", "SELECT tenant_id, doc_id FROM tdocs WHERE tenant_id NOT IN ('src1', 'src2')")
+def _(i: Inputs) -> DataFrame:
+    return cache.invalidate(i.tdocs, i.tdocs.filter("tenant_id IN ('src1', 'src2')")).select("tenant_id", "doc_id")
+
+
+@query("suggestion_key", "WITH f AS (SELECT tenant_id, list_sort(list_distinct(list(filename))) AS names FROM files GROUP BY 1) SELECT tenant_id, sha256(concat(tenant_id, '|', array_to_string(names, '|'), '|nodes:20')) AS key FROM f")
+def _(i: Inputs) -> DataFrame:
+    tops = i.files.select("tenant_id").distinct().join(i.nodes.select("name").limit(20), how="cross")
+    return cache.suggestion_key(i.files, tops)
+
+
+@query(
+    "suggestions",
+    "WITH f AS (SELECT tenant_id, list_sort(list_distinct(list(filename))) AS n FROM files GROUP BY 1) SELECT tenant_id, 1 AS place, 'Visión General' AS category, '¿Qué tienen en común los documentos?' AS text FROM f UNION ALL SELECT tenant_id, 2, 'Contenido', concat('Resumen de ', substring(n[1], 1, 20)) FROM f"
+    " UNION ALL SELECT tenant_id, 3, 'Análisis Detallado', concat('Detalles de ', substring(n[2], 1, 20)) FROM f WHERE len(n) > 1 UNION ALL SELECT tenant_id, 4, 'Grafo Relacional', 'Entidades y relaciones clave' FROM f",
+)
+def _(i: Inputs) -> DataFrame:
+    return cache.suggestions(i.files).select("tenant_id", "place", "category", "text")
+
+
+@query("list_documents", "SELECT tenant_id, filename, CASE WHEN contains(filename, '.') THEN upper(split_part(filename, '.', 2)) ELSE 'TXT' END AS file_type, count(*) AS chunks, sum(char_count)::BIGINT AS chars, count(DISTINCT nullif(header_path, '')) AS sections FROM files GROUP BY 1, 2")
+def _(i: Inputs) -> DataFrame:
+    return metrics.list_documents(i.files)
+
+
+@query("latency_rolling", "SELECT user_id, request_id, round(avg(latency_ms) OVER (PARTITION BY user_id ORDER BY ts, request_id ROWS 99 PRECEDING), 1) AS latency_ms FROM log")
+def _(i: Inputs) -> DataFrame:
+    return metrics.rolling_latency(i.log)
+
+
+@query("latency_last100", "SELECT round(avg(latency_ms), 1) AS latency_ms FROM (SELECT latency_ms FROM log ORDER BY ts DESC, request_id DESC LIMIT 100)")
+def _(i: Inputs) -> DataFrame:
+    return metrics.last_latency(i.log)
+
+
+@query("hit_rate", "SELECT count(*) AS total, round(avg(CASE WHEN from_cache THEN 1.0 ELSE 0.0 END) * 100, 1) AS hit_rate FROM log")
+def _(i: Inputs) -> DataFrame:
+    return metrics.hit_rate(i.log)
+
+
+@query(
+    "kpi_rows",
+    """WITH l AS (SELECT round(avg(latency_ms), 1) AS v FROM (SELECT latency_ms FROM log ORDER BY ts DESC, request_id DESC LIMIT 100)), h AS (SELECT count(*) AS total, round(avg(CASE WHEN from_cache THEN 1.0 ELSE 0.0 END) * 100, 1) AS v FROM log)
+    SELECT 'latency' AS name, CASE WHEN v < 3000 THEN 'ok' WHEN v < 8000 THEN 'warn' ELSE 'error' END AS status FROM l UNION ALL SELECT 'cache hits', CASE WHEN v > 30 THEN 'ok' WHEN v > 10 THEN 'warn' ELSE 'info' END FROM h
+    UNION ALL SELECT * FROM (VALUES ('requests', 'info'), ('entities', 'ok'), ('relations', 'ok'), ('chunks', 'ok'), ('model', 'info'), ('pagerank', 'ok'), ('uptime', 'ok'), ('graph store', 'ok'), ('vector store', 'ok'))""",
+)
+def _(i: Inputs) -> DataFrame:
+    return metrics.kpis(i.log, graph.counts(i.nodes, i.edges), i.files.agg(F.count(F.lit(1)).alias("n_chunks"))).select("name", "status")
+
+
+@query("uptime", "SELECT event_id, concat(lpad(cast(event_id // 3600 AS string), 2, '0'), ':', lpad(cast(event_id % 3600 // 60 AS string), 2, '0'), ':', lpad(cast(event_id % 60 AS string), 2, '0')) AS uptime FROM events")
+def _(i: Inputs) -> DataFrame:
+    return i.events.select("event_id", metrics.uptime(F.col("event_id")).alias("uptime"))
+
+
+@query(
+    "eval_summary",
+    """SELECT run, count(CASE WHEN kind = 'answerable' THEN 1 END) AS answerable, count(CASE WHEN kind = 'answerable' AND NOT abstained THEN 1 END) AS answered, count(CASE WHEN kind = 'answerable' AND correct THEN 1 END) AS "right",
+      count(CASE WHEN kind <> 'answerable' THEN 1 END) AS unanswerable, count(CASE WHEN kind <> 'answerable' AND abstained THEN 1 END) AS abstained_right, count(CASE WHEN kind <> 'answerable' AND NOT abstained THEN 1 END) AS invented,
+      list_sort(list(seconds))[count(*) // 2 + 1] AS median_s, min(seconds) AS min_s, max(seconds) AS max_s FROM results GROUP BY 1""",
+)
+def _(i: Inputs) -> DataFrame:
+    return decide.evaluation(i.results)
+
+
+# --- composition and streams ------------------------------------------------------------------------------
+
+
+@query("ask")
+def _(i: Inputs) -> DataFrame:
+    q = i.questions.select(F.lit("acme").alias("tenant_id"), "query_id", "text")
+    c = i.files.select(F.lit("acme").alias("tenant_id"), "doc_id", "filename", "text")
+    return asking.ask(q, c, i.nodes, i.edges)
+
+
+@query(
+    "graph_context",
+    f"WITH {SEEDS}, s AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS k FROM seeds WHERE rank <= 20) SELECT tenant_id, query_id, array_to_string(list_sort(list(concat('- ', name, ' (', type, ')'))), chr(10)) AS context FROM s WHERE k <= 15 GROUP BY 1, 2",
+)
+def _(i: Inputs) -> DataFrame:
+    return asking.context_text(graph.seeds(i.nodes, graph.expanded_terms(i.wanted)))
+
+
+@query("metrics_stream", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS requests, round(avg(value), 4) AS latency FROM events GROUP BY 1, 2")
+def _(i: Inputs) -> DataFrame:
+    out = jobs.run_to_end(jobs.request_rates(jobs.table_stream(i.spark, i.sf_dir, "events")), "complete", i.spark, "rates")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("ingest_stream", f"WITH {bm25_ctes('docs', 'questions')} SELECT term, df FROM dfs")
+def _(i: Inputs) -> DataFrame:
+    docs = jobs.table_stream(i.spark, i.sf_dir, "documents").select(F.lit("default").alias("tenant_id"), "doc_id", "text")
+    out = jobs.place(i.spark, "stream-postings")
+    jobs.ingest(docs, out, jobs.place(i.spark, "stream-state")).awaitTermination()
+    return lexical.document_frequency(jobs.current(i.spark.read.parquet(out))).drop("tenant_id")
+
+
+@query(
+    "task_states",
+    "WITH s AS (SELECT user_id AS task_id, max(event_id % 7) AS step, max(CASE WHEN event_id % 101 = 0 THEN 1 ELSE 0 END) AS failed, count(*) AS events FROM events GROUP BY 1) SELECT task_id, CASE WHEN failed = 1 THEN 'FAILED' ELSE (['QUEUED', 'EXTRACTING', 'CHUNKING', 'GRAPH_EXTRACTION', 'INDEXING', 'SAVING', 'COMPLETED'])[step + 1] END AS status, ([0, 5, 15, 35, 55, 90, 100])[step + 1] AS progress, events FROM s",
+)
+def _(i: Inputs) -> DataFrame:
+    e = jobs.table_stream(i.spark, i.sf_dir, "events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 7).cast("int").alias("step"), (F.col("event_id") % 101 == 0).alias("failed"))
+    return jobs.run_to_end(jobs.task_states(e), "append", i.spark, "tasks")
+
+
+@query("latency_stream")
+def _(i: Inputs) -> DataFrame:
+    e = jobs.table_stream(i.spark, i.sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "value")
+    return jobs.run_to_end(jobs.rolling_latency(e), "append", i.spark, "latency")
+
+
+@query("stored_chunks")
+def _(i: Inputs) -> DataFrame:
+    """Chunks as stored: written partitioned by organisation and read back with one partition pruned to."""
+    d = i.documents.select(F.col("source").alias("tenant_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), "text")
+    out = f"{shared_dir(i.spark)}/corvine/{jobs.place(i.spark, 'chunks').rsplit('/', 1)[-1]}"
+    chunks.stored_id(chunks.chunk_documents(d)).write.partitionBy("tenant_id").parquet(out)
+    return written(i.spark.read.parquet(out).filter("tenant_id = 'src1'").select("id", "chunk_index", "char_count"), "chunks-of-one")
