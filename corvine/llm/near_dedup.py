@@ -203,7 +203,7 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     nodes = closed(nodes, member, sketch, texts, most, percent)
 
     known = base.join(classes, sets, "left").join(nodes.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    out = known.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
