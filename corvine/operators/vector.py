@@ -12,8 +12,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 4)
+def cosine(product: Column, norms: Column) -> Column:
+    """Rounded to 4; 0 where a vector has no length."""
+    return F.round(F.coalesce(F.try_divide(product, norms), F.lit(0.0)), 4)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, block: int = BLOCK) -> DataFrame:
@@ -30,7 +31,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, block: int = BLOC
     for i in range(parts):
         some = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
         met = v.join(F.broadcast(some), "tenant_id")
-        scored = met.select("tenant_id", "query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("asked")) / (F.col("norm") * F.col("asked_norm")), 4).alias("similarity"))
+        scored = met.select("tenant_id", "query_id", "doc_id", cosine(dot(F.col("embedding"), F.col("asked")), F.col("norm") * F.col("asked_norm")).alias("similarity"))
         rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("similarity"), "doc_id"))
         best = scored.withColumn("vector_rank", rank).filter(F.col("vector_rank") <= k)
         out = best if out is None else out.unionByName(best)

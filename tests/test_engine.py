@@ -126,6 +126,12 @@ def test_vector_blocks_agree(spark):
     assert sorted(vector.top_k(v, q, 3).collect()) == sorted(vector.top_k(v, q, 3, block=2).collect())
 
 
+def test_vectors_without_length(spark):
+    v = spark.createDataFrame([("t", 1, [0.0, 0.0]), ("t", 2, [1.0, 0.0])], "tenant_id string, doc_id long, embedding array<double>")
+    got = vector.top_k(v, v.withColumnRenamed("doc_id", "query_id"), 2).collect()
+    assert {(r.query_id, r.doc_id, r.similarity) for r in got} == {(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)}
+
+
 # --- chunks -----------------------------------------------------------------------------------------------
 
 
