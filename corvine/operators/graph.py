@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import basename
-from corvine.storage import drop_shared, written
+from corvine.storage import broadcast_if_small, drop_shared, first_rows, written
 
 KEY = ["tenant_id", "name"]
 EDGE = ["tenant_id", "src", "rel_type", "dst"]
@@ -141,7 +141,7 @@ def seeds(nodes: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     inside a tenant, run against the query terms only."""
     name, term = F.lower("name"), F.lower("term")
     hit = F.contains(name, term) | F.contains(term, name) | F.contains(F.lower(F.coalesce("type", F.lit(""))), term)
-    met = nodes.select(*KEY, "type").join(terms, "tenant_id").filter(hit).select("tenant_id", "query_id", "name", "type").distinct()
+    met = nodes.select(*KEY, "type").join(broadcast_if_small(terms), "tenant_id").filter(hit).select("tenant_id", "query_id", "name", "type").distinct()
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
@@ -254,8 +254,7 @@ def viz_links(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> DataFrame
 def catalogue(nodes: DataFrame, limit: int = 10_000) -> DataFrame:
     """Distinct lower-case names of two characters or more, longest first."""
     names = nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).filter(F.length("name") >= 2).distinct()
-    rank = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc(F.length("name")), "name"))
-    return names.withColumn("n", rank).filter(F.col("n") <= limit)
+    return first_rows(names, ["tenant_id"], [F.desc(F.length("name")), F.col("name")], limit, "n")
 
 
 def lookup(nodes: DataFrame, questions: DataFrame, limit: int = 15) -> DataFrame:
@@ -263,7 +262,7 @@ def lookup(nodes: DataFrame, questions: DataFrame, limit: int = 15) -> DataFrame
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-Z0-9áéíóúÁÉÍÓÚñÑüÜ]{3,}"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in V.LOOKUP_STOP])
     asked = questions.select("tenant_id", "query_id", F.explode(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stop, w)))).alias("word"))
-    met = nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).join(asked, "tenant_id").filter(F.contains("name", F.col("word")))
+    met = nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).join(broadcast_if_small(asked), "tenant_id").filter(F.contains("name", F.col("word")))
     once = met.select("tenant_id", "query_id", "name").distinct()
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name"))
     return once.withColumn("n", rank).filter(F.col("n") <= limit)

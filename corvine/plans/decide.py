@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import any_in, exact_identifiers, is_abstention
+from corvine.storage import broadcast_if_small
 
 
 def signals(questions: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def signals(questions: DataFrame) -> DataFrame:
 def mentions(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Catalogue names inside a question, without those that a longer mentioned name contains."""
     q = questions.select("tenant_id", "query_id", F.trim(F.lower("text")).alias("q"))
-    met = q.join(catalogue.select("tenant_id", "name"), "tenant_id").filter(F.contains("q", F.col("name"))).select("tenant_id", "query_id", "name")
+    met = q.join(broadcast_if_small(catalogue.select("tenant_id", "name")), "tenant_id").filter(F.contains("q", F.col("name"))).select("tenant_id", "query_id", "name")
     other = met.select("tenant_id", "query_id", F.col("name").alias("longer"))
     inside = met.join(other, ["tenant_id", "query_id"]).filter(F.contains("longer", F.col("name")) & (F.length("longer") > F.length("name")))
     return met.join(inside.select("tenant_id", "query_id", "name").distinct(), ["tenant_id", "query_id", "name"], "left_anti")
@@ -146,16 +147,14 @@ def role_allows(role: str, needed: str) -> bool:
 def evaluation(results: DataFrame) -> DataFrame:
     """``results``: kind (answerable or not), abstained, correct, seconds. Counts and latencies of an evaluation run."""
     yes = F.col("kind") == "answerable"
-    n = F.count(F.lit(1))
-    ranked = results.withColumn("_n", F.row_number().over(Window.partitionBy("run").orderBy("seconds"))).withColumn("_all", n.over(Window.partitionBy("run")))
-    return ranked.groupBy("run").agg(
+    return results.groupBy("run").agg(
         F.sum(yes.cast("long")).alias("answerable"),
         F.sum((yes & ~F.col("abstained")).cast("long")).alias("answered"),
         F.sum((yes & F.col("correct")).cast("long")).alias("right"),
         F.sum((~yes).cast("long")).alias("unanswerable"),
         F.sum((~yes & F.col("abstained")).cast("long")).alias("abstained_right"),
         F.sum((~yes & ~F.col("abstained")).cast("long")).alias("invented"),
-        F.max(F.when(F.col("_n") == F.floor(F.col("_all") / 2) + 1, F.col("seconds"))).alias("median_s"),
+        F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -seconds)").alias("median_s"),  # the upper one of two
         F.min("seconds").alias("min_s"),
         F.max("seconds").alias("max_s"),
     )

@@ -10,7 +10,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+SALTS = 64
 
 _own: list[str] = []
 
@@ -44,3 +48,19 @@ def drop_shared(spark: SparkSession, df: DataFrame) -> None:
         if "/corvine/" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it is counted to have at most ``most`` rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], most: int, name: str) -> DataFrame:
+    """The first ``most`` rows of each key with their number in column ``name``.
+
+    A key may hold most of the table: every row meets only its salt's rows first, and at most
+    ``SALTS * most`` of a key meet in the second step.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    once = salted.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col(name) <= most)
+    return once.drop(name, "_salt").withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= most)
