@@ -233,8 +233,8 @@ def _(i: Inputs) -> DataFrame:
 )
 def _(i: Inputs) -> DataFrame:
     top = fused(i).filter("final_rank <= 5")
-    heads = i.docs.filter("doc_id < 12").select("doc_id")
-    extra = top.select("tenant_id", "query_id").distinct().crossJoin(F.broadcast(heads))  # at most twelve rows on one side
+    each = top.select("tenant_id", "query_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).cast("long").alias("doc_id"))
+    extra = each.join(i.docs.select("doc_id"), "doc_id", "left_semi")
     chunks_ = i.files.select(F.lit("default").alias("tenant_id"), "doc_id", "filename")
     nodes = i.wanted.filter("tenant_id = 'acme'").select(F.lit("default").alias("tenant_id"), "query_id", F.lit("Region").alias("type"), F.col("entity").alias("name"))
     return fusion.context_sources(top, chunks_, nodes, extra).drop("tenant_id")
@@ -808,7 +808,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("suggestion_key", "WITH f AS (SELECT tenant_id, list_sort(list_distinct(list(filename))) AS names FROM files GROUP BY 1) SELECT tenant_id, sha256(concat(tenant_id, '|', array_to_string(names, '|'), '|nodes:20')) AS key FROM f")
 def _(i: Inputs) -> DataFrame:
-    tops = i.files.select("tenant_id").distinct().join(i.nodes.select("name").limit(20), how="cross")
+    tops = i.files.select("tenant_id").distinct().select("tenant_id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank"))
     return cache.suggestion_key(i.files, tops)
 
 

@@ -1,8 +1,8 @@
 """BM25 over an inverted index held as tables.
 
-``postings`` (tenant, term, doc_id, tf, len) is the one table that reads text. Document frequencies,
-lengths and statistics derive from it and from ``lengths``; a query touches only postings whose term
-it has, by an equi-join on (tenant, term).
+``postings`` (tenant, term, doc_id, tf, len) is the one table that reads text, and it is written once.
+Document frequencies and statistics derive from it; a query touches only postings whose term it has, by
+an equi-join on (tenant, term).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import tokens
+from corvine.storage import written
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -36,6 +37,13 @@ def statistics(lens: DataFrame) -> DataFrame:
     return lens.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
 
 
+def collection(docs: DataFrame, posts: DataFrame) -> DataFrame:
+    """The same from ``posts``: texts are not tokenised again, and of ``docs`` only the tenant column is read."""
+    n = docs.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    total = posts.groupBy("tenant_id").agg(F.sum("tf").alias("total"))
+    return n.join(total, "tenant_id", "left").select("tenant_id", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
+
+
 def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -73,8 +81,8 @@ def top_k(found: DataFrame, k: int = 10) -> DataFrame:
 
 def search(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """Top ``k`` documents of each question in its tenant. Tenants are few: their statistics are broadcast."""
-    posts = postings(docs)
-    return top_k(scores(posts, statistics(lengths(docs)), query_terms(questions)), k)
+    posts = written(postings(docs), "postings")
+    return top_k(scores(posts, collection(docs, posts), query_terms(questions)), k)
 
 
 def add_documents(index: DataFrame, new: DataFrame) -> DataFrame:
@@ -92,7 +100,8 @@ def multi_search(docs: DataFrame, questions: DataFrame, k: int = 15) -> DataFram
 
     Ranks are positions of appending, never resorted by score.
     """
-    posts, stats = postings(docs), statistics(lengths(docs))
+    posts = written(postings(docs), "postings")
+    stats = collection(docs, posts)
     asked = questions.select("tenant_id", F.struct("query_id", "ordinal").alias("query_id"), "text")
     hits = top_k(scores(posts, stats, query_terms(asked)), k)
     hits = hits.select("tenant_id", F.col("query_id.query_id").alias("query_id"), F.col("query_id.ordinal").alias("ordinal"), "doc_id", "bm25_score", "bm25_rank")

@@ -53,7 +53,7 @@ def ask(
     names = graph.catalogue(nodes)
     routed = written(safe.join(decide.route(safe, names), KEY), "ask-routes")
     posts = written(lexical.postings(chunks), "ask-postings")
-    stats = lexical.statistics(lexical.lengths(chunks))
+    stats = lexical.collection(chunks, posts)
     vectors = written(chunks.select("tenant_id", "doc_id", embedder(F.col("text")).alias("embedding")), "ask-vectors")
 
     def passages(asked: DataFrame, k: int) -> DataFrame:
