@@ -233,7 +233,7 @@ def _(i: Inputs) -> DataFrame:
 )
 def _(i: Inputs) -> DataFrame:
     top = fused(i).filter("final_rank <= 5")
-    each = top.select("tenant_id", "query_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).cast("long").alias("doc_id"))
+    each = top.select("tenant_id", "query_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<long>")).alias("doc_id"))
     extra = each.join(i.docs.select("doc_id"), "doc_id", "left_semi")
     chunks_ = i.files.select(F.lit("default").alias("tenant_id"), "doc_id", "filename")
     nodes = i.wanted.filter("tenant_id = 'acme'").select(F.lit("default").alias("tenant_id"), "query_id", F.lit("Region").alias("type"), F.col("entity").alias("name"))
