@@ -67,13 +67,13 @@ def features(token: str) -> list[int]:
 class Emissions(dict):
     """Token to emission score of the toxic state; bounded memory of what was met."""
 
-    def __init__(self, m: Crf):
+    def __init__(self, m: Crf, most: int = REMEMBER):
         super().__init__()
-        self.m = m
+        self.m, self.most = m, most
 
     def __missing__(self, token: str) -> float:
         s = float(self.m.weights[features(token)].sum()) + self.m.bias
-        if len(self) > REMEMBER:
+        if len(self) > self.most:
             self.clear()
         if len(token) <= 64:
             self[token] = s
@@ -154,33 +154,35 @@ def attributes(word: str) -> list[tuple[str, str]]:
     return [("w", word), *(("p", word[:k]) for k in (4, 5) if len(word) > k), *(("s", word[-k:]) for k in (5,) if len(word) > k)]
 
 
-def lexicon(docs: list[tuple[set[str], list[str], int]]) -> list[tuple[str, str]]:
+def lexicon(tokens: list[list[str]], cores: dict[str, str], toxic: list[int]) -> list[tuple[str, str]]:
     """Attributes of words that explain toxic documents, best first.
 
-    ``docs``: distinct words, words in order, label. Near copies (same smallest 3-word shingle) share
-    one vote. An attribute must be four fifths toxic and explain documents that none before it does.
+    ``cores`` gives the word of a token. Near copies (same smallest 3-token shingle) share one vote. An
+    attribute must be four fifths toxic and explain documents that none before it does.
     """
-    groups: Counter = Counter()
-    keys = []
-    for _, words, _ in docs:
-        keys.append(min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))))
-        groups[keys[-1]] += 1
+    keys = [min(xxhash.xxh64_intdigest(" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))) for t in tokens]
+    groups = Counter(keys)
     weight = [1 / groups[k] for k in keys]
+
+    def of(t: list[str]) -> set[tuple[str, str]]:
+        return {a for w in {cores[x] for x in t} if w for a in attributes(w)}
+
     where: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for i, (distinct, _, y) in enumerate(docs):
+    for i, (t, y) in enumerate(zip(tokens, toxic, strict=True)):
         if y:
-            for a in {a for w in distinct if w for a in attributes(w)}:
+            for a in of(t):
                 where[a].append(i)
-    least = max(2.5, 0.01 * sum(w for w, d in zip(weight, docs, strict=True) if d[2]))
+    least = max(2.5, 0.01 * sum(w for w, y in zip(weight, toxic, strict=True) if y))
     good = {a: at for a, at in where.items() if sum(weight[i] for i in at) >= least}
     del where
     clean: Counter = Counter()
-    for i, (distinct, _, y) in enumerate(docs):
+    for i, (t, y) in enumerate(zip(tokens, toxic, strict=True)):
         if not y:
-            for a in {a for w in distinct if w for a in attributes(w) if a in good}:
-                clean[a] += weight[i]
+            for a in of(t):
+                if a in good:
+                    clean[a] += weight[i]
     good = {a: at for a, at in good.items() if sum(weight[i] for i in at) >= 4 * clean[a]}
-    left = {i for i, d in enumerate(docs) if d[2]}
+    left = {i for i, y in enumerate(toxic) if y}
     chosen = []
     while good:
         gain, _, _, a = max((sum(weight[i] for i in at if i in left), -clean[a], len(a[1]), a) for a, at in good.items())
@@ -204,11 +206,12 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 60) -> Crf:
         for x in t:
             if x not in cores:
                 cores[x] = core(x)
-    words = lexicon([({cores[x] for x in t}, t, y) for t, y in zip(tokens, toxic, strict=True)])
+    words = lexicon(tokens, cores, toxic)
     if not words:
         return none
     chosen = set(words)
     bad = {x for x, c in cores.items() if c and not chosen.isdisjoint(attributes(c))}
+    del cores, once
     rows, gold = [], []
     quiet = 0
     for t, y in zip(tokens, toxic, strict=True):
@@ -249,8 +252,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 60) -> Crf:
     weights = np.zeros(DIMS)
     weights[used] = w
     model = Crf(weights, float(bias), np.exp(trans), np.zeros(3), words)
-    emissions = Emissions(model)
-    x = np.concatenate([evidence(model, emissions, tokens[i : i + 200])[0] for i in range(0, len(tokens), 200)])
+    emissions = Emissions(model, 20_000)
+    x = np.concatenate([evidence(model, emissions, tokens[i : i + 50])[0] for i in range(0, len(tokens), 50)])
     y = np.array(toxic, float)
     x = np.column_stack([np.ones(len(x)), x])
     coef = np.zeros(3)
