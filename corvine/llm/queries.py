@@ -70,8 +70,51 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op3_secret_scan": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
+
+
+_ASSIGN = "(" + "|".join(map(secret_scan.either_case, secret_scan.KEYWORDS)) + r")[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT doc_id, 0 AS rank, 'assign' AS kind, 6 AS least, regexp_extract_all(t, '{_ASSIGN}', 0) AS m,
+         regexp_extract_all(t, '{_ASSIGN}', 2) AS v, regexp_split_to_array(t, '{_ASSIGN}') AS p FROM d
+  UNION ALL SELECT doc_id, 1, 'access', 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0),
+         regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, 'hex', 24, regexp_extract_all(t, '[0-9a-f]+', 0),
+         regexp_extract_all(t, '[0-9a-f]+', 0), regexp_split_to_array(t, '[0-9a-f]+') FROM d
+), f AS (
+  SELECT doc_id, rank, kind, least, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(p[1:len(m)]) AS p FROM k WHERE len(m) > 0
+), s AS (
+  SELECT doc_id, rank, kind, length(v) >= least AS ok, length(m) AS n,
+         sum(length(p) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM f
+), j AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+         string_agg(concat(kind, ':', stop - n, ':', stop), ',' ORDER BY stop - n, rank) AS spans
+  FROM s WHERE ok GROUP BY doc_id
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(least, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
 
 OP8_SQL = r"""
 WITH d AS (
