@@ -349,6 +349,26 @@ def _(i: Inputs) -> DataFrame:
     return graph.pagerank(i.nodes, i.edges)
 
 
+@query("viz_rank_sizes", f"WITH r AS ({pagerank_sql(20)}), e AS (SELECT tenant_id, min(pagerank) AS lo, max(pagerank) AS hi FROM r GROUP BY 1) SELECT tenant_id, name, round(3 + (pagerank - lo) / (hi - lo) * 12, 2) AS size FROM r JOIN e USING (tenant_id)")
+def _(i: Inputs) -> DataFrame:
+    return graph.rank_sizes(graph.pagerank(i.nodes, i.edges))
+
+
+@query("display_names", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN n_name WHEN n_nationkey % 3 = 1 THEN 'Nodo' ELSE 'Country' END AS label, CASE WHEN n_nationkey % 3 = 1 THEN 0 ELSE 1 END AS n FROM nation")
+def _(i: Inputs) -> DataFrame:
+    k = F.col("n_nationkey") % 3
+    props = F.create_map(F.lit("name"), F.when(k == 0, F.col("n_name")), F.lit("type"), F.when(k == 2, F.lit("Country")))
+    return i.nation.select(F.col("n_nationkey").alias("k"), graph.display_name(props).alias("label"), F.size(graph.shown_properties(props)).alias("n"))
+
+
+CENTRAL = """m AS (SELECT n.tenant_id, n.name, e.rel_type, e.dst, row_number() OVER (PARTITION BY n.tenant_id ORDER BY n.name, e.rel_type NULLS FIRST, e.dst NULLS FIRST) AS k FROM nodes n LEFT JOIN edges e ON e.tenant_id = n.tenant_id AND e.src = n.name)"""
+
+
+@query("central_graph", f"WITH {CENTRAL} SELECT DISTINCT tenant_id, name AS src, rel_type, dst FROM m WHERE k <= 40 AND dst IS NOT NULL")
+def _(i: Inputs) -> DataFrame:
+    return graph.central_graph(i.nodes, i.edges)[1]
+
+
 COLOR = "CASE type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in V.COLORS.items()) + f" ELSE '{V.DEFAULT_COLOR}' END"
 SHOWN = "shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY name) AS n FROM nodes) WHERE n <= 500)"
 
@@ -555,6 +575,13 @@ def _(i: Inputs) -> DataFrame:
     return kept.select("ordinal", "name", "type", F.lit(None).cast("string").alias("reason")).unionByName(gone.select("ordinal", "name", F.lit(None).cast("string").alias("type"), "reason"))
 
 
+@query("filter_relations")
+def _(i: Inputs) -> DataFrame:
+    r = i.relations.select(F.lit("default").alias("tenant_id"), "ordinal", F.col("src").alias("source"), F.initcap("dst").alias("target_name"), F.col("dst_type").alias("target_type"), F.col("rel_type").alias("relation_type"))
+    kept, gone = entities.filtered_relations(r)
+    return kept.select("ordinal", "target", "relation_type", F.lit(None).cast("string").alias("reason")).unionByName(gone.select("ordinal", "target", F.lit(None).cast("string").alias("relation_type"), "reason"))
+
+
 @query("relation_types", "SELECT DISTINCT p_type AS raw, upper(regexp_replace(p_type, '[^a-zA-Z0-9_]', '_', 'g')) AS rel_type FROM part UNION SELECT DISTINCT cast(p_size AS string), 'RELATED_TO' FROM part")
 def _(i: Inputs) -> DataFrame:
     raw = i.part.select(F.col("p_type").alias("raw")).union(i.part.select(F.col("p_size").cast("string"))).distinct()
@@ -826,6 +853,11 @@ def _(i: Inputs) -> DataFrame:
     return metrics.list_documents(i.files)
 
 
+@query("ingest_totals", "SELECT tenant_id, count(DISTINCT filename) AS files, count(*) AS chunks, sum(char_count)::BIGINT AS chars FROM files GROUP BY 1")
+def _(i: Inputs) -> DataFrame:
+    return metrics.list_documents(i.files).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"))
+
+
 @query("latency_rolling", "SELECT user_id, request_id, round(avg(latency_ms) OVER (PARTITION BY user_id ORDER BY ts, request_id ROWS 99 PRECEDING), 1) AS latency_ms FROM log")
 def _(i: Inputs) -> DataFrame:
     return metrics.rolling_latency(i.log)

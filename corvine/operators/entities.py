@@ -188,6 +188,19 @@ def filtered(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, named.filter(F.col("reason").isNotNull()).select("tenant_id", "ordinal", F.when(F.col("name") != "", F.col("name")).otherwise(F.substring("entity_name", 1, 40)).alias("name"), "reason")
 
 
+def filtered_relations(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``relations``: tenant_id, ordinal, source, target_name, target_type, relation_type.
+
+    (accepted: the first of each source, target and type, without relations of a name to itself; rejected with reason).
+    """
+    named = relations.withColumn("target", normalized(F.col("target_name"))).withColumn("reason", rejection(F.col("target")))
+    kind = F.substring(F.coalesce(F.when(F.col("relation_type") != "", F.col("relation_type")), F.lit("RELATED_TO")), 1, 40)
+    good = named.filter(F.col("reason").isNull() & (F.lower("target") != F.lower("source"))).withColumn("relation_type", kind)
+    first = F.row_number().over(Window.partitionBy("tenant_id", F.lower("source"), F.lower("target"), "relation_type").orderBy("ordinal"))
+    kept = good.withColumn("_n", first).filter("_n = 1").select("tenant_id", "ordinal", "source", "target", canonical_type(F.col("target_type")).alias("target_type"), "relation_type")
+    return kept, named.filter(F.col("reason").isNotNull()).select("tenant_id", "ordinal", F.when(F.col("target") != "", F.col("target")).otherwise(F.substring("target_name", 1, 40)).alias("target"), "reason")
+
+
 #: Keys of a node that free properties may not overwrite.
 RESERVED = ["name", "type", "source_doc", "source_docs", "updated_at", "canonical_id", "canonical_name"]
 

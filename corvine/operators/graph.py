@@ -228,6 +228,30 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return ranks.select(*KEY, F.round("rank", 6).alias("pagerank"))
 
 
+def rank_sizes(ranks: DataFrame) -> DataFrame:
+    """Sizes 3 to 15 by the place of a PageRank between the organisation's smallest and largest."""
+    ends = ranks.groupBy("tenant_id").agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi"))
+    width = F.when(F.col("hi") != F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    return ranks.join(F.broadcast(ends), "tenant_id").select(*KEY, F.round(3 + (F.col("pagerank") - F.col("lo")) / width * 12, 2).alias("size"))
+
+
+def display_name(props: Column) -> Column:
+    """The most telling of the free properties, at most 40 characters."""
+    found = [F.when(props[k] != "", props[k]) for k in ("name", "nombre", "title", "id", "type")]
+    return F.substring(F.coalesce(*found, F.lit("Nodo")), 1, 40)
+
+
+def shown_properties(props: Column) -> Column:
+    return F.transform_values(F.map_filter(props, lambda k, v: v.isNotNull()), lambda k, v: F.substring(v, 1, 100))
+
+
+def central_graph(nodes: DataFrame, edges: DataFrame, limit: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the first ``limit`` rows of nodes with their out-edges, shown when no term is given."""
+    met = nodes.select(*KEY).join(inner_edges(nodes, edges).withColumnRenamed("src", "name"), KEY, "left")
+    some = first_rows(met, ["tenant_id"], [F.col("name"), F.col("rel_type"), F.col("dst")], limit, "n")
+    return some.select(*KEY).distinct(), some.filter("dst is not null").select("tenant_id", F.col("name").alias("src"), "rel_type", "dst").distinct()
+
+
 def color(kind: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in V.COLORS.items() for x in kv])
     return F.coalesce(table[kind], F.lit(V.DEFAULT_COLOR))

@@ -223,6 +223,13 @@ def test_orientation(spark):
     assert {r.ordinal for r in entities.reoriented(df).collect()} == {1, 2, 3, 4}
 
 
+def test_relation_filter(spark):
+    rows = [(1, "Acme", "Beta Corp", "x", "uses"), (2, "Acme", " beta Corp", "x", "uses"), (3, "Acme", "ACME", "x", "uses"), (4, "Acme", "300%", "x", "uses"), (5, "Acme", "Beta Corp", "empresa", ""), (6, "Acme", None, None, None)]
+    kept, gone = entities.filtered_relations(spark.createDataFrame([("t", *r) for r in rows], "tenant_id string, ordinal int, source string, target_name string, target_type string, relation_type string"))
+    assert {(r.ordinal, r.target, r.relation_type) for r in kept.collect()} == {(1, "Beta Corp", "uses"), (5, "Beta Corp", "RELATED_TO")}
+    assert {r.ordinal for r in gone.collect()} == {4, 6}
+
+
 # --- graph ------------------------------------------------------------------------------------------------
 
 
