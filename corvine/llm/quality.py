@@ -42,7 +42,7 @@ class Machine:
 
 
 def _class_table() -> np.ndarray:
-    t = np.zeros((256, 9), np.int64)
+    t = np.zeros((256, 9), np.uint8)
     for b in range(128):
         c = chr(b)
         t[b] = [c.isalpha(), c.isupper(), c.isdigit(), not c.isalnum() and not c.isspace(), c == "|", c == "!", c == ".", c == ",", 0]
@@ -57,13 +57,10 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, Words]:
     """(texts x statistics, the words). Ratios are of the bytes, words or lines of the text."""
     w = Words(texts)
     buf, n = w.buf, w.n
-    ends = w.first[1:]
     size = np.diff(w.first) - 1
     totals = np.empty((n, 9))
-    for k in range(9):
-        s = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(_CLASS[buf, k], out=s[1:])
-        totals[:, k] = s[ends] - s[w.first[:-1]]
+    for k in range(9):  # each text ends with a separator, so no text is an empty range
+        totals[:, k] = np.add.reduceat(_CLASS[:, k][buf], w.first[:-1], dtype=np.int64)
     count, length = w.count, w.end - w.start
     some = np.maximum(count, 1)
 
@@ -80,8 +77,8 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, Words]:
     np.maximum.at(top, d[at], runs)
     same = np.zeros(len(w.hash))
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    sym = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(_CLASS[buf, 3], out=sym[1:])
+    sym = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(_CLASS[:, 3][buf], out=sym[1:], dtype=np.int32)
     noisy = (sym[w.end] - sym[w.start]) >= 2
     # lines: the separators between texts end the last line of each
     stop = np.flatnonzero(buf == 10)

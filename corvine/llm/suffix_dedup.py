@@ -47,6 +47,7 @@ GRAM = 32
 HOT = 1024
 SHARD_BYTES = 2 << 20
 FLUSH_SEEDS = 1_500_000
+PIECE = 4 << 20
 NONE = -(1 << 63)  # stands for a null id
 SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("width", "<i2"), ("twin", "?")])
 
@@ -94,6 +95,21 @@ def seeds_of(texts: list[bytes], length: int, gram: int) -> np.ndarray:
     return out
 
 
+def pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of the text, place in it, bytes): very long texts in parts that share ``length`` - 1 bytes.
+
+    A seed's run of windows may then fall into two parts; their contexts differ from the whole one and stay open, which
+    costs work and changes no result.
+    """
+    which, place, out = [], [], []
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), PIECE):
+            which.append(i)
+            place.append(at)
+            out.append(t[at : at + PIECE + length - 1] if len(t) > PIECE else t)
+    return np.array(which, np.int64), np.array(place, np.int32), out
+
+
 def packed(x: np.ndarray) -> bytes:
     """Seeds by document and place; the columns that rise slowly are deflated, twins need no hashes."""
     x = x[np.lexsort((x["lo"], x["doc"]))]
@@ -142,10 +158,11 @@ def deal(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
 
         for batch in batches:
             ids = np.array([NONE if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            which, place, texts = pieces([t or b"" for t in batch.column(1).to_pylist()], length)
             for a, b in chunks([len(t) for t in texts]):
                 x = seeds_of(texts[a:b], length, gram)
-                x["doc"] = ids[a:b][x["doc"]]
+                x["lo"] += place[a:b][x["doc"]]
+                x["doc"] = ids[which[a:b]][x["doc"]]
                 held.append(x)
                 n += len(x)
                 if n > FLUSH_SEEDS:

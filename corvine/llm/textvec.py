@@ -71,12 +71,19 @@ class Words:
         word[1:] = inside[buf]
         edge = np.flatnonzero(word[1:] != word[:-1])
         self.start, self.end = edge[0::2], edge[1::2]
-        bp, ip = powers(len(buf))
-        with np.errstate(over="ignore"):
-            s = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum(BYTE[buf] * ip, out=s[1:])
-            h = (s[self.end] - s[self.start]) * bp[self.start]
-        self.hash = mix(h)
+        self.hash = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(self.start):  # words in blocks of bytes, so that a very long text needs no more memory than an ordinary one
+            lo = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, lo + 2 * CHUNK, "right")))
+            hi = int(self.end[j - 1])
+            bp, ip = powers(hi - lo + 1)
+            with np.errstate(over="ignore"):
+                s = np.zeros(hi - lo + 1, np.uint64)
+                np.cumsum(BYTE[buf[lo:hi]] * ip[: hi - lo], out=s[1:])
+                h = (s[self.end[i:j] - lo] - s[self.start[i:j] - lo]) * bp[self.start[i:j] - lo]
+            self.hash[i:j] = mix(h)
+            i = j
         at = np.searchsorted(self.start, self.first)
         self.at, self.count = at[:-1], np.diff(at)
         self.doc = np.repeat(np.arange(self.n), self.count)

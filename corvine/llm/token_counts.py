@@ -36,6 +36,7 @@ PATTERN = (
 )
 #: Entries a worker remembers beyond the proven strings before it forgets them all.
 REMEMBER = 300_000
+LONG = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -138,7 +139,10 @@ def counter(v: Vocabulary, key: str):
         else:
             parts = (text,)
         for part in parts:
-            n += sum(map(costs.__getitem__, split.findall(part)))
+            if len(part) <= LONG:
+                n += sum(map(costs.__getitem__, split.findall(part)))
+            else:  # without a list of all words
+                n += sum(costs[m[0]] for m in split.finditer(part))
         return n
 
     return count

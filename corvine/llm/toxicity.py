@@ -29,12 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.llm.textvec import chunks
+
 BLOCK = 64
 DIMS = 1 << 16
 SAMPLE = 5000
 REMEMBER = 300_000
 WIDTH = 7  # features of a token
+LONG = 1 << 20
 _core = re.compile(r"\w+")
+_space = re.compile(r"\s")
 
 
 @dataclass
@@ -287,6 +291,40 @@ def evidence(m: Crf, emissions: Emissions, tokens: list[list[str]]) -> tuple[np.
     return out, hits
 
 
+def parts_of(text: str) -> list[str]:
+    """A very long text cut at white space into parts of about LONG characters; the chain starts anew in each."""
+    if len(text) <= LONG:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        m = _space.search(text, at + LONG)
+        end = m.start() if m else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def measured(m: Crf, emissions: Emissions, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``evidence`` of texts, very long ones part by part."""
+    x, hits = np.zeros((len(texts), 2)), [np.zeros(0, np.int64)] * len(texts)
+    short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+    for a, b in chunks([len(texts[i]) for i in short], 1 << 21):
+        got, found = evidence(m, emissions, [texts[i].split() for i in short[a:b]])
+        x[short[a:b]] = got
+        for i, h in zip(short[a:b], found, strict=True):
+            hits[i] = h
+    for i in sorted(set(range(len(texts))) - set(short)):
+        top, total, seen, all_ = 0.0, 0.0, 0, []
+        for part in parts_of(texts[i]):
+            tokens = part.split()
+            got, found = evidence(m, emissions, [tokens])
+            top, total = max(top, got[0, 0]), total + np.expm1(got[0, 1])
+            all_.append(found[0] + seen)
+            seen += len(tokens)
+        x[i], hits[i] = (top, np.log1p(total)), np.concatenate(all_)
+    return x, hits
+
+
 _kept: dict[int, tuple] = {}
 
 
@@ -318,19 +356,12 @@ def score(docs: DataFrame, model: Crf, threshold: float = 0.7, mod: int = 3, res
         emissions = _kept[id(m)][1]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores, counts, spans = [], [], []
-            for a, b in _ranges([len(t) for t in texts]):
-                part = texts[a:b]
-                x, hits = evidence(m, emissions, [t.split() for t in part])
-                z = m.doc[0] + x @ m.doc[1:]
-                scores += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
-                counts += [len(h) for h in hits]
-                for t, h in zip(part, hits, strict=True):
-                    if not len(h):
-                        spans.append("")
-                        continue
-                    want = set(h.tolist())
-                    spans.append(",".join(f"{s.start()}:{s.end()}" for i, s in enumerate(re.finditer(r"\S+", t)) if i in want))
+            x, hits = measured(m, emissions, texts)
+            scores = 1 / (1 + np.exp(-np.clip(m.doc[0] + x @ m.doc[1:], -30, 30)))
+            counts, spans = [len(h) for h in hits], []
+            for t, h in zip(texts, hits, strict=True):
+                want = set(h.tolist())
+                spans.append(",".join(f"{s.start()}:{s.end()}" for i, s in enumerate(re.finditer(r"\S+", t)) if i in want) if want else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())], ["doc_id", "score", "n_toxic", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -347,17 +378,8 @@ def reject(docs: DataFrame, model: Crf, threshold: float = 0.7, text_col: str =
         m = shared.value
         emissions = Emissions(m)
         for batch in batches:
-            texts, keep = [t or "" for t in batch.column(at).to_pylist()], []
-            for a, b in _ranges([len(t) for t in texts]):
-                x, _ = evidence(m, emissions, [t.split() for t in texts[a:b]])
-                z = m.doc[0] + x @ m.doc[1:]
-                keep += (1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            x, _ = measured(m, emissions, [t or "" for t in batch.column(at).to_pylist()])
+            keep = 1 / (1 + np.exp(-np.clip(m.doc[0] + x @ m.doc[1:], -30, 30))) < threshold
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    from corvine.llm.textvec import chunks
-
-    return chunks(sizes, 1 << 21)

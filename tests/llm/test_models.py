@@ -80,6 +80,16 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert kept.count() == sum(not r.predicted for r in out)
 
 
+def test_very_long_texts_score_part_by_part(monkeypatch):
+    model = toxicity.fit([" ".join(["plain%d" % (i * k % 7) for k in range(30)] + ["vile"] * (i % 3 == 0)) for i in range(120)], [int(i % 3 == 0) for i in range(120)])
+    text = "plain1 plain2 vile plain3 " * 64
+    whole = toxicity.measured(model, toxicity.Emissions(model), [text, "plain1"])
+    monkeypatch.setattr(toxicity, "LONG", 130)
+    assert "".join(toxicity.parts_of(text)) == text and len(toxicity.parts_of(text)) > 5
+    part = toxicity.measured(model, toxicity.Emissions(model), [text, "plain1"])
+    assert np.abs(whole[0] - part[0]).max() < 0.2 and whole[1][0].tolist() == part[1][0].tolist()
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(3)
     e, trans, n = rng.normal(size=(1, 5)), np.exp(rng.normal(size=(2, 2))), 5

@@ -70,6 +70,15 @@ def test_removed_bytes(spark, passages, hot):
     assert got == repeats(passages, 100)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Every window start lies in exactly one piece."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
+    text = bytes(random.randrange(97, 123) for _ in range(1000))
+    which, place, parts = suffix_dedup.pieces([text], 100)
+    starts = [p + k for p, b in zip(place.tolist(), parts, strict=True) for k in range(len(b) - 99)]
+    assert starts == list(range(901))
+
+
 def test_removed_bytes_keeps_what_is_left(spark, passages):
     docs = spark.createDataFrame(passages, "doc_id long, text string")
     for r in suffix_dedup.remove_repeats(docs, keep_text=True).collect():
