@@ -32,8 +32,13 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **more: s
 _shipped: set[str] = set()
 
 
+#: Rows of a batch that a Python worker holds; texts may be long, so the default of 10,000 is too many.
+BATCH_ROWS = "1024"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, so that their Python workers import it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
