@@ -153,14 +153,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
+def first_step(starts: DataFrame) -> DataFrame:
+    """Paths of no edge at ``starts`` (tenant_id, query_id, name)."""
+    return starts.select("tenant_id", "query_id", F.col("name").alias("at"), F.array("name").alias("node_names"), F.array().cast("array<string>").alias("relationships"))
+
+
+def longer(paths: DataFrame, step: DataFrame) -> DataFrame:
+    """Every node-simple path one edge longer."""
+    met = paths.join(step, ["tenant_id", "at"]).filter(~F.array_contains("node_names", F.col("next")))
+    return met.select("tenant_id", "query_id", F.col("next").alias("at"), F.concat("node_names", F.array("next")).alias("node_names"), F.concat("relationships", F.array("rel_type")).alias("relationships"))
+
+
 def walks(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """Node-simple undirected paths of 1..hops edges from ``starts`` (tenant_id, query_id, name)."""
-    step = both_ways(edges)
-    at = starts.select("tenant_id", "query_id", F.col("name").alias("at"), F.array("name").alias("node_names"), F.array().cast("array<string>").alias("relationships"))
-    found = []
+    """Node-simple undirected paths of 1..hops edges."""
+    step, at, found = both_ways(edges), first_step(starts), []
     for _ in range(hops_within(hops)):
-        at = at.join(step, ["tenant_id", "at"]).filter(~F.array_contains("node_names", F.col("next")))
-        at = at.select("tenant_id", "query_id", F.col("next").alias("at"), F.concat("node_names", F.array("next")).alias("node_names"), F.concat("relationships", F.array("rel_type")).alias("relationships"))
+        at = longer(at, step)
         found.append(at.drop("at"))
     return reduce(DataFrame.unionByName, found)
 
@@ -180,10 +188,25 @@ def formatted(paths: DataFrame, most: int = 15) -> DataFrame:
 
 
 def expand(edges: DataFrame, starts: DataFrame, hops: int, trails: int = 25, most: int = 15) -> DataFrame:
-    """Contextual expansion: the ``trails`` shortest paths of each query, formatted."""
-    all_ = walks(edges, starts, hops).withColumn("hop_count", F.size("relationships")).withColumn("path_str", path_string())
+    """Contextual expansion: the ``trails`` shortest paths of each query, formatted.
+
+    A query that has its trails goes no further, so hubs are not walked through for nothing; of the paths of
+    one length each task keeps the first ``trails`` before the shuffle.
+    """
+    step, at, found = both_ways(edges), first_step(starts), []
+    h = hops_within(hops)
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("hop_count", "path_str"))
-    return formatted(all_.withColumn("r", rank).filter(F.col("r") <= trails).drop("r", "path_str", "hop_count"), most)
+    for i in range(h):
+        at = longer(at, step)
+        if h > 1:
+            at = written(at, "walks")
+        best = at.withColumn("hop_count", F.size("relationships")).withColumn("path_str", path_string()).withColumn("r", rank).filter(F.col("r") <= trails)
+        found.append(best.drop("at", "r"))
+        if i + 1 < h:
+            full = reduce(DataFrame.unionByName, found).groupBy("tenant_id", "query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= trails)
+            at = at.join(full, ["tenant_id", "query_id"], "left_anti")
+    every = reduce(DataFrame.unionByName, found)
+    return formatted(every.withColumn("r", rank).filter(F.col("r") <= trails).drop("r", "path_str", "hop_count"), most)
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int, first: int = 4, each: int = 3) -> DataFrame:
