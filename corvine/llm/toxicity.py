@@ -34,7 +34,7 @@ from corvine.llm.textvec import chunks
 BLOCK = 64
 DIMS = 1 << 16
 SAMPLE = 5000
-REMEMBER = 300_000
+REMEMBER = 200_000
 WIDTH = 7  # features of a token
 LONG = 1 << 20
 _core = re.compile(r"\w+")
@@ -308,7 +308,7 @@ def measured(m: Crf, emissions: Emissions, texts: list[str]) -> tuple[np.ndarray
     """``evidence`` of texts, very long ones part by part."""
     x, hits = np.zeros((len(texts), 2)), [np.zeros(0, np.int64)] * len(texts)
     short = [i for i, t in enumerate(texts) if len(t) <= LONG]
-    for a, b in chunks([len(texts[i]) for i in short], 1 << 21):
+    for a, b in chunks([len(texts[i]) for i in short]):
         got, found = evidence(m, emissions, [texts[i].split() for i in short[a:b]])
         x[short[a:b]] = got
         for i, h in zip(short[a:b], found, strict=True):
