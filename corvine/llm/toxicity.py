@@ -331,7 +331,9 @@ _kept: dict[int, tuple] = {}
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 3, rest: int = 1, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Crf:
     """Fit on at most ``sample`` labelled rows outside the held-out remainder, picked by hash order."""
     rows = labelled(docs, labels, sample, mod, rest, label, id_col, text_col).select("text", "y").collect()
-    return fit([r.text for r in rows], [r.y for r in rows])
+    texts, y = [r.text for r in rows], [r.y for r in rows]
+    del rows
+    return fit(texts, y)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, mod: int, rest: int, label: str, id_col: str, text_col: str) -> DataFrame:
