@@ -14,6 +14,9 @@ from corvine.llm import decontamination, exact_dedup, mixing, near_dedup, toxici
 from corvine.session import ship, table
 from corvine.storage import written
 
+#: Similarity of 5-word shingle sets, in per cent, from which two texts of the mix are near-duplicates; the query of operator 9 keeps its own 85.
+NEAR_PERCENT = 80
+
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7; the field is fitted on labelled rows of ``docs``."""
@@ -32,9 +35,9 @@ def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the smallest id."""
+    """Of each group of near-duplicates (similarity 0.8 or more), the smallest id."""
     ship(spark)
-    return _of(docs, near_dedup.near_groups(docs).filter("kept"), "left_semi")
+    return _of(docs, near_dedup.near_groups(docs, percent=NEAR_PERCENT).filter("kept"), "left_semi")
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,23 @@ def test_pipeline_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert set(columns) <= set(out.columns) and ids(out) <= ids(before)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "mixing"]
+
+
+def test_pipeline_near_stage_links_from_four_fifths(spark):
+    """The stage against brute force at 0.8, on texts of which many pairs lie between 0.80 and 0.85."""
+    import corpus_pipeline
+    from tests.llm.test_repeats import groups
+
+    random.seed(29)
+    word = lambda: f"w{random.randrange(10**6)}"
+    base = [[word() for _ in range(120)] for _ in range(8)]
+    rows = []
+    for i in range(48):
+        w = list(base[i % 8])
+        for at in random.sample([10, 30, 50, 70, 90, 110], random.randint(1, 3)):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    want = {i for i, (_, root) in groups(rows, 80).items() if root == i}
+    assert want < {i for i, (_, root) in groups(rows).items() if root == i}
+    kept = corpus_pipeline.near_out(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert {r.doc_id for r in kept.collect()} == want
