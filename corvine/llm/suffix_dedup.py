@@ -133,10 +133,17 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def marked_twins(x: np.ndarray) -> np.ndarray:
-    """All but the earliest of equal (seed, context) pairs become twins; sorted by seed, context and place."""
+    """All but the earliest of equal (seed, context) pairs become twins; sorted by seed, context and place.
+
+    The same pair at the same place of the same id comes from a repeated row; it is one seed and no twin of itself.
+    """
     x = x[np.lexsort((x["lo"], x["doc"], x["c"], x["h"]))]
     if len(x) > 1:
-        x["twin"][1:] |= (x["h"][1:] == x["h"][:-1]) & (x["c"][1:] == x["c"][:-1])
+        equal = (x["h"][1:] == x["h"][:-1]) & (x["c"][1:] == x["c"][:-1])
+        again = equal & (x["doc"][1:] == x["doc"][:-1]) & (x["lo"][1:] == x["lo"][:-1])
+        x["twin"][1:] |= equal
+        if again.any():
+            x = x[np.append(True, ~again)]
     return x
 
 
@@ -240,7 +247,7 @@ def settled(dealt: DataFrame, parts: int, length: int, hot: int = HOT) -> DataFr
             live, salt = live[by], salt[by]
             rows = np.column_stack([live["h"].view(np.int64), live["lo"].astype(np.int64), live["width"].astype(np.int64), salt.astype(np.int64)])
             cut = np.flatnonzero(np.append(True, live["doc"][1:] != live["doc"][:-1])) if len(live) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(live))
+            ends = np.append(cut[1:], len(live))[: len(cut)]  # a part may have no open seed
             yield pa.RecordBatch.from_arrays(
                 [pa.array(live["doc"][cut].tolist(), pa.int64()), pa.nulls(len(cut), pa.binary()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([int((live["width"][a:b].astype(np.int64) - 1 + length).sum()) for a, b in zip(cut, ends, strict=True)], pa.int64())],
                 ["doc", "cuts", "open", "bytes"],
@@ -318,6 +325,9 @@ def resolved(shards_: DataFrame, shards: int, length: int) -> DataFrame:
                 continue
             group = np.cumsum(fresh) - 1
             by = np.lexsort((found[:, 2], found[:, 1], group))
+            # windows of a repeated row are one window
+            same = (group[by][1:] == group[by][:-1]) & (found[by][1:, 1:] == found[by][:-1, 1:]).all(1)
+            by = by[np.append(True, ~same)]
             g = group[by]
             best = np.ones(len(g), bool)
             best[1:] = g[1:] != g[:-1]

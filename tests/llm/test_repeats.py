@@ -147,3 +147,19 @@ def test_signature_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - 500 / 700) < 0.15
     again = near_dedup.superminhash(np.zeros(600, np.int64), a[::-1].copy(), 1)
     assert (again[0] == sig[0]).all()
+
+
+@pytest.mark.parametrize(("hot", "tasks"), [(2, 5), (1024, 1), (1024, 5)])
+def test_repeated_rows_keep_their_bytes(spark, passages, hot, tasks):
+    """A row that occurs again with its id is no repeat of itself, in settled and in open seeds."""
+    extra = [passages[k] for k in (0, 3, 20, 41, 63, 66, 68, 68)]
+    docs = spark.createDataFrame([(i, t, *REST) for i, t in passages + extra], CLASH).repartition(tasks)
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()]
+    want = repeats(passages, 100)
+    assert sorted(got) == sorted((i, want[i]) for i, _ in passages + extra)
+
+
+def test_repeated_row_alone(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert [(r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()] == [(0, hashlib.sha256(text.encode()).hexdigest())] * 2
