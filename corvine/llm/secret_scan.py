@@ -7,8 +7,8 @@ each unseen pair and joins the findings back to all paths that ever held the blo
 Places are code points, end exclusive. They come from the pieces between matches: the regular
 expression splits the text, and running sums of piece and match lengths give the spans.
 
-Defined results: null and empty texts have no spans; equal texts share one scan; repeated rows give
-repeated rows; ties of start cannot occur within a kind, between kinds the rule order decides; further
+Defined results: null and empty texts have no spans; equal texts share one scan; rows with a null path are
+scanned and reported like others; repeated rows give repeated rows; ties of start cannot occur within a kind, between kinds the rule order decides; further
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -89,7 +89,10 @@ def scan_versions(
         first = first.join(seen.select("blob"), "blob", "left_anti")
     texts = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a path may have several versions: the blob decides which of them is the representative's
-    unseen = texts.join(first, "path").filter(F.sha2("text", 256) == F.col("blob"))
+    unseen = texts.join(first, "path").filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
+    # blobs that no row with a path holds: no path leads to their text, so the blob itself does
+    lost = texts.filter(F.col("path").isNull()).select(F.sha2("text", 256).alias("blob"), "text").dropDuplicates(["blob"])
+    unseen = unseen.unionByName(lost.join(first.filter(F.col("path").isNull()).select("blob"), "blob", "left_semi"))
     order = {r.kind: i for i, r in enumerate(rules)}
     parts = F.concat(*[spans_of(F.col("text"), r) for r in rules])
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])

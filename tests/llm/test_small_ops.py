@@ -91,3 +91,17 @@ def test_empty_tables(spark):
     assert secret_scan.scan_documents(none).count() == 0
     P = pytest.importorskip("public_tokenizers")
     assert token_counts.count_tokens(none, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_secrets_of_rows_without_id(spark):
+    text, other = TEXTS[6], TEXTS[7]
+    rows = [(None, text), (None, text), (None, other), (5, other), (None, None), (None, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(i), ",".join(spans(t))) for i, t in rows)
+    got = secret_scan.scan_documents(docs).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == want
+    assert all(r.n_assign == sum(s.startswith("assign") for s in r.spans.split(",")) for r in got)
+    found, added = secret_scan.scan_versions(docs, path_col="doc_id", text_col="text")
+    assert found.count() == len(rows) and added.count() == 4
+    again, more = secret_scan.scan_versions(docs, added, path_col="doc_id", text_col="text")
+    assert more.count() == 0 and sorted(len(r.spans) for r in again.collect()) == sorted(len(r.spans) for r in found.collect())
