@@ -409,6 +409,17 @@ def _(i: Inputs) -> DataFrame:
     return graph.lookup(i.nodes, i.asked.filter("query_id < 0"))
 
 
+@query(
+    "entity_lookup_all",
+    f"""WITH w AS (SELECT DISTINCT tenant_id, query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9áéíóúÁÉÍÓÚñÑüÜ]{{3,}}'), lambda w : NOT list_contains([{quoted(V.LOOKUP_STOP)}], w))) AS word FROM asked),
+    m AS (SELECT DISTINCT w.tenant_id, query_id, lower(trim(name)) AS name FROM nodes n JOIN w USING (tenant_id) WHERE contains(lower(trim(name)), word)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS n FROM m) SELECT * FROM r WHERE n <= 15""",
+)
+def _(i: Inputs) -> DataFrame:
+    """Every question; ``entity_lookup`` keeps to the template questions that its SQL names."""
+    return graph.lookup(i.nodes, i.asked)
+
+
 # --- merging and deleting -----------------------------------------------------------------------------
 
 OLD_NODES = "old AS (SELECT tenant_id, name, type, CASE WHEN length(name) % 3 = 0 THEN NULL ELSE source_doc END AS source_doc, CASE WHEN length(name) % 2 = 0 THEN [source_doc] END AS source_docs FROM nodes WHERE type <> 'Region')"

@@ -1,5 +1,7 @@
 """Queries that take every row, where an older one keeps to the rows its SQL names."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from corvine.inputs import Inputs
 
@@ -8,3 +10,11 @@ def test_lines_of_every_document(spark, sf):
     docs = {r.doc_id: r.text for r in Inputs(spark, sf).documents.collect()}
     got = {r.doc_id: r.lines for r in entry.queries()["chunk_lines_all"](spark, sf).collect()}
     assert got == {i: t.count("\n") + 1 for i, t in docs.items() if t is not None}
+
+
+def test_lookup_takes_real_questions(spark, sf):
+    asked = Inputs(spark, sf).asked.filter("query_id >= 0 and lower(text) like '%customer%'")
+    found = entry.queries()["entity_lookup_all"](spark, sf)
+    assert asked.count() == 0 or found.filter(F.col("query_id") >= 0).count() > 0
+    whole = found.filter(F.col("query_id") < 0)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, entry.queries()["entity_lookup"](spark, sf).collect()))
