@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -308,17 +309,17 @@ def _(i: Inputs) -> DataFrame:
     return graph.expand(i.edges, i.starts, 2)
 
 
-@query(
-    "shortest_path",
-    f"""WITH {WALKS}, w3 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w2 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
+SHORTEST = f"""WITH {WALKS}, w3 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w2 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
     w4 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w3 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
     o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS rank FROM starts),
     a AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4),
     m AS (SELECT a.tenant_id, a.query_id, x.name AS a, y.name AS b, path_str, len(rr) AS hop_count, min(len(rr)) OVER (PARTITION BY a.tenant_id, a.query_id, x.name, y.name) AS least
       FROM a JOIN o x ON x.tenant_id = a.tenant_id AND x.query_id = a.query_id AND x.name = nn[1] JOIN o y ON y.tenant_id = a.tenant_id AND y.query_id = a.query_id AND y.name = a.at WHERE x.rank < y.rank AND y.rank <= 4),
     n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id, a, b ORDER BY path_str) AS n FROM m WHERE hop_count = least)
-    SELECT tenant_id, query_id, a, b, path_str, hop_count FROM n WHERE n <= 3""",
-)
+    SELECT tenant_id, query_id, a, b, path_str, hop_count FROM n WHERE n <= 3"""
+
+
+@query("shortest_path", SHORTEST)
 def _(i: Inputs) -> DataFrame:
     from pyspark.sql import Window
 
@@ -326,6 +327,29 @@ def _(i: Inputs) -> DataFrame:
     return graph.shortest_paths(i.edges, ranked, 4)
 
 
+def from_every(sql: str) -> str:
+    """The same statement with the starts at all nodes."""
+    return re.sub(r"\bstarts\b", "every_start", sql)
+
+
+@query("expand_1hop_all", from_every(expansion(1)))
+def _(i: Inputs) -> DataFrame:
+    return graph.expand(i.edges, i.every_start, 1)
+
+
+@query("expand_2hop_all", from_every(expansion(2)))
+def _(i: Inputs) -> DataFrame:
+    return graph.expand(i.edges, i.every_start, 2)
+
+
+@query("shortest_path_all", from_every(SHORTEST))
+def _(i: Inputs) -> DataFrame:
+    from pyspark.sql import Window
+
+    ranked = i.every_start.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name")))
+    return graph.shortest_paths(i.edges, ranked, 4)
+
+
 @query(
     "central_paths",
     "WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY src, rel_type, dst) AS n FROM edges WHERE src <> dst) SELECT tenant_id, concat('(', src, ') -[:', rel_type, ']-> (', dst, ')') AS path_str, n FROM r WHERE n <= 20",

@@ -18,3 +18,11 @@ def test_lookup_takes_real_questions(spark, sf):
     assert asked.count() == 0 or found.filter(F.col("query_id") >= 0).count() > 0
     whole = found.filter(F.col("query_id") < 0)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, entry.queries()["entity_lookup"](spark, sf).collect()))
+
+
+def test_paths_start_at_every_node(spark, sf):
+    i = Inputs(spark, sf)
+    names = lambda df: {tuple(r) for r in df.select("tenant_id", "name").collect()}
+    assert names(i.every_start) == names(i.nodes)
+    got = entry.queries()["expand_1hop_all"](spark, sf)
+    assert {r.tenant_id for r in got.select("tenant_id").distinct().collect()} == {"acme", "beta"}
