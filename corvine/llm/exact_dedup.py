@@ -1,28 +1,36 @@
-"""Exact deduplication over an extendible-hash index kept in shared files. DataFrame functions only.
-
-1. Every text is normalised (white space deleted) and keyed by 64 hash bits plus its SHA-256. Equal
-   keys are combined before the shuffle, so a text with a third of all copies is one row per task.
-2. The *directory* has 2**depth entries over the leading key bits. Depth doubles while some bucket
-   holds more distinct texts than ``capacity``; a bucket below the limit keeps its smaller local
-   depth and owns several entries. Its size is bounded by ``2**MAX_DEPTH`` rows, never by the data.
-3. Owner tasks take key ranges of buckets and write the index: in each bucket, texts that share all
-   64 key bits stand in a *chain*.
-4. Members are looked up in the index and compared byte for byte with the text that stays.
+"""Exact deduplication through an extendible-hash index kept in shared files. DataFrame functions only.
+
+1. Every text is normalised (white space deleted) and keyed by 64 hash bits plus its SHA-256.
+2. The *directory* has 2**depth entries over the leading key bits. It starts with one bucket; a bucket with
+   more than ``capacity`` keys splits by its next bit, and the directory doubles when the split bucket had
+   the full depth. A smaller local depth lets a bucket own several entries. The directory has at most
+   ``2**MAX_DEPTH`` entries whatever the size of the data; a bucket that is still overfull then grows longer,
+   which costs balance and changes no result.
+3. Texts go to the bucket of their key. Within (bucket, key) the texts themselves are the grouping key, so
+   *bytes* decide what is equal: every distinct text is one link of its key's *chain*, with the size of
+   its group and the row that stays. Equal texts of one task are combined before they move, so a text with a third
+   of all rows is one row per task.
+4. Owner tasks take contiguous ranges of (bucket, key) and write the index, without texts.
+5. Each row finds its bucket through the directory and its link by key and SHA-256. Two links of one chain
+   with the same SHA-256 would make that ambiguous and stop the job instead of mixing two texts.
+
+Rows are joined by key and hash, never by id, so ids may be of any type, repeat or be null.
 
 Defined results: a null text is an empty one; texts of nothing but white space are equal to it; ties on
-the most code points go to the smallest doc_id; a repeated row counts as one more copy and is kept with
-its id; a null id is larger than any other; further columns are ignored; an empty table gives an empty result.
+the most code points go to the smallest doc_id; a row that repeats id and text counts as one more copy and is kept with
+its id; of rows with one id and different texts those that are as long as the longest are kept; a null id is larger than
+any other; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvine.storage import written
+from corvine.storage import drop_shared, written
 
 MAX_DEPTH = 16
-FIRST_DEPTH = 4
+CAPACITY = 1 << 12  # keys of a bucket
 
 
 def normalised(text: Column) -> Column:
@@ -33,82 +41,85 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, length and key of each text; the only pass that hashes."""
+def laid_out(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Id, code points, normalised text and key of each row."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), normalised(F.col(text_col)).alias("norm"))
-    return plain.select("doc_id", "n", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+    return plain.withColumn("key", F.xxhash64("norm"))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, length, key and SHA-256 of each text."""
+    return laid_out(docs, id_col, text_col).select("doc_id", "n", "key", F.unhex(F.sha2("norm", 256)).alias("sha"))
 
 
 def prefix(depth: int) -> Column:
     """The leading ``depth`` bits of the key as a number."""
-    return F.shiftrightunsigned(F.col("key"), 64 - depth)
+    return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(groups: DataFrame, capacity: int) -> list[tuple[int, int, int]]:
-    """(first entry, last entry, local depth) of every bucket over 2**MAX_DEPTH entries.
+def directory(keys: DataFrame, capacity: int) -> list[tuple[int, int]]:
+    """(local depth, prefix) of every bucket.
 
     The loads of all entries come to the driver: at most 2**MAX_DEPTH pairs of numbers.
     """
     load = [0] * (1 << MAX_DEPTH)
-    for row in groups.groupBy(prefix(MAX_DEPTH).alias("e")).agg(F.count(F.lit(1)).alias("c")).collect():
+    for row in keys.select("key").distinct().groupBy(prefix(MAX_DEPTH).alias("e")).agg(F.count(F.lit(1)).alias("c")).collect():
         load[row["e"]] = row["c"]
     total = [0]
     for x in load:
         total.append(total[-1] + x)
-    buckets, todo = [], [(e, FIRST_DEPTH) for e in range(1 << FIRST_DEPTH)]
+    buckets, todo = [], [(0, 0)]
     while todo:
-        entry, depth = todo.pop()
+        depth, at = todo.pop()
         width = 1 << (MAX_DEPTH - depth)
-        first, last = entry * width, (entry + 1) * width - 1
-        if depth < MAX_DEPTH and total[last + 1] - total[first] > capacity:
-            todo += [(2 * entry, depth + 1), (2 * entry + 1, depth + 1)]
+        if depth < MAX_DEPTH and total[(at + 1) * width] - total[at * width] > capacity:
+            todo += [(depth + 1, 2 * at), (depth + 1, 2 * at + 1)]
         else:
-            buckets.append((first, last, depth))
-    return sorted(buckets)
-
-
-def build_index(keys: DataFrame, capacity: int = 1 << 20) -> DataFrame:
-    """One row per distinct text: bucket, key, place in the chain, the row that stays and the group's size."""
-    spark = keys.sparkSession
-    best = F.max(F.struct("n", (-F.col("doc_id")).alias("minus")))
-    groups = written(keys.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "dedup-groups")
-    found = directory(groups, capacity)
-    owners = spark.createDataFrame([(e, i, d) for i, (a, b, d) in enumerate(found) for e in range(a >> (MAX_DEPTH - d), (b >> (MAX_DEPTH - d)) + 1)], "entry long, bucket int, depth int")
-    depths = sorted({d for _, _, d in found})
-    entry = F.coalesce(*[F.when(F.col(f"d{d}").isNotNull(), F.col(f"d{d}")) for d in depths])
-    out = groups
-    for d in depths:  # a key belongs to the one bucket whose prefix it has
-        here = F.broadcast(owners.filter(F.col("depth") == d).select(F.col("entry").alias(f"e{d}"), F.col("bucket").alias(f"d{d}")))
-        out = out.join(here, prefix(d) == F.col(f"e{d}"), "left").drop(f"e{d}")
-    out = out.withColumn("bucket", entry).drop(*[f"d{d}" for d in depths])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(parts, "bucket", "key")  # owner tasks hold contiguous key ranges
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha"))
-    index = out.withColumn("chain", chain).select("bucket", "key", "chain", "sha", "group_size", (-F.col("best.minus")).alias("keep_id"))
-    return written(index, "dedup-index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Every dropped text has been compared byte for byte with the one that stays; a difference behind
-    equal SHA-256 values would stop the job instead of dropping a text.
-    """
+            buckets.append((depth, at))
+    return sorted(buckets, key=lambda b: b[1] << (MAX_DEPTH - b[0]))
+
+
+def entries(spark: SparkSession, buckets: list[tuple[int, int]]) -> DataFrame:
+    """The directory: one row per entry of the global depth with the bucket that owns it."""
+    top = max(d for d, _ in buckets)
+    rows = [(e, b, d) for b, (d, at) in enumerate(buckets) for e in range(at << (top - d), (at + 1) << (top - d))]
+    return spark.createDataFrame(rows, "entry long, bucket int, depth int")
+
+
+def in_buckets(rows: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with the bucket of their key; the directory is broadcast, its size is bounded."""
+    return rows.withColumn("_entry", prefix(depth)).join(F.broadcast(found.select(F.col("entry").alias("_entry"), "bucket")), "_entry").drop("_entry")
+
+
+def build_index(texts: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """One row per distinct text: bucket, key, place in the chain, sha, the row that stays, its length, the group's size."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best")
+    # the text itself is the grouping key: equal bytes are one link of the chain, other bytes another
+    links = in_buckets(texts, found, depth).groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("group_size"), best)
+    links = written(links.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.minus")).alias("n_most")), "dedup-links")
+    chain = Window.partitionBy("bucket", "key").orderBy("sha", "n_most", "keep_id")
+    twin = F.coalesce(F.lag("sha").over(chain) == F.col("sha"), F.lit(False))
+    owned = links.repartitionByRange(parts, "bucket", "key").select("*", F.row_number().over(chain).alias("chain"), twin.alias("twin"))
+    index = written(owned, "dedup-index")
+    drop_shared(texts.sparkSession, links)
+    return index
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    spark = docs.sparkSession
     keys = written(keyed(docs, id_col, text_col), "dedup-keys")
-    index = build_index(keys, capacity)
-    members = keys.join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
-    several = members.filter(F.col("group_size") > 1).select(F.col("doc_id").alias("m_id"), "keep_id", "sha")
-    texts = docs.select(F.col(id_col).alias("m_id"), normalised(F.col(text_col)).alias("norm"))
-    held = written(several.join(texts, "m_id").select("m_id", "keep_id", "norm"), "dedup-copies")
-    stays = held.filter(F.col("m_id") == F.col("keep_id")).dropDuplicates(["m_id"]).select("keep_id", F.col("norm").alias("kept_norm"))
-    same = held.filter(F.col("m_id") != F.col("keep_id")).join(stays, "keep_id")
-    wrong = same.filter(F.col("norm") != F.col("kept_norm")).select("m_id").limit(1).count()
-    if wrong:
+    buckets = directory(keys, capacity)
+    found, depth = entries(spark, buckets), max(d for d, _ in buckets)
+    index = build_index(laid_out(docs, id_col, text_col), found, depth)
+    if index.filter("twin").limit(1).count():
         raise RuntimeError("two different texts share a 64-bit key and a SHA-256 value")
+    members = in_buckets(keys, found, depth).join(index.drop("chain", "twin"), ["bucket", "key", "sha"])
     return members.select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("n_most"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvine.llm import exact_dedup, secret_scan, token_counts
 
@@ -74,6 +75,33 @@ def test_exact_dedup(docs):
         assert r.text_sha256 == hashlib.sha256(norm[r.doc_id].encode()).hexdigest()
 
 
+def test_exact_dedup_of_awkward_ids(spark):
+    """Ids of any type, repeated ids with different texts, null ids; buckets of one key."""
+    rows = [("a", "x y"), ("a", "xy  "), ("b", "xy"), (None, "xy"), (None, "q"), (None, "q"), ("c", "z"), ("c", "z")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), capacity=1).collect()
+    want = [("a", "a", 4, False), ("a", "a", 4, True), ("b", "a", 4, False), (None, "a", 4, False), (None, None, 2, True), (None, None, 2, True), ("c", "c", 2, True), ("c", "c", 2, True)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in got)
+
+
+def test_exact_dedup_chains_colliding_keys(spark, docs, monkeypatch):
+    """Texts that share all 64 key bits stand in one chain; bytes tell them apart."""
+    plain = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    laid = exact_dedup.laid_out
+    monkeypatch.setattr(exact_dedup, "laid_out", lambda *a: laid(*a).withColumn("key", F.length("norm").cast("long") % 2))
+    assert sorted(map(str, exact_dedup.exact_dedup(docs, capacity=1).collect())) == plain
+    index = exact_dedup.build_index(exact_dedup.laid_out(docs, "doc_id", "text"), exact_dedup.entries(spark, [(0, 0)]), 0)
+    assert index.agg(F.max("chain")).first()[0] > 2
+
+
+def test_directory_doubles_where_buckets_are_full(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    small, large = exact_dedup.directory(keys, 100), exact_dedup.directory(keys, 5000)
+    assert large == [(0, 0)] and len(small) >= 30 and len({d for d, _ in small}) > 1
+    found, depth = exact_dedup.entries(spark, small), max(d for d, _ in small)
+    assert found.count() == 2**depth
+    assert exact_dedup.in_buckets(keys, found, depth).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_token_counts(docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
