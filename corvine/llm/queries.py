@@ -29,7 +29,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+    """The setting ``corvine.secret.ledger`` may name the folder of a ledger that later runs share; without it every blob is unseen."""
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"), ledger=spark.conf.get("corvine.secret.ledger", ""))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
 """Secret scans with an incremental blob ledger. DataFrame functions only.
 
 Every version of every file is content-addressed by SHA-256. The *ledger* records which
-(blob, rule version) pairs have been scanned and what was found; a run scans one representative of
-each unseen pair and joins the findings back to all paths that ever held the blob.
+(blob, rule version) pairs have been scanned and what was found; a run scans one copy of
+each unseen pair and joins the findings back to all paths that ever held the blob. ``scan_kept`` keeps the ledger
+in a named folder, so that the next run (of any job) scans only what is new; entries are appended in one
+commit at the end of the scan, and entries that two runs added count once.
+
+What has been seen is found by hashes alone. Texts move once, by their hash, and only those of unseen blobs;
+equal ones are combined in each task first.
 
 Places are code points, end exclusive. They come from the pieces between matches: the regular
-expression splits the text, and running sums of piece and match lengths give the spans.
+expression splits the text, and running sums of piece and match lengths (a window over the matches of one
+blob and kind, so linear in their number) give the spans.
 
 Defined results: null and empty texts have no spans; equal texts share one scan; rows with a null path are
 scanned and reported like others; repeated rows give repeated rows; ties of start cannot occur within a kind, between kinds the rule order decides; further
@@ -16,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.storage import written
@@ -49,29 +55,32 @@ RULES = (
 VERSION = "base-1"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<kind, start, stop>> of one rule, in order."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    part = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    pieces = F.split(text, rule.pattern, -1)
-    item = "struct<kind:string,start:int,stop:int,size:int>"
-    numbered = F.transform(whole, lambda m, i: F.struct(F.length(F.element_at(pieces, i + 1)).alias("gap"), F.length(m).alias("len"), F.length(F.element_at(part, i + 1)).alias("size")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("found"))
+SPANS = "array<struct<kind:string,start:int,stop:int>>"
+MATCHES = "array<struct<rank:int,i:int,gap:int,len:int,size:int>>"
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        stop = start + m["len"]
-        one = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), stop.alias("stop"), m["size"].alias("size"))
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    every = F.aggregate(numbered, state, step, lambda acc: acc["found"])
-    kept = F.filter(every, lambda s: s["size"] >= rule.least)
-    return F.when(text.rlike(rule.pattern), F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))).otherwise(F.array().cast("array<struct<kind:string,start:int,stop:int>>"))
+def matches_of(text: Column, rule: Rule, rank: int) -> Column:
+    """Every match of one rule in order: number, length of the piece before it, its own length, that of its decisive group."""
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    pieces = F.split(text, rule.pattern, -1)
+    one = F.transform(
+        whole,
+        lambda m, i: F.struct(
+            F.lit(rank).alias("rank"), i.alias("i"), F.length(F.element_at(pieces, i + 1)).alias("gap"), F.length(m).alias("len"), F.length(F.element_at(part, i + 1)).alias("size")
+        ),
+    )
+    return F.when(text.rlike(rule.pattern), one).otherwise(F.array().cast(MATCHES))
 
 
-def addressed(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
-    return versions.select(F.col(path_col).alias("path"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
+def spans_of(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans of the blobs that have any. ``scanned``: blob, matches."""
+    each = scanned.filter(F.size("matches") > 0).select("blob", F.inline("matches"))
+    until = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    by_rank = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rank") + 1)
+    placed = each.withColumn("stop", until.cast("int")).filter(F.col("size") >= by_rank([r.least for r in rules]))
+    one = F.struct((F.col("stop") - F.col("len")).alias("start"), "rank", by_rank([r.kind for r in rules]).alias("kind"), "stop")
+    return placed.groupBy("blob").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
 def scan_versions(
@@ -82,29 +91,36 @@ def scan_versions(
     ``ledger`` has columns blob, rule_version, spans; pairs in it are not scanned again. Findings have
     path, blob and spans (an array of kind, start, stop). Entries cover blobs without findings too.
     """
-    paths = written(addressed(versions, path_col, text_col), "secret-paths")
-    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    paths = written(versions.select(F.col(path_col).alias("path"), F.sha2(body, 256).alias("blob")), "secret-paths")
+    texts = versions.select(F.sha2(body, 256).alias("blob"), body.alias("text"))
     if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == version)
-        first = first.join(seen.select("blob"), "blob", "left_anti")
-    texts = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # a path may have several versions: the blob decides which of them is the representative's
-    unseen = texts.join(first, "path").filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
-    # blobs that no row with a path holds: no path leads to their text, so the blob itself does
-    lost = texts.filter(F.col("path").isNull()).select(F.sha2("text", 256).alias("blob"), "text").dropDuplicates(["blob"])
-    unseen = unseen.unionByName(lost.join(first.filter(F.col("path").isNull()).select("blob"), "blob", "left_semi"))
-    order = {r.kind: i for i, r in enumerate(rules)}
-    parts = F.concat(*[spans_of(F.col("text"), r) for r in rules])
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    sortable = F.transform(parts, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-    spans = F.transform(F.array_sort(sortable), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    added = unseen.select("blob", F.lit(version).alias("rule_version"), spans.alias("spans")).dropDuplicates(["blob"])
-    added = written(added, "secret-ledger")
-    known = added if ledger is None else added.unionByName(seen.select("blob", "rule_version", "spans"))
-    hits = known.filter(F.size("spans") > 0).select("blob", "spans")
-    empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    found = paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
-    return found, added
+        seen = ledger.filter(F.col("rule_version") == version).select("blob", "spans").dropDuplicates(["blob"])
+        unseen = written(paths.select("blob").distinct().join(seen.select("blob"), "blob", "left_anti"), "secret-unseen")
+        texts = texts.join(unseen, "blob", "left_semi")
+    once = texts.dropDuplicates(["blob"])
+    scanned = written(once.select("blob", F.concat(*[matches_of(F.col("text"), r, k) for k, r in enumerate(rules)]).alias("matches")), "secret-scanned")
+    added = scanned.select("blob").join(spans_of(scanned, rules), "blob", "left")
+    added = written(added.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), "secret-ledger")
+    known = added.select("blob", "spans") if ledger is None else added.select("blob", "spans").unionByName(seen)
+    found = paths.join(known.filter(F.size("spans") > 0), "blob", "left")
+    return found.select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), added
+
+
+def kept_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger in ``folder``, or nothing where no run has left one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(f"blob string, rule_version string, spans {SPANS}").parquet(folder)
+
+
+def scan_kept(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, int]:
+    """(findings of every path, number of blobs scanned); what is new is appended to the ledger in ``folder``."""
+    found, added = scan_versions(versions, kept_ledger(versions.sparkSession, folder), rules, version, path_col, text_col)
+    found = written(found, "secret-findings")  # before the ledger that it reads changes
+    added.write.mode("append").parquet(folder)
+    return found, added.count()
 
 
 def joined(spans: Column) -> Column:
@@ -112,9 +128,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_assign, n_access, n_hex, base_sha256 and spans."""
-    found, _ = scan_versions(docs, path_col=id_col, text_col=text_col)
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str = "") -> DataFrame:
+    """Per document: n_assign, n_access, n_hex, base_sha256 and spans. ``ledger`` names a folder that keeps what was scanned."""
+    found = scan_kept(docs, ledger, path_col=id_col, text_col=text_col)[0] if ledger else scan_versions(docs, path_col=id_col, text_col=text_col)[0]
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -133,3 +133,30 @@ def test_secrets_of_rows_without_id(spark):
     assert found.count() == len(rows) and added.count() == 4
     again, more = secret_scan.scan_versions(docs, added, path_col="doc_id", text_col="text")
     assert more.count() == 0 and sorted(len(r.spans) for r in again.collect()) == sorted(len(r.spans) for r in found.collect())
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " é".join(f"token={k:06d}" if k % 3 else "AKIA" + "Z" * 20 for k in range(5000))
+    r = secret_scan.scan_documents(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).collect()
+    assert [x.spans for x in r] == [",".join(spans(text))] * 2
+
+
+def test_kept_ledger_through_the_query(spark, sf, tmp_path):
+    """The second run of the registered query scans nothing and finds the same."""
+    import __spark_entry__ as entry
+
+    query = entry.queries()["op3_secret_scan"]
+    plain = sorted(map(str, query(spark, sf).collect()))
+    folder = str(tmp_path / "ledger")
+    spark.conf.set("corvine.secret.ledger", folder)
+    try:
+        assert sorted(map(str, query(spark, sf).collect())) == plain
+        blobs = spark.read.parquet(folder).count()
+        assert sorted(map(str, query(spark, sf).collect())) == plain
+        assert spark.read.parquet(folder).count() == blobs > 0
+    finally:
+        spark.conf.unset("corvine.secret.ledger")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert secret_scan.scan_kept(docs, folder, path_col="doc_id", text_col="text")[1] == 0
+    more = docs.limit(0).select("doc_id", "text").union(spark.createDataFrame([(None, "password=hunter22")], "doc_id long, text string"))
+    assert secret_scan.scan_kept(more, folder, path_col="doc_id", text_col="text")[1] == 1
