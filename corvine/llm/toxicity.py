@@ -1,27 +1,31 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Labels mark whole documents, so token labels are derived first: from a bounded, documented sample of
-labelled rows, words, beginnings and ends of words are picked greedily while they explain toxic
-documents that no earlier one explains (near copies share one vote). Tokens of toxic documents that
-have such an attribute are the labelled tokens. A two-state chain (clean, toxic) with hashed features of word, affixes and shape is fitted to
-them by gradient ascent on the log-likelihood, its gradient coming from forward-backward marginals.
-A document's score is a logistic function of its marginals (largest, and expected number of toxic
-tokens), fitted on the same rows. Offending offsets are tokens whose marginal exceeds one half.
+Labels mark whole documents, so the tags of tokens are latent: a document is toxic when at least one of its
+tokens is. The two-state chain (clean, toxic) over hashed features of word, affixes and shape is fitted by gradient ascent on
+the likelihood of the document labels under that rule: log p(no toxic tag) for a clean document,
+log(1 - p(no toxic tag)) for a toxic one. Both gradients are expectations from forward-backward, so the
+field itself decides which tokens of a toxic document are toxic; no word list is drawn up. Near copies in the sample
+share one vote. A document's score is a logistic function of the log-odds of "some tag is toxic" and the
+largest marginal, fitted on the same rows. Offending offsets are tokens whose marginal exceeds one half.
 
-The chain runs over blocks of ``BLOCK`` consecutive tokens, so any text length takes linear time and
-constant memory per block; every token of every text is scored.
+One chain runs over a whole text. It is computed in blocks of ``BLOCK`` tokens: every block yields its 2 x 2 transfer matrix,
+messages pass from block to block, then all blocks are finished independently. The results are those of one
+pass over the text, whatever the block, the batch or the part of a very long text that was read at a time.
+
+The sample: at most ``SAMPLE`` labelled rows and ``SAMPLE_CHARS`` characters of text, taken in the order of a hash of
+the id. All tokens of a sampled row take part, and the order in which rows arrive does not matter.
 
 Defined results: null, empty and blank texts get the score of no evidence and no spans; rows with a
 null id are scored and count as not held out; repeated rows are scored each; labels with nulls are
-ignored; without any usable label the score is 0.5 x the smoothed base rate; further columns are not used.
+ignored; several labels of an id count as the largest; without any usable label of both kinds the score is 0.5 x the smoothed base rate; further columns are not used.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,13 @@ from pyspark.sql import functions as F
 from corvine.llm.textvec import chunks
 
 BLOCK = 64
+SLICE = 4096  # blocks that are finished at a time
 DIMS = 1 << 16
 SAMPLE = 5000
+SAMPLE_CHARS = 24_000_000
 REMEMBER = 200_000
-WIDTH = 7  # features of a token
+EPOCHS = 80
+RIDGE = 0.02
 LONG = 1 << 20
 _core = re.compile(r"\w+")
 _space = re.compile(r"\s")
@@ -46,8 +53,7 @@ class Crf:
     weights: np.ndarray
     bias: float
     trans: np.ndarray  # exp of transition scores, 2 x 2
-    doc: np.ndarray  # logistic coefficients: constant, largest marginal, log1p of expected toxic tokens
-    words: list[tuple[str, str]] = field(default_factory=list)
+    doc: np.ndarray  # logistic coefficients: constant, log-odds of a toxic tag, largest marginal
 
 
 def held_out(id_col: Column, mod: int, rest: int) -> Column:
@@ -84,211 +90,216 @@ class Emissions(dict):
         return s
 
 
-def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginal of the toxic state, expected transitions 2 x 2, log partition) of every row of ``e``.
+class Chain:
+    """Messages of chains laid out in blocks; ``lengths`` are tokens per document, documents without tokens have no block.
 
-    ``e``: rows x places of emission scores; ``mask``: places in use, from the left.
-    """
-    n, length = e.shape
-    odds = np.exp(np.clip(e, -30, 30))
-    fwd = np.empty((length, 2, n))
-    log_z = np.zeros(n)
-    f0, f1 = np.full(n, 0.5), 0.5 * odds[:, 0] if length else np.zeros(n)
-    for t in range(length):
-        if t:
-            g0 = f0 * trans[0, 0] + f1 * trans[1, 0]
-            g1 = (f0 * trans[0, 1] + f1 * trans[1, 1]) * odds[:, t]
-            f0, f1 = np.where(mask[:, t], g0, f0), np.where(mask[:, t], g1, f1)
-        z = f0 + f1
-        log_z += np.log(z)
-        f0, f1 = f0 / z, f1 / z
-        fwd[t, 0], fwd[t, 1] = f0, f1
-    b0, b1 = np.ones(n), np.ones(n)
-    marginal = np.zeros((n, length))
-    pairs = np.zeros((2, 2))
-    for t in range(length - 1, -1, -1):
-        m1 = fwd[t, 1] * b1
-        z = fwd[t, 0] * b0 + m1
-        marginal[:, t] = np.where(mask[:, t], m1 / z, 0)
-        if t:
-            up = odds[:, t] * b1
-            live = mask[:, t]
-            p = np.array([[fwd[t - 1, 0] * trans[0, 0] * b0, fwd[t - 1, 0] * trans[0, 1] * up], [fwd[t - 1, 1] * trans[1, 0] * b0, fwd[t - 1, 1] * trans[1, 1] * up]])
-            pairs += (p / p.sum((0, 1)) * live).sum(2)
-            c0 = trans[0, 0] * b0 + trans[0, 1] * up
-            c1 = trans[1, 0] * b0 + trans[1, 1] * up
-            s = c0 + c1
-            b0, b1 = np.where(live, c0 / s, b0), np.where(live, c1 / s, b1)
-    return marginal, pairs, log_z
-
-
-def marginals(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The marginals alone, as scoring needs them."""
-    n, length = e.shape
-    odds = np.exp(np.clip(e, -30, 30)).T.copy()
-    live = mask.T.copy()
-    ratio = np.empty((length, n))  # forward odds toxic : clean
-    r = odds[0] if length else np.zeros(n)
-    for t in range(length):
-        if t:
-            r = (trans[0, 1] + r * trans[1, 1]) / (trans[0, 0] + r * trans[1, 0]) * odds[t]
-        ratio[t] = r
-    b = np.ones(n)  # backward odds
-    out = np.empty((length, n))
-    for t in range(length - 1, -1, -1):
-        x = ratio[t] * b
-        out[t] = x / (1 + x)
-        up = odds[t] * b
-        b = np.where(live[t], (trans[1, 0] + trans[1, 1] * up) / (trans[0, 0] + trans[0, 1] * up), b)
-    return np.where(mask, out.T, 0)
-
-
-def blocks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(place of each token in a padded run of blocks, first block of each document, blocks)."""
-    per = -(-lengths // BLOCK)
-    first = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(per, out=first[1:])
-    start = np.repeat(first[:-1] * BLOCK, lengths)
-    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return start + within, first, int(first[-1])
-
-
-def attributes(word: str) -> list[tuple[str, str]]:
-    """What a word may be recognised by: itself, its beginnings, its end."""
-    return [("w", word), *(("p", word[:k]) for k in (4, 5) if len(word) > k), *(("s", word[-k:]) for k in (5,) if len(word) > k)]
-
-
-def lexicon(tokens: list[list[str]], cores: dict[str, str], toxic: list[int]) -> list[tuple[str, str]]:
-    """Attributes of words that explain toxic documents, best first.
-
-    ``cores`` gives the word of a token. Near copies (same smallest 3-token shingle) share one vote. An
-    attribute must be four fifths toxic and explain documents that none before it does.
+    The chain starts with equal weights of both states; emission scores count for the toxic state.
     """
-    keys = [min(xxhash.xxh64_intdigest(" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))) for t in tokens]
-    groups = Counter(keys)
-    weight = [1 / groups[k] for k in keys]
-
-    def of(t: list[str]) -> set[tuple[str, str]]:
-        return {a for w in {cores[x] for x in t} if w for a in attributes(w)}
-
-    where: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for i, (t, y) in enumerate(zip(tokens, toxic, strict=True)):
-        if y:
-            for a in of(t):
-                where[a].append(i)
-    least = max(2.5, 0.01 * sum(w for w, y in zip(weight, toxic, strict=True) if y))
-    good = {a: at for a, at in where.items() if sum(weight[i] for i in at) >= least}
-    del where
-    clean: Counter = Counter()
-    for i, (t, y) in enumerate(zip(tokens, toxic, strict=True)):
-        if not y:
-            for a in of(t):
-                if a in good:
-                    clean[a] += weight[i]
-    good = {a: at for a, at in good.items() if sum(weight[i] for i in at) >= 4 * clean[a]}
-    left = {i for i, y in enumerate(toxic) if y}
-    chosen = []
-    while good:
-        gain, _, _, a = max((sum(weight[i] for i in at if i in left), -clean[a], len(a[1]), a) for a, at in good.items())
-        if gain < least:
-            break
-        chosen.append(a)
-        left -= set(good.pop(a))
-    return chosen
-
-
-def fit(texts: list[str], toxic: list[int], epochs: int = 60) -> Crf:
-    """Train on labelled texts; everything held here is bounded by the size of the sample."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.lengths = lengths
+        self.per = -(-lengths // BLOCK)
+        self.first = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(self.per, out=self.first[1:])
+        self.n = int(self.first[-1])
+        self.owner = np.repeat(np.arange(len(lengths)), self.per)
+        self.lead = np.zeros(self.n, bool)
+        self.lead[self.first[:-1][lengths > 0]] = True
+        last = self.first[1:][lengths > 0] - 1
+        self.used = np.full(self.n, BLOCK, np.int64)
+        self.used[last] = (lengths[lengths > 0] - 1) % BLOCK + 1
+
+    def padded(self, flat: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Places x blocks a..b of the per-token values ``flat`` (documents one after the other), zero beyond a document's end."""
+        out = np.zeros((b - a, BLOCK))
+        live = np.arange(BLOCK) < self.used[a:b, None]
+        start = int(self.used[:a].sum())
+        out[live] = flat[start : start + int(self.used[a:b].sum())]
+        return out.T
+
+    def transfer(self, odds: np.ndarray, a: int, b: int, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(2 x 2 x blocks matrices of sum 1, log of what they were divided by)."""
+        n = b - a
+        m, log = np.zeros((2, 2, n)), np.zeros(n)
+        lead = self.lead[a:b]
+        for t in range(BLOCK):
+            if not t:
+                step = np.where(lead, np.eye(2)[:, :, None], trans[:, :, None])
+                now = step.copy()
+            else:
+                now = np.empty_like(m)
+                now[:, 0] = m[:, 0] * trans[0, 0] + m[:, 1] * trans[1, 0]
+                now[:, 1] = m[:, 0] * trans[0, 1] + m[:, 1] * trans[1, 1]
+            now[:, 1] *= odds[t]
+            size = now.sum((0, 1))
+            now /= size
+            if t:
+                live = self.used[a:b] > t
+                now, size = np.where(live, now, m), np.where(live, size, 1.0)
+            m, log = now, log + np.log(size)
+        return m, log
+
+    def messages(self, flat: np.ndarray, trans: np.ndarray) -> None:
+        """``into`` and ``back`` of every block, ``log_z`` and ``log_clean`` (probability of no toxic tag) of every document."""
+        m, log = np.empty((2, 2, self.n)), np.empty(self.n)
+        for a in range(0, self.n, SLICE):
+            b = min(a + SLICE, self.n)
+            m[:, :, a:b], log[a:b] = self.transfer(np.exp(np.clip(self.padded(flat, a, b), -30, 30)), a, b, trans)
+        self.into, self.back = np.full((2, self.n), 0.5), np.ones((2, self.n))
+        self.log_z = np.zeros(len(self.lengths))
+        by = np.argsort(-self.per, kind="stable")
+        counts = self.per[by]
+        f = np.full((2, len(by)), 0.5)
+        for k in range(int(counts[0]) if len(by) else 0):
+            n = int(np.searchsorted(-counts, -k))  # documents with more than k blocks
+            at = self.first[by[:n]] + k
+            self.into[:, at] = f[:, :n]
+            f = np.einsum("in,ijn->jn", f[:, :n], m[:, :, at])
+            size = f.sum(0)
+            f /= size
+            self.log_z[by[:n]] += np.log(size) + log[at]
+        for k in range(1, int(counts[0]) if len(by) else 0):
+            n = int(np.searchsorted(-counts, -k))
+            at = self.first[by[:n] + 1] - k
+            g = np.einsum("ijn,jn->in", m[:, :, at], self.back[:, at])
+            self.back[:, at - 1] = g / g.sum(0)
+        steps = np.maximum(self.lengths - 1, 0)
+        self.log_clean = np.where(self.lengths > 0, np.minimum(np.log(0.5) + steps * np.log(trans[0, 0]) - self.log_z, 0.0), 0.0)
+
+    def finished(self, flat: np.ndarray, trans: np.ndarray, a: int, b: int, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(toxic marginals, places x blocks; expected transitions into each block's tokens, 2 x 2 x blocks) of blocks a..b."""
+        odds = np.exp(np.clip(self.padded(flat, a, b), -30, 30))
+        used, lead, n = self.used[a:b], self.lead[a:b], b - a
+        ratio = np.empty((BLOCK, n))  # forward odds toxic : clean
+        r = self.into[1, a:b] / np.maximum(self.into[0, a:b], 1e-300)
+        for t in range(BLOCK):
+            moved = (trans[0, 1] + r * trans[1, 1]) / (trans[0, 0] + r * trans[1, 0])
+            r = (np.where(lead, r, moved) if not t else moved) * odds[t]
+            ratio[t] = r
+        back = self.back[1, a:b] / np.maximum(self.back[0, a:b], 1e-300)
+        out = np.empty((BLOCK, n))
+        moves = np.zeros((2, 2, n)) if pairs else None
+        for t in range(BLOCK - 1, -1, -1):
+            live = used > t
+            x = ratio[t] * back
+            out[t] = np.where(live, x / (1 + x), 0.0)
+            up = odds[t] * back
+            if pairs:
+                before = ratio[t - 1] if t else self.into[1, a:b] / np.maximum(self.into[0, a:b], 1e-300)
+                p = np.array([[np.full(n, trans[0, 0]), trans[0, 1] * up], [trans[1, 0] * before, trans[1, 1] * before * up]])
+                moves += np.where(live & ~lead if not t else live, p / p.sum((0, 1)), 0.0)
+            back = np.where(live, (trans[1, 0] + trans[1, 1] * up) / (trans[0, 0] + trans[0, 1] * up), back)
+        return out, moves
+
+
+def odds_of_some(log_clean: np.ndarray) -> np.ndarray:
+    """Log-odds that some tag is toxic, within 20 of even odds."""
+    return np.clip(np.log(np.maximum(-np.expm1(log_clean), 1e-300)) - log_clean, -20, 20)
+
+
+def kin(tokens: list[str]) -> int:
+    """The smallest hash of a 3-token shingle: near copies mostly share it."""
+    return min(xxhash.xxh64_intdigest(" ".join(tokens[i : i + 3])) for i in range(max(1, len(tokens) - 2)))
+
+
+def gradient(chain: Chain, e: np.ndarray, word: np.ndarray, n_words: int, trans: np.ndarray, toxic: np.ndarray, vote: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(by distinct token, by log transition, log-likelihood) of the document labels."""
+    chain.messages(e, trans)
+    some = odds_of_some(chain.log_clean)
+    value = float((vote * np.where(toxic, chain.log_clean + some, chain.log_clean)).sum())
+    pull = vote * np.where(toxic, np.exp(-some), -1.0)  # p(clean) / p(not clean) where toxic
+    steps = np.maximum(chain.lengths - 1, 0)
+    by_word, by_move = np.zeros(n_words), np.zeros((2, 2))
+    at = 0
+    for a in range(0, chain.n, SLICE):
+        b = min(a + SLICE, chain.n)
+        p, moves = chain.finished(e, trans, a, b, True)
+        g = pull[chain.owner[a:b]]
+        live = np.arange(BLOCK) < chain.used[a:b, None]
+        flat = (p * g).T[live]
+        by_word += np.bincount(word[at : at + len(flat)], flat, n_words)
+        at += len(flat)
+        by_move += (moves * g).sum(2)
+    by_move[0, 0] -= (pull * steps).sum()
+    return by_word, by_move, value
+
+
+def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Crf:
+    """Train on labelled texts, in the order given; what is held here is bounded by the size of the sample."""
     rate = (sum(toxic) + 0.5) / (len(toxic) + 1)
-    none = Crf(np.zeros(DIMS), -8.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([np.log(rate / (1 - rate)) - 0.7, 0.0, 0.0]))
-    if not texts:
-        return none
-    once: dict[str, str] = {}  # one object per distinct token keeps the sample small
-    tokens = [[once.setdefault(x, x) for x in t.split()] for t in texts]
-    cores: dict[str, str] = {}
-    for t in tokens:
-        for x in t:
-            if x not in cores:
-                cores[x] = core(x)
-    words = lexicon(tokens, cores, toxic)
-    if not words:
+    none = Crf(np.zeros(DIMS), -8.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([np.log(rate / (2 - rate)), 0.0, 0.0]))
+    some = [(t, y) for t, y in zip(texts, toxic, strict=True) if not t.isspace() and t]
+    if len({bool(y) for _, y in some}) < 2:
         return none
-    chosen = set(words)
-    bad = {x for x, c in cores.items() if c and not chosen.isdisjoint(attributes(c))}
-    del cores, once
-    rows, gold = [], []
-    quiet = 0
-    for t, y in zip(tokens, toxic, strict=True):
-        for i in range(0, len(t), BLOCK):
-            part = t[i : i + BLOCK]
-            tags = [int(y and x in bad) for x in part]
-            if any(tags) or quiet < 2000:
-                quiet += not any(tags)
-                rows.append(part)
-                gold.append(tags)
-    ids: dict[str, list[int]] = {}
-    n = len(rows)
-    feats = np.zeros((n, BLOCK, WIDTH), np.int64)
-    mask, tag = np.zeros((n, BLOCK), bool), np.zeros((n, BLOCK))
-    for i, (part, tags) in enumerate(zip(rows, gold, strict=True)):
-        for j, x in enumerate(part):
-            if x not in ids:
-                ids[x] = features(x)
-            feats[i, j] = ids[x]
-        mask[i, : len(part)], tag[i, : len(part)] = True, tags
-    used, inverse = np.unique(feats[mask], return_inverse=True)
-    inverse = inverse.reshape(-1, WIDTH)
-    w, bias, trans = np.zeros(len(used)), -4.0, np.zeros((2, 2))
-    seen = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = ((tag[:, :-1] == a) & (tag[:, 1:] == b) & mask[:, 1:]).sum()
-    m, v, step = np.zeros(len(used) + 5), np.zeros(len(used) + 5), 0.15
-    gold_counts = np.bincount(inverse.ravel(), np.repeat(tag[mask], WIDTH), len(used))
+    ids: dict[str, int] = {}
+    words, keys = [], []
+    for t, _ in some:
+        tokens = t.split()
+        words.append(np.fromiter((ids.setdefault(x, len(ids)) for x in tokens), np.int32, len(tokens)))
+        keys.append(kin(tokens))
+    groups = Counter(keys)
+    vote = np.array([1 / groups[k] for k in keys])  # near copies share one
+    chain = Chain(np.array([len(x) for x in words], np.int64))
+    word = np.concatenate(words)
+    del words
+    feats = np.array([features(x) for x in ids], np.int64)
+    used, inverse = np.unique(feats, return_inverse=True)
+    inverse = inverse.reshape(feats.shape)
+    y = np.array([bool(v) for _, v in some])
+    w, bias, trans = np.zeros(len(used)), -7.0, np.log(np.array([[0.95, 0.05], [0.5, 0.5]]))
+    prior = trans.copy()
+    m, v = np.zeros(len(used) + 5), np.zeros(len(used) + 5)
     for k in range(1, epochs + 1):
-        e = np.zeros((n, BLOCK))
-        e[mask] = w[inverse].sum(1) + bias
-        p, pairs, _ = forward_backward(e, mask, np.exp(trans))
-        grad = np.concatenate([gold_counts - np.bincount(inverse.ravel(), np.repeat(p[mask], WIDTH), len(used)) - 0.05 * w, [(tag - p)[mask].sum()], (seen - pairs).ravel() - 0.05 * trans.ravel()])
+        e = (w[inverse].sum(1) + bias)[word]
+        by_word, by_move, _ = gradient(chain, e, word, len(ids), np.exp(trans), y, vote)
+        by_feature = np.bincount(inverse.ravel(), np.repeat(by_word, inverse.shape[1]), len(used))
+        grad = np.concatenate([by_feature - RIDGE * w, [by_word.sum()], (by_move - 0.1 * (trans - prior)).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        delta = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        step = 0.2 * (1 - 0.8 * k / epochs)
+        delta = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-3)
         w, bias, trans = w + delta[: len(used)], bias + delta[len(used)], trans + delta[len(used) + 1 :].reshape(2, 2)
     weights = np.zeros(DIMS)
     weights[used] = w
-    model = Crf(weights, float(bias), np.exp(trans), np.zeros(3), words)
-    emissions = Emissions(model, 20_000)
-    x = np.concatenate([evidence(model, emissions, tokens[i : i + 50])[0] for i in range(0, len(tokens), 50)])
-    y = np.array(toxic, float)
+    model = Crf(weights, float(bias), np.exp(trans), np.zeros(3))
+    x, _ = evidence(model, chain, (w[inverse].sum(1) + bias)[word])
     x = np.column_stack([np.ones(len(x)), x])
     coef = np.zeros(3)
     for _ in range(30):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3)
-        coef += np.linalg.solve(h, x.T @ (y - q) - 1e-2 * coef)
+        h = (x * (vote * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3)
+        coef += np.linalg.solve(h, x.T @ (vote * (y - q)) - 1e-2 * coef)
     model.doc = coef
     return model
 
 
-def evidence(m: Crf, emissions: Emissions, tokens: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Per document (largest marginal, log1p of expected toxic tokens), and its toxic token numbers."""
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    place, first, total = blocks(lengths)
-    out, hits = np.zeros((len(tokens), 2)), [np.zeros(0, np.int64)] * len(tokens)
-    if not total:
-        return out, hits
-    flat = np.zeros(total * BLOCK, np.float32)
-    get = emissions.__getitem__
-    flat[place] = np.concatenate([np.fromiter(map(get, t), np.float32, len(t)) for t in tokens])
-    mask = np.zeros(total * BLOCK, bool)
-    mask[place] = True
-    p = marginals(flat.reshape(-1, BLOCK), mask.reshape(-1, BLOCK), m.trans.astype(np.float32))
-    top, strong = p.max(1), np.where(p > 0.1, p, 0).sum(1)
-    some = np.flatnonzero(lengths)
-    out[some, 0] = np.maximum.reduceat(top, first[:-1][some])
-    out[some, 1] = np.log1p(np.add.reduceat(strong, first[:-1][some]))
-    for i in np.flatnonzero(out[:, 0] > 0.5):
-        hits[i] = np.flatnonzero(p[first[i] : first[i + 1]].ravel()[: lengths[i]] > 0.5)
-    return out, hits
+def evidence(m: Crf, chain: Chain, flat: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per document (log-odds of a toxic tag, largest marginal) and the numbers of its toxic tokens; ``flat`` has the emission scores."""
+    x, hits = np.zeros((len(chain.lengths), 2)), [np.zeros(0, np.int64)] * len(chain.lengths)
+    x[:, 0] = -20.0
+    if not chain.n:
+        return x, hits
+    chain.messages(flat, m.trans)
+    some = np.flatnonzero(chain.lengths)
+    x[some, 0] = odds_of_some(chain.log_clean)[some]
+    top, found = np.empty(chain.n), []
+    for a in range(0, chain.n, SLICE):
+        b = min(a + SLICE, chain.n)
+        p, _ = chain.finished(flat, m.trans, a, b)
+        top[a:b] = p.max(0)
+        strong = np.flatnonzero(top[a:b] > 0.5)
+        t, k = np.nonzero(p[:, strong] > 0.5)
+        found.append(np.column_stack([strong[k] + a, t]))
+    x[some, 1] = np.maximum.reduceat(top, chain.first[:-1][some])
+    rows = np.concatenate(found)
+    if len(rows):
+        doc = chain.owner[rows[:, 0]]
+        place = (rows[:, 0] - chain.first[doc]) * BLOCK + rows[:, 1]
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+            hits[doc[a]] = place[a:b]
+    return x, hits
 
 
 def parts_of(text: str) -> list[str]:
@@ -305,44 +316,50 @@ def parts_of(text: str) -> list[str]:
 
 
 def measured(m: Crf, emissions: Emissions, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """``evidence`` of texts, very long ones part by part."""
-    x, hits = np.zeros((len(texts), 2)), [np.zeros(0, np.int64)] * len(texts)
-    short = [i for i, t in enumerate(texts) if len(t) <= LONG]
-    for a, b in chunks([len(texts[i]) for i in short]):
-        got, found = evidence(m, emissions, [texts[i].split() for i in short[a:b]])
-        x[short[a:b]] = got
-        for i, h in zip(short[a:b], found, strict=True):
-            hits[i] = h
-    for i in sorted(set(range(len(texts))) - set(short)):
-        top, total, seen, all_ = 0.0, 0.0, 0, []
-        for part in parts_of(texts[i]):
-            tokens = part.split()
-            got, found = evidence(m, emissions, [tokens])
-            top, total = max(top, got[0, 0]), total + np.expm1(got[0, 1])
-            all_.append(found[0] + seen)
-            seen += len(tokens)
-        x[i], hits[i] = (top, np.log1p(total)), np.concatenate(all_)
+    """``evidence`` of texts; of a very long one the tokens are read part by part and only their scores are kept."""
+    x, hits = np.zeros((len(texts), 2)), []
+    get = emissions.__getitem__
+    for a, b in chunks([len(t) for t in texts]):
+        lengths, flat = [], []
+        for t in texts[a:b]:
+            n = 0
+            for part in parts_of(t):
+                tokens = part.split()
+                flat.append(np.fromiter(map(get, tokens), np.float32, len(tokens)))
+                n += len(tokens)
+            lengths.append(n)
+        x[a:b], found = evidence(m, Chain(np.array(lengths, np.int64)), np.concatenate(flat))
+        hits += found
     return x, hits
 
 
 _kept: dict[int, tuple] = {}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 3, rest: int = 1, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """Fit on at most ``sample`` labelled rows outside the held-out remainder, picked by hash order."""
-    rows = labelled(docs, labels, sample, mod, rest, label, id_col, text_col).select("text", "y").collect()
-    texts, y = [r.text for r in rows], [r.y for r in rows]
-    del rows
-    return fit(texts, y)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 3, rest: int = 1, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS) -> Crf:
+    """Fit on at most ``sample`` labelled rows and ``chars`` characters outside the held-out remainder, picked by hash order."""
+    rows = labelled(docs, labels, sample, mod, rest, label, id_col, text_col)
+    # lengths first: only texts within the bound come to the driver
+    sizes = sorted((r.h, str(r.doc_id), r.doc_id, r.n) for r in rows.groupBy("h", "doc_id").agg(F.sum(F.length("text")).alias("n")).collect())
+    kept, left = [], chars
+    for _, _, i, n in sizes:
+        if n <= left:
+            kept.append((i,))
+            left -= n
+    if not kept:
+        return fit([], [])
+    chosen = docs.sparkSession.createDataFrame(kept, f"doc_id {docs.schema[id_col].dataType.simpleString()}")
+    got = sorted((r.h, r.text, r.y) for r in rows.join(F.broadcast(chosen), "doc_id").select("h", "text", "y").collect())
+    return fit([t for _, t, _ in got], [y for _, _, y in got])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, mod: int, rest: int, label: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, y of the sample: at most ``sample`` ids are broadcast, so no text is shuffled."""
+    """doc_id, h (hash of the id), text, y of the sample: at most ``sample`` ids are broadcast, so no text is shuffled."""
     ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     ids = ids.filter(~held_out(F.col("doc_id"), mod, rest)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "text", "y")
 
 
 def score(docs: DataFrame, model: Crf, threshold: float = 0.7, mod: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,26 +80,96 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert kept.count() == sum(not r.predicted for r in out)
 
 
-def test_very_long_texts_score_part_by_part(monkeypatch):
-    model = toxicity.fit([" ".join(["plain%d" % (i * k % 7) for k in range(30)] + ["vile"] * (i % 3 == 0)) for i in range(120)], [int(i % 3 == 0) for i in range(120)])
-    text = "plain1 plain2 vile plain3 " * 64
-    whole = toxicity.measured(model, toxicity.Emissions(model), [text, "plain1"])
-    monkeypatch.setattr(toxicity, "LONG", 130)
-    assert "".join(toxicity.parts_of(text)) == text and len(toxicity.parts_of(text)) > 5
-    part = toxicity.measured(model, toxicity.Emissions(model), [text, "plain1"])
-    assert np.abs(whole[0] - part[0]).max() < 0.2 and whole[1][0].tolist() == part[1][0].tolist()
+def small_model():
+    return toxicity.fit([" ".join(["plain%d" % (i * k % 7) for k in range(30)] + ["vile"] * (i % 3 == 0)) for i in range(120)], [int(i % 3 == 0) for i in range(120)], 30)
+
+
+def test_very_long_texts_score_as_one_chain(monkeypatch):
+    """Neither the part of a text that is read at a time, nor the block, nor the batch changes a score."""
+    model = small_model()
+    texts = ["plain1 plain2 vile plain3 " * 64, "plain1", "", "plain2 " * 300 + "vile"]
+    whole = toxicity.measured(model, toxicity.Emissions(model), texts)
+    alone = [toxicity.measured(model, toxicity.Emissions(model), [t]) for t in texts]
+    for key, value in (("LONG", 130), ("SLICE", 2), ("BLOCK", 7)):
+        monkeypatch.setattr(toxicity, key, value)
+        assert "".join(toxicity.parts_of(texts[0])) == texts[0]
+        part = toxicity.measured(model, toxicity.Emissions(model), texts)
+        assert np.abs(whole[0] - part[0]).max() < 1e-9
+        assert [h.tolist() for h in part[1]] == [h.tolist() for h in whole[1]]
+    assert all(np.abs(whole[0][i] - one[0][0]).max() < 1e-9 for i, one in enumerate(alone))
+
+
+def enumerated(e, trans):
+    """All tag sequences of one chain with their weights."""
+    n = len(e)
+    paths = [[(k >> t) & 1 for t in range(n)] for k in range(2**n)]
+    weight = [0.5 * np.prod([np.exp(e[t]) if p[t] else 1 for t in range(n)]) * np.prod([trans[p[t - 1], p[t]] for t in range(1, n)]) for p in paths]
+    return paths, np.array(weight)
 
 
-def test_forward_backward_matches_enumeration():
+def test_messages_match_enumeration(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 3)
     rng = np.random.default_rng(3)
-    e, trans, n = rng.normal(size=(1, 5)), np.exp(rng.normal(size=(2, 2))), 5
-    paths = [[(k >> t) & 1 for t in range(n)] for k in range(2**n)]
-    weight = [0.5 * np.prod([np.exp(e[0, t]) if p[t] else 1 for t in range(n)]) * np.prod([trans[p[t - 1], p[t]] for t in range(1, n)]) for p in paths]
-    want = [sum(w for w, p in zip(weight, paths, strict=True) if p[t]) / sum(weight) for t in range(n)]
-    mask = np.ones((1, n), bool)
-    got, pairs, log_z = toxicity.forward_backward(e, mask, trans)
-    assert np.allclose(got[0], want) and np.allclose(toxicity.marginals(e, mask, trans)[0], want)
-    assert np.isclose(log_z[0], np.log(sum(weight))) and np.isclose(pairs.sum(), n - 1)
+    lengths = np.array([5, 0, 1, 9, 3])
+    flat, trans = rng.normal(size=18), np.exp(rng.normal(size=(2, 2)))
+    chain = toxicity.Chain(lengths)
+    chain.messages(flat, trans)
+    p, moves = chain.finished(flat, trans, 0, chain.n, True)
+    at = 0
+    for d, n in enumerate(lengths):
+        if not n:
+            continue
+        paths, weight = enumerated(flat[at : at + n], trans)
+        mine = slice(chain.first[d], chain.first[d + 1])
+        want = [sum(w for w, s in zip(weight, paths, strict=True) if s[t]) / weight.sum() for t in range(n)]
+        assert np.allclose(p.T[mine].ravel()[:n], want)
+        assert np.isclose(chain.log_z[d], np.log(weight.sum())) and np.isclose(chain.log_clean[d], np.log(weight[0] / weight.sum()))
+        pairs = [[sum(w * sum(s[t - 1] == a and s[t] == b for t in range(1, n)) for w, s in zip(weight, paths, strict=True)) / weight.sum() for b in (0, 1)] for a in (0, 1)]
+        assert np.allclose(moves[:, :, mine].sum(2), pairs)
+        at += n
+
+
+def test_gradient_matches_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    lengths, toxic, vote = np.array([6, 3, 11, 1]), np.array([True, False, True, False]), np.array([1, 0.5, 1, 1])
+    word = rng.integers(0, 5, 21)
+    score, move = rng.normal(size=5) - 1, rng.normal(size=(2, 2))
+    chain = toxicity.Chain(lengths)
+    value = lambda s, m: toxicity.gradient(chain, s[word], word, 5, np.exp(m), toxic, vote)
+    by_word, by_move, _ = value(score, move)
+    for k in range(5):
+        d = np.eye(5)[k] * 1e-5
+        assert np.isclose((value(score + d, move)[2] - value(score - d, move)[2]) / 2e-5, by_word[k], atol=1e-5)
+    for a in (0, 1):
+        for b in (0, 1):
+            d = np.zeros((2, 2))
+            d[a, b] = 1e-5
+            assert np.isclose((value(score, move + d)[2] - value(score, move - d)[2]) / 2e-5, by_move[a, b], atol=1e-5)
+
+
+def test_fitted_field_ignores_row_order_and_clashing_columns(spark, corpus):
+    docs, labels = tables(spark, corpus)
+    one = toxicity.train(docs.repartition(3), labels)
+    two = toxicity.train(docs.orderBy(F.desc("text")), labels.orderBy(F.rand(3)).withColumn("text", F.lit("x")).withColumn("y", F.lit(9)).withColumn("h", F.lit(1)))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.doc, two.doc)
+    few = toxicity.train(docs, labels, chars=20_000)
+    assert not np.array_equal(few.weights, one.weights)
+
+
+def test_field_is_no_word_list(spark):
+    """Toxic words with endings that no training text has are tagged, and no others."""
+    random.seed(21)
+    word = lambda: random.choice("bcdfg") + "".join(random.choice("aeiou") for _ in range(4))
+    bad = lambda k: "zorkh" + "lmnpqrst"[k % 8] + random.choice("aeiou")
+    make = lambda k, y: " ".join([word() for _ in range(30)] + [bad(k)] * y + [word() for _ in range(30)])
+    train = [(make(k % 4, k % 2), k % 2) for k in range(400)]
+    model = toxicity.fit([t for t, _ in train], [y for _, y in train])
+    test = [(make(4 + k % 4, k % 2), k % 2) for k in range(200)]
+    x, hits = toxicity.measured(model, toxicity.Emissions(model), [t for t, _ in test])
+    said = 1 / (1 + np.exp(-(model.doc[0] + x @ model.doc[1:]))) >= 0.7
+    assert (said == [y == 1 for _, y in test]).mean() > 0.97
+    assert all(h.tolist() == [30] for h, (_, y) in zip(hits, test, strict=True) if y)
 
 
 def test_models_without_labels_or_rows(spark, corpus):
