@@ -284,6 +284,39 @@ def test_extraction(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+BARE = """<html><head><title>{0}</title></head><body><div><div><div><span>{1}</span></div><div><span>{2}</span></div></div><div>{3}</div>
+<div><h2>{0}</h2><p>{4}</p><p>{5}</p><p>Always the same line.</p></div><div>{6}</div></div></body></html>"""
+
+
+def test_alignment_finds_content_without_any_tag_or_class(spark):
+    """Menus, adverts and footers with varying words in bare div elements: only the host's common structure tells."""
+    random.seed(31)
+    text = lambda n: " ".join(random.choice("abcdefgh") + str(random.randrange(100)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        part = [text(6), text(2), text(2), text(8), text(40), text(25), text(7)]
+        rows.append((i, f"http://bare{i % 2}.example/{i}", BARE.format(*part)))
+        want[i] = " ".join([part[0], part[4], part[5]])
+    rows += [(50, "http://few.example/1", BARE.format(*"abcdefg")), (51, "http://bare0.example/x", "<p>other <b>page"), (52, "http://bare0.example/y", "")]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {i: got[i].text for i in want} == want
+    assert {got[i].way for i in want} == {"template"}
+    assert [(got[i].way, got[i].text) for i in (51, 52)] == [("list", "other page"), ("list", "")] and got[50].way == "list"
+
+
+@pytest.mark.parametrize("size", [0, 8 << 20])
+def test_hostile_pages(spark, monkeypatch, size):
+    """Deep nesting, very many siblings and stray end tags next to ordinary pages; templates broadcast and joined."""
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", size)
+    n = 10_000
+    odd = ["<div>" * n + "deep" + "</div>" * n, "<b>" * n + "bold" + "<p>x" * 50, "<body>" + "".join(f"<p>{k}</p>" for k in range(50_000)), "</i>" * n + "<p>end" + "<li><td>" * 200]
+    odd += ["<body>" + "".join(f"<div><p>{k * 3}</p></div>" for k in range(20_000))]
+    rows = [(k, "http://odd.example/", page) for k, page in enumerate(odd)] + [(k + 10, f"http://odd.example/{k}", PAGE.format(k, tag="article")) for k in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep" and got[1].startswith("bold x x") and len(got[2].split()) == 50_000 and got[3].startswith("end") and len(got[4].split()) == 20_000
+    assert got[12].startswith("Title 2 & more First inline 2.")
+
+
 def naive_match(a, b):
     if a[0] != b[0]:
         return 0.0
@@ -297,6 +330,21 @@ def naive_match(a, b):
     return own + best(a[2], b[2])
 
 
+def flat_tree(nested):
+    label, parent, text = [], [], []
+
+    def walk(t, up):
+        at = len(label)
+        label.append(t[0])
+        parent.append(up)
+        text.append(t[1])
+        for k in t[2]:
+            walk(k, at)
+
+    walk(nested, -1)
+    return html_extract.Tree(label, parent, text, [0] * len(label), [0] * len(label))
+
+
 def test_tree_matching_is_optimal():
     random.seed(17)
 
@@ -306,7 +354,12 @@ def test_tree_matching_is_optimal():
     for _ in range(150):
         a, b = tree(2), tree(2)
         a[0] = b[0] = "p"
-        assert html_extract.match(a, b)[0] == naive_match(a, b)
+        x, y = flat_tree(a), flat_tree(b)
+        weight, pairs = html_extract.match(x, y)
+        assert weight == naive_match(a, b) == sum(1.5 if x.text[i] and x.text[i] == y.text[j] else 1.0 for i, j in pairs)
+        assert all(x.label[i] == y.label[j] and (not i or (x.parent[i], y.parent[j]) in pairs) for i, j in pairs)
+        few = html_extract.match(x, y, cells=0)
+        assert few[0] <= weight and all(x.label[i] == y.label[j] for i, j in few[1])
 
 
 def test_pipeline_stages(spark, sf):
