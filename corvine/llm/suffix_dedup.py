@@ -12,8 +12,9 @@ sorts suffixes only where that is left open:
 2. *Settled seeds.* Of equal seeds with equal contexts all but the earliest repeat in all their windows.
    Where one seed has several contexts, as at the borders of a repeated passage, the earliest of each
    context stays open.
-3. *Open seeds.* Their contexts are dealt into shards by seed and sorted by external induced sorting with
-   disk-backed radix queues (``induced``); runs of suffixes whose common prefix reaches ``length`` are the
+3. *Open seeds.* Their contexts are dealt into shards by seed, written to a file of the owner task and sorted by external
+   induced sorting with disk-backed queues (``induced``), which carries common prefixes along; runs of suffixes
+   whose common prefix reaches ``length`` are the
    equal windows, all but the earliest of which repeat. A seed with more than ``hot`` contexts is spread
    over several shards; each hands on one digest per distinct window, and an ordinary minimum per digest
    settles them.
@@ -22,9 +23,12 @@ sorts suffixes only where that is left open:
 Equality of seeds and contexts is that of two independent 64-bit hashes over both (128 bits); equality in
 step 3 is that of bytes. "Earlier" is a smaller doc_id, or a smaller start in the same document.
 
-Defined results: null texts are empty; shorter texts than ``length`` lose nothing; equal doc_ids count
-as one document's repeats of each other only by start, so a repeated row keeps its bytes unless another
-id has them earlier; rows with a null id are cut like others and come before all; further columns are ignored.
+Documents are known by a number in the order of their ids. Whole-number ids that are unique are that number; other ids
+(text, null, repeated) get one from a distributed sort of (id, SHA-256 of the text).
+
+Defined results: null texts are empty; shorter texts than ``length`` lose nothing; a row that repeats id and text
+is the same document and repeats nothing of it; rows of one id with different texts are different documents, in the order of their
+SHA-256; rows with a null id come before all others, those with equal texts as one document; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +50,9 @@ LENGTH = 100
 GRAM = 32
 HOT = 1024
 SHARD_BYTES = 2 << 20
+WINDOWS = 1 << 20  # repeated windows of a shard that are merged at a time
 FLUSH_SEEDS = 1_500_000
 PIECE = 4 << 20
-NONE = -(1 << 63)  # stands for a null id
 SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("width", "<i2"), ("twin", "?")])
 
 
@@ -164,7 +168,7 @@ def deal(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            ids = np.array([NONE if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+            ids = batch.column(0).to_numpy()
             which, place, texts = pieces([t or b"" for t in batch.column(1).to_pylist()], length)
             for a, b in chunks([len(t) for t in texts]):
                 x = seeds_of(texts[a:b], length, gram)
@@ -271,84 +275,120 @@ def opened(docs: DataFrame, marks: DataFrame, shards: int, length: int) -> DataF
                 head = np.int64(doc).tobytes()
                 for s, (_, lo, width, salt) in zip(shard, rows.tolist(), strict=True):
                     body = text[lo : lo + width - 1 + length]
-                    if len(body) == width - 1 + length:  # a row that shares its id with another may be shorter
-                        out.setdefault((s, salt > 0), []).append(head + np.array([lo, width], np.int32).tobytes() + body)
+                    out.setdefault((s, salt > 0), []).append(head + np.array([lo, width], np.int32).tobytes() + body)
             keys = list(out)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([b"".join(out[k]) for k in keys], pa.binary())], ["shard", "salted", "blob"])
 
     return met.mapInArrow(run, "shard int, salted boolean, blob binary")
 
 
-def contexts(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text of all contexts with a zero after each, rows doc/lo/width, place of each in the text)."""
-    rows, parts, places, at = [], [], [], 0
-    for b in blobs:
-        i = 0
-        while i < len(b):
-            doc = int.from_bytes(b[i : i + 8], "little", signed=True)
-            lo, width = int.from_bytes(b[i + 8 : i + 12], "little"), int.from_bytes(b[i + 12 : i + 16], "little")
-            body = b[i + 16 : i + 15 + width + length]
+class Shard:
+    """Contexts in a file of the task, a zero after each; rows doc, first window, windows, place in the file."""
+
+    def __init__(self, disk: induced.Disk):
+        self.paths, self.at = (disk.path(), disk.path()), 0
+
+    def add(self, blob: bytes, length: int) -> None:
+        rows, parts, i = [], [], 0
+        while i < len(blob):
+            lo, width = int.from_bytes(blob[i + 8 : i + 12], "little"), int.from_bytes(blob[i + 12 : i + 16], "little")
+            rows.append((int.from_bytes(blob[i : i + 8], "little", signed=True), lo, width, self.at))
+            parts.append(blob[i + 16 : i + 15 + width + length])
             i += 15 + width + length
-            rows.append((doc, lo, width))
-            parts.append(body)
-            places.append(at)
-            at += len(body) + 1
-    return np.frombuffer(b"\0".join(parts) + b"\0", np.uint8), np.array(rows, np.int64).reshape(-1, 3), np.array(places, np.int64)
-
-
-def equal_windows(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows of the contexts in suffix order: text place, doc, start; where a new group of equal ones begins; text)."""
-    text, rows, places = contexts(blobs, length)
-    begin = np.zeros(len(text), bool)
-    width = rows[:, 2]
-    off = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-    begin[np.repeat(places, width) + off] = True
-    order = induced.order(text, length)
-    order = order[begin[order]]
-    fresh = induced.shared(text, order, length) < length
-    own = np.searchsorted(places, order, "right") - 1
-    found = np.column_stack([order, rows[own, 0], rows[own, 1] + order - places[own]])
-    return found, fresh, text
+            self.at += width + length
+        with open(self.paths[0], "ab") as f:
+            f.write(b"\0".join(parts) + b"\0")
+        with open(self.paths[1], "ab") as f:
+            np.array(rows, np.int64).tofile(f)
+
+    def opened(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.memmap(self.paths[0], np.uint8, "r"), np.memmap(self.paths[1], np.int64, "r").reshape(-1, 4)
+
+
+def equal_windows(shard: Shard, length: int, disk: induced.Disk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, doc, start and place in the text of windows; which is the earliest of its group; the text), whole groups at a time."""
+    text, rows = shard.opened()
+    begin = disk.array(len(text), bool)
+    for a in range(0, len(rows), induced.BLOCK):
+        place, width = rows[a : a + induced.BLOCK, 3], rows[a : a + induced.BLOCK, 2]
+        begin[np.repeat(place, width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)] = True
+    tuples = induced.suffixes(text, length, disk)
+    places = np.array(rows[:, 3])
+    held, group = np.zeros((0, 4), np.int64), 0
+    for a in range(0, len(tuples), induced.BLOCK):
+        part = np.asarray(tuples[a : a + induced.BLOCK])
+        at = part >> induced.BITS
+        groups = group + np.cumsum((part & induced.MASK) < length)
+        group = int(groups[-1])
+        ok = begin[at]
+        at, groups = at[ok], groups[ok]
+        own = np.searchsorted(places, at, "right") - 1
+        found = np.concatenate([held, np.column_stack([groups, rows[own, 0], rows[own, 1] + at - places[own], at])])
+        last = a + induced.BLOCK >= len(tuples)
+        done = len(found) if last else int(np.searchsorted(found[:, 0], group))  # the last group may go on
+        held, found = found[done:], found[:done]
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        # windows of a repeated row are one window
+        found = found[np.append(True, (found[1:, :3] != found[:-1, :3]).any(1))[: len(found)]]
+        yield found, np.append(True, found[1:, 0] != found[:-1, 0])[: len(found)], text
 
 
 def resolved(shards_: DataFrame, shards: int, length: int) -> DataFrame:
     """Per shard: cuts of documents; from salted shards also one (digest, doc, start) per distinct window."""
+    names = ["doc", "cuts", "digest", "start"]
+
+    def cuts_of(again: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(again)
+        ids, cuts = by_doc(intervals(x[:, 0], x[:, 1], x[:, 1] + length))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array([0] * len(ids), pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], list[bytes]] = {}
-        for batch in batches:
-            for s, salted, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((s, salted), []).append(b)
-        for key in sorted(held):
-            found, fresh, text = equal_windows(held.pop(key), length)
-            if not len(found):
-                continue
-            group = np.cumsum(fresh) - 1
-            by = np.lexsort((found[:, 2], found[:, 1], group))
-            # windows of a repeated row are one window
-            same = (group[by][1:] == group[by][:-1]) & (found[by][1:, 1:] == found[by][:-1, 1:]).all(1)
-            by = by[np.append(True, ~same)]
-            g = group[by]
-            best = np.ones(len(g), bool)
-            best[1:] = g[1:] != g[:-1]
-            again = by[~best]
-            ids, cuts = by_doc(intervals(found[again, 1], found[again, 2], found[again, 2] + length))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array([0] * len(ids), pa.int64())], ["doc", "cuts", "digest", "start"])
-            if key[1]:
-                keep = by[best]
-                raw = text.tobytes()
-                digests = [hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in found[keep, 0].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found[keep, 1].tolist(), pa.int64()), pa.nulls(len(keep), pa.binary()), pa.array(digests, pa.binary()), pa.array(found[keep, 2].tolist(), pa.int64())], ["doc", "cuts", "digest", "start"])
+        with induced.Disk() as files:
+            held: dict[tuple[int, bool], Shard] = {}
+            for batch in batches:
+                for s, salted, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (s, salted) not in held:
+                        held[s, salted] = Shard(files)
+                    held[s, salted].add(b, length)
+            for key in sorted(held):
+                with induced.Disk() as disk:
+                    again, n = [np.zeros((0, 2), np.int64)], 0
+                    for found, best, text in equal_windows(held[key], length, disk):
+                        again.append(found[~best, 1:3])
+                        n += len(again[-1])
+                        if n > WINDOWS:
+                            yield cuts_of(again)
+                            again, n = again[:1], 0
+                        if key[1] and len(found):
+                            keep = found[best]
+                            digests = [hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in keep[:, 3].tolist()]
+                            yield pa.RecordBatch.from_arrays([pa.array(keep[:, 1]), pa.nulls(len(keep), pa.binary()), pa.array(digests, pa.binary()), pa.array(keep[:, 2])], names)
+                    if n:
+                        yield cuts_of(again)
 
     return shards_.repartitionById(shards, "shard").mapInArrow(run, "doc long, cuts binary, digest binary, start long")
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """doc (a number in the order of documents), id, text."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    if base.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        rows, ids = base.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+        if rows == ids:
+            return base.select(F.col("id").cast("long").alias("doc"), "id", "text")
+    hashed = base.withColumn("sha", F.sha2(F.coalesce("text", F.lit(b"")), 256))
+    order = hashed.select("id", "sha").distinct().repartitionByRange(parts, "id", "sha").sortWithinPartitions("id", "sha")
+    number = written(order.select(F.monotonically_increasing_id().alias("doc"), F.col("id").alias("_id"), F.col("sha").alias("_sha")), "repeat-numbers")
+    met = hashed.join(number, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    return written(met.select("doc", "id", "text"), "repeat-numbered")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    marks = written(settled(deal(source, parts, length, gram), parts, length, hot), "repeat-marks")
+    source = numbered(docs, id_col, text_col, parts)
+    marks = written(settled(deal(source.select("doc", "text"), parts, length, gram), parts, length, hot), "repeat-marks")
     total = marks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(parts, -(-total // SHARD_BYTES))
     late = written(resolved(opened(source, marks, shards, length), shards, length), "repeat-windows")
@@ -387,8 +427,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             if keep_text:
                 cols.append(pa.array([r[4] for r in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1])
 
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    out = source.join(lists, "doc", "left").select("doc", "text", "cuts").mapInArrow(cut, schema)
-    return out.select(F.when(F.col("doc") != NONE, F.col("doc")).alias("doc_id"), *out.columns[1:])
+    kind = source.schema["id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    return source.join(lists, "doc", "left").select("id", "text", "cuts").mapInArrow(cut, schema)

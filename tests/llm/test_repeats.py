@@ -13,29 +13,60 @@ CLASH = "doc_id long, text string, doc long, seed string, kept string, n_bytes l
 REST = (1, "s", "k", 2, "o", 3, 4, "b", 5, 6)
 
 
-def brute_order(b):
-    return sorted(range(len(b)), key=lambda i: b[i:])
+def suffix_list(b, depth):
+    """Positions from the last suffix to the first, and the common prefix of each with the one before."""
+    at = sorted(range(len(b)), key=lambda i: b[i:], reverse=True)
+    shared = lambda x, y: next((d for d in range(depth) if b[x + d : x + d + 1] != b[y + d : y + d + 1] or not b[x + d : x + d + 1]), depth)
+    return at, [0] + [shared(x, y) for x, y in zip(at[:-1], at[1:], strict=True)][: len(b) - 1]
 
 
-def test_induced_order_is_suffix_order():
+def induced_list(b, depth):
+    with induced.Disk() as disk:
+        rows = np.array(induced.suffixes(np.frombuffer(b, np.uint8), depth, disk))
+        return ((rows >> induced.BITS).tolist(), (rows & induced.MASK).tolist()), disk.spilled
+
+
+@pytest.mark.parametrize("memory", [1 << 16, 16, 3])
+def test_induced_order_and_carried_prefixes(monkeypatch, memory):
+    for name in ("MEMORY", "BLOCK", "RANGE"):
+        monkeypatch.setattr(induced, name, memory)
     random.seed(3)
-    for _ in range(400):
+    spilled = 0
+    for _ in range(200):
         k = random.choice([1, 2, 3, 26])
         b = bytes(random.randrange(k) + 97 for _ in range(random.randint(1, 60))) * random.choice([1, 3])
-        assert induced.order(np.frombuffer(b, np.uint8), 1000).tolist() == brute_order(b)
-
-
-def test_induced_order_with_filed_runs(monkeypatch):
-    monkeypatch.setattr(induced, "MEMORY", 16)
-    monkeypatch.setattr(induced, "BLOCK", 8)
-    random.seed(4)
-    for _ in range(60):
-        b = bytes(random.randrange(3) + 97 for _ in range(random.randint(1, 200)))
-        order = induced.order(np.frombuffer(b, np.uint8), 1000)
-        assert order.tolist() == brute_order(b)
-        got = induced.shared(np.frombuffer(b, np.uint8), order, 5).tolist()
-        want = [0] + [next((d for d in range(5) if b[x + d : x + d + 1] != b[y + d : y + d + 1] or not b[x + d : x + d + 1]), 5) for x, y in zip(order[:-1], order[1:], strict=True)]
-        assert got == want
+        depth = random.choice([5, 100, 1000])
+        got, more = induced_list(b, depth)
+        spilled += more
+        assert got == suffix_list(b, depth)
+    b = b"".join(random.choice([b"abracadabra", b"banana\0", b"mississippi", b"aaaaab"]) for _ in range(60))
+    got, more = induced_list(b, 50)
+    assert got == suffix_list(b, 50) and (spilled + more > 0) == (memory < 100)
+
+
+def test_queues_spill_with_the_settings_in_use():
+    """A shard of ordinary size goes through files; its windows are those of a dictionary."""
+    random.seed(5)
+    word = [bytes(random.randrange(97, 123) for _ in range(random.randint(2, 9))) for _ in range(400)]
+    texts = [b" ".join(random.choice(word) for _ in range(40))[:160] for _ in range(9000)]
+    texts = [random.choice(texts[:2000]) if k % 4 == 0 else t for k, t in enumerate(texts)]
+    blob = b"".join(np.int64(k).tobytes() + np.array([7, len(t) - 99], np.int32).tobytes() + t for k, t in enumerate(texts))
+    with induced.Disk() as disk:
+        shard = suffix_dedup.Shard(disk)
+        half = blob.index(np.int64(700).tobytes() + np.array([7], np.int32).tobytes())
+        shard.add(blob[:half], 100)
+        shard.add(blob[half:], 100)
+        again = set()
+        for found, best, _ in suffix_dedup.equal_windows(shard, 100, disk):
+            again |= set(map(tuple, found[~best, 1:3].tolist()))
+        assert shard.at > induced.MEMORY and disk.spilled > induced.MEMORY
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        for at in range(len(t) - 99):
+            if t[at : at + 100] in seen:
+                want.add((k, at + 7))
+            seen.add(t[at : at + 100])
+    assert again == want and want
 
 
 def repeats(docs, length):
@@ -163,3 +194,36 @@ def test_repeated_row_alone(spark):
     text = " ".join(f"word{k}" for k in range(60))
     docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
     assert [(r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()] == [(0, hashlib.sha256(text.encode()).hexdigest())] * 2
+
+
+def documents_in_order(rows):
+    """Rows as documents: null ids first, rows of one id by the hash of their text, a repeated row once."""
+    key = lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    return {r: k for k, r in enumerate(sorted({(i, t or "") for i, t in rows}, key=key))}
+
+
+@pytest.mark.parametrize(("kind", "tasks"), [("long", 1), ("long", 7), ("string", 4)])
+def test_ids_that_repeat_or_are_missing(spark, passages, kind, tasks):
+    """Texts under one id, without id or with ids of another type keep what they do not repeat."""
+    own = " ".join(f"alone{k}" for k in range(40))
+    rows = passages + [(3, own), (3, own[:200] + "x"), (None, passages[3][1]), (None, own + " more"), (None, own + " more"), (None, None), (63, passages[20][1]), (20, own)]
+    if kind == "string":
+        rows = [(None if i is None else f"id{i:03d}", t) for i, t in rows]
+    number = documents_in_order(rows)
+    want = repeats([(k, t) for (_, t), k in number.items()], 100)
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(tasks)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted((str(i), *want[number[i, t or ""]]) for i, t in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 200])
+def test_few_documents_and_many_partitions(spark, passages, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        long = "y" * 300 + "z" * 120
+        for rows in ([(1, long)], [(1, long), (2, "q" * 40 + long)], [(1, None)], passages[:20]):
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == repeats(rows, 100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
