@@ -24,9 +24,10 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.7)
 
 
-def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    picked = ids.select(F.col("doc_id").alias("_picked"))
-    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_picked"]), how)
+def _of(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are (not) among ``rows``, by id and hash of the text: ids may repeat or be null."""
+    picked = rows.select(F.col("doc_id").alias("_picked"), F.col("mark").alias("_mark"))
+    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_picked"]) & (F.xxhash64(docs["text"]) == picked["_mark"]), how)
 
 
 def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,8 +29,11 @@ def _small(edges: DataFrame) -> DataFrame:
     return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``links``: u, v. Returns vertex, component (the smallest vertex reachable) for vertices that have links."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """``links``: u, v. Returns vertex, component (the smallest vertex reachable) for vertices that have links.
+
+    Rounds needed grow with the logarithm of the longest path; ending without a fixed point is an error, never a result.
+    """
     edges = written(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(rounds):
@@ -42,4 +45,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))

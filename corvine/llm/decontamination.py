@@ -139,11 +139,11 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, item_id, n_agree, n_item, similarity, start, end (bytes of the lower-cased text) of contaminated pairs."""
+    """doc_id, item_id, n_agree, n_item, similarity, start, end (bytes of the lower-cased text) and mark (hash of the text, which tells rows of one id apart) of contaminated pairs."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[1].simpleString(), pa.string())
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, n_agree long, n_item long, start long, end long"
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, n_agree long, n_item long, start long, end long, mark long"
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     parts = []
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -157,7 +157,8 @@ def contaminated(
                     rows += [(a + doc, *rest) for doc, *rest in overlaps(seeds, words, similarity)]
                 where = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), pa.array([seeds.ids[r[1]] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 5, 3, 4))], ["doc_id", "item_id", "n_agree", "n_item", "start", "end"]
+                    [batch.column(0).take(where), pa.array([seeds.ids[r[1]] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 5, 3, 4)), batch.column(2).take(where)],
+                    ["doc_id", "item_id", "n_agree", "n_item", "start", "end", "mark"],
                 )
 
         parts.append(read.mapInArrow(run, schema))

@@ -42,14 +42,14 @@ def normalised(text: Column) -> Column:
 
 
 def laid_out(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, code points, normalised text and key of each row."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), normalised(F.col(text_col)).alias("norm"))
+    """Id, code points, normalised text, hash of the text as it is, and key of each row."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), normalised(F.col(text_col)).alias("norm"), F.xxhash64(text_col).alias("mark"))
     return plain.withColumn("key", F.xxhash64("norm"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, length, key and SHA-256 of each text."""
-    return laid_out(docs, id_col, text_col).select("doc_id", "n", "key", F.unhex(F.sha2("norm", 256)).alias("sha"))
+    return laid_out(docs, id_col, text_col).select("doc_id", "mark", "n", "key", F.unhex(F.sha2("norm", 256)).alias("sha"))
 
 
 def prefix(depth: int) -> Column:
@@ -107,7 +107,7 @@ def build_index(texts: DataFrame, found: DataFrame, depth: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, mark (hash of the text, which tells rows of one id apart)."""
     spark = docs.sparkSession
     keys = written(keyed(docs, id_col, text_col), "dedup-keys")
     buckets = directory(keys, capacity)
@@ -122,4 +122,5 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("n_most"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "mark",
     )

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from corvine.storage import written
 
 MAX_PAIRS = 1 << 16
-ROUNDS = 50
+ROUNDS = 500
 CLOSE = 1e-9
+STILL = 1e-12  # a round that changes less ends the fit
 BROADCAST_SOURCES = 100_000
 SPACES = " \t\n\x0b\f\r"
 RESULT = ("topic", "n_tokens", "mix_weight", "prob", "sampled", "weight")
@@ -110,7 +111,7 @@ def rake(cells: DataFrame, powers: tuple[float, float, float] = (0.7, 0.5, 0.7),
         mass = factor(pair_weight)
         return per.select("source", "cells", (F.when(mass > 0, share * total / mass).otherwise(1.0)).alias("x"))
 
-    error = 1.0
+    error, last = 1.0, 2.0
     for _ in range(ROUNDS):
         rows = fitted(y[li] * z[ti]).select("x", F.explode("cells").alias("c")).groupBy(F.col("c.pair").alias("pair")).agg(F.sum(F.col("c.tokens") * F.col("x")).alias("m")).collect()
         m = np.zeros(len(pairs))
@@ -118,12 +119,15 @@ def rake(cells: DataFrame, powers: tuple[float, float, float] = (0.7, 0.5, 0.7),
             m[r.pair] = r.m
         got = np.bincount(li, m * y[li] * z[ti], len(langs)) / total, np.bincount(ti, m * y[li] * z[ti], len(topics)) / total
         error = float(max(np.abs(got[0] - lt).max(), np.abs(got[1] - tt).max()))
-        if error < CLOSE:
-            break
+        if error < CLOSE or abs(last - error) < STILL:
+            break  # matched, or as near as cells without tokens allow
+        last = error
         now = np.bincount(li, m * z[ti], len(langs))
         y = np.divide(lt * total, now, out=np.ones(len(langs)), where=now > 0)
         now = np.bincount(ti, m * y[li], len(topics))
         z = np.divide(tt * total, now, out=np.ones(len(topics)), where=now > 0)
+    else:
+        raise RuntimeError(f"raking has not settled after {ROUNDS} rounds: a marginal is off by {error:.2g}")
     w = y[li] * z[ti]
     final = fitted(w)
     each = final.select(F.explode("cells").alias("c"), "x").select(F.col("c.tokens").alias("t"), (F.col("x") * F.element_at(literal(w.tolist()), F.col("c.pair") + 1)).alias("m"))

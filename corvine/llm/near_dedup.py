@@ -19,8 +19,15 @@ A link between two texts can be missed only where two components stay apart, so
 components are ever looked for; nothing is capped. With 25 bands of 5 slots a pair of similarity 0.85
 shares no band with probability 4e-7, one of 0.8 with 5e-5.
 
+Pairs that share a band but whose signatures differ in more slots than ``most_differing`` allows (a chance below 1 in
+10,000 at the threshold, and only where no other chain of links joins the two) are not compared; with ``exact`` all pairs that
+share a band are.
+
+Classes are known by a number of their own, so ids may be of any type and repeat.
+
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than a
-shingle make the whole sequence one shingle; equal doc_ids are one document; rows with a null id have no
+shingle make the whole sequence one shingle; rows of one id with different texts are different documents, a repeated
+row is one with the first; rows with a null id have no
 component, link with nothing and are kept; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -106,11 +113,11 @@ def differing(a: str, b: str) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set1, set2 (hashes of the set), bands, s0..s7; one pass, no shuffle."""
+    """doc_id, mark (hash of the text), n_shingles, set1, set2 (hashes of the set), bands, s0..s7; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(1).to_pylist()]
+            texts = [(t or b"").lower() for t in batch.column(2).to_pylist()]
             for a, b in chunks([len(t) for t in texts]):
                 d, h = shingles(Words(texts[a:b]))
                 n = b - a
@@ -125,13 +132,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig = superminhash(d, h, n)
                 keys, sk = band_keys(sig), sketches(sig)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(count, pa.int64()), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(keys.tolist(), pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(len(SKETCH)))],
-                    ["doc_id", "n_shingles", "set1", "set2", "bands", *SKETCH],
+                    [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(count, pa.int64()), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(keys.tolist(), pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(len(SKETCH)))],
+                    ["doc_id", "mark", "n_shingles", "set1", "set2", "bands", *SKETCH],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set1 long, set2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, mark long, n_shingles long, set1 long, set2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -177,24 +184,26 @@ def linked(percent: int) -> Column:
     return (F.col("total") > 0) & (100 * F.col("inter") >= percent * F.col("total"))
 
 
-def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, mark (hash of the text), kept: one row per row of ``docs``."""
     base = written(signatures(docs, id_col, text_col), "near-signatures")
     sets = ["set1", "set2", "n_shingles"]
-    classes = written(base.filter("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "near-classes")
+    first = base.filter("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    classes = written(first.select(*sets, F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("id")), "near-classes")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in sets]
-    cond = same[0] & same[1] & same[2] & (F.col("x.doc_id") == F.col("y.rep"))
-    reps = base.alias("x").join(classes.alias("y"), cond).select(F.col("x.doc_id").alias("id"), "x.bands", *[f"x.{s}" for s in SKETCH]).dropDuplicates(["id"])
+    cond = same[0] & same[1] & same[2] & (F.col("x.doc_id") == F.col("y.rep")) & (F.col("x.mark") == F.col("y.rep_mark"))
+    reps = base.alias("x").join(classes.alias("y"), cond).select("y.id", "x.bands", *[f"x.{s}" for s in SKETCH]).dropDuplicates(["id"])
     # members of buckets with company: everything below starts from these
     rows = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     member = written(rows.join(shared, "bucket"), "near-members")
     ids = member.select("id").distinct()
     sketch = written(reps.join(ids, "id").select("id", "bands", *SKETCH), "near-sketches")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    texts = written(source.join(ids, "id").dropDuplicates(["id"]), "near-texts")
+    source = docs.select(F.col(id_col).alias("rep"), F.xxhash64(text_col).alias("rep_mark"), F.col(text_col).cast("binary").alias("text"))
+    wanted = classes.join(ids, "id", "left_semi").select("id", "rep", "rep_mark")
+    texts = written(source.join(wanted, ["rep", "rep_mark"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
     nodes = sketch.select("id", F.col("id").alias("comp"))
-    most = most_differing(percent)
+    most = SLOTS if exact else most_differing(percent)
 
     # attachment: longer keys first, as they single out the most similar texts
     for width, salt in ((4, 0), (2, 1), (1, 2)):
@@ -202,8 +211,10 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
 
     nodes = closed(nodes, member, sketch, texts, most, percent)
 
-    known = base.join(classes, sets, "left").join(nodes.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
+    labelled = classes.join(nodes, "id", "left").select(*sets, "rep", F.coalesce("comp", "id").alias("comp"))
+    least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    known = base.join(labelled.join(least, "comp").select(*sets, F.col("component_id").alias("least")), sets, "left")
+    out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "mark")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -249,9 +260,8 @@ def closed(nodes: DataFrame, member: DataFrame, sketch: DataFrame, texts: DataFr
         if held is not None and held.num_rows:
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in _tiles(held, np.zeros(0, np.int64), most, percent)], schema=link)
 
-    kind = nodes.schema["comp"].dataType.simpleString()
-    link = pa.schema([("ca", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()), ("cb", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string())])
-    return relabelled(nodes, dealt.mapInArrow(run, f"ca {kind}, cb {kind}"))
+    link = pa.schema([("ca", pa.int64()), ("cb", pa.int64())])
+    return relabelled(nodes, dealt.mapInArrow(run, "ca long, cb long"))
 
 
 def _tiles(rows: pa.Table, cut: np.ndarray, most: int, percent: int) -> Iterator[tuple]:
@@ -321,14 +331,13 @@ def most_differing(percent: int) -> int:
 
 def attached(nodes: DataFrame, sketch: DataFrame, texts: DataFrame, width: int, salt: int, most: int, percent: int) -> DataFrame:
     """One pass: every text is verified against the most similar leader outside its component."""
-    kind = sketch.schema["id"].dataType.simpleString()
     keys = sketch.select("id", F.posexplode("bands").alias("band", "key"))
     if width > 1:  # several bands together
         keys = keys.groupBy("id", F.floor(F.col("band") / width).alias("band")).agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("key"))
     keys = keys.select("id", F.xxhash64("band", "key").alias("bucket"))
     order = F.xxhash64("id", F.lit(salt)) if salt else F.lit(0).cast("long")
     leader = keys.groupBy("bucket").agg(F.min_by("id", F.struct(order, "id")).alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket", "leader")
-    pairs = keys.join(leader, "bucket").filter("id != leader").select(F.col("id").alias("a"), F.col("leader").cast(kind).alias("b")).distinct()
+    pairs = keys.join(leader, "bucket").filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     sa = sketch.drop("bands").join(nodes, "id").alias("x")
     sb = sketch.drop("bands").join(nodes, "id").alias("y")
     near = pairs.join(sa, F.col("a") == F.col("x.id")).join(sb, F.col("b") == F.col("y.id")).filter(F.col("x.comp") != F.col("y.comp"))

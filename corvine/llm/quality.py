@@ -6,7 +6,8 @@ identity: the sum of all pairwise interactions  sum_{i<j} <v_i, v_j> x_i x_j  eq
 occurrence is one feature instance with value 1/sqrt(words); a statistic is one feature with value 1.
 
 Training uses a bounded, documented sample of labelled rows outside the held-out remainder; what
-comes to the driver are their hashed words and statistics, never more than ``sample`` rows.
+comes to the driver are their hashed words and statistics, of at most ``sample`` rows with ``chars`` characters
+together. The order in which rows arrive does not matter.
 
 Defined results: null, empty and blank texts are scored from their (zero) statistics; null ids are
 scored and not held out; null labels are ignored; with one class or no label the score is the smoothed
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.textvec import Words, chunks, mix
-from corvine.llm.toxicity import held_out, labelled
+from corvine.llm.toxicity import held_out, sampled
 
 DIMS = 1 << 15
 RANK = 4
 BINS = 12
 SAMPLE = 8000
+SAMPLE_CHARS = 48_000_000
 STATS = ("bytes", "words", "mean_word", "long_words", "alpha", "upper", "digit", "symbol", "pipe", "bang", "stop", "comma", "high", "lines", "mean_line", "distinct", "repeat_next", "top_word", "distinct_lines", "symbol_words", "short_lines")
 
 
@@ -192,9 +194,9 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fit on at most ``sample`` labelled rows; statistics and hashed words are computed where the texts are."""
-    rows = labelled(docs, labels, sample, mod, rest, "quality", id_col, text_col).select(F.col("text").cast("binary").alias("text"), "y")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS) -> Machine:
+    """Fit on at most ``sample`` labelled rows and ``chars`` characters, in the order of a hash of the id; statistics and hashed words are computed where the texts are."""
+    rows = sampled(docs, labels, sample, chars, mod, rest, "quality", id_col, text_col).select(F.col("text").cast("binary").alias("text"), "y", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 5
                 ids = hashed_words(w).astype(np.uint16)
                 cut = np.append(w.at, len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(stats.tolist(), pa.list_(pa.float64())), pa.array([ids[cut[i] : cut[i] + w.count[i]].tobytes() for i in range(w.n)], pa.binary()), batch.column(1).slice(a, b - a)], ["stats", "ids", "y"]
+                    [pa.array(stats.tolist(), pa.list_(pa.float64())), pa.array([ids[cut[i] : cut[i] + w.count[i]].tobytes() for i in range(w.n)], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["stats", "ids", "y", "h"]
                 )
 
-    got = rows.mapInArrow(run, "stats array<double>, ids binary, y int").collect()
+    got = sorted(rows.mapInArrow(run, "stats array<double>, ids binary, y int, h long").collect(), key=lambda r: (r.h, bytes(r.ids), r.stats, r.y))
     stats = np.array([r.stats for r in got]).reshape(-1, len(STATS))
     return fit(stats, [np.frombuffer(r.ids, np.uint16).astype(np.int64) for r in got], np.array([r.y for r in got], float))
 

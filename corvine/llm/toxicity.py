@@ -338,19 +338,23 @@ _kept: dict[int, tuple] = {}
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 3, rest: int = 1, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS) -> Crf:
     """Fit on at most ``sample`` labelled rows and ``chars`` characters outside the held-out remainder, picked by hash order."""
+    rows = sampled(docs, labels, sample, chars, mod, rest, label, id_col, text_col)
+    got = sorted((r.h, r.text, r.y) for r in rows.collect())
+    return fit([t for _, t, _ in got], [y for _, _, y in got])
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, chars: int, mod: int, rest: int, label: str, id_col: str, text_col: str) -> DataFrame:
+    """h (hash of the id), text, y of at most ``sample`` labelled rows that have ``chars`` characters together, taken in the order of h."""
     rows = labelled(docs, labels, sample, mod, rest, label, id_col, text_col)
-    # lengths first: only texts within the bound come to the driver
+    # lengths first: only texts within the bound are asked for
     sizes = sorted((r.h, str(r.doc_id), r.doc_id, r.n) for r in rows.groupBy("h", "doc_id").agg(F.sum(F.length("text")).alias("n")).collect())
     kept, left = [], chars
     for _, _, i, n in sizes:
         if n <= left:
             kept.append((i,))
             left -= n
-    if not kept:
-        return fit([], [])
-    chosen = docs.sparkSession.createDataFrame(kept, f"doc_id {docs.schema[id_col].dataType.simpleString()}")
-    got = sorted((r.h, r.text, r.y) for r in rows.join(F.broadcast(chosen), "doc_id").select("h", "text", "y").collect())
-    return fit([t for _, t, _ in got], [y for _, _, y in got])
+    chosen = docs.sparkSession.createDataFrame(kept, f"_id {docs.schema[id_col].dataType.simpleString()}")
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("h", "text", "y")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, mod: int, rest: int, label: str, id_col: str, text_col: str) -> DataFrame:

@@ -52,6 +52,14 @@ def test_quality_on_held_out_rows(spark, corpus):
     assert all(r.predicted == int(r.score >= 0.3) for r in out)
 
 
+def test_quality_ignores_row_order_and_clashing_columns(spark, corpus):
+    docs, labels = tables(spark, corpus)
+    one = quality.train(docs.repartition(3), labels)
+    two = quality.train(docs.orderBy(F.desc("text")), labels.withColumn("text", F.lit("x")).withColumn("h", F.lit(1)).withColumn("_id", F.lit(1)))
+    assert np.array_equal(one.words, two.words) and one.w0 == two.w0
+    assert quality.train(docs, labels, chars=20_000).w0 != one.w0
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(2)
     m = quality.Machine(np.zeros((len(quality.STATS), quality.BINS - 1)), 0.3, rng.normal(size=(quality.DIMS, 1 + quality.RANK)), rng.normal(size=(len(quality.STATS) * quality.BINS, 1 + quality.RANK)))
@@ -364,8 +372,9 @@ def test_tree_matching_is_optimal():
 
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
-    from corvine.llm import exact_dedup, near_dedup
+    from corvine.llm import exact_dedup
     from corvine.session import table
+    from tests.llm.test_repeats import groups
 
     docs = table(spark, sf, "documents")
     columns, before = docs.columns, docs
@@ -379,7 +388,8 @@ def test_pipeline_stages(spark, sf):
         elif name == "exact dedup":
             gone = {r.doc_id for r in exact_dedup.exact_dedup(before).collect() if not r.kept}
         elif name == "near dedup":
-            gone = {r.doc_id for r in near_dedup.near_groups(before).collect() if not r.kept}
+            texts = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            gone = {i for i, (_, root) in groups(texts, 80).items() if root != i}
         else:
             gone = {r.doc_id for r in decontamination.contaminated(before, table(spark, sf, "benchmark")).collect()}
         assert ids(after) == ids(before) - gone, name
@@ -407,3 +417,25 @@ def test_pipeline_near_stage_links_from_four_fifths(spark):
     assert want < {i for i, (_, root) in groups(rows).items() if root == i}
     kept = corpus_pipeline.near_out(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_pipeline_of_awkward_rows(spark, sf):
+    """Null and repeated ids, empty texts, clashing columns and an empty table go through every stage."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, long), (None, "other text"), (None, None), (1, long + "\n"), (1, "one more"), (2, ""), (3, "   "), (4, "x " * 50_000), (4, "x " * 50_000), (5, long[:-1] + "x")]
+    extra = "key long, sha string, norm string, mark long, rep long, id long, comp long, item_id string, n_tokens long, _picked long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "a", "b", 2, 3, 4, 5, "c", 6, 7) for i, t in rows], f"doc_id long, text string, lang string, source string, {extra}")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        held[name] = sorted(str((r.doc_id, r.text)) for r in out.select("doc_id", "text").collect())
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert held["toxicity"] == held["decontamination"] == sorted(map(str, rows))
+    # of the long text the longer row under id 1 stays, of the blank ones that with most characters, of the repeated row both
+    assert held["exact dedup"] == sorted(str(r) for r in [rows[1], rows[3], rows[4], rows[6], *rows[7:]])
+    assert held["near dedup"] == sorted(str(r) for r in rows if r[0] != 5)
+    last = corpus_pipeline.mix(spark, docs, sf)
+    assert last.count() <= len(rows) and corpus_pipeline.mix(spark, docs.limit(0), sf).count() == 0

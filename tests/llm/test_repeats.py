@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvine.llm import induced, near_dedup, suffix_dedup
+from corvine.llm.components import components
 
 CLASH = "doc_id long, text string, doc long, seed string, kept string, n_bytes long, open string, comp long, rep long, bucket string, id long, set1 long"
 REST = (1, "s", "k", 2, "o", 3, 4, "b", 5, 6)
@@ -165,6 +167,23 @@ def test_near_groups(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id), r
 
 
+def test_near_groups_of_ids_that_repeat(spark):
+    """Rows of one id with different texts are different documents; ids of any type; nothing passed over by sketch."""
+    text = lambda k: " ".join(f"{k}word{j}" for j in range(40))
+    rows = [("b", text(1)), ("a", text(1) + " end"), ("b", text(2)), ("c", text(2)), ("c", text(2)), ("c", text(3)), (None, text(1)), ("d", "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id string, text string, id long, mark long").repartition(3)
+    want = sorted(map(str, [("b", "a", False), ("a", "a", True), ("b", "b", True), ("c", "b", False), ("c", "b", False), ("c", "c", True), (None, None, True), ("d", "d", True)]))
+    for exact in (False, True):
+        assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in near_dedup.near_groups(docs, exact=exact).collect()) == want
+
+
+def test_components_end_settled_or_not_at_all(spark):
+    chain = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, rounds=1)
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], CLASH)).count() == 0
 
