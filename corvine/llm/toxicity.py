@@ -41,6 +41,7 @@ DIMS = 1 << 16
 SAMPLE = 5000
 SAMPLE_CHARS = 24_000_000
 REMEMBER = 200_000
+WIDTH = 7  # features of a token
 EPOCHS = 80
 RIDGE = 0.02
 LONG = 1 << 20
@@ -242,7 +243,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Crf:
     chain = Chain(np.array([len(x) for x in words], np.int64))
     word = np.concatenate(words)
     del words
-    feats = np.array([features(x) for x in ids], np.int64)
+    feats = np.fromiter((f for x in ids for f in features(x)), np.int32, WIDTH * len(ids)).reshape(-1, WIDTH)
     used, inverse = np.unique(feats, return_inverse=True)
     inverse = inverse.reshape(feats.shape)
     y = np.array([bool(v) for _, v in some])
