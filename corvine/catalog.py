@@ -227,16 +227,18 @@ def _(i: Inputs) -> DataFrame:
     "context_sources",
     FUSED
     + """, top AS (SELECT * FROM fused WHERE final_rank <= 5), qn AS (SELECT DISTINCT query_id FROM top),
-    more AS (SELECT q.query_id, d.doc_id FROM qn q CROSS JOIN (SELECT doc_id FROM docs WHERE doc_id < 12) d ANTI JOIN top USING (query_id, doc_id)),
+    ordered AS (SELECT filename, doc_id, row_number() OVER (PARTITION BY filename ORDER BY ordinal) AS n FROM files),
+    heads AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position FROM ordered WHERE n = 1),
+    more AS (SELECT q.query_id, d.doc_id FROM qn q CROSS JOIN (SELECT doc_id FROM heads WHERE position <= 12) d ANTI JOIN top USING (query_id, doc_id)),
     tags AS (SELECT query_id, origin_channels, doc_id FROM top UNION ALL SELECT query_id, 'corpus_overview', doc_id FROM more)
     SELECT DISTINCT query_id, concat('DocRRF[', origin_channels, ']:', filename) AS source FROM tags JOIN files USING (doc_id)
     UNION SELECT query_id, concat('Neo4j:', 'Region', ':', entity) FROM wanted WHERE tenant_id = 'acme'""",
 )
 def _(i: Inputs) -> DataFrame:
     top = fused(i).filter("final_rank <= 5")
-    each = top.select("tenant_id", "query_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<long>")).alias("doc_id"))
-    extra = each.join(i.docs.select("doc_id"), "doc_id", "left_semi")
-    chunks_ = i.files.select(F.lit("default").alias("tenant_id"), "doc_id", "filename")
+    files_ = i.files.withColumn("tenant_id", F.lit("default"))
+    extra = top.select("tenant_id", "query_id").distinct().join(fusion.overview(files_).select("tenant_id", "doc_id"), "tenant_id")
+    chunks_ = files_.select("tenant_id", "doc_id", "filename")
     nodes = i.wanted.filter("tenant_id = 'acme'").select(F.lit("default").alias("tenant_id"), "query_id", F.lit("Region").alias("type"), F.col("entity").alias("name"))
     return fusion.context_sources(top, chunks_, nodes, extra).drop("tenant_id")
 
@@ -327,29 +329,6 @@ def _(i: Inputs) -> DataFrame:
     return graph.shortest_paths(i.edges, ranked, 4)
 
 
-def from_every(sql: str) -> str:
-    """The same statement with the starts at all nodes."""
-    return re.sub(r"\bstarts\b", "every_start", sql)
-
-
-@query("expand_1hop_all", from_every(expansion(1)))
-def _(i: Inputs) -> DataFrame:
-    return graph.expand(i.edges, i.every_start, 1)
-
-
-@query("expand_2hop_all", from_every(expansion(2)))
-def _(i: Inputs) -> DataFrame:
-    return graph.expand(i.edges, i.every_start, 2)
-
-
-@query("shortest_path_all", from_every(SHORTEST))
-def _(i: Inputs) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = i.every_start.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name")))
-    return graph.shortest_paths(i.edges, ranked, 4)
-
-
 @query(
     "central_paths",
     "WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY src, rel_type, dst) AS n FROM edges WHERE src <> dst) SELECT tenant_id, concat('(', src, ') -[:', rel_type, ']-> (', dst, ')') AS path_str, n FROM r WHERE n <= 20",
@@ -425,22 +404,11 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "entity_lookup",
-    f"""WITH w AS (SELECT DISTINCT tenant_id, query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9áéíóúÁÉÍÓÚñÑüÜ]{{3,}}'), lambda w : NOT list_contains([{quoted(V.LOOKUP_STOP)}], w))) AS word FROM asked WHERE query_id < 0),
-    m AS (SELECT DISTINCT w.tenant_id, query_id, lower(trim(name)) AS name FROM nodes n JOIN w USING (tenant_id) WHERE contains(lower(trim(name)), word)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS n FROM m) SELECT * FROM r WHERE n <= 15""",
-)
-def _(i: Inputs) -> DataFrame:
-    return graph.lookup(i.nodes, i.asked.filter("query_id < 0"))
-
-
-@query(
-    "entity_lookup_all",
     f"""WITH w AS (SELECT DISTINCT tenant_id, query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9áéíóúÁÉÍÓÚñÑüÜ]{{3,}}'), lambda w : NOT list_contains([{quoted(V.LOOKUP_STOP)}], w))) AS word FROM asked),
     m AS (SELECT DISTINCT w.tenant_id, query_id, lower(trim(name)) AS name FROM nodes n JOIN w USING (tenant_id) WHERE contains(lower(trim(name)), word)),
     r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS n FROM m) SELECT * FROM r WHERE n <= 15""",
 )
 def _(i: Inputs) -> DataFrame:
-    """Every question; ``entity_lookup`` keeps to the template questions that its SQL names."""
     return graph.lookup(i.nodes, i.asked)
 
 
@@ -814,21 +782,12 @@ def _(i: Inputs) -> DataFrame:
     return ids.withColumn("filename", T.file_of_chunk(F.col("id")))
 
 
-LINES = """ln AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0),
+LINES = """ln AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
     fl AS (SELECT *, sum(CASE WHEN starts_with(trim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS fenced FROM ln)"""
 
 
 @query("chunk_lines", f"WITH {LINES} SELECT doc_id, count(*) AS lines, count(CASE WHEN fenced THEN 1 END) AS fenced, count(CASE WHEN NOT fenced AND trim(line) LIKE '|%' AND trim(line) LIKE '%|' THEN 1 END) AS rows FROM fl GROUP BY 1")
 def _(i: Inputs) -> DataFrame:
-    return line_counts(i.documents.filter("doc_id % 2 = 0"))
-
-
-LINES_ALL = LINES.replace(" WHERE doc_id % 2 = 0", "")
-
-
-@query("chunk_lines_all", f"WITH {LINES_ALL} SELECT doc_id, count(*) AS lines, count(CASE WHEN fenced THEN 1 END) AS fenced, count(CASE WHEN NOT fenced AND trim(line) LIKE '|%' AND trim(line) LIKE '%|' THEN 1 END) AS rows FROM fl GROUP BY 1")
-def _(i: Inputs) -> DataFrame:
-    """Every document; ``chunk_lines`` keeps to the half that its SQL names."""
     return line_counts(i.documents)
 
 
@@ -994,8 +953,8 @@ def _(i: Inputs) -> DataFrame:
 
 @query("stored_chunks")
 def _(i: Inputs) -> DataFrame:
-    """Chunks as stored: written partitioned by organisation and read back with one partition pruned to."""
+    """Chunks as stored: written partitioned by organisation and read back."""
     d = i.documents.select(F.col("source").alias("tenant_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), "text")
     out = f"{shared_dir(i.spark)}/corvine/{jobs.place(i.spark, 'chunks').rsplit('/', 1)[-1]}"
     chunks.stored_id(chunks.chunk_documents(d)).write.partitionBy("tenant_id").parquet(out)
-    return written(i.spark.read.parquet(out).filter("tenant_id = 'src1'").select("id", "chunk_index", "char_count"), "chunks-of-one")
+    return written(i.spark.read.parquet(out).select("tenant_id", "id", "chunk_index", "char_count"), "chunks-of-all")

@@ -35,9 +35,8 @@ BASE = {
     " UNION ALL SELECT 'beta', concat('supplier:', cast(s_suppkey AS string)), 'LOCATED_IN', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"
     " UNION ALL SELECT t, n_name, 'PART_OF', concat('REGION ', r_name) FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT 'acme' AS t UNION ALL SELECT 'beta') x",
     "wanted": "SELECT 'acme' AS tenant_id, r_regionkey AS query_id, concat('REGION ', r_name) AS entity FROM region UNION ALL SELECT 'beta', n_nationkey + 10, concat(' ', n_name, ' supplier:7') FROM nation",
-    "starts": "SELECT 'beta' AS tenant_id, cast(s_suppkey % 5 AS bigint) AS query_id, concat('supplier:', cast(s_suppkey AS string)) AS name FROM supplier WHERE s_suppkey <= 40",
     # all nodes: customers and suppliers by nation, nations by region, regions together
-    "every_start": "SELECT 'acme' AS tenant_id, cast(c_nationkey AS bigint) AS query_id, concat('customer:', cast(c_custkey AS string)) AS name FROM customer"
+    "starts": "SELECT 'acme' AS tenant_id, cast(c_nationkey AS bigint) AS query_id, concat('customer:', cast(c_custkey AS string)) AS name FROM customer"
     " UNION ALL SELECT 'beta', cast(s_nationkey AS bigint), concat('supplier:', cast(s_suppkey AS string)) FROM supplier"
     " UNION ALL SELECT t, cast(n_regionkey + 1000 AS bigint), n_name FROM nation CROSS JOIN (SELECT 'acme' AS t UNION ALL SELECT 'beta') x"
     " UNION ALL SELECT t, cast(2000 AS bigint), concat('REGION ', r_name) FROM region CROSS JOIN (SELECT 'acme' AS t UNION ALL SELECT 'beta') x",
