@@ -136,13 +136,48 @@ def expanded_terms(entities: DataFrame) -> DataFrame:
     return entities.filter(F.length(whole) >= 2).select("tenant_id", "query_id", F.explode(terms).alias("term")).distinct()
 
 
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """Distinct runs of ``GRAM`` characters; none of a shorter text."""
+    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def holding(long: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs (tenant_id, long, short) where the text of ``long`` holds that of ``short``; both have tenant_id and a distinct text column.
+
+    Who holds a text holds its first ``GRAM`` characters, so the join is an equi-join on them; only texts that are shorter
+    than that meet all others of their tenant.
+    """
+    first = short.filter(F.length("short") >= GRAM).select("tenant_id", F.substring("short", 1, GRAM).alias("gram"), "short")
+    each = long.select("tenant_id", "long", F.explode(grams(F.col("long"))).alias("gram"))
+    met = each.join(first, ["tenant_id", "gram"]).filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
+    tiny = short.filter(F.length("short") < GRAM)
+    rest = long.join(broadcast_if_small(tiny), "tenant_id").filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
+    return met.unionByName(rest)
+
+
 def seeds(nodes: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
-    """Nodes whose name holds a term or is held by one, or whose type holds one. Substring matching is a theta join
-    inside a tenant, run against the query terms only."""
-    name, term = F.lower("name"), F.lower("term")
-    hit = F.contains(name, term) | F.contains(term, name) | F.contains(F.lower(F.coalesce("type", F.lit(""))), term)
-    met = nodes.select(*KEY, "type").join(broadcast_if_small(terms), "tenant_id").filter(hit).select("tenant_id", "query_id", "name", "type").distinct()
-    rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name"))
+    """Nodes whose name holds a term or is held by one, or whose type holds one.
+
+    Distinct terms are matched, each keeps its first ``limit`` nodes (a query's first ones are among them), then
+    queries meet the nodes of their terms.
+    """
+    words = terms.select("tenant_id", F.lower("term").alias("word")).distinct()
+    named = nodes.select(*KEY, "type", F.lower("name").alias("low")).distinct()
+    names, word = named.select("tenant_id", "low").distinct(), words.select("tenant_id", F.col("word").alias("short"))
+    inside = holding(names.withColumnRenamed("low", "long"), word).select("tenant_id", F.col("long").alias("low"), F.col("short").alias("word"))
+    around = holding(words.withColumnRenamed("word", "long"), names.withColumnRenamed("low", "short")).select("tenant_id", F.col("short").alias("low"), F.col("long").alias("word"))
+    by_name = named.join(inside.unionByName(around).distinct(), ["tenant_id", "low"]).select("tenant_id", "word", "name", "type")
+    kinds = named.filter("type is not null").select("tenant_id", "type", F.lower("type").alias("kind"))
+    typed = holding(kinds.select("tenant_id", F.col("kind").alias("long")).distinct(), word).select("tenant_id", F.col("long").alias("kind"), F.col("short").alias("word"))
+    heads = first_rows(named.filter("type is not null").select(*KEY, "type", F.lower("type").alias("kind")), ["tenant_id", "kind"], [F.col("name"), F.col("type")], limit, "_k")
+    by_type = heads.join(typed, ["tenant_id", "kind"]).select("tenant_id", "word", "name", "type")
+    some = first_rows(by_name.unionByName(by_type).distinct(), ["tenant_id", "word"], [F.col("name"), F.col("type").asc_nulls_first()], limit, "_n").drop("_n")
+    met = terms.select("tenant_id", "query_id", F.lower("term").alias("word")).join(some, ["tenant_id", "word"]).select("tenant_id", "query_id", "name", "type").distinct()
+    rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name", F.col("type").asc_nulls_first()))
     return met.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
@@ -309,7 +344,9 @@ def lookup(nodes: DataFrame, questions: DataFrame, limit: int = 15) -> DataFrame
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-Z0-9áéíóúÁÉÍÓÚñÑüÜ]{3,}"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in V.LOOKUP_STOP])
     asked = questions.select("tenant_id", "query_id", F.explode(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stop, w)))).alias("word"))
-    met = nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).join(broadcast_if_small(asked), "tenant_id").filter(F.contains("name", F.col("word")))
-    once = met.select("tenant_id", "query_id", "name").distinct()
+    names = nodes.select("tenant_id", F.lower(F.trim("name")).alias("long")).distinct()
+    met = holding(names, asked.select("tenant_id", F.col("word").alias("short")).distinct()).select("tenant_id", F.col("short").alias("word"), F.col("long").alias("name"))
+    some = first_rows(met.distinct(), ["tenant_id", "word"], [F.col("name")], limit, "_n").drop("_n")
+    once = asked.join(some, ["tenant_id", "word"]).select("tenant_id", "query_id", "name").distinct()
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("name"))
     return once.withColumn("n", rank).filter(F.col("n") <= limit)

@@ -48,12 +48,18 @@ def multi(hits: DataFrame, k: int = 15) -> DataFrame:
 
 def hashed_embedding(terms: Column, dims: int = 64) -> Column:
     """Deterministic stand-in embedder: signed hashed term counts."""
-    zero = F.array_repeat(F.lit(0.0), dims)
+    hashed = F.transform(terms, lambda t: F.xxhash64(t))
+    # one-element array: what it holds is computed once, not once per dimension
+    once = F.array(F.struct(hashed.alias("h")))
 
-    def add(acc: Column, t: Column) -> Column:
-        h = F.xxhash64(t)
-        place = F.pmod(h, F.lit(dims)).cast("int")
-        sign = F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
-        return F.transform(acc, lambda x, i: F.when(i == place, x + sign).otherwise(x))
+    def split(h: Column) -> Column:
+        place = lambda x: F.pmod(x, F.lit(dims)).cast("int")
+        even = lambda x: F.shiftright(x, 40).bitwiseAND(F.lit(1)) == 0
+        return F.struct(F.transform(F.filter(h, even), place).alias("plus"), F.transform(F.filter(h, lambda x: ~even(x)), place).alias("minus"))
 
-    return F.aggregate(terms, zero, add)
+    def count(places: Column, d: Column) -> Column:
+        return F.size(places) - F.size(F.array_remove(places, d))
+
+    parts = F.transform(once, lambda s: split(s["h"]))
+    sums = F.transform(parts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (count(s["plus"], d) - count(s["minus"], d)).cast("double")))
+    return F.when(terms.isNotNull(), F.element_at(sums, 1))

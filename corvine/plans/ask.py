@@ -65,7 +65,7 @@ def ask(
 
     def facts(asked: DataFrame, hops: int) -> DataFrame:
         need = asked.filter("needs_graph")
-        found = graph.seeds(nodes, graph.expanded_terms(entities_of(need)))
+        found = written(graph.seeds(nodes, graph.expanded_terms(entities_of(need))), "ask-seeds")
         paths = graph.expand(edges, found.select("tenant_id", "query_id", "name"), hops)
         n = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_nodes"))
         return n.join(paths.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_paths")), KEY, "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import any_in, exact_identifiers, is_abstention
-from corvine.storage import broadcast_if_small
+from corvine.operators.graph import holding
 
 
 def signals(questions: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def signals(questions: DataFrame) -> DataFrame:
 def mentions(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Catalogue names inside a question, without those that a longer mentioned name contains."""
     q = questions.select("tenant_id", "query_id", F.trim(F.lower("text")).alias("q"))
-    met = q.join(broadcast_if_small(catalogue.select("tenant_id", "name")), "tenant_id").filter(F.contains("q", F.col("name"))).select("tenant_id", "query_id", "name")
+    held = holding(q.select("tenant_id", F.col("q").alias("long")).distinct(), catalogue.select("tenant_id", F.col("name").alias("short")).distinct())
+    met = q.join(held.select("tenant_id", F.col("long").alias("q"), F.col("short").alias("name")), ["tenant_id", "q"]).select("tenant_id", "query_id", "name")
     other = met.select("tenant_id", "query_id", F.col("name").alias("longer"))
     inside = met.join(other, ["tenant_id", "query_id"]).filter(F.contains("longer", F.col("name")) & (F.length("longer") > F.length("name")))
     return met.join(inside.select("tenant_id", "query_id", "name").distinct(), ["tenant_id", "query_id", "name"], "left_anti")
