@@ -22,9 +22,10 @@ SCHEMAS = {
     "chunks": "tenant_id string, filename string, chunk_id string, chunk_index int, header_path string, text string, is_table boolean, char_count int",
     "nodes": "tenant_id string, name string, type string, source_doc string, source_docs array<string>",
     "edges": "tenant_id string, src string, rel_type string, dst string, source_docs array<string>",
+    "answers": "tenant_id string, query string, embedding array<double>, route string, level string, answer string, confidence double, n_sources long, put_at timestamp",
     "log": "tenant_id string, request_id long, user_id long, ts timestamp, latency_ms double, from_cache boolean",
 }
-KEYS = {"chunks": "filename", "nodes": "name", "edges": "src", "log": "request_id"}
+KEYS = {"chunks": "filename", "nodes": "name", "edges": "src", "answers": "query", "log": "request_id"}
 
 
 class Forbidden(PermissionError):
@@ -52,8 +53,8 @@ class Engine:
         return F.pmod(F.xxhash64(KEYS[name]), F.lit(self.buckets)).cast("int")
 
     def _stored(self, name: str) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        path, fs = self._path(name)
+        if not fs.exists(path):
             return self.spark.createDataFrame([], SCHEMAS[name] + ", bucket int")
         return self.spark.read.schema(SCHEMAS[name] + ", bucket int").parquet(f"{self.root}/{name}")
 
@@ -62,10 +63,19 @@ class Engine:
         t = self._stored(name).drop("bucket")
         return t if tenant is None else t.filter(F.col("tenant_id") == tenant)
 
-    def _put(self, name: str, rows: DataFrame) -> None:
-        """Replace the partitions that ``rows`` holds."""
+    def _path(self, place: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{place}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _put(self, name: str, rows: DataFrame, keys: DataFrame | None = None) -> None:
+        """Replace the partitions that ``rows`` holds, and empty those of ``keys`` (see ``_touched``) that it holds no more."""
         out = written(rows.withColumn("bucket", self._bucket(name)), name)
+        had = set() if keys is None else {(r[0], r[1]) for r in keys.select("tenant_id", self._bucket(name).alias("bucket")).distinct().collect()}
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "bucket").parquet(f"{self.root}/{name}")
+        if had:
+            for tenant, bucket in had - {(r[0], r[1]) for r in out.select("tenant_id", "bucket").distinct().collect()}:
+                path, fs = self._path(f"{name}/tenant_id={tenant}/bucket={bucket}")
+                fs.delete(path, True)
 
     def _touched(self, name: str, keys: DataFrame) -> DataFrame:
         """All stored rows of the partitions that hold one of ``keys`` (tenant_id and the table's key)."""
@@ -78,15 +88,40 @@ class Engine:
         """``docs``: tenant_id, filename, text. A file that is known is replaced, in chunks and in the graph."""
         self._need("standard")
         clean = docs.select(T.tenant_or_default(F.col("tenant_id")).alias("tenant_id"), "filename", T.clean_text(F.col("text")).alias("text"))
+        clean = written(clean, "new-documents")
+        known = clean.select("tenant_id", "filename").distinct()
         new = written(chunks.chunk_documents(clean), "new-chunks").select(*self._stored("chunks").drop("bucket").columns)
-        self._put("chunks", chunks.replace_files(self._touched("chunks", new), new))
+        self._put("chunks", chunks.replace_files(self._touched("chunks", known), new, known), known)
         raw = self.extractor(new).withColumn("ordinal", F.monotonically_increasing_id())
         kept, _ = entities.filtered(raw)
         source = raw.select("tenant_id", "ordinal", "filename")
         found = written(kept.join(source, ["tenant_id", "ordinal"]).select("tenant_id", "name", "type", F.col("filename").alias("source_doc")), "new-nodes")
-        self._put("nodes", graph.merge_nodes(self._touched("nodes", found), found))
+        self._forget(known, found)
+        self._drop_answers(known)
         return {"chunks": new.count(), "entities": found.count()}
 
+    def _forget(self, files_: DataFrame, found: DataFrame) -> None:
+        """Old nodes and edges of ``files_`` go unless other files support them; ``found`` nodes are merged in."""
+        here = broadcast_if_small(files_.select("tenant_id").distinct())
+        nodes, edges = (self._stored(name).drop("bucket").join(here, "tenant_id", "left_semi") for name in ("nodes", "edges"))
+        hit = written(graph.supports(nodes, ["tenant_id", "name"], files_), "old-nodes")
+        dead = hit.filter(F.size("left") == 0)
+        ends = [edges.join(dead.select("tenant_id", F.col("name").alias(e)), ["tenant_id", e], "left_semi").select("tenant_id", "src") for e in ("src", "dst")]
+        of_edges = graph.supports(edges, ["tenant_id", "src", "rel_type", "dst"], files_).select("tenant_id", "src").unionByName(ends[0]).unionByName(ends[1])
+        of_edges = written(of_edges.distinct(), "old-edges")
+        of_nodes = hit.select("tenant_id", "name").unionByName(found.select("tenant_id", "name")).distinct()
+        left, _ = graph.forget(self._touched("nodes", of_nodes), edges.limit(0), files_)
+        # dead nodes may lie in other partitions than the edges that end at them, so all of the organisations' nodes decide
+        _, rest = graph.forget(nodes, self._touched("edges", of_edges), files_)
+        rest = written(rest, "left-edges")
+        self._put("nodes", graph.merge_nodes(left, found), of_nodes)
+        self._put("edges", rest, of_edges)
+
+    def _drop_answers(self, keys: DataFrame) -> None:
+        """Cached answers of organisations whose corpus changed are void."""
+        for r in keys.select("tenant_id").distinct().collect():
+            self._drop_tenant("answers", r[0])
+
     def ingest_files(self, path: str, tenant: str, glob: str = "*") -> dict[str, int]:
         read = files.extracted(files.read_files(self.spark, path, glob)).filter("error is null")
         return self.ingest(read.select(F.lit(tenant).alias("tenant_id"), F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), "text"))
@@ -122,27 +157,53 @@ class Engine:
         for name, rows in ready:
             self._drop_tenant(name, tenant)
             rows.write.mode("append").partitionBy("tenant_id", "bucket").parquet(f"{self.root}/{name}")
+        self._drop_tenant("answers", tenant)
         return True
 
     def _drop_tenant(self, name: str, tenant: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/tenant_id={tenant}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._path(f"{name}/tenant_id={tenant}")
+        fs.delete(path, True)
 
-    def reset(self, tenant: str) -> None:
-        """Everything of one organisation, and of no other."""
+    def reset(self, tenant: str | None = None) -> None:
+        """Everything of one organisation, and of no other; without one, of all."""
         self._need("admin")
         for name in SCHEMAS:
-            self._drop_tenant(name, tenant)
+            if tenant is None:
+                path, fs = self._path(name)
+                fs.delete(path, True)
+            else:
+                self._drop_tenant(name, tenant)
 
     def record(self, log: DataFrame) -> None:
         log.withColumn("bucket", self._bucket("log")).write.mode("append").partitionBy("tenant_id", "bucket").parquet(f"{self.root}/log")
 
     # --- reading --------------------------------------------------------------------------------------
 
-    def ask(self, questions: DataFrame, **models) -> DataFrame:
-        """``questions``: tenant_id, query_id, text. See ``plans.ask``."""
+    def ask(self, questions: DataFrame, cached: bool = True, **models) -> DataFrame:
+        """``questions``: tenant_id, query_id, text. See ``plans.ask``; ``origin`` says whether an answer came from the cache.
+
+        Questions that look like an attack are not answered. An answer is kept until the organisation's corpus changes.
+        """
+        safe = questions.filter(~T.is_injection(F.col("text")))
+        embedder = models.get("embedder", asking.embed)
+        columns = ["tenant_id", "query_id", "route", "level", "answer", "confidence", "n_sources", "retried"]
         c = self.table("chunks").select("tenant_id", F.col("chunk_id").alias("doc_id"), "filename", "text")
-        return asking.ask(questions, c, self.table("nodes").drop("source_doc", "source_docs"), self.table("edges").drop("source_docs"), **models)
+        nodes, edges = self.table("nodes").drop("source_doc", "source_docs"), self.table("edges").drop("source_docs")
+        if not cached:
+            return asking.ask(safe, c, nodes, edges, **models).select(*columns, F.lit("generation").alias("origin"))
+        known = self.table("answers")
+        asked = safe.select("tenant_id", "query_id", "text", embedder(F.col("text")).alias("embedding"))
+        entries = known.select("tenant_id", F.col("query").alias("doc_id"), "embedding", F.col("query").alias("original_query"))
+        hits = written(cache.lookup(entries, asked).filter("hit").select("tenant_id", "query_id", F.col("doc_id").alias("query")), "cache-hits")
+        again = known.join(hits, ["tenant_id", "query"]).withColumn("retried", F.lit(False)).select(*columns, F.lit("cache").alias("origin"))
+        fresh = safe.join(hits.select("tenant_id", "query_id"), ["tenant_id", "query_id"], "left_anti")
+        new = written(asking.ask(fresh, c, nodes, edges, **models).select(*columns), "new-answers")
+        put = new.join(asked, ["tenant_id", "query_id"]).select("tenant_id", F.col("text").alias("query"), "embedding", "route", "level", "answer", "confidence", "n_sources", F.current_timestamp().alias("put_at"))
+        keys = put.select("tenant_id", "query").distinct()
+        old = self._touched("answers", keys).join(keys, ["tenant_id", "query"], "left_anti")
+        once = put.groupBy("tenant_id", "query").agg(F.max(F.struct("put_at", "embedding", "route", "level", "answer", "confidence", "n_sources")).alias("a")).select("tenant_id", "query", "a.*")
+        self._put("answers", old.unionByName(once))
+        return written(again, "cache-answers").unionByName(new.withColumn("origin", F.lit("generation")))
 
     def documents(self, tenant: str) -> DataFrame:
         return metrics.list_documents(self.table("chunks", tenant)).orderBy(F.lower("filename"))

@@ -165,9 +165,9 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     return store.join(new.select("id").distinct(), "id", "left_anti").unionByName(new)
 
 
-def replace_files(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Re-ingestion: all old chunks of the files in ``new`` go, whatever their number."""
-    files = new.select("tenant_id", "filename").distinct()
+def replace_files(store: DataFrame, new: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Re-ingestion: all old chunks of ``files`` (those in ``new``, if not given) go, whatever their number."""
+    files = (new if files is None else files).select("tenant_id", "filename").distinct()
     return store.join(files, ["tenant_id", "filename"], "left_anti").unionByName(new)
 
 

@@ -97,6 +97,36 @@ def delete_document(nodes: DataFrame, edges: DataFrame, filename: str, tenant: s
 # --- counting ---------------------------------------------------------------------------------------
 
 
+def supports(rows: DataFrame, key: list[str], files: DataFrame) -> DataFrame:
+    """Key, ``left`` (documents that still support a row, in order) of the rows that one of ``files`` (tenant_id, filename) supports."""
+    gone = files.select("tenant_id", F.lower("filename").alias("_doc")).distinct()
+    none = F.array().cast("array<string>")
+    first = F.when(F.col("source_doc").isNotNull(), F.array("source_doc")).otherwise(none) if "source_doc" in rows.columns else none
+    each = rows.select(*key, F.posexplode(F.array_distinct(F.concat(F.coalesce("source_docs", none), first))).alias("_n", "_by")).withColumn("_doc", F.lower("_by"))
+    marked = each.join(gone.withColumn("_gone", F.lit(True)), ["tenant_id", "_doc"], "left")
+    one = F.when(F.col("_gone").isNull(), F.struct("_n", "_by"))
+    by_key = marked.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("_left"), F.count("_gone").alias("_hits"))
+    return by_key.filter("_hits > 0").select(*key, F.transform("_left", lambda x: x["_by"]).alias("left"))
+
+
+def forget(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges once ``files`` (tenant_id, filename) are replaced: rows that only they support go, shared ones forget them.
+
+    Edges of a node that goes, go with it. Rows without any provenance stay.
+    """
+    hit = supports(nodes, KEY, files)
+    kept = nodes.join(hit, KEY, "left").filter(F.col("left").isNull() | (F.size("left") > 0))
+    still = F.col("left").isNull() | F.col("source_doc").isNull() | F.array_contains("left", F.col("source_doc"))
+    kept = kept.withColumn("source_doc", F.when(still, F.col("source_doc")).otherwise(F.get("left", F.lit(0)))).withColumn("source_docs", F.coalesce("left", "source_docs")).drop("left")
+    dead = hit.filter(F.size("left") == 0).select(*KEY)
+    whole = ["tenant_id", "src", "rel_type", "dst"]
+    rest = edges.join(supports(edges, whole, files), whole, "left").filter(F.col("left").isNull() | (F.size("left") > 0))
+    rest = rest.withColumn("source_docs", F.coalesce("left", "source_docs")).drop("left")
+    for end in ("src", "dst"):
+        rest = rest.join(dead.select("tenant_id", F.col("name").alias(end)), ["tenant_id", end], "left_anti")
+    return kept.select(*nodes.columns), rest.select(*edges.columns)
+
+
 def inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     ends = nodes.select(*KEY)
