@@ -56,15 +56,15 @@ def lexical_score(question: Column, passage: Column) -> Column:
 def rerank(fused: DataFrame, questions: DataFrame, passages: DataFrame, pool: int = 10, chars: int = 500, top: int = 5, scorer=lexical_score) -> DataFrame:
     """Score the first ``pool`` candidates' first ``chars`` characters and keep the best ``top``."""
     some = fused.filter(F.col("final_rank") <= pool).join(passages.select("tenant_id", "doc_id", F.substring("text", 1, chars).alias("passage")), ["tenant_id", "doc_id"])
-    asked = some.join(F.broadcast(questions.select("tenant_id", "query_id", F.col("text").alias("question"))), ["tenant_id", "query_id"])
+    asked = some.join(questions.select("tenant_id", "query_id", F.col("text").alias("question")), ["tenant_id", "query_id"])
     scored = asked.withColumn("reranker_score", F.round(scorer(F.col("question"), F.col("passage")), 4))
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("reranker_score"), "final_rank"))
     return scored.withColumn("reranker_rank", rank).filter(F.col("reranker_rank") <= top).select(*KEYS, "reranker_score", "reranker_rank")
 
 
-def bypassed(fused: DataFrame, reason: str, top: int = 5) -> DataFrame:
+def bypassed(fused: DataFrame, reason: str | Column, top: int = 5) -> DataFrame:
     """Fused order kept; the score is the fused one, marked so that evidence does not take it for a model's."""
-    return fused.filter(F.col("final_rank") <= top).select(*KEYS, F.round("rrf_score", 4).alias("reranker_score"), F.col("final_rank").alias("reranker_rank"), F.lit(f"Bypass: {reason}").alias("rerank_rationale"))
+    return fused.filter(F.col("final_rank") <= top).select(*KEYS, F.round("rrf_score", 4).alias("reranker_score"), F.col("final_rank").alias("reranker_rank"), F.concat(F.lit("Bypass: "), F.lit(reason)).alias("rerank_rationale"))
 
 
 def overview(chunks: DataFrame, limit: int = 12) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Questions to answers in batch: cache, guard, route, retrieve, grade, answer, audit, retry.
+"""Questions to answers in batch: guard, route, retrieve, rerank or not, grade, answer, audit, retry.
+
+The answer cache stands before this in ``engine.Engine.ask``. Questions about the whole corpus, and those that nothing was found for, also get the
+first chunk of each file.
 
 Every stage is a table keyed by (tenant, question); a stage that costs more sees only the questions that
 need it. Model calls are column functions that a caller may replace; the defaults are deterministic.
@@ -44,8 +47,10 @@ def ask(
     scorer: Callable[[Column, Column], Column] = fusion.lexical_score,
     generator: Callable[[Column, Column], Column] = extractive,
     embedder: Callable[[Column], Column] = embed,
+    local_model: bool = True,
 ) -> DataFrame:
-    """tenant_id, query_id, route, level, answer, confidence, n_sources, retried.
+    """tenant_id, query_id, route, level, answer, confidence, n_sources, retried. ``local_model``: reranking is cheap, so it is never passed over for
+    exact identifiers or dominant candidates.
 
     ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
     """
@@ -56,12 +61,24 @@ def ask(
     stats = lexical.collection(chunks, posts)
     vectors = written(chunks.select("tenant_id", "doc_id", embedder(F.col("text")).alias("embedding")), "ask-vectors")
 
+    heads = fusion.overview(chunks.withColumn("ordinal", F.col("doc_id"))).select("tenant_id", "doc_id", "similarity", "position")
+
     def passages(asked: DataFrame, k: int) -> DataFrame:
         lex = lexical.top_k(lexical.scores(posts, stats, lexical.query_terms(asked)), 15)
         vec = vector.top_k(vectors, asked.select(*KEY, embedder(F.col("text")).alias("embedding")), 15)
-        fused = fusion.rrf(vec, lex)
-        best = fusion.rerank(fused, asked, chunks, top=k, scorer=scorer)
-        return fused.join(best, [*KEY, "doc_id"])
+        fused = written(fusion.rrf(vec, lex), "ask-fused")
+        decided = fusion.rerank_decision(fused, asked, local_model)
+        ranked = fusion.rerank(fused.join(decided.filter("should_rerank"), KEY, "left_semi"), asked, chunks, top=k, scorer=scorer).withColumn("rerank_rationale", F.lit("model"))
+        kept = fusion.bypassed(fused.join(decided.filter("not should_rerank").select(*KEY, "reason"), KEY), F.col("reason"), k)
+        found = fused.select(*KEY, "doc_id", "vector_score", "bm25_score", F.col("vector_score").alias("similarity"))
+        best = found.join(ranked.unionByName(kept), [*KEY, "doc_id"])
+        wide = asked.filter("is_global").select(*KEY).unionByName(asked.join(fused, KEY, "left_anti").select(*KEY)).distinct()
+        more = wide.join(heads, "tenant_id").join(fused, [*KEY, "doc_id"], "left_anti")
+        more = more.select(
+            *KEY, "doc_id", F.lit(0.0).alias("vector_score"), F.lit(0.0).alias("bm25_score"), "similarity", F.lit(None).cast("double").alias("reranker_score"),
+            (F.col("position") + k).alias("reranker_rank"), F.lit("Bypass: corpus_overview").alias("rerank_rationale"),
+        )
+        return best.unionByName(more)
 
     def facts(asked: DataFrame, hops: int) -> DataFrame:
         need = asked.filter("needs_graph")
@@ -71,7 +88,7 @@ def ask(
         return n.join(paths.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_paths")), KEY, "left")
 
     def attempt(asked: DataFrame, k: int, hops: int, iteration: int) -> DataFrame:
-        hits = written(passages(asked, k).withColumn("similarity", F.col("vector_score")).withColumn("rerank_rationale", F.lit("local")), "ask-hits")
+        hits = written(passages(asked, k), "ask-hits")
         levels = decide.evidence(asked, hits, facts(asked, hops)).select(*KEY, "level", "n_passages", "rerank")
         first = F.row_number().over(Window.partitionBy(*KEY).orderBy("reranker_rank"))
         top = hits.withColumn("_n", first).filter("_n = 1").select(*KEY, "doc_id").join(chunks.select("tenant_id", "doc_id", F.col("text").alias("passage")), ["tenant_id", "doc_id"])
@@ -83,12 +100,12 @@ def ask(
         level = F.coalesce("level", F.lit(V.D))
         step = decide.retry(level, F.col("faithful") & (F.col("confidence") >= 0.45), F.lit(iteration), F.col("confidence"))
         return checked.select(
-            *KEY, "text", "route", "needs_graph", decide.final_level(level, F.col("answer")).alias("level"), "answer", decide.final_confidence(level, F.col("answer"), F.col("confidence")).alias("confidence"),
+            *KEY, "text", "route", "is_global", "needs_graph", decide.final_level(level, F.col("answer")).alias("level"), "answer", decide.final_confidence(level, F.col("answer"), F.col("confidence")).alias("confidence"),
             F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_sources"), step.alias("next"), F.lit(iteration > 0).alias("retried"),
         )
 
     one = written(attempt(routed, 5, 2, 0), "ask-first")
-    again = one.filter("next = 'refine'").select(*KEY, F.concat("text", F.lit(" detalles especificacion")).alias("text"), "route", "needs_graph")
+    again = one.filter("next = 'refine'").select(*KEY, F.concat("text", F.lit(" detalles especificacion")).alias("text"), "route", "is_global", "needs_graph")
     two = attempt(again, 8, 3, 1)
     columns = [*KEY, "route", "level", "answer", "confidence", "n_sources", "retried"]
     return one.filter("next <> 'refine'").select(*columns).unionByName(two.select(*columns))

@@ -349,3 +349,17 @@ def test_ask_answers_and_abstains(spark):
     assert set(got) == {"1", "2"}
     assert got["1"].level == V.A and "500 euros" in got["1"].answer and got["1"].confidence > 0
     assert got["2"].level in (V.D, V.C) and got["2"].confidence == 0
+
+
+def test_ask_decides_on_reranking_and_overview(spark):
+    """Global questions get every file's head; with a remote model exact codes are not reranked."""
+    from corvine.plans import ask as asking
+
+    chunks_ = spark.createDataFrame([("t", k, f"f{k}.md", f"El documento {k} trata de maquinas y motores ZX-77-{k}") for k in range(4)], "tenant_id string, doc_id long, filename string, text string")
+    nodes = spark.createDataFrame([("t", "maquinas", "Concept")], "tenant_id string, name string, type string")
+    edges = spark.createDataFrame([], "tenant_id string, src string, rel_type string, dst string")
+    q = spark.createDataFrame([("t", "g", "¿Qué tienen en común los documentos?"), ("t", "c", "ZX-77-2"), ("t", "n", "xyzzy")], "tenant_id string, query_id string, text string")
+    for local in (True, False):
+        got = {r.query_id: r for r in asking.ask(q, chunks_, nodes, edges, local_model=local).collect()}
+        assert set(got) == {"g", "c", "n"}
+        assert got["g"].n_sources >= 4 and got["n"].n_sources >= 1 and "ZX-77-2" in got["c"].answer
