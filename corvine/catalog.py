@@ -828,7 +828,13 @@ def _(i: Inputs) -> DataFrame:
     return cache.lookup(i.cacherows, i.cachequeries).drop("tenant_id")
 
 
-@query("cache_put")
+@query(
+    "cache_put",
+    f"""WITH r AS (SELECT tenant_id, text AS query, cast(query_id AS string) AS answer, 1 AS put_at FROM questions UNION ALL SELECT tenant_id, text, concat('new ', cast(query_id AS string)), 2 FROM questions WHERE query_id % 2 = 0),
+    h AS (SELECT *, sha1(from_hex('{cache.DNS}') || encode(concat(tenant_id, '|', query))) AS h FROM r),
+    u AS (SELECT *, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', (['8', '9', 'a', 'b'])[(strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1], h[18:20], '-', h[21:32]) AS id FROM h),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, id ORDER BY put_at DESC, answer DESC) AS n FROM u) SELECT id, answer FROM n WHERE n = 1""",
+)
 def _(i: Inputs) -> DataFrame:
     rows = i.questions.select("tenant_id", F.col("text").alias("query"), F.col("query_id").cast("string").alias("answer"))
     return cache.put(rows.withColumn("put_at", F.lit(1)), rows.filter("answer % 2 = 0").withColumn("answer", F.concat(F.lit("new "), "answer")).withColumn("put_at", F.lit(2))).select("id", "answer")
