@@ -209,11 +209,42 @@ def _(i: Inputs) -> DataFrame:
     return fusion.rerank(fused(i), i.questions, i.docs).drop("tenant_id")
 
 
+@query(
+    "rerank_model",
+    FUSED
+    + """, pool AS (SELECT f.query_id, f.doc_id, f.final_rank, length(substring(d.text, 1, 350)) AS n FROM fused f JOIN docs d USING (doc_id) JOIN questions q USING (query_id) WHERE final_rank <= 6),
+    sc AS (SELECT query_id, doc_id, final_rank, round(CASE WHEN n % 3 = 0 THEN 0.3::DOUBLE ELSE (n % 7) / 7.0::DOUBLE END, 4) AS reranker_score FROM pool),
+    rk AS (SELECT query_id, doc_id, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, final_rank) AS reranker_rank FROM sc)
+    SELECT * FROM rk WHERE reranker_rank <= 5""",
+)
+def _(i: Inputs) -> DataFrame:
+    """A stand-in for the model that leaves out each passage whose length is a multiple of three."""
+    n = F.length
+    return fusion.rerank_by_model(fused(i), i.questions, i.docs, lambda q, p: F.when(n(p) % 3 != 0, (n(p) % 7) / F.lit(7.0))).drop("tenant_id")
+
+
 @query("rerank_bypass", FUSED + " SELECT query_id, doc_id, round(rrf_score, 4) AS reranker_score, final_rank AS reranker_rank, 'Bypass: BYPASS_DOMINANT_RRF' AS rerank_rationale FROM fused WHERE final_rank <= 5")
 def _(i: Inputs) -> DataFrame:
     return fusion.bypassed(fused(i), "BYPASS_DOMINANT_RRF").drop("tenant_id")
 
 
+@query(
+    "source_tags",
+    """WITH e AS (SELECT tenant_id, src, rel_type, dst FROM edges), tags AS (
+      SELECT concat('(', src, ') -[:', rel_type, ']-> (', dst, ')') AS tag, 'relación' AS kind, concat(src, ' → ', lower(replace(rel_type, '_', ' ')), ' → ', dst) AS title, '' AS detail, 'Neo4jPath:' AS head FROM e
+      UNION ALL SELECT concat(type, ':', name), 'entidad', name, type, 'Neo4j:' FROM nodes
+      UNION ALL SELECT concat(filename, '#', doc_id), 'documento', filename, doc_id::VARCHAR, 'DocRRF[bm25]:' FROM files
+      UNION ALL SELECT filename, 'documento', filename, '', '' FROM files)
+    SELECT kind, regexp_replace(regexp_replace(title, '[()]', '', 'g'), '\\s+', ' ', 'g') AS title, detail, count(*) AS n FROM tags GROUP BY ALL""",
+)
+def _(i: Inputs) -> DataFrame:
+    path = F.concat(F.lit("Neo4jPath:("), "src", F.lit(") -[:"), "rel_type", F.lit("]-> ("), "dst", F.lit(")"))
+    node = F.concat(F.lit("Neo4j:"), "type", F.lit(":"), "name")
+    passage = F.concat(F.lit("DocRRF[bm25]:"), "filename", F.lit("#"), F.col("doc_id").cast("string"))
+    tags = i.edges.select(path.alias("tag")).unionAll(i.nodes.select(node)).unionAll(i.files.select(passage)).unionAll(i.files.select("filename"))
+    return tags.select(T.source_tag(F.col("tag")).alias("t")).groupBy("t.kind", "t.title", "t.detail").agg(F.count(F.lit(1)).alias("n"))
+
+
 OVERVIEW = """heads AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, filename ORDER BY ordinal) AS n FROM files),
     pos AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ordinal) AS position FROM heads WHERE n = 1)"""
 

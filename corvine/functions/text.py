@@ -103,3 +103,26 @@ def basename(path: Column) -> Column:
 def relation_type(raw: Column) -> Column:
     """Upper case, other characters than letters, digits and _ replaced; empty or digit first: RELATED_TO."""
     return bind(F.upper(F.regexp_replace(F.coalesce(raw, F.lit("")), "[^a-zA-Z0-9_]", "_")), lambda t: F.when((F.length(t) == 0) | t.rlike("^[0-9]"), "RELATED_TO").otherwise(t))
+
+
+def source_tag(tag: Column) -> Column:
+    """struct<kind, title, detail> of a source tag, for display: passages by file and heading, paths with readable relations,
+    nodes with their type as detail. Any other tag is a document whose title is the tag; null gives null."""
+
+    def told(path: Column) -> Column:
+        names, types = F.split(path, V.PATH_STEP), F.regexp_extract_all(path, F.lit(V.PATH_STEP), F.lit(1))
+        steps = F.transform(types, lambda r: F.concat(F.lit("→ "), F.replace(F.lower(r), F.lit("_"), F.lit(" ")), F.lit(" →")))
+        line = F.array_join(F.zip_with(names, steps, lambda n, r: F.concat(n, F.coalesce(r, F.lit("")))), "")
+        return F.trim(F.regexp_replace(F.regexp_replace(line, "[()]", ""), "\\s+", " "))
+
+    def shown(kind: str, title: Column, detail: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), title.alias("title"), detail.alias("detail"))
+
+    none = F.lit("")
+    parts = F.split(F.regexp_extract(tag, V.PASSAGE_TAG, 1), "#")
+    return (
+        F.when(tag.rlike(V.PASSAGE_TAG), shown(V.PASSAGE_KIND, F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), none)))
+        .when(tag.rlike(V.PATH_TAG), shown(V.PATH_KIND, told(F.regexp_extract(tag, V.PATH_TAG, 1)), none))
+        .when(tag.rlike(V.NODE_TAG), shown(V.NODE_KIND, F.regexp_extract(tag, V.NODE_TAG, 2), F.regexp_extract(tag, V.NODE_TAG, 1)))
+        .when(tag.isNotNull(), shown(V.PASSAGE_KIND, tag, none))
+    )

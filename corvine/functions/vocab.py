@@ -139,3 +139,17 @@ COLORS = {
     "Document": "#b9bdb6", "Role": "#b59b7c", "Event": "#a89bb8", "Certification": "#7fb39b", "Program": "#9aa98c", "Plan": "#9aa98c",
 }
 DEFAULT_COLOR = "#8a929b"
+
+# Patterns of source tags and the kinds they are shown as.
+PASSAGE_TAG = r"^DocRRF\[[^\]]*\]:(.+)$"
+PATH_TAG = r"^Neo4jPath:(.+)$"
+NODE_TAG = r"^Neo4j:([^:]+):(.+)$"
+PATH_STEP = r"-\[:([A-Z0-9_]+)\]->"
+PASSAGE_KIND = "documento"
+PATH_KIND = "relación"
+NODE_KIND = "entidad"
+
+# What a language model gets to rerank, and the score of a candidate it leaves out.
+MODEL_POOL = 6
+MODEL_CHARS = 350
+MODEL_MISSING = 0.30

@@ -53,15 +53,20 @@ def lexical_score(question: Column, passage: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(passage))) / F.size(asked)).otherwise(0.0)
 
 
-def rerank(fused: DataFrame, questions: DataFrame, passages: DataFrame, pool: int = 10, chars: int = 500, top: int = 5, scorer=lexical_score) -> DataFrame:
-    """Score the first ``pool`` candidates' first ``chars`` characters and keep the best ``top``."""
+def rerank(fused: DataFrame, questions: DataFrame, passages: DataFrame, pool: int = 10, chars: int = 500, top: int = 5, scorer=lexical_score, missing: float | None = None) -> DataFrame:
+    """Score the first ``pool`` candidates' first ``chars`` characters and keep the best ``top``; a null score counts as ``missing``."""
     some = fused.filter(F.col("final_rank") <= pool).join(passages.select("tenant_id", "doc_id", F.substring("text", 1, chars).alias("passage")), ["tenant_id", "doc_id"])
     asked = some.join(questions.select("tenant_id", "query_id", F.col("text").alias("question")), ["tenant_id", "query_id"])
-    scored = asked.withColumn("reranker_score", F.round(scorer(F.col("question"), F.col("passage")), 4))
+    scored = asked.withColumn("reranker_score", F.round(F.coalesce(scorer(F.col("question"), F.col("passage")), F.lit(missing).cast("double")), 4))
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("reranker_score"), "final_rank"))
     return scored.withColumn("reranker_rank", rank).filter(F.col("reranker_rank") <= top).select(*KEYS, "reranker_score", "reranker_rank")
 
 
+def rerank_by_model(fused: DataFrame, questions: DataFrame, passages: DataFrame, scorer, top: int = 5) -> DataFrame:
+    """``rerank`` with a language model's column function; a candidate that it gives no score counts as 0.30."""
+    return rerank(fused, questions, passages, V.MODEL_POOL, V.MODEL_CHARS, top, scorer, V.MODEL_MISSING)
+
+
 def bypassed(fused: DataFrame, reason: str | Column, top: int = 5) -> DataFrame:
     """Fused order kept; the score is the fused one, marked so that evidence does not take it for a model's."""
     return fused.filter(F.col("final_rank") <= top).select(*KEYS, F.round("rrf_score", 4).alias("reranker_score"), F.col("final_rank").alias("reranker_rank"), F.concat(F.lit("Bypass: "), F.lit(reason)).alias("rerank_rationale"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import basename
+from corvine.operators.entities import clean_properties
 from corvine.storage import broadcast_if_small, drop_shared, first_rows, written
 
 KEY = ["tenant_id", "name"]
@@ -37,8 +38,24 @@ def provenance(exists: Column, docs: Column, doc: Column, new: Column) -> Column
     )
 
 
+def merged_properties(old: DataFrame, new: DataFrame) -> list[Column]:
+    """Column ``properties`` (map<string,string>) of an upsert of ``old`` (alias o) by ``new`` (alias n); none if neither has it.
+
+    A key of the new row wins, other keys stay, and a row without properties changes nothing. Reserved keys and nulls are left out.
+    """
+    none = F.create_map().cast("map<string,string>")
+    sides = [F.coalesce(f"{a}.properties", none) for a, df in (("o", old), ("n", new)) if "properties" in df.columns]
+    if not sides:
+        return []
+    late = clean_properties(sides[-1]) if "properties" in new.columns else none
+    early = F.map_filter(sides[0], lambda k, _: ~F.map_contains_key(late, k)) if "properties" in old.columns else none
+    return [F.map_concat(early, late).alias("properties")]
+
+
 def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by (tenant, name): ``new`` has name, type, source_doc. The new type wins, the first source_doc stays."""
+    """Upsert by (tenant, name): ``new`` has name, type, source_doc. The new type wins, the first source_doc stays.
+
+    Free ``properties`` of either side are merged key by key (``merged_properties``)."""
     o, n = nodes.withColumn("old", F.lit(True)).alias("o"), new.withColumn("hit", F.lit(True)).alias("n")
     both = o.join(n, (F.col("o.tenant_id") == F.col("n.tenant_id")) & (F.col("o.name") == F.col("n.name")), "full_outer")
     was, hit = F.col("old").isNotNull(), F.col("hit").isNotNull()
@@ -49,15 +66,16 @@ def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
         F.when(hit, F.col("n.type")).otherwise(F.col("o.type")).alias("type"),
         F.coalesce("o.source_doc", "n.source_doc").alias("source_doc"),
         F.when(hit, docs).otherwise(F.col("o.source_docs")).alias("source_docs"),
+        *merged_properties(nodes, new),
     )
 
 
 def merge_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by (tenant, src, type, dst): ``new`` has source_doc; documents accumulate."""
+    """Upsert by (tenant, src, type, dst): ``new`` has source_doc; documents accumulate, ``properties`` are merged key by key."""
     o, n = edges.withColumn("old", F.lit(True)).alias("o"), new.withColumn("hit", F.lit(True)).alias("n")
     both = o.join(n, reduce(lambda a, b: a & b, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in EDGE]), "full_outer")
     docs = provenance(F.col("old").isNotNull(), F.col("o.source_docs"), F.lit(None).cast("string"), F.col("n.source_doc"))
-    return both.select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in EDGE], F.when(F.col("hit").isNotNull(), docs).otherwise(F.col("o.source_docs")).alias("source_docs"))
+    return both.select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in EDGE], F.when(F.col("hit").isNotNull(), docs).otherwise(F.col("o.source_docs")).alias("source_docs"), *merged_properties(edges, new))
 
 
 def implied_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,12 +104,13 @@ def delete_document(nodes: DataFrame, edges: DataFrame, filename: str, tenant: s
     kept = marked.filter(~(F.col("touched") & (F.size("rest") == 0))).select(
         "tenant_id", "name", "type",
         F.when(F.col("touched") & from_doc, F.get("rest", F.lit(0))).otherwise(F.col("source_doc")).alias("source_doc"),
-        F.when(F.col("touched"), F.col("rest")).otherwise(F.col("source_docs")).alias("source_docs"),
+        F.when(F.col("touched"), F.col("rest")).otherwise(F.col("source_docs")).alias("source_docs"), *(["properties"] if "properties" in nodes.columns else []),
     )
     hit = mine & F.exists(F.coalesce("source_docs", F.array().cast("array<string>")), lambda d: F.array_contains(aim, F.lower(d)))
     e = edges.withColumn("hit", hit).withColumn("rest", rest(F.col("source_docs"))).filter(~(F.col("hit") & (F.size("rest") == 0)))
     e = e.join(dead.select("tenant_id", F.col("name").alias("src")), ["tenant_id", "src"], "left_anti").join(dead.select("tenant_id", F.col("name").alias("dst")), ["tenant_id", "dst"], "left_anti")
-    return kept, e.select(*EDGE, F.when(F.col("hit"), F.col("rest")).otherwise(F.col("source_docs")).alias("source_docs"))
+    free = ["properties"] if "properties" in edges.columns else []
+    return kept, e.select(*EDGE, F.when(F.col("hit"), F.col("rest")).otherwise(F.col("source_docs")).alias("source_docs"), *free)
 
 
 # --- counting ---------------------------------------------------------------------------------------

@@ -244,6 +244,32 @@ def test_provenance(spark):
     assert [(r.tenant_id, r.src) for r in e.collect()] == [("u", "a")]
 
 
+def test_properties_are_merged_by_key(spark):
+    """New keys win, old ones stay, reserved and null ones never enter; without the column nothing changes; deletion keeps them."""
+    kind = "tenant_id string, name string, type string, source_doc string, source_docs array<string>, properties map<string,string>"
+    nodes = spark.createDataFrame([("t", "a", "X", "A", ["A"], {"p": "1", "q": "2"}), ("t", "s", "X", "A", ["A", "B"], None)], kind)
+    new = spark.createDataFrame([("t", "a", "Y", "B", {"q": "3", "Type": "Z", "r": None}), ("t", "n", "Y", "B", {"k": "v"}), ("t", "s", "X", "B", None)], "tenant_id string, name string, type string, source_doc string, properties map<string,string>")
+    merged = graph.merge_nodes(nodes, new)
+    assert {r.name: r.properties for r in merged.collect()} == {"a": {"p": "1", "q": "3"}, "n": {"k": "v"}, "s": {}}
+    assert {r.name: r.properties for r in graph.merge_nodes(nodes, new.drop("properties")).collect()} == {"a": {"p": "1", "q": "2"}, "s": {}, "n": {}}
+    assert {r.name: r.properties for r in graph.merge_nodes(nodes.drop("properties"), new).collect()} == {"a": {"q": "3"}, "s": {}, "n": {"k": "v"}}
+    edges = spark.createDataFrame([("t", "a", "R", "s", ["B"], {"since": "1999", "w": "1"})], "tenant_id string, src string, rel_type string, dst string, source_docs array<string>, properties map<string,string>")
+    fresh = spark.createDataFrame([("t", "a", "R", "s", "C", {"since": "2001"})], "tenant_id string, src string, rel_type string, dst string, source_doc string, properties map<string,string>")
+    assert [r.properties for r in graph.merge_edges(edges, fresh).collect()] == [{"w": "1", "since": "2001"}]
+    n, e = graph.delete_document(merged, edges, "A", "t")
+    assert {r.name for r in n.collect()} == {"a", "n", "s"} and "properties" in n.columns
+    assert [r.properties for r in e.collect()] == [{"since": "1999", "w": "1"}]
+
+
+def test_source_tags(spark):
+    tags = ["DocRRF[vector+bm25]:informe.md#Costes", "DocRRF[bm25]:a.md", "Neo4jPath:(A) -[:PART_OF]-> (B) -[:USES]-> (C)", "Neo4j:Person:Ana: x", "otro", "", None]
+    got = each(spark, tags, T.source_tag)
+    assert [tuple(r) if r else r for r in got] == [
+        ("documento", "informe.md", "Costes"), ("documento", "a.md", ""), ("relación", "A → part of → B → uses → C", ""),
+        ("entidad", "Ana: x", "Person"), ("documento", "otro", ""), ("documento", "", ""), None,
+    ]
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([("t", "a", "R", "b"), ("t", "c", "S", "b"), ("t", "c", "ALIAS_OF", "d"), ("t", "d", "ALIAS_OF", "e"), ("u", "a", "R", "e")], "tenant_id string, src string, rel_type string, dst string")
     starts = spark.createDataFrame([("t", "q", "a", 1), ("t", "q", "e", 2)], "tenant_id string, query_id string, name string, rank int")
