@@ -247,6 +247,18 @@ def matrices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray | None
             yield at, np.frombuffer(b"".join(words[k] for k in at), np.uint8).reshape(len(at), n) if n <= ARRAY else None
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Batches put together to about ``rows`` rows, so that many tokens of a length go through the lattice at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def held_out(doc_id: Column, mod: int = 10) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == 0
 
@@ -315,9 +327,8 @@ def calibrated(counts: DataFrame, p: Pieces, texts: int, rounds: int = 2) -> tup
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             of, m = held.value
             lattice, total = Lattice(of, m), np.zeros(of.classes)
-            for batch in batches:
-                words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                total += lattice.expected(words, c)
+            for many in gathered(batches):
+                total += lattice.expected(many.column(0).to_pylist(), many.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(of.classes)), pa.array(total)], ["cls", "use"])
 
         known = counts.filter((F.col("c") > 0) & (F.col("token") != END))
@@ -340,11 +351,11 @@ def with_marginals(counts: DataFrame, p: Pieces, mass: np.ndarray, end: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*held.value)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
+        for many in gathered(batches):
+            words = many.column(0).to_pylist()
             q = lattice.marginals(words)
             q[[k for k, w in enumerate(words) if w == END]] = of_end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q)], ["token", "c", "q"])
+            yield from many.append_column("q", pa.array(q)).combine_chunks().to_batches()
 
     return counts.mapInArrow(run, "token binary, c long, q double")
 
