@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from corvine.functions import text as T
 from corvine.functions import vocab as V
 from corvine.inputs import Inputs, oracle
-from corvine.operators import cache, chunks, entities, fusion, graph, lexical, metrics, vector
+from corvine.operators import cache, chunks, entities, fusion, graph, lexical, lexindex, metrics, vector
 from corvine.plans import ask as asking
 from corvine.plans import decide
 from corvine.sources import files, json_repair
@@ -99,14 +100,40 @@ def _(i: Inputs) -> DataFrame:
     return lexical.idf(posts, lexical.statistics(lexical.lengths(i.docs))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("bm25_topk", f"WITH {bm25_ctes('docs', 'questions')} SELECT query_id, doc_id, bm25_score, bm25_rank FROM scored WHERE bm25_rank <= 10")
+BM25 = f"WITH {bm25_ctes('docs', 'questions')} SELECT query_id, doc_id, bm25_score, bm25_rank FROM scored WHERE bm25_rank <= 10"
+
+
+@query("bm25_topk", BM25)
+def _(i: Inputs) -> DataFrame:
+    return lexindex.kept(i.docs, "docs").search(i.questions).drop("tenant_id")
+
+
+@query("bm25_skipping", BM25)
+def _(i: Inputs) -> DataFrame:
+    """The same rows with ranges and frequent terms skipped by their bounds."""
+    index = lexindex.kept(i.docs, "docs")
+    return index.skipping(index.weights(i.questions), 10)[0].drop("tenant_id")
+
+
+@query("bm25_changed_index", f"WITH {bm25_ctes('(SELECT * FROM tdocs WHERE doc_id % 7 <> 0)', 'tquestions')} SELECT tenant_id, query_id, doc_id, bm25_score, bm25_rank FROM scored WHERE bm25_rank <= 10")
+def _(i: Inputs) -> DataFrame:
+    """Two thirds of the documents, then all (known ids stay as they are), then without every seventh; three versions of one index."""
+    place = f"{shared_dir(i.spark)}/corvine/index-{uuid.uuid4().hex}"
+    docs = i.tdocs
+    index = lexindex.Index.build(docs.filter("doc_id % 3 <> 0"), place).add(docs)
+    return index.remove(docs.filter("doc_id % 7 = 0").select("tenant_id", "doc_id")).search(i.tquestions)
+
+
+@query("index_frequencies", f"WITH {bm25_ctes('tdocs', 'tquestions')} SELECT tenant_id, term, df, n, round(avgdl, 6) AS avgdl FROM dfs JOIN stats USING (tenant_id)")
 def _(i: Inputs) -> DataFrame:
-    return lexical.search(i.docs, i.questions).drop("tenant_id")
+    """Document frequencies and statistics from the blocks of the kept index."""
+    index = lexindex.kept(i.tdocs, "tdocs")
+    return index.frequencies().join(F.broadcast(index.statistics()), "tenant_id").select("tenant_id", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("bm25_tenant_topk", f"WITH {bm25_ctes('tdocs', 'tquestions')} SELECT tenant_id, query_id, doc_id, bm25_score, bm25_rank FROM scored WHERE bm25_rank <= 10")
 def _(i: Inputs) -> DataFrame:
-    return lexical.search(i.tdocs, i.tquestions)
+    return lexindex.kept(i.tdocs, "tdocs").search(i.tquestions)
 
 
 BM25_MULTI = f"""WITH {bm25_ctes('docs', 'phrasings', 'ordinal')},
@@ -117,7 +144,8 @@ BM25_MULTI = f"""WITH {bm25_ctes('docs', 'phrasings', 'ordinal')},
 
 @query("bm25_multi", BM25_MULTI)
 def _(i: Inputs) -> DataFrame:
-    return lexical.multi_search(i.docs, i.phrasings).drop("tenant_id")
+    index = lexindex.kept(i.docs, "docs")
+    return lexical.multi(i.phrasings, lambda asked: index.search(asked, 15)).drop("tenant_id")
 
 
 @query("bm25_add", "SELECT doc_id, length(text) AS n FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, length(concat('new ', text)) FROM docs WHERE doc_id % 3 = 0")
@@ -175,7 +203,7 @@ FUSED = f"""WITH {VECTOR}, {bm25_ctes('docs', 'questions')},
 
 
 def fused(i: Inputs) -> DataFrame:
-    lex = lexical.search(i.docs, i.questions, 15)
+    lex = lexindex.kept(i.docs, "docs").search(i.questions, 15)
     return fusion.rrf(vector.top_k(i.vectors, i.vqueries), lex)
 
 
@@ -948,7 +976,7 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     q = i.questions.select(F.lit("acme").alias("tenant_id"), "query_id", "text")
     c = i.files.select(F.lit("acme").alias("tenant_id"), "doc_id", "filename", "text")
-    return asking.ask(q, c, i.nodes, i.edges)
+    return asking.ask(q, c, i.nodes, i.edges, index=lexindex.kept(c, "ask"))
 
 
 @query(

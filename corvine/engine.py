@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as T
 from corvine.functions import vocab as V
-from corvine.operators import cache, chunks, entities, graph, metrics
+from corvine.operators import cache, chunks, entities, graph, lexindex, metrics
 from corvine.plans import ask as asking
 from corvine.plans import decide
 from corvine.sources import files
@@ -91,6 +91,7 @@ class Engine:
         clean = written(clean, "new-documents")
         known = clean.select("tenant_id", "filename").distinct()
         new = written(chunks.chunk_documents(clean), "new-chunks").select(*self._stored("chunks").drop("bucket").columns)
+        self._index_replace(known, new)
         self._put("chunks", chunks.replace_files(self._touched("chunks", known), new, known), known)
         raw = self.extractor(new).withColumn("ordinal", F.monotonically_increasing_id())
         kept, _ = entities.filtered(raw)
@@ -100,6 +101,15 @@ class Engine:
         self._drop_answers(known)
         return {"chunks": new.count(), "entities": found.count()}
 
+    def index(self) -> lexindex.Index:
+        """The kept lexical index of all chunks."""
+        return lexindex.Index.open(self.spark, f"{self.root}/lexical", ids="string")
+
+    def _index_replace(self, files_: DataFrame, new: DataFrame | None) -> None:
+        """The chunks of ``files_`` leave the index and those of ``new`` enter it, in one version."""
+        old = self._touched("chunks", files_).join(files_, ["tenant_id", "filename"], "left_semi").select("tenant_id", F.col("chunk_id").alias("doc_id"))
+        self.index().replace(old, None if new is None else new.select("tenant_id", F.col("chunk_id").alias("doc_id"), "text"))
+
     def _forget(self, files_: DataFrame, found: DataFrame) -> None:
         """Old nodes and edges of ``files_`` go unless other files support them; ``found`` nodes are merged in."""
         here = broadcast_if_small(files_.select("tenant_id").distinct())
@@ -151,6 +161,8 @@ class Engine:
         left = chunks.delete_file(old, filename, tenant)
         if old.count() == left.count():
             return False
+        gone = old.join(left.select("chunk_id"), "chunk_id", "left_anti").select("tenant_id", F.col("chunk_id").alias("doc_id"))
+        self.index().remove(gone)
         nodes, edges = graph.delete_document(self.table("nodes", tenant), self.table("edges", tenant), filename, tenant)
         # an organisation's rows are exchanged as a whole: all new ones are complete aside before old ones go
         ready = [(name, written(rows.withColumn("bucket", self._bucket(name)), name)) for name, rows in (("chunks", left), ("nodes", nodes), ("edges", edges))]
@@ -167,6 +179,11 @@ class Engine:
     def reset(self, tenant: str | None = None) -> None:
         """Everything of one organisation, and of no other; without one, of all."""
         self._need("admin")
+        if tenant is None:
+            path, fs = self._path("lexical")
+            fs.delete(path, True)
+        elif self.index().parts["segments"]:
+            self.index().remove(self.table("chunks", tenant).select("tenant_id", F.col("chunk_id").alias("doc_id")))
         for name in SCHEMAS:
             if tenant is None:
                 path, fs = self._path(name)
@@ -189,13 +206,14 @@ class Engine:
         columns = ["tenant_id", "query_id", "route", "level", "answer", "confidence", "n_sources", "retried"]
         c = self.table("chunks").select("tenant_id", F.col("chunk_id").alias("doc_id"), "filename", "text")
         nodes, edges = self.table("nodes").drop("source_doc", "source_docs"), self.table("edges").drop("source_docs")
+        models.setdefault("index", self.index())
         if not cached:
             return asking.ask(safe, c, nodes, edges, **models).select(*columns, F.lit("generation").alias("origin"))
         known = self.table("answers")
         asked = safe.select("tenant_id", "query_id", "text", embedder(F.col("text")).alias("embedding"))
         entries = known.select("tenant_id", F.col("query").alias("doc_id"), "embedding", F.col("query").alias("original_query"))
         hits = written(cache.lookup(entries, asked).filter("hit").select("tenant_id", "query_id", F.col("doc_id").alias("query")), "cache-hits")
-        again = known.join(hits, ["tenant_id", "query"]).withColumn("retried", F.lit(False)).select(*columns, F.lit("cache").alias("origin"))
+        again = written(known.join(hits, ["tenant_id", "query"]).withColumn("retried", F.lit(False)).select(*columns, F.lit("cache").alias("origin")), "cache-answers")
         fresh = safe.join(hits.select("tenant_id", "query_id"), ["tenant_id", "query_id"], "left_anti")
         new = written(asking.ask(fresh, c, nodes, edges, **models).select(*columns), "new-answers")
         put = new.join(asked, ["tenant_id", "query_id"]).select("tenant_id", F.col("text").alias("query"), "embedding", "route", "level", "answer", "confidence", "n_sources", F.current_timestamp().alias("put_at"))
@@ -203,7 +221,7 @@ class Engine:
         old = self._touched("answers", keys).join(keys, ["tenant_id", "query"], "left_anti")
         once = put.groupBy("tenant_id", "query").agg(F.max(F.struct("put_at", "embedding", "route", "level", "answer", "confidence", "n_sources")).alias("a")).select("tenant_id", "query", "a.*")
         self._put("answers", old.unionByName(once))
-        return written(again, "cache-answers").unionByName(new.withColumn("origin", F.lit("generation")))
+        return again.unionByName(new.withColumn("origin", F.lit("generation")))
 
     def documents(self, tenant: str) -> DataFrame:
         return metrics.list_documents(self.table("chunks", tenant)).orderBy(F.lower("filename"))

@@ -7,6 +7,8 @@ an equi-join on (tenant, term).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +98,19 @@ def remove_documents(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def multi_search(docs: DataFrame, questions: DataFrame, k: int = 15) -> DataFrame:
+    """``multi`` over postings that are built for this call."""
+    posts = written(postings(docs), "postings")
+    stats = collection(docs, posts)
+    return multi(questions, lambda asked: top_k(scores(posts, stats, query_terms(asked)), k), k)
+
+
+def multi(questions: DataFrame, search: Callable[[DataFrame], DataFrame], k: int = 15) -> DataFrame:
     """``questions`` has ordinal: 0 is the main query (top ``k``), the others add their unseen top ``k // 2``.
 
-    Ranks are positions of appending, never resorted by score.
+    ``search`` gives the top ``k`` of questions. Ranks are positions of appending, never resorted by score.
     """
-    posts = written(postings(docs), "postings")
-    stats = collection(docs, posts)
     asked = questions.select("tenant_id", F.struct("query_id", "ordinal").alias("query_id"), "text")
-    hits = top_k(scores(posts, stats, query_terms(asked)), k)
+    hits = search(asked)
     hits = hits.select("tenant_id", F.col("query_id.query_id").alias("query_id"), F.col("query_id.ordinal").alias("ordinal"), "doc_id", "bm25_score", "bm25_rank")
     hits = hits.filter((F.col("ordinal") == 0) | (F.col("bm25_rank") <= k // 2))
     first = F.row_number().over(Window.partitionBy("tenant_id", "query_id", "doc_id").orderBy("ordinal", "bm25_rank"))

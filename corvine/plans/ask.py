@@ -9,6 +9,7 @@ need it. Model calls are column functions that a caller may replace; the default
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import is_injection, redact, tokens
-from corvine.operators import fusion, graph, lexical, vector
+from corvine.operators import fusion, graph, lexindex, vector
 from corvine.plans import decide
-from corvine.storage import written
+from corvine.storage import shared_dir, written
 
 KEY = ["tenant_id", "query_id"]
 NOTHING = "No consta en la documentación disponible."
@@ -48,23 +49,24 @@ def ask(
     generator: Callable[[Column, Column], Column] = extractive,
     embedder: Callable[[Column], Column] = embed,
     local_model: bool = True,
+    index: lexindex.Index | None = None,
 ) -> DataFrame:
     """tenant_id, query_id, route, level, answer, confidence, n_sources, retried. ``local_model``: reranking is cheap, so it is never passed over for
     exact identifiers or dominant candidates.
 
-    ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
+    ``index`` is the kept index of the chunks; without it one is built for this call. ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
     """
     safe = questions.filter(~is_injection(F.col("text")))
     names = graph.catalogue(nodes)
     routed = written(safe.join(decide.route(safe, names), KEY), "ask-routes")
-    posts = written(lexical.postings(chunks), "ask-postings")
-    stats = lexical.collection(chunks, posts)
+    if index is None:
+        index = lexindex.Index.build(chunks, f"{shared_dir(chunks.sparkSession)}/corvine/ask-index-{uuid.uuid4().hex}")
     vectors = written(chunks.select("tenant_id", "doc_id", embedder(F.col("text")).alias("embedding")), "ask-vectors")
 
     heads = fusion.overview(chunks.withColumn("ordinal", F.col("doc_id"))).select("tenant_id", "doc_id", "similarity", "position")
 
     def passages(asked: DataFrame, k: int) -> DataFrame:
-        lex = lexical.top_k(lexical.scores(posts, stats, lexical.query_terms(asked)), 15)
+        lex = index.search(asked, 15)
         vec = vector.top_k(vectors, asked.select(*KEY, embedder(F.col("text")).alias("embedding")), 15)
         fused = written(fusion.rrf(vec, lex), "ask-fused")
         decided = fusion.rerank_decision(fused, asked, local_model)

@@ -7,6 +7,7 @@ notebooks) a folder of our own is used.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -50,6 +51,18 @@ def drop_shared(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def stamp(df: DataFrame) -> str:
+    """Digest of the names, sizes and times of the files behind ``df``: another one when they change."""
+    spark = df.sparkSession
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    seen = []
+    for f in sorted(df.inputFiles()):
+        path = path_of(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when it is counted to have at most ``most`` rows; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
