@@ -370,6 +370,25 @@ def _(i: Inputs) -> DataFrame:
     return graph.expand(i.edges, i.starts, 2)
 
 
+PATHS = f"""WITH {WALKS}, a AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2),
+    t AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY len(rr), path_str) AS r FROM a)"""
+
+
+@query("path_nodes", PATHS + ", n AS (SELECT tenant_id, name, min(type) AS type FROM nodes GROUP BY ALL) SELECT DISTINCT t.tenant_id, query_id, name, type FROM (SELECT tenant_id, query_id, unnest(nn) AS name FROM t WHERE r <= 25) t LEFT JOIN n USING (tenant_id, name)")
+def _(i: Inputs) -> DataFrame:
+    return graph.path_graph(graph.trails_of(i.edges, i.starts, 2), i.nodes)[0]
+
+
+@query(
+    "path_edges",
+    PATHS
+    + """, p AS (SELECT tenant_id, query_id, unnest(range(1, len(rr) + 1)) AS k, nn, rr FROM t WHERE r <= 25)
+    SELECT DISTINCT p.tenant_id, query_id, e.src, e.rel_type, e.dst FROM p JOIN edges e ON e.tenant_id = p.tenant_id AND e.rel_type = rr[k] AND ((e.src = nn[k] AND e.dst = nn[k + 1]) OR (e.dst = nn[k] AND e.src = nn[k + 1]))""",
+)
+def _(i: Inputs) -> DataFrame:
+    return graph.path_graph(graph.trails_of(i.edges, i.starts, 2), i.nodes)[1]
+
+
 SHORTEST = f"""WITH {WALKS}, w3 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w2 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
     w4 AS (SELECT w.tenant_id, query_id, nxt AS at, list_append(nn, nxt) AS nn, list_append(rr, rel_type) AS rr, concat(path_str, ' -[:', rel_type, ']-> (', nxt, ')') AS path_str FROM w3 w JOIN step s ON s.tenant_id = w.tenant_id AND s.at = w.at WHERE NOT list_contains(nn, nxt)),
     o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY name) AS rank FROM starts),

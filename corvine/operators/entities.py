@@ -172,9 +172,9 @@ def oriented(relations: DataFrame) -> DataFrame:
 
 
 def reoriented(relations: DataFrame) -> DataFrame:
-    """One row per undirected pair and type (first by ``ordinal``), turned to canonical orientation."""
+    """One row per tenant (where there is one), undirected pair and type (first by ``ordinal``), turned to canonical orientation."""
     turned = oriented(relations)
-    pair = [F.least(F.lower("n_src"), F.lower("n_dst")), F.greatest(F.lower("n_src"), F.lower("n_dst")), F.col("n_rel")]
+    pair = [F.col(c) for c in ("tenant_id",) if c in relations.columns] + [F.least(F.lower("n_src"), F.lower("n_dst")), F.greatest(F.lower("n_src"), F.lower("n_dst")), F.col("n_rel")]
     first = F.row_number().over(Window.partitionBy(*pair).orderBy("ordinal"))
     return turned.withColumn("_n", first).filter("_n = 1").drop("_n")
 

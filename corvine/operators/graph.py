@@ -185,25 +185,40 @@ def expanded_terms(entities: DataFrame) -> DataFrame:
     return entities.filter(F.length(whole) >= 2).select("tenant_id", "query_id", F.explode(terms).alias("term")).distinct()
 
 
-GRAM = 3
+#: Lengths of the runs of characters that texts are matched by; a text uses the longest that it holds.
+GRAMS = (8, 3)
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of ``GRAM`` characters; none of a shorter text."""
-    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM))))
+def grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters; none of a shorter text."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
+def candidates(long: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs (tenant_id, long, short) that share the run of ``short`` that the fewest texts of ``long`` hold; texts shorter than any run are left out.
+
+    Who holds a text holds all its runs, so the join may go by any of them: frequencies are counted first, and the rarest is taken. A run that
+    all names begin with brings nobody together unless a text has no other.
+    """
+    wide, narrow = GRAMS
+    each = long.select("tenant_id", "long", F.explode(F.concat(grams(F.col("long"), wide), grams(F.col("long"), narrow))).alias("gram"))
+    own = short.select("tenant_id", "short", F.explode(F.when(F.length("short") >= wide, grams(F.col("short"), wide)).otherwise(grams(F.col("short"), narrow))).alias("gram"))
+    asked = broadcast_if_small(own.select("tenant_id", "gram").distinct())
+    counted = each.join(asked, ["tenant_id", "gram"], "left_semi").groupBy("tenant_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # a text one of whose runs nobody holds is held by nobody
+    rarest = own.join(counted, ["tenant_id", "gram"], "left").groupBy("tenant_id", "short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    keys = rarest.filter("r.n > 0").select("tenant_id", "short", F.col("r.gram").alias("gram"))
+    return each.join(broadcast_if_small(keys), ["tenant_id", "gram"]).select("tenant_id", "long", "short")
 
 
 def holding(long: DataFrame, short: DataFrame) -> DataFrame:
     """Pairs (tenant_id, long, short) where the text of ``long`` holds that of ``short``; both have tenant_id and a distinct text column.
 
-    Who holds a text holds its first ``GRAM`` characters, so the join is an equi-join on them; only texts that are shorter
-    than that meet all others of their tenant.
+    Only texts shorter than any run of ``GRAMS`` meet all others of their tenant.
     """
-    first = short.filter(F.length("short") >= GRAM).select("tenant_id", F.substring("short", 1, GRAM).alias("gram"), "short")
-    each = long.select("tenant_id", "long", F.explode(grams(F.col("long"))).alias("gram"))
-    met = each.join(first, ["tenant_id", "gram"]).filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
-    tiny = short.filter(F.length("short") < GRAM)
+    met = candidates(long, short).filter(F.contains("long", F.col("short")))
+    tiny = short.filter(F.length("short") < GRAMS[-1])
     rest = long.join(broadcast_if_small(tiny), "tenant_id").filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
     return met.unionByName(rest)
 
@@ -239,22 +254,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def first_step(starts: DataFrame) -> DataFrame:
     """Paths of no edge at ``starts`` (tenant_id, query_id, name)."""
-    return starts.select("tenant_id", "query_id", F.col("name").alias("at"), F.array("name").alias("node_names"), F.array().cast("array<string>").alias("relationships"))
+    return starts.select("tenant_id", "query_id", F.col("name").alias("at"), F.array("name").alias("node_names"), F.array().cast("array<string>").alias("relationships"), F.array().cast("array<boolean>").alias("forward"))
 
 
-def longer(paths: DataFrame, step: DataFrame) -> DataFrame:
-    """Every node-simple path one edge longer."""
-    met = paths.join(step, ["tenant_id", "at"]).filter(~F.array_contains("node_names", F.col("next")))
-    return met.select("tenant_id", "query_id", F.col("next").alias("at"), F.concat("node_names", F.array("next")).alias("node_names"), F.concat("relationships", F.array("rel_type")).alias("relationships"))
+def tail() -> Column:
+    """What an edge adds to the print of a path."""
+    return F.concat(F.lit(" -[:"), "rel_type", F.lit("]-> ("), "next", F.lit(")"))
 
 
-def walks(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """Node-simple undirected paths of 1..hops edges."""
-    step, at, found = both_ways(edges), first_step(starts), []
-    for _ in range(hops_within(hops)):
-        at = longer(at, step)
-        found.append(at.drop("at"))
-    return reduce(DataFrame.unionByName, found)
+def first_tails(edges: DataFrame, hops: int, trails: int) -> DataFrame:
+    """``both_ways`` with as many edges of each node as the first ``trails`` paths can need, in the order in which paths are printed.
+
+    A path extends by the smallest tails that do not lead back to one of its at most ``hops`` nodes. Of the edges to one neighbour ``trails`` are enough; of
+    what is left at most ``trails`` lead to each node of a path, so ``trails * (hops + 1)`` are enough. A hub of a million edges is cut to that before anybody walks through it.
+    """
+    step = both_ways(edges).withColumn("_tail", tail())
+    order = [F.col("_tail"), F.desc("forward")]
+    some = first_rows(step, ["tenant_id", "at", "next"], order, trails, "_n").drop("_n")
+    return first_rows(some, ["tenant_id", "at"], order, trails * (hops + 1), "_n").drop("_n", "_tail")
+
+
+def longer(paths: DataFrame, step: DataFrame) -> DataFrame:
+    """Every node-simple path one edge longer."""
+    met = paths.join(step.withColumnRenamed("forward", "_forward"), ["tenant_id", "at"]).filter(~F.array_contains("node_names", F.col("next")))
+    return met.select(
+        "tenant_id", "query_id", F.col("next").alias("at"), F.concat("node_names", F.array("next")).alias("node_names"),
+        F.concat("relationships", F.array("rel_type")).alias("relationships"), F.concat("forward", F.array("_forward")).alias("forward"),
+    )
 
 
 def path_string() -> Column:
@@ -271,39 +297,89 @@ def formatted(paths: DataFrame, most: int = 15) -> DataFrame:
     return out.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def expand(edges: DataFrame, starts: DataFrame, hops: int, trails: int = 25, most: int = 15) -> DataFrame:
-    """Contextual expansion: the ``trails`` shortest paths of each query, formatted.
+def trails_of(edges: DataFrame, starts: DataFrame, hops: int, trails: int = 25) -> DataFrame:
+    """The ``trails`` shortest node-simple paths of each query, equal lengths in the order of their print: tenant_id, query_id, node_names, relationships, forward
+    (whether each edge is walked in its direction), path_str, hop_count.
 
-    A query that has its trails goes no further, so hubs are not walked through for nothing; of the paths of
-    one length each task keeps the first ``trails`` before the shuffle.
+    A level is cut to the first ``trails`` of a query before it is stored, and a query that has its trails goes no further; with fewer, all its paths are
+    kept. Prints grow at their end, so the first paths of a level come from the first tails of each node (``first_tails``).
     """
-    step, at, found = both_ways(edges), first_step(starts), []
     h = hops_within(hops)
-    rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("hop_count", "path_str"))
+    step, at, found = written(first_tails(edges, h, trails), "steps"), first_step(starts), []
+    rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("path_str", "forward"))
     for i in range(h):
-        at = longer(at, step)
-        if h > 1:
-            at = written(at, "walks")
-        best = at.withColumn("hop_count", F.size("relationships")).withColumn("path_str", path_string()).withColumn("r", rank).filter(F.col("r") <= trails)
-        found.append(best.drop("at", "r"))
+        best = longer(at, step).withColumn("path_str", path_string()).withColumn("hop_count", F.size("relationships")).withColumn("r", rank).filter(F.col("r") <= trails).drop("r")
+        best = written(best, "walks")
+        found.append(best.drop("at"))
         if i + 1 < h:
             full = reduce(DataFrame.unionByName, found).groupBy("tenant_id", "query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= trails)
-            at = at.join(full, ["tenant_id", "query_id"], "left_anti")
+            at = best.join(full, ["tenant_id", "query_id"], "left_anti").drop("path_str", "hop_count")
     every = reduce(DataFrame.unionByName, found)
-    return formatted(every.withColumn("r", rank).filter(F.col("r") <= trails).drop("r", "path_str", "hop_count"), most)
+    last = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy("hop_count", "path_str", "forward"))
+    return every.withColumn("r", last).filter(F.col("r") <= trails).drop("r")
+
+
+def expand(edges: DataFrame, starts: DataFrame, hops: int, trails: int = 25, most: int = 15) -> DataFrame:
+    """Contextual expansion: the ``trails`` shortest paths of each query, formatted."""
+    return formatted(trails_of(edges, starts, hops, trails), most)
+
+
+def path_graph(trails: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What paths (``trails_of``) show of the graph: (tenant_id, query_id, name, type) once per name, the smallest type of equal names first,
+    and (tenant_id, query_id, src, rel_type, dst) with the direction that the edge has, whichever way it was walked."""
+    names = trails.select("tenant_id", "query_id", F.explode("node_names").alias("name")).distinct()
+    types = nodes.groupBy(*KEY).agg(F.min("type").alias("type"))
+    places = F.transform(F.sequence(F.lit(0), F.size("relationships") - 1), lambda i: F.struct(F.get("node_names", i).alias("a"), F.get("relationships", i).alias("rel_type"), F.get("node_names", i + 1).alias("b"), F.get("forward", i).alias("forward")))
+    each = trails.filter(F.size("relationships") > 0).select("tenant_id", "query_id", F.explode(places).alias("e"))
+    ends = [F.when(F.col("e.forward"), F.col(f"e.{x}")).otherwise(F.col(f"e.{y}")) for x, y in ("ab", "ba")]
+    return names.join(types, KEY, "left"), each.select("tenant_id", "query_id", ends[0].alias("src"), "e.rel_type", ends[1].alias("dst")).distinct()
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int, first: int = 4, each: int = 3) -> DataFrame:
-    """Shortest paths between the first seeds of every query (``starts`` has rank), at most ``each`` per pair."""
-    some = starts.filter(F.col("rank") <= first)
-    ends = some.select("tenant_id", "query_id", F.col("name").alias("b"), F.col("rank").alias("rank_b"))
-    found = walks(edges, some, hops).withColumn("a", F.get("node_names", F.lit(0))).withColumn("b", F.element_at("node_names", -1))
-    ranks = some.select("tenant_id", "query_id", F.col("name").alias("a"), F.col("rank").alias("rank_a"))
-    met = found.join(ends, ["tenant_id", "query_id", "b"]).join(ranks, ["tenant_id", "query_id", "a"]).filter("rank_a < rank_b")
-    met = met.withColumn("hop_count", F.size("relationships")).withColumn("path_str", path_string())
+    """Shortest paths between the first seeds of every query (``starts`` has rank), at most ``each`` per pair, the first in print.
+
+    Both ends search level by level. A seed reaches a node once, on the level of its distance, and keeps there the first ``each`` prints of ways from it (as
+    the beginning of a path) and to it (as its end): for a given rest of the path only those can be among the first. A path of length n has one
+    node ceil(n / 2) steps from its first end, where both halves meet. Seeds whose pairs have all met search no further.
+    """
+    h = hops_within(hops)
+    step = both_ways(edges)
+    seed = ["tenant_id", "query_id", "seed"]
+    some = starts.filter(F.col("rank") <= first).select("tenant_id", "query_id", F.col("name").alias("seed"), "rank")
+    pairs = some.select("tenant_id", "query_id", F.col("seed").alias("a"), F.col("rank").alias("_a")).join(some.select("tenant_id", "query_id", F.col("seed").alias("b"), F.col("rank").alias("_b")), ["tenant_id", "query_id"]).filter("_a < _b")
+    pairs = written(pairs.filter("a <> b").select("tenant_id", "query_id", "a", "b").distinct(), "path-pairs")
+    zero = pairs.select("tenant_id", "query_id", F.col("a").alias("seed")).unionByName(pairs.select("tenant_id", "query_id", F.col("b").alias("seed"))).distinct()
+    # a level: seed, at, prefix ("(seed) ... (at)") and suffix (what follows "(at)" on the way to the seed)
+    level = written(zero.select(*seed, F.col("seed").alias("at"), F.concat(F.lit("("), "seed", F.lit(")")).alias("prefix"), F.lit("").alias("suffix")), "path-level")
+    seen, left, found, halves = level.select(*seed, "at"), pairs, [], [level]
+
+    def kept(rows: DataFrame, text: str) -> DataFrame:
+        order = F.row_number().over(Window.partitionBy(*seed, "at").orderBy(text))
+        return rows.select(*seed, "at", text).distinct().withColumn("_n", order).filter(F.col("_n") <= each)
+
+    def prints(open_: DataFrame, up: DataFrame, down: DataFrame, n: int) -> DataFrame:
+        """Paths of ``n`` edges of pairs that have none yet: ways from a to a node meet ways from it to b."""
+        begin = up.filter("prefix is not null").select("tenant_id", "query_id", F.col("seed").alias("a"), "at", "prefix")
+        end = down.filter("suffix is not null").select("tenant_id", "query_id", F.col("seed").alias("b"), "at", "suffix")
+        both = open_.join(begin, ["tenant_id", "query_id", "a"]).join(end, ["tenant_id", "query_id", "b", "at"])
+        return both.select("tenant_id", "query_id", "a", "b", F.concat("prefix", "suffix").alias("path_str"), F.lit(n).alias("hop_count")).distinct()
+
     pair = Window.partitionBy("tenant_id", "query_id", "a", "b")
-    met = met.withColumn("least", F.min("hop_count").over(pair)).filter("hop_count = least").withColumn("n", F.row_number().over(pair.orderBy("path_str")))
-    return met.filter(F.col("n") <= each).select("tenant_id", "query_id", "a", "b", "path_str", "hop_count")
+    for i in range(1, (h + 1) // 2 + 1):
+        # only seeds of pairs that have not met go on
+        going = left.select("tenant_id", "query_id", F.col("a").alias("seed")).unionByName(left.select("tenant_id", "query_id", F.col("b").alias("seed"))).distinct()
+        ahead = halves[-1].join(broadcast_if_small(going), seed, "left_semi").join(step, ["tenant_id", "at"]).withColumn("_from", F.col("at"))
+        ahead = ahead.withColumn("prefix", F.concat("prefix", tail())).withColumn("suffix", F.concat(F.lit(" -[:"), "rel_type", F.lit("]-> ("), "_from", F.lit(")"), "suffix"))
+        ahead = ahead.select(*seed, F.col("next").alias("at"), "prefix", "suffix").join(seen, [*seed, "at"], "left_anti")
+        firsts = [kept(ahead.filter(F.col(text).isNotNull()), text) for text in ("prefix", "suffix")]
+        halves.append(written(firsts[0].join(firsts[1], [*seed, "at", "_n"], "full_outer").drop("_n"), "path-level"))
+        seen = seen.unionByName(halves[-1].select(*seed, "at").distinct())
+        both = reduce(DataFrame.unionByName, [prints(left, halves[i], halves[n - i], n) for n in (2 * i - 1, 2 * i) if n <= h])
+        best = both.withColumn("_least", F.min("hop_count").over(pair)).filter("hop_count = _least").withColumn("_n", F.row_number().over(pair.orderBy("path_str"))).filter(F.col("_n") <= each)
+        found.append(written(best.drop("_n", "_least"), "paths"))
+        if 2 * i < h:
+            left = written(left.join(found[-1].select("tenant_id", "query_id", "a", "b").distinct(), ["tenant_id", "query_id", "a", "b"], "left_anti"), "path-pairs")
+    return reduce(DataFrame.unionByName, found).select("tenant_id", "query_id", "a", "b", "path_str", "hop_count")
 
 
 def central_paths(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:

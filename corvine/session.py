@@ -26,6 +26,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **more: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

@@ -34,23 +34,26 @@ def run_to_end(stream: DataFrame, mode: str, spark: SparkSession, name: str) ->
     """Process what is there, then return the last complete result (``complete``) or all rows (``append``)."""
     out = place(spark, name)
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def put(batch: DataFrame, n: int) -> None:
+        # a batch that is repeated after a failure replaces what it wrote
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", place(spark, f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def ingest(docs: DataFrame, postings_path: str, checkpoint: str):
     """Documents (tenant_id, doc_id, text) into the posting table, partitioned by tenant.
 
     A batch appends its postings under its own batch number, so a repeated batch overwrites itself and
-    nothing is counted twice; readers keep the latest version of a document.
+    nothing is counted twice; readers keep the latest version of a document. A version without tokens is a row without term, so that it too
+    replaces the one before.
     """
 
     def put(batch: DataFrame, n: int) -> None:
-        posts = lexical.postings(batch).withColumn("version", F.lit(n).cast("long"))
+        blank = lexical.tokenized(batch).filter(F.size("tokens") == 0).select("tenant_id", F.lit(None).cast("string").alias("term"), "doc_id", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tf"))
+        posts = lexical.postings(batch).select(*blank.columns).unionByName(blank).withColumn("version", F.lit(n).cast("long"))
         posts.write.mode("overwrite").parquet(f"{postings_path}/batch={n}")
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -59,7 +62,7 @@ def ingest(docs: DataFrame, postings_path: str, checkpoint: str):
 def current(posts: DataFrame) -> DataFrame:
     """Postings of the latest version of each document."""
     last = posts.groupBy("tenant_id", "doc_id").agg(F.max("version").alias("version"))
-    return posts.join(last, ["tenant_id", "doc_id", "version"], "left_semi").drop("version", "batch")
+    return posts.join(last, ["tenant_id", "doc_id", "version"], "left_semi").filter("term is not null").drop("version", "batch")
 
 
 #: States of an ingestion task and its progress.
