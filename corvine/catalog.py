@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvine.functions import text as T
 from corvine.functions import vocab as V
 from corvine.inputs import Inputs, oracle
-from corvine.operators import cache, chunks, entities, fusion, graph, lexical, lexindex, metrics, vector
+from corvine.operators import cache, chunks, entities, fusion, graph, lexical, lexindex, metrics, vecindex, vector
 from corvine.plans import ask as asking
 from corvine.plans import decide
 from corvine.sources import files, json_repair
@@ -177,6 +177,26 @@ def _(i: Inputs) -> DataFrame:
     return vector.top_k(i.vectors, i.vqueries).drop("tenant_id")
 
 
+@query("vector_index_all_lists", f"WITH {VECTOR} SELECT query_id, doc_id, similarity, vector_rank FROM ranked WHERE vector_rank <= 15")
+def _(i: Inputs) -> DataFrame:
+    """The kept index with every list probed and every code looked at again: the exact rows."""
+    index, every = vecindex.kept(i.vectors, "vectors"), 1 << 30
+    return index.search(i.vqueries, probes=every, pool=every).drop("tenant_id")
+
+
+@query("vector_index_recall", "SELECT count(*) AS questions, true AS enough FROM vqueries")
+def _(i: Inputs) -> DataFrame:
+    """Whether the kept index with its ordinary settings finds 95 % of the exact first fifteen."""
+    index = vecindex.kept(i.vectors, "vectors")
+    each = vecindex.recall(index.search(i.vqueries), vector.top_k(i.vectors, i.vqueries))
+    return each.agg(F.count(F.lit(1)).alias("questions"), (F.sum("n_found") >= 0.95 * F.sum("n_exact")).alias("enough"))
+
+
+@query("vector_index_topk")
+def _(i: Inputs) -> DataFrame:
+    return vecindex.kept(i.vectors, "vectors").search(i.vqueries).drop("tenant_id")
+
+
 VECTOR_MULTI = f"""WITH near AS (SELECT q.query_id, q.ordinal, v.doc_id, {cosine('v.embedding', 'q.embedding')} AS similarity FROM vectors v JOIN pvqueries q USING (tenant_id)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY similarity DESC, doc_id) AS r FROM near),
     once AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ordinal, r) AS seen FROM ranked WHERE r <= 15),

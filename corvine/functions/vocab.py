@@ -153,3 +153,6 @@ NODE_KIND = "entidad"
 MODEL_POOL = 6
 MODEL_CHARS = 350
 MODEL_MISSING = 0.30
+
+#: What a second attempt adds to a question where no model proposes other ones.
+FOLLOW_UPS = ["detalles", "especificacion"]

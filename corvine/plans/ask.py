@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
-from corvine.functions.text import is_injection, redact, tokens
-from corvine.operators import fusion, graph, lexindex, vector
+from corvine.functions.text import exact_identifiers, is_injection, redact, tokens
+from corvine.operators import fusion, graph, lexical, lexindex, vector
 from corvine.plans import decide
 from corvine.storage import shared_dir, written
 
@@ -34,10 +34,21 @@ def extractive(question: Column, passage: Column) -> Column:
     return F.when(passage.isNull(), NOTHING).otherwise(F.concat(F.lit("Según la documentación: "), F.substring(passage, 1, 300)))
 
 
-def entities_of(questions: DataFrame) -> DataFrame:
-    """Default query entities: words of more than three characters."""
+def entities_of(questions: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Names of the catalogue and identifiers that a question holds, each once; where it holds none, its words of more than three characters."""
     words = F.filter(tokens(F.col("text")), lambda t: F.length(t) > 3)
-    return questions.select(*KEY, F.explode(F.array_distinct(words)).alias("entity"))
+    plain = questions.select(*KEY, F.explode(F.array_distinct(words)).alias("entity"))
+    if catalogue is None:
+        return plain
+    named = decide.mentions(questions, catalogue).select(*KEY, F.col("name").alias("entity"))
+    known = named.unionByName(questions.select(*KEY, F.explode(F.transform(exact_identifiers(F.col("text")), F.lower)).alias("entity"))).distinct()
+    return known.unionByName(plain.join(known.select(*KEY).distinct(), KEY, "left_anti"))
+
+
+def follow_ups(questions: DataFrame) -> DataFrame:
+    """The phrasings of a second attempt: the question (ordinal 0) and its two follow-up questions."""
+    ways = [F.col("text"), *[F.concat("text", F.lit(f" {w}")) for w in V.FOLLOW_UPS]]
+    return questions.select(*KEY, F.posexplode(F.array(*ways)).alias("ordinal", "text"))
 
 
 def ask(
@@ -50,24 +61,46 @@ def ask(
     embedder: Callable[[Column], Column] = embed,
     local_model: bool = True,
     index: lexindex.Index | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """tenant_id, query_id, route, level, answer, confidence, n_sources, retried. ``local_model``: reranking is cheap, so it is never passed over for
+    """tenant_id, query_id, route, level, answer, confidence, n_sources, retried, notes. ``notes`` names what the plan did with a question: ``guard:`` and the
+    rule that let it take the fast path or made it leave it, ``degree_fallback`` where the best connected nodes stood in for seeds, ``follow_ups`` where two more questions were asked. ``local_model``: reranking is cheap, so it is never passed over for
     exact identifiers or dominant candidates.
 
-    ``index`` is the kept index of the chunks; without it one is built for this call. ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
+    ``index`` and ``vectors`` (tenant_id, doc_id, embedding) are the kept index and embeddings of the chunks; without them they are made for this call. ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
     """
     safe = questions.filter(~is_injection(F.col("text")))
     names = graph.catalogue(nodes)
     routed = written(safe.join(decide.route(safe, names), KEY), "ask-routes")
     if index is None:
         index = lexindex.Index.build(chunks, f"{shared_dir(chunks.sparkSession)}/corvine/ask-index-{uuid.uuid4().hex}")
-    vectors = written(chunks.select("tenant_id", "doc_id", embedder(F.col("text")).alias("embedding")), "ask-vectors")
+    if vectors is None:
+        vectors = written(chunks.select("tenant_id", "doc_id", embedder(F.col("text")).alias("embedding")), "ask-vectors")
+    central = graph.most_connected(nodes, edges, 15).select("tenant_id", "name", "type")
+
+    def near(asked: DataFrame) -> DataFrame:
+        return vector.top_k(vectors, asked.select(*KEY, embedder(F.col("text")).alias("embedding")), 15)
+
+    def hits_of(asked: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
+        """Lexical and vector hits; a second attempt asks the follow-up questions, too."""
+        if not again:
+            return written(index.search(asked, 15), "ask-lexical"), written(near(asked), "ask-near")
+        ways = follow_ups(asked)
+        each = near(ways.select("tenant_id", F.struct("query_id", "ordinal").alias("query_id"), "text"))
+        each = each.select("tenant_id", F.col("query_id.query_id").alias("query_id"), F.col("query_id.ordinal").alias("ordinal"), "doc_id", "similarity", "vector_rank")
+        return written(lexical.multi(ways, lambda q: index.search(q, 15)), "ask-lexical"), written(vector.multi(each), "ask-near")
+
+    def guarded(asked: DataFrame, lex: DataFrame, vec: DataFrame) -> DataFrame:
+        """Questions of the fast path whose hits do not suffice take the hybrid path."""
+        fast = asked.filter("route = 'FAST_PATH'")
+        said = decide.fast_path_guard(fast.select(*KEY, "text"), lex, vec, chunks)
+        met = asked.join(said, KEY, "left")
+        up = F.coalesce(~F.col("sufficient"), F.lit(False))
+        return met.withColumn("route", F.when(up, "HYBRID_PATH").otherwise(F.col("route"))).withColumn("needs_graph", F.col("needs_graph") | up).withColumn("notes", F.concat(F.lit("guard:"), "verdict")).drop("verdict", "sufficient")
 
     heads = fusion.overview(chunks.withColumn("ordinal", F.col("doc_id"))).select("tenant_id", "doc_id", "similarity", "position")
 
-    def passages(asked: DataFrame, k: int) -> DataFrame:
-        lex = index.search(asked, 15)
-        vec = vector.top_k(vectors, asked.select(*KEY, embedder(F.col("text")).alias("embedding")), 15)
+    def passages(asked: DataFrame, lex: DataFrame, vec: DataFrame, k: int) -> DataFrame:
         fused = written(fusion.rrf(vec, lex), "ask-fused")
         decided = fusion.rerank_decision(fused, asked, local_model)
         ranked = fusion.rerank(fused.join(decided.filter("should_rerank"), KEY, "left_semi"), asked, chunks, top=k, scorer=scorer).withColumn("rerank_rationale", F.lit("model"))
@@ -84,14 +117,20 @@ def ask(
 
     def facts(asked: DataFrame, hops: int) -> DataFrame:
         need = asked.filter("needs_graph")
-        found = written(graph.seeds(nodes, graph.expanded_terms(entities_of(need))), "ask-seeds")
+        found = written(graph.seeds(nodes, graph.expanded_terms(entities_of(need, names))), "ask-seeds").select(*KEY, "name", "type").withColumn("note", F.lit(None).cast("string"))
+        # questions about everything that name nothing in the graph get its best connected nodes
+        wide = need.filter("is_global").select(*KEY).join(found, KEY, "left_anti").join(central, "tenant_id").withColumn("note", F.lit("degree_fallback"))
+        found = written(found.unionByName(wide), "ask-seeds")
         paths = graph.expand(edges, found.select("tenant_id", "query_id", "name"), hops)
-        n = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_nodes"))
+        n = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_nodes"), F.max("note").alias("note"))
         return n.join(paths.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_paths")), KEY, "left")
 
     def attempt(asked: DataFrame, k: int, hops: int, iteration: int) -> DataFrame:
-        hits = written(passages(asked, k), "ask-hits")
-        levels = decide.evidence(asked, hits, facts(asked, hops)).select(*KEY, "level", "n_passages", "rerank")
+        lex, vec = hits_of(asked, iteration > 0)
+        asked = written(guarded(asked, lex, vec) if iteration == 0 else asked.withColumn("notes", F.lit("follow_ups")), "ask-asked")
+        hits = written(passages(asked, lex, vec, k), "ask-hits")
+        known = written(facts(asked, hops), "ask-facts")
+        levels = decide.evidence(asked, hits, known).select(*KEY, "level", "n_passages", "rerank").join(known.select(*KEY, "note"), KEY, "left")
         first = F.row_number().over(Window.partitionBy(*KEY).orderBy("reranker_rank"))
         top = hits.withColumn("_n", first).filter("_n = 1").select(*KEY, "doc_id").join(chunks.select("tenant_id", "doc_id", F.col("text").alias("passage")), ["tenant_id", "doc_id"])
         met = asked.join(levels, KEY, "left").join(top, KEY, "left")
@@ -103,13 +142,15 @@ def ask(
         step = decide.retry(level, F.col("faithful") & (F.col("confidence") >= 0.45), F.lit(iteration), F.col("confidence"))
         return checked.select(
             *KEY, "text", "route", "is_global", "needs_graph", decide.final_level(level, F.col("answer")).alias("level"), "answer", decide.final_confidence(level, F.col("answer"), F.col("confidence")).alias("confidence"),
-            F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_sources"), step.alias("next"), F.lit(iteration > 0).alias("retried"),
+            F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_sources"), step.alias("next"), F.lit(iteration > 0).alias("retried"), F.concat_ws(",", "notes", "note").alias("notes"),
         )
 
     one = written(attempt(routed, 5, 2, 0), "ask-first")
-    again = one.filter("next = 'refine'").select(*KEY, F.concat("text", F.lit(" detalles especificacion")).alias("text"), "route", "is_global", "needs_graph")
+    again = one.filter("next = 'refine'").select(*KEY, "text", "route", "is_global", "needs_graph")
+    columns = [*KEY, "route", "level", "answer", "confidence", "n_sources", "retried", "notes"]
+    if not again.limit(1).count():  # no question is tried again
+        return one.select(*columns)
     two = attempt(again, 8, 3, 1)
-    columns = [*KEY, "route", "level", "answer", "confidence", "n_sources", "retried"]
     return one.filter("next <> 'refine'").select(*columns).unionByName(two.select(*columns))
 
 

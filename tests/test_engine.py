@@ -389,3 +389,27 @@ def test_ask_decides_on_reranking_and_overview(spark):
         got = {r.query_id: r for r in asking.ask(q, chunks_, nodes, edges, local_model=local).collect()}
         assert set(got) == {"g", "c", "n"}
         assert got["g"].n_sources >= 4 and got["n"].n_sources >= 1 and "ZX-77-2" in got["c"].answer
+
+
+def test_ask_names_what_it_did(spark):
+    """Guard, fallback to the best connected nodes, follow-up questions and united entities."""
+    from corvine.plans import ask as asking
+
+    chunks_ = spark.createDataFrame(
+        [("t", "d1", "a.md", "el incidente INC-2026-001 del almacén duró tres horas"), ("t", "d2", "b.md", "una receta de pan con harina y agua"), ("t", "d3", "c.md", "otra receta de sopa con agua y sal")],
+        "tenant_id string, doc_id string, filename string, text string",
+    )
+    nodes = spark.createDataFrame([("t", "Hub", "X"), ("t", "Leaf", "X")], "tenant_id string, name string, type string")
+    edges = spark.createDataFrame([("t", "Hub", "R", "Leaf")], "tenant_id string, src string, rel_type string, dst string")
+    q = ask_of(spark, [("id", "detalle de INC-2026-001"), ("lost", "¿cuál es el precio de la patente?"), ("all", "¿Qué tienen en común los documentos?")])
+    got = {r.query_id: r for r in asking.ask(q, chunks_, nodes, edges).collect()}
+    assert got["id"].route == "FAST_PATH" and got["id"].notes.startswith("guard:IDENTIFIER")
+    assert got["lost"].route == "HYBRID_PATH" and got["lost"].notes.startswith(("guard:ESCALATE", "guard:NO_CANDIDATES", "follow_ups"))
+    assert "degree_fallback" in got["all"].notes
+    names = spark.createDataFrame([("t", "hub"), ("t", "leaf")], "tenant_id string, name string")
+    asked = ask_of(spark, [("1", "el Hub y INC-2026-001"), ("2", "solo palabras largas")])
+    found = {}
+    for r in asking.entities_of(asked, names).collect():
+        found.setdefault(r.query_id, set()).add(r.entity)
+    assert found == {"1": {"hub", "inc-2026-001"}, "2": {"solo", "palabras", "largas"}}
+    assert [r.text for r in asking.follow_ups(asked.filter("query_id = '1'")).orderBy("ordinal").collect()] == ["el Hub y INC-2026-001", "el Hub y INC-2026-001 detalles", "el Hub y INC-2026-001 especificacion"]

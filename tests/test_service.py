@@ -109,3 +109,26 @@ def test_grading_and_claims(spark):
     c = E.claims(F.col("a"), F.col("p"))
     r = row.select(c.alias("c"), E.unsupported(c, F.col("t")).alias("u")).first()
     assert [x.is_grounded for x in r.c] == [True, False, True] and r.u == ["told", "Dos dos!"]
+
+
+def test_cached_and_fresh_questions_of_one_bucket(spark, service):
+    """The second call reads an answer from the files that it also replaces."""
+    service.buckets = 1
+    one = spark.createDataFrame([("t", "1", "CNT-2023-MRI-008")], "tenant_id string, query_id string, text string")
+    both = one.unionByName(spark.createDataFrame([("t", "2", "¿Dónde está la sede de Beta Servicios?")], one.schema))
+    service.ask(one).collect()
+    got = {r.query_id: r.origin for r in service.ask(both).collect()}
+    assert got == {"1": "cache", "2": "generation"}
+    assert {r.query for r in service.table("answers", "t").collect()} == {r.text for r in both.collect()}
+
+
+def test_index_follows_the_chunks(spark, service):
+    ids = lambda: {(r.tenant_id, r.doc_id) for r in service.index().lengths().collect()}
+    stored = lambda: {(r.tenant_id, r.chunk_id) for t in "tu" for r in service.table("chunks", t).collect()}
+    assert ids() == stored() and len(ids()) == 3
+    service.ingest(spark.createDataFrame([("t", "a.md", "Una versión nueva con la palabra quetzal en el texto")], "tenant_id string, filename string, text string"))
+    q = spark.createDataFrame([("t", 1, "quetzal")], "tenant_id string, query_id long, text string")
+    assert ids() == stored() and service.index().search(q).count() == 1
+    assert service.delete_document("a.md", "t") and ids() == stored() and service.index().search(q).count() == 0
+    service.reset("u")
+    assert ids() == stored() == {("t", "b.md_chunk_0")}
