@@ -204,12 +204,13 @@ def candidates(long: DataFrame, short: DataFrame) -> DataFrame:
     wide, narrow = GRAMS
     each = long.select("tenant_id", "long", F.explode(F.concat(grams(F.col("long"), wide), grams(F.col("long"), narrow))).alias("gram"))
     own = short.select("tenant_id", "short", F.explode(F.when(F.length("short") >= wide, grams(F.col("short"), wide)).otherwise(grams(F.col("short"), narrow))).alias("gram"))
-    asked = broadcast_if_small(own.select("tenant_id", "gram").distinct())
+    # plain joins: a small side is broadcast at run time, and counting it first would compute it twice
+    asked = own.select("tenant_id", "gram").distinct()
     counted = each.join(asked, ["tenant_id", "gram"], "left_semi").groupBy("tenant_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     # a text one of whose runs nobody holds is held by nobody
     rarest = own.join(counted, ["tenant_id", "gram"], "left").groupBy("tenant_id", "short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     keys = rarest.filter("r.n > 0").select("tenant_id", "short", F.col("r.gram").alias("gram"))
-    return each.join(broadcast_if_small(keys), ["tenant_id", "gram"]).select("tenant_id", "long", "short")
+    return each.join(keys, ["tenant_id", "gram"]).select("tenant_id", "long", "short")
 
 
 def holding(long: DataFrame, short: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def holding(long: DataFrame, short: DataFrame) -> DataFrame:
     """
     met = candidates(long, short).filter(F.contains("long", F.col("short")))
     tiny = short.filter(F.length("short") < GRAMS[-1])
-    rest = long.join(broadcast_if_small(tiny), "tenant_id").filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
+    rest = long.join(tiny, "tenant_id").filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
     return met.unionByName(rest)
 
 
@@ -229,6 +230,7 @@ def seeds(nodes: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     Distinct terms are matched, each keeps its first ``limit`` nodes (a query's first ones are among them), then
     queries meet the nodes of their terms.
     """
+    terms = written(terms, "seed-terms")
     words = terms.select("tenant_id", F.lower("term").alias("word")).distinct()
     named = nodes.select(*KEY, "type", F.lower("name").alias("low")).distinct()
     names, word = named.select("tenant_id", "low").distinct(), words.select("tenant_id", F.col("word").alias("short"))

@@ -41,7 +41,7 @@ def entities_of(questions: DataFrame, catalogue: DataFrame | None = None) -> Dat
     if catalogue is None:
         return plain
     named = decide.mentions(questions, catalogue).select(*KEY, F.col("name").alias("entity"))
-    known = named.unionByName(questions.select(*KEY, F.explode(F.transform(exact_identifiers(F.col("text")), F.lower)).alias("entity"))).distinct()
+    known = written(named.unionByName(questions.select(*KEY, F.explode(F.transform(exact_identifiers(F.col("text")), F.lower)).alias("entity"))).distinct(), "known-entities")
     return known.unionByName(plain.join(known.select(*KEY).distinct(), KEY, "left_anti"))
 
 
@@ -70,7 +70,7 @@ def ask(
     ``index`` and ``vectors`` (tenant_id, doc_id, embedding) are the kept index and embeddings of the chunks; without them they are made for this call. ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
     """
     safe = questions.filter(~is_injection(F.col("text")))
-    names = graph.catalogue(nodes)
+    names = written(graph.catalogue(nodes), "ask-names")
     routed = written(safe.join(decide.route(safe, names), KEY), "ask-routes")
     if index is None:
         index = lexindex.Index.build(chunks, f"{shared_dir(chunks.sparkSession)}/corvine/ask-index-{uuid.uuid4().hex}")
@@ -117,7 +117,7 @@ def ask(
 
     def facts(asked: DataFrame, hops: int) -> DataFrame:
         need = asked.filter("needs_graph")
-        found = written(graph.seeds(nodes, graph.expanded_terms(entities_of(need, names))), "ask-seeds").select(*KEY, "name", "type").withColumn("note", F.lit(None).cast("string"))
+        found = written(graph.seeds(nodes, graph.expanded_terms(written(entities_of(need, names), "ask-entities"))), "ask-seeds").select(*KEY, "name", "type").withColumn("note", F.lit(None).cast("string"))
         # questions about everything that name nothing in the graph get its best connected nodes
         wide = need.filter("is_global").select(*KEY).join(found, KEY, "left_anti").join(central, "tenant_id").withColumn("note", F.lit("degree_fallback"))
         found = written(found.unionByName(wide), "ask-seeds")
