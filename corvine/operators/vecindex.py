@@ -104,7 +104,10 @@ def train(vectors: DataFrame, lists: int, slices: int, sample: int = SAMPLE, see
     """Centres and code books from at most ``sample`` vectors, the first by hash of their id."""
     some = vectors.orderBy(F.xxhash64("tenant_id", "doc_id")).limit(sample)
     some = written(some.select(F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), "vector-sample")
-    x = unit(np.array([r[0] for r in some.collect()], np.float32))
+    rows = [r[0] for r in some.collect()]
+    if len(set(map(len, rows))) > 1:
+        raise ValueError(f"vectors of another length than {len(rows[0])}")
+    x = unit(np.array(rows, np.float32))
     lists = max(1, min(lists, len(x)))
     norm = F.sqrt(vector.dot(F.col("embedding"), F.col("embedding")))
     units = some.select(array_to_vector(F.transform("embedding", lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)))).alias("features"))
