@@ -2,6 +2,7 @@
 
 import binascii
 import random
+import time
 
 import numpy as np
 import pytest
@@ -325,6 +326,51 @@ def test_hostile_pages(spark, monkeypatch, size):
     assert got[12].startswith("Title 2 & more First inline 2.")
 
 
+def listed_text(page):
+    return html_extract.main_text(html_extract.parse(page), None, set())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p data-id="menu" data-class=footer>a</p><p id=menu>b</p></article>', "a"),
+        ("<article><p title=it's>first</p><p>don't stop</p></article>", "first don't stop"),
+        ('<article><p title="open>one</p><p>two</p></article>', "one two"),
+        ("<article><div class='social-history'>a</div><div class=search-results>b</div><div class='x reader-comments'>c</div><div id=ad-slot-2>d</div></article>", "a b"),
+        ('<article><svg width=1/><p>a</p><svg><text>x</text></SVG><template>b<p>c</article>', "a b c"),
+        ("<article>1<2 &lt;b&gt; <!-->x<!-- > -->y</ p>z<!doctype q>w<? a ?>v</article>", "1<2 <b> xyzwv"),
+        ('<article><script>"</p>"<b>x</script ><p>a<script>b', "a"),
+        ("<p>end <a", "end <a"),
+        ("<p>end <a <!-- x", "end <a"),
+        ('<p>a<b c="x>y', "ay"),
+        ("<ARTICLE><P CLASS=a CLASS=menu>a</P></ARTICLE>", "a"),
+    ],
+)
+def test_scanner(page, want):
+    assert listed_text(page) == want
+
+
+def test_scanner_is_linear():
+    """Each page took minutes to hours, or would have, while one regular expression split pages into tags."""
+    n = 100_000
+    for piece in ("<script", '<a "', '<a b="x>" ', "<svg>", "<!--", "</scrip", "<a b='", "<!", "</", "<p title=it's>x"):
+        began = time.monotonic()
+        listed_text(piece * n + ">")
+        assert time.monotonic() - began < 30
+    for head, tail in (("<p><button>", "<hr>"), ("<li><div>", "<li>")):
+        began = time.monotonic()
+        listed_text(head + "<b>" * n + tail * n)
+        assert time.monotonic() - began < 60
+
+
+def test_link_paragraphs_and_clashing_names_in_a_slot(spark):
+    """A paragraph that is one link, and blocks whose class only begins like a menu's, stay in the slot that alignment finds."""
+    page = "<html><head><title>{0}</title></head><body><div><div>m{0} <i>n</i></div></div><div><h2>{0}</h2><p>{1}</p><p><a href=x>{2}</a></p><div class=social-history>{3}</div></div></body></html>"
+    rows = [(i, "http://slot.example/", page.format(f"t{i}", f"w{i} " * 30, f"l{i} " * 9, f"s{i} " * 5)) for i in range(8)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text, r.way) for r in got} == {(i, " ".join(f"t{i} {f'w{i} ' * 30} {f'l{i} ' * 9} {f's{i} ' * 5}".split()), "template") for i in range(8)}
+
+
 def naive_match(a, b):
     if a[0] != b[0]:
         return 0.0
