@@ -20,6 +20,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,7 +53,11 @@ RULES = (
     # a run of hex digits below 24 cannot hold a longer one, so the limit may stand in the pattern
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-VERSION = "base-1"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """Digest of what the rules say, in their order: changed rules are another version."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:16]
 
 
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
@@ -84,13 +89,15 @@ def spans_of(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def scan_versions(
-    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, path_col: str = "path", text_col: str = "content"
+    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str | None = None, path_col: str = "path", text_col: str = "content"
 ) -> tuple[DataFrame, DataFrame]:
     """(findings of every path, ledger entries that this run adds).
 
     ``ledger`` has columns blob, rule_version, spans; pairs in it are not scanned again. Findings have
     path, blob and spans (an array of kind, start, stop). Entries cover blobs without findings too.
+    ``version`` names the entries' rules; without it that is ``version_of`` them.
     """
+    version = version or version_of(rules)
     body = F.coalesce(F.col(text_col), F.lit(""))
     paths = written(versions.select(F.col(path_col).alias("path"), F.sha2(body, 256).alias("blob")), "secret-paths")
     texts = versions.select(F.sha2(body, 256).alias("blob"), body.alias("text"))
@@ -115,7 +122,7 @@ def kept_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.schema(f"blob string, rule_version string, spans {SPANS}").parquet(folder)
 
 
-def scan_kept(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, int]:
+def scan_kept(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, version: str | None = None, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, int]:
     """(findings of every path, number of blobs scanned); what is new is appended to the ledger in ``folder``."""
     found, added = scan_versions(versions, kept_ledger(versions.sparkSession, folder), rules, version, path_col, text_col)
     found = written(found, "secret-findings")  # before the ledger that it reads changes

@@ -135,6 +135,17 @@ def test_secrets_of_rows_without_id(spark):
     assert more.count() == 0 and sorted(len(r.spans) for r in again.collect()) == sorted(len(r.spans) for r in found.collect())
 
 
+def test_changed_rules_are_scanned_again(spark, docs, tmp_path):
+    folder = str(tmp_path / "rules")
+    _, first = secret_scan.scan_kept(docs, folder, path_col="doc_id", text_col="text")
+    rules = (secret_scan.Rule("zz", "e", 0, 1),)
+    found, scanned = secret_scan.scan_kept(docs, folder, rules=rules, path_col="doc_id", text_col="text")
+    assert scanned == first > 0 and {s.kind for r in found.collect() for s in r.spans} == {"zz"}
+    assert secret_scan.scan_kept(docs, folder, rules=rules, path_col="doc_id", text_col="text")[1] == 0
+    assert secret_scan.scan_kept(docs, folder, path_col="doc_id", text_col="text")[1] == 0
+    assert secret_scan.version_of(secret_scan.RULES) != secret_scan.version_of(secret_scan.RULES[::-1])
+
+
 def test_many_secrets_in_one_text(spark):
     text = " é".join(f"token={k:06d}" if k % 3 else "AKIA" + "Z" * 20 for k in range(5000))
     r = secret_scan.scan_documents(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).collect()
