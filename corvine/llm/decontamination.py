@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvine.llm.textvec import ALNUM, BASE, Words, chunks, mix
 
@@ -141,7 +142,7 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, n_agree, n_item, similarity, start, end (bytes of the lower-cased text) and mark (hash of the text, which tells rows of one id apart) of contaminated pairs."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
-    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[1].simpleString(), pa.string())
+    item_type = to_arrow_type(kinds[1])
     schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, n_agree long, n_item long, start long, end long, mark long"
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     parts = []
