@@ -43,7 +43,8 @@ SAMPLE_CHARS = 24_000_000
 REMEMBER = 200_000
 WIDTH = 7  # features of a token
 EPOCHS = 80
-RIDGE = 0.02
+#: The least log-loss of 0.005, 0.02 and 0.1 in ``cross_validated`` on training rows.
+RIDGE = 0.005
 LONG = 1 << 20
 _core = re.compile(r"\w+")
 _space = re.compile(r"\s")
@@ -225,7 +226,7 @@ def gradient(chain: Chain, e: np.ndarray, word: np.ndarray, n_words: int, trans:
     return by_word, by_move, value
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Crf:
+def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, ridge: float = RIDGE) -> Crf:
     """Train on labelled texts, in the order given; what is held here is bounded by the size of the sample."""
     rate = (sum(toxic) + 0.5) / (len(toxic) + 1)
     none = Crf(np.zeros(DIMS), -8.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([np.log(rate / (2 - rate)), 0.0, 0.0]))
@@ -254,7 +255,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Crf:
         e = (w[inverse].sum(1) + bias)[word]
         by_word, by_move, _ = gradient(chain, e, word, len(ids), np.exp(trans), y, vote)
         by_feature = np.bincount(inverse.ravel(), np.repeat(by_word, inverse.shape[1]), len(used))
-        grad = np.concatenate([by_feature - RIDGE * w, [by_word.sum()], (by_move - 0.1 * (trans - prior)).ravel()])
+        grad = np.concatenate([by_feature - ridge * w, [by_word.sum()], (by_move - 0.1 * (trans - prior)).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.2 * (1 - 0.8 * k / epochs)
         delta = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-3)
@@ -273,6 +274,29 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Crf:
     return model
 
 
+def cross_validated(texts: list[str], toxic: list[int], ridges: tuple[float, ...], folds: int = 3, epochs: int = EPOCHS) -> list[float]:
+    """Mean log-loss by ridge on folds of the given training rows, each scored by a model fitted on the other folds.
+
+    Rows that share a smallest shingle, near copies mostly, are in one fold. Rows without words take part in no fold.
+    """
+    rows = [(t, bool(y), kin(t.split()) % folds) for t, y in zip(texts, toxic, strict=True) if t and not t.isspace()]
+    out = []
+    for ridge in ridges:
+        loss = n = 0
+        for k in range(folds):
+            fold = [(t, y) for t, y, f in rows if f == k]
+            rest = [(t, y) for t, y, f in rows if f != k]
+            if not fold or not rest:
+                continue
+            m = fit([t for t, _ in rest], [int(y) for _, y in rest], epochs, ridge)
+            x, _ = measured(m, Emissions(m), [t for t, _ in fold])
+            z = np.clip(m.doc[0] + x @ m.doc[1:], -30, 30)
+            loss += np.logaddexp(0, np.where([y for _, y in fold], -z, z)).sum()
+            n += len(fold)
+        out.append(loss / max(1, n))
+    return out
+
+
 def evidence(m: Crf, chain: Chain, flat: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Per document (log-odds of a toxic tag, largest marginal) and the numbers of its toxic tokens; ``flat`` has the emission scores."""
     x, hits = np.zeros((len(chain.lengths), 2)), [np.zeros(0, np.int64)] * len(chain.lengths)
@@ -304,7 +328,7 @@ def evidence(m: Crf, chain: Chain, flat: np.ndarray) -> tuple[np.ndarray, list[n
 
 
 def parts_of(text: str) -> list[str]:
-    """A very long text cut at white space into parts of about LONG characters; the chain starts anew in each."""
+    """A very long text cut at white space into parts of about LONG characters, which are read one by one; the chain goes on over all of them."""
     if len(text) <= LONG:
         return [text]
     out, at = [], 0

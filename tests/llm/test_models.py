@@ -274,6 +274,24 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table, bench.limit(0)).count() == decontamination.contaminated(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["smallint", "tinyint", "int", "bigint", "string", "decimal(6,0)", "date"])
+def test_decontamination_item_ids_of_any_type(spark, kind):
+    words = "one of the long passages that a benchmark asks about and that stands word by word in a text of the corpus too"
+    value = "date'2020-01-01'" if kind == "date" else f"cast(7 as {kind})"
+    bench = spark.createDataFrame([(words,)], "text string").selectExpr(f"{value} as item_id", "text")
+    got = decontamination.contaminated(spark.createDataFrame([(1, "x y " + words + " z")], "doc_id long, text string"), bench)
+    assert dict(got.dtypes)["item_id"] == kind and [r.item_id for r in got.collect()] == [bench.first().item_id]
+
+
+def test_cross_validation_separates_ridges():
+    random.seed(5)
+    texts = [" ".join(random.choice("abcdefgh") + str(random.randrange(50)) for _ in range(12)) + (" awful" if i % 3 == 0 else "") for i in range(90)]
+    y = [int(i % 3 == 0) for i in range(90)]
+    low, high = toxicity.cross_validated(texts + ["", " "], [*y, 1, 0], (0.02, 1000.0), epochs=40)
+    assert 0 < low < high
+    assert toxicity.cross_validated([], [], (0.02,)) == [0.0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{0}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/a">Home {0}</a></ul></nav>
 <div class="cookie-notice">We use cookies {0}</div><div class="ad">Buy {0}</div><{tag}><h1>Title&nbsp;{0} &amp; more</h1><p><b>First <i>in</i>line {0}.<br>next<p>Second&#33;
  line {0}<p>Read our terms of use.</p><div class="comments"><p>Nice {0}</p></div></{tag}><aside>Side {0}</aside><form><p>Name</p></form><footer>&copy; {0}</footer>"""
