@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,30 +97,89 @@ def has_code(name: Column) -> Column:
     return F.exists(F.split(name, " "), code)
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """200 x longest common subsequence / total length of both, after sorting the words."""
-    x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    if not x and not y:
-        return 100.0
-    row = [0] * (len(y) + 1)
-    for c in x:
-        diagonal = 0
-        for j, d in enumerate(y, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if c == d else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(x) + len(y))
+#: Cells of the table of common subsequences that are held at a time.
+CELLS = 1 << 22
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair: one step per letter of the first texts, over all pairs and all places of the second.
+
+    The best up to a place is the running maximum of what stood there and, where the letters agree, of what stood one place before plus one.
+    """
+    n = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    order = np.argsort(np.maximum(*n), kind="stable")
+    out = np.zeros(len(a), np.int64)
+    at = 0
+    while at < len(order):
+        part = order[at : at + 4096]
+        part = part[: max(1, np.searchsorted(np.maximum(n[0], n[1])[part] * np.arange(1, len(part) + 1), CELLS))]
+        at += len(part)
+        tables = []
+        for texts, sizes, pad in ((a, n[0], -1), (b, n[1], -2)):
+            t = np.full((len(part), int(sizes[part].max())), pad, np.int32)
+            t[np.arange(t.shape[1]) < sizes[part, None]] = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), np.int32)
+            tables.append(t)
+        x, y = tables
+        row = np.zeros((len(part), y.shape[1] + 1), np.int32)
+        for k in range(x.shape[1]):
+            np.maximum(row[:, 1:], np.where(y == x[:, k : k + 1], row[:, :-1] + 1, 0), out=row[:, 1:])
+            np.maximum.accumulate(row, axis=1, out=row)
+        out[part] = row[:, -1]
+    return out
 
 
 @F.pandas_udf(DoubleType())
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)])
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """200 x longest common subsequence / total length of both; 100 for two empty texts."""
+    total = (a.str.len() + b.str.len()).to_numpy()
+    return pd.Series(np.where(total > 0, 200.0 * common_lengths(a.tolist(), b.tolist()) / np.maximum(total, 1), 100.0))
+
+
+def sorted_words(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(name, "(?U)[\\s\\x1c-\\x1f]+"), lambda w: w != "")), " ")
+
+
+def similar_names(names: DataFrame, known: DataFrame, threshold: float = V.FUZZY) -> DataFrame:
+    """``names``: tenant_id, name; ``known``: tenant_id, existing. tenant_id, name, existing, score of pairs with score >= threshold, letter case apart.
+
+    A score of ``threshold`` leaves D = (1 - threshold / 100) x (both lengths) letters to insert or delete. A deletion breaks up three of a text's
+    runs of three letters, an insertion two, so all but 3 D of the distinct runs of either text are in the other. Hence the rarest run that
+    both share is among the rarest 3 D + 1 of each: pairs meet on those alone, and a run that very many names have ("customer") brings
+    nobody together as long as the names have rarer ones. What meets is held against the bounds on length and on shared runs, then scored.
+    This holds while 3 D is below the number of runs; texts with fewer runs meet on all of them and, whole, on themselves (thresholds from 92 on need no more: below seven letters only equal texts reach them).
+    """
+    d = 1 - threshold / 100
+
+    def runs(df: DataFrame, col: str) -> DataFrame:
+        t = df.select("tenant_id", F.col(col).alias("_name")).distinct().withColumn("t", sorted_words(F.lower("_name")))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substr("t", i, F.lit(3))))
+        return t.withColumn("grams", grams)
+
+    a, b = runs(names, "name"), runs(known, "existing")
+    each = b.select("tenant_id", F.explode("grams").alias("gram"))
+    often = each.groupBy("tenant_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(side: DataFrame) -> DataFrame:
+        # the other text is at most (2 / (threshold / 100) - 1) times as long
+        most = F.floor(F.lit(3 * d * 2 / (threshold / 100)) * F.length("t") + 1e-9).cast("int") + 1
+        counted = side.withColumn("gram", F.explode("grams")).join(often, ["tenant_id", "gram"], "left").select("tenant_id", "_name", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"), most.alias("most"))
+        first = counted.groupBy("tenant_id", "_name").agg(F.array_sort(F.collect_list("g")).alias("g"), F.first("most").alias("most"))
+        return first.select("tenant_id", "_name", F.explode(F.slice("g", 1, F.col("most"))["gram"]).alias("gram"))
+
+    met = rarest(a).withColumnRenamed("_name", "name").join(rarest(b).withColumnRenamed("_name", "existing"), ["tenant_id", "gram"]).select("tenant_id", "name", "existing").distinct()
+    both = met.join(a.select("tenant_id", F.col("_name").alias("name"), F.col("t").alias("x"), F.col("grams").alias("gx")), ["tenant_id", "name"])
+    both = both.join(b.select("tenant_id", F.col("_name").alias("existing"), F.col("t").alias("y"), F.col("grams").alias("gy")), ["tenant_id", "existing"])
+    changed = F.lit(d) * (F.length("x") + F.length("y")) + 1e-9
+    gone = F.abs(F.length("x") - F.length("y"))
+    shared = F.size(F.array_intersect("gx", "gy"))
+    near = both.filter((gone <= changed) & (shared >= F.greatest(F.size("gx"), F.size("gy")) - 3 * changed))
+    return near.select("tenant_id", "name", "existing", indel_ratio("x", "y").alias("score")).filter(F.col("score") >= threshold)
 
 
 def canonicalize(names: DataFrame, known: DataFrame, threshold: float = V.FUZZY) -> DataFrame:
     """``names``: tenant_id, name; ``known``: tenant_id, existing. Adds canonical.
 
-    Exact and short-variant and code-prefix rules meet on the first word. A fuzzy score of 92 allows 0.08 differing
-    letters per letter of both names, so by the pigeonhole principle the texts with sorted words share three letters in a row
-    (or are equal, when shorter than seven): candidates meet on those.
+    Exact and short-variant and code-prefix rules meet on the first word, what is left over on rare runs of letters (``similar_names``).
     """
     k = known.filter(F.length(F.trim("existing")) > 0).distinct()
     first = F.lower(F.substring_index("existing", " ", 1))
@@ -136,17 +196,7 @@ def canonicalize(names: DataFrame, known: DataFrame, threshold: float = V.FUZZY)
     pasted = has_code(F.col("existing")) & F.startswith(F.col("low"), F.concat(F.lower("existing"), F.lit(" ")))
     ruled = near.filter(short | pasted).groupBy("tenant_id", "name").agg(F.max_by("existing", F.struct(F.length("existing"), "existing")).alias("ruled"))
     left = open_.select("tenant_id", "name", "low").join(ruled, ["tenant_id", "name"], "left_anti")
-
-    def blocks(text: Column) -> Column:
-        t = F.array_join(F.array_sort(F.split(text, " ")), " ")
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
-        return F.array_distinct(grams)
-
-    a = left.withColumn("block", F.explode(blocks(F.col("low"))))
-    b = k.withColumn("block", F.explode(blocks(F.lower("existing")))).withColumn("known_low", F.lower("existing"))
-    close = (F.length("low") >= 0.85 * F.length("known_low")) & (F.length("known_low") >= 0.85 * F.length("low"))
-    pairs = a.join(b, ["tenant_id", "block"]).filter(close).select("tenant_id", "name", "low", "existing", "known_low").distinct()
-    scored = pairs.withColumn("score", token_sort_ratio("low", "known_low")).filter(F.col("score") >= threshold)
+    scored = similar_names(left, k, threshold)
     fuzzy = scored.groupBy("tenant_id", "name").agg(F.max_by("existing", F.struct("score", "existing")).alias("fuzzy"))
     out = met.join(ruled, ["tenant_id", "name"], "left").join(fuzzy, ["tenant_id", "name"], "left")
     return out.select("tenant_id", "name", F.coalesce("preferred", "exact", "ruled", "fuzzy", "name").alias("canonical"))

@@ -192,6 +192,44 @@ def test_canonicalize(spark):
     assert got == dict(zip(names, ["OmniCorp Global", "Delta Logistics GmbH", "ISO/IEC 27001:2022", "Maria Fernandez Lopez", "SLA Penalties", "Otra Cosa"], strict=True))
 
 
+def plain_ratio(a, b):
+    x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, c in enumerate(x):
+        for j, e in enumerate(y):
+            table[i + 1][j + 1] = table[i][j] + 1 if c == e else max(table[i][j + 1], table[i + 1][j])
+    return 200 * table[-1][-1] / (len(x) + len(y)) if x or y else 100.0
+
+
+def test_common_lengths():
+    random.seed(8)
+    texts = ["".join(random.choice("abc\U0001f600é") for _ in range(random.choice([0, 1, 2, 7, 30]))) for _ in range(200)]
+    a, b = texts[:100], texts[100:]
+    want = [round(plain_ratio(x, y) * (len(x) + len(y)) / 200) for x, y in zip(a, b, strict=True)]
+    assert entities.common_lengths(a, b).tolist() == want
+    assert entities.common_lengths([], []).tolist() == [] and entities.common_lengths(["a" * 3000] * 3, ["ba" * 3000] * 3).tolist() == [3000] * 3
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    """Two tenants, names with one beginning, repeated runs, moved words, odd white space, very short and empty names; any partitioning."""
+    random.seed(9)
+    words = ["customer", "aaaaaa", "logistics", "Ärzte", "gmbh", "north", "nord", "x", "12", "a.b"]
+    known = [" ".join(random.choice(words) for _ in range(random.randint(1, 4))) + random.choice(["", " ", "\u00a0k", str(random.randrange(99))]) for _ in range(80)] + ["", " ", "ab"]
+    names = []
+    for k in known:
+        n = list(k.upper() if random.random() < 0.3 else k)
+        for _ in range(random.randint(0, 2)):
+            n.insert(random.randrange(len(n) + 1), random.choice("abc "))
+        names.append("".join(n))
+    rows = lambda xs, t: [(t, x) for x in xs]
+    a = spark.createDataFrame(rows(names, "t") + rows(names[:5], "u") + rows(names[:2], "t"), "tenant_id string, name string")
+    b = spark.createDataFrame(rows(known, "t") + rows(known[3:9], "u"), "tenant_id string, existing string")
+    got = {(r.tenant_id, r.name, r.existing): r.score for r in entities.similar_names(a.repartition(3), b.repartition(5)).collect()}
+    want = {(t, x, y): plain_ratio(x.lower(), y.lower()) for t, xs, ys in (("t", names, known), ("u", names[:5], known[3:9])) for x in xs for y in ys}
+    want = {k: v for k, v in want.items() if v >= V.FUZZY}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(want) >= 50
+
+
 def test_fuzzy_blocks_lose_nothing(spark):
     random.seed(6)
     known = ["".join(random.choice("abcd ") for _ in range(random.randint(3, 25))).strip() + "x" for _ in range(60)]
@@ -204,7 +242,7 @@ def test_fuzzy_blocks_lose_nothing(spark):
     kd = spark.createDataFrame([("t", x) for x in known], "tenant_id string, existing string")
     got = {r.name: r.canonical for r in entities.canonicalize(spark.createDataFrame([("t", x) for x in names], "tenant_id string, name string"), kd).collect()}
     for n in names:
-        scores = [entities.indel_ratio(n.lower(), k.lower()) for k in known]
+        scores = [plain_ratio(n.lower(), k.lower()) for k in known]
         if max(scores) >= V.FUZZY and got[n] not in known:
             raise AssertionError((n, max(scores)))
 
