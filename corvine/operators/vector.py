@@ -1,11 +1,19 @@
-"""Cosine search. Queries are a stated set met in blocks: a block of checked size is broadcast against all vectors."""
+"""Cosine search. Queries are a stated set met in blocks: a block of checked size goes to every task and meets the task's vectors in arrays."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from corvine.session import ship
 
-BLOCK = 4096
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,23 +25,79 @@ def cosine(product: Column, norms: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(product, norms), F.lit(0.0)), 4)
 
 
+def rows_of(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have ``dims`` numbers, and these as rows; a missing number is NaN."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False)
+    flat = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return fits.to_numpy(zero_copy_only=False), flat.reshape(-1, dims)
+
+
+def cosines(column: pa.Array, asked: np.ndarray | None) -> np.ndarray:
+    """Cosine of every vector (row) with every question (column); 0 where lengths differ or one of the two has no length."""
+    if asked is None:
+        return np.zeros((len(column), 1))
+    fits, x = rows_of(column, asked.shape[1])
+    out = np.zeros((len(column), len(asked)))
+    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(asked, axis=1)[None, :]
+    with np.errstate(invalid="ignore"):
+        out[fits] = np.nan_to_num(np.divide(x @ asked.T, norms, out=np.zeros_like(norms), where=norms > 0), nan=0.0)
+    return out
+
+
+def blocks_of(rows: list) -> dict[str, list[tuple[np.ndarray, np.ndarray | None]]]:
+    """The questions of each tenant, those of one length together: their places in the block and their vectors (None for questions without one)."""
+    groups: dict[tuple, list[int]] = {}
+    for at, r in enumerate(rows):
+        groups.setdefault((r["tenant_id"], None if r["embedding"] is None else len(r["embedding"])), []).append(at)
+    out: dict[str, list] = {}
+    for (tenant, dims), places in groups.items():
+        if dims is None:
+            out.setdefault(tenant, []).extend((np.array([p]), None) for p in places)
+        else:
+            out.setdefault(tenant, []).append((np.array(places), np.array([rows[p]["embedding"] for p in places], np.float64).reshape(-1, dims)))
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, block: int = BLOCK) -> DataFrame:
-    """``vectors``: tenant_id, doc_id, embedding; ``queries``: tenant_id, query_id, embedding.
+    """``vectors``: tenant_id, doc_id, embedding; ``queries``: tenant_id, query_id, embedding. Exact: every vector is compared.
 
-    An equi-join on the tenant against a block of at most ``block`` queries; each task keeps its own best ``k`` per query
-    (window group limit) before the shuffle.
+    Questions come to the driver in blocks of about ``block`` and meet the vectors of their tenant where these lie. Of a batch of vectors only the best
+    ``k`` of a question leave the task, and only those that are no worse than what an earlier batch of it gave, so the shuffle sees a few
+    rows per task and question. A null vector, and one of another length than the question's, has similarity 0.
     """
-    v = vectors.select("tenant_id", "doc_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = queries.select("tenant_id", "query_id", F.col("embedding").alias("asked"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("asked_norm"))
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    spark = vectors.sparkSession
+    ship(spark)
+    parts = max(1, -(-queries.count() // block))
+    v = vectors.select("tenant_id", "doc_id", "embedding")
+    ids = vectors.schema["doc_id"].dataType.simpleString()
+    named = queries.select("tenant_id", "query_id", "embedding")
     out = None
     for i in range(parts):
-        some = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        met = v.join(F.broadcast(some), "tenant_id")
-        scored = met.select("tenant_id", "query_id", "doc_id", cosine(dot(F.col("embedding"), F.col("asked")), F.col("norm") * F.col("asked_norm")).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("similarity"), "doc_id"))
-        best = scored.withColumn("vector_rank", rank).filter(F.col("vector_rank") <= k)
+        rows = (named if parts == 1 else named.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).collect()
+        asked = blocks_of(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked, n=len(rows)) -> Iterator[pa.RecordBatch]:
+            least = np.full(n, -np.inf)
+            for b in batches:
+                b = b.take(pc.sort_indices(b.column("doc_id"), null_placement="at_start"))
+                tenants = b.column("tenant_id")
+                for tenant in tenants.unique().to_pylist():
+                    own = b.filter(pc.equal(tenants, tenant)) if tenant is not None and tenant in asked else None
+                    for places, x in asked[tenant] if own is not None else ():
+                        found = cosines(own.column("embedding"), x)
+                        shown = np.copysign(np.floor(np.abs(found) * 1e4 + 0.5), found)  # as it will be rounded
+                        first = np.argsort(-shown, axis=0, kind="stable")[:k]  # rows are in the order of doc_id
+                        best = np.take_along_axis(shown, first, 0)
+                        at, q = np.nonzero(best >= least[places][None, :])
+                        if len(first) == k:
+                            least[places] = np.maximum(least[places], best[-1])
+                        row = first[at, q]
+                        yield pa.RecordBatch.from_arrays([pa.array(places[q].astype(np.int32)), own.column("doc_id").take(pa.array(row)), pa.array(found[row, q])], ["_q", "doc_id", "cosine"])
+
+        names = spark.createDataFrame([(at, r["tenant_id"], r["query_id"]) for at, r in enumerate(rows)], StructType([StructField("_q", IntegerType()), *named.drop("embedding").schema.fields]))
+        scored = v.mapInArrow(run, f"_q int, doc_id {ids}, cosine double").withColumn("similarity", F.round("cosine", 4))
+        rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("similarity"), "doc_id"))
+        best = scored.withColumn("vector_rank", rank).filter(F.col("vector_rank") <= k).join(F.broadcast(names), "_q").select("tenant_id", "query_id", "doc_id", "similarity", "vector_rank")
         out = best if out is None else out.unionByName(best)
     return out
 
