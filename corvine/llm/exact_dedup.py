@@ -1,21 +1,25 @@
 """Exact deduplication through an extendible-hash index kept in shared files. DataFrame functions only.
 
-1. Every text is normalised (white space deleted) and keyed by 64 hash bits plus its SHA-256.
-2. The *directory* has 2**depth entries over the leading key bits. It starts with one bucket; a bucket with
-   more than ``capacity`` keys splits by its next bit, and the directory doubles when the split bucket had
-   the full depth. A smaller local depth lets a bucket own several entries. The directory has at most
-   ``2**MAX_DEPTH`` entries whatever the size of the data; a bucket that is still overfull then grows longer,
-   which costs balance and changes no result.
-3. Texts go to the bucket of their key. Within (bucket, key) the texts themselves are the grouping key, so
-   *bytes* decide what is equal: every distinct text is one link of its key's *chain*, with the size of
-   its group and the row that stays. Equal texts of one task are combined before they move, so a text with a third
-   of all rows is one row per task.
-4. Owner tasks take contiguous ranges of (bucket, key) and write the index, without texts.
-5. Each row finds its bucket through the directory and its link by key and SHA-256. Two links of one chain
-   with the same SHA-256 would make that ambiguous and stop the job instead of mixing two texts.
+1. Every text is normalised (white space deleted) and keyed by 64 hash bits plus its SHA-256. Rows of one key and hash are
+   combined in their task before they move, as counts and the row that would stay, without texts.
+2. *Insertion.* The directory has 2**depth entries over the leading key bits and starts with one bucket. New links go to the
+   bucket that owns their entry. A bucket with more than ``capacity`` keys splits by its next bit, and the directory doubles when
+   the split bucket had the full depth; buckets that nothing was added to keep their files. The directory has at most ``2**MAX_DEPTH``
+   entries whatever the size of the data; a bucket that is still overfull then grows longer, which costs balance and changes no result.
+3. *Owner tasks* take contiguous ranges of (bucket, key). They merge the new links of a key with those that its bucket holds, and
+   set the *chain*: the links of equal keys in the order of their SHA-256, each with the size of its group and the row that stays.
+4. *Bytes.* Links of one chain with other hashes are other texts. Rows that share key and hash are compared byte by byte: only their texts are
+   read again, each task keeps the least and the greatest of them per link, and over all tasks both must be the same text and the
+   number of texts compared must be the size of the group. Otherwise two texts share a SHA-256 value (or the index belongs to other rows), and the job stops.
+   Texts are told apart from those of unique keys by ``SLOTS`` bits of their key, so a few unique ones may come along.
+5. Each row finds its bucket through the directory and its link in the chain.
 
 Rows are joined by key and hash, never by id, so ids may be of any type, repeat or be null.
 
+An index under a named folder (``root``) takes further rounds: ``exact_dedup(new, root=..., earlier=old)`` decides ``new`` against all rows inserted
+so far; ``earlier`` are those rows, of which only texts that a new one meets are read for their bytes. One writer at a time; an insertion that
+fails leaves the index as it was, since the directory is written last.
+
 Defined results: a null text is an empty one; texts of nothing but white space are equal to it; ties on
 the most code points go to the smallest doc_id; a row that repeats id and text counts as one more copy and is kept with
 its id; of rows with one id and different texts those that are as long as the longest are kept; a null id is larger than
@@ -24,13 +28,16 @@ any other; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvine.storage import drop_shared, written
+from corvine.storage import drop_shared, shared_dir, written
 
 MAX_DEPTH = 16
 CAPACITY = 1 << 12  # keys of a bucket
+SLOTS = 20  # leading key bits by which texts of repeated keys are found; at most 2**SLOTS values are broadcast
 
 
 def normalised(text: Column) -> Column:
@@ -57,65 +64,135 @@ def prefix(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int) -> list[tuple[int, int]]:
-    """(local depth, prefix) of every bucket.
-
-    The loads of all entries come to the driver: at most 2**MAX_DEPTH pairs of numbers.
-    """
-    load = [0] * (1 << MAX_DEPTH)
-    for row in keys.select("key").distinct().groupBy(prefix(MAX_DEPTH).alias("e")).agg(F.count(F.lit(1)).alias("c")).collect():
-        load[row["e"]] = row["c"]
+def split(load: list[int], buckets: list[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
+    """``buckets`` as (local depth, prefix), the overfull ones split by their next bit until none is overfull; ``load``: keys per entry of ``MAX_DEPTH`` bits."""
     total = [0]
     for x in load:
         total.append(total[-1] + x)
-    buckets, todo = [], [(0, 0)]
+    done, todo = [], list(buckets)
     while todo:
         depth, at = todo.pop()
         width = 1 << (MAX_DEPTH - depth)
         if depth < MAX_DEPTH and total[(at + 1) * width] - total[at * width] > capacity:
             todo += [(depth + 1, 2 * at), (depth + 1, 2 * at + 1)]
         else:
-            buckets.append((depth, at))
-    return sorted(buckets, key=lambda b: b[1] << (MAX_DEPTH - b[0]))
+            done.append((depth, at))
+    return sorted(done, key=lambda b: b[1] << (MAX_DEPTH - b[0]))
+
+
+def loads(keys: DataFrame) -> list[int]:
+    """Distinct keys per entry of ``MAX_DEPTH`` bits: at most 2**MAX_DEPTH pairs of numbers come to the driver."""
+    load = [0] * (1 << MAX_DEPTH)
+    for row in keys.select("key").distinct().groupBy(prefix(MAX_DEPTH).alias("e")).agg(F.count(F.lit(1)).alias("c")).collect():
+        load[row["e"]] = row["c"]
+    return load
+
+
+def named(depth: int, at: int) -> int:
+    """The number of the bucket of ``depth`` bits ``at``."""
+    return 1 << depth | at
 
 
-def entries(spark: SparkSession, buckets: list[tuple[int, int]]) -> DataFrame:
-    """The directory: one row per entry of the global depth with the bucket that owns it."""
+def entries(spark: SparkSession, buckets: list[tuple[int, int]]) -> tuple[DataFrame, int]:
+    """The directory, one row per entry with the bucket that owns it, and its depth."""
     top = max(d for d, _ in buckets)
-    rows = [(e, b, d) for b, (d, at) in enumerate(buckets) for e in range(at << (top - d), (at + 1) << (top - d))]
-    return spark.createDataFrame(rows, "entry long, bucket int, depth int")
+    rows = [(e, named(d, at)) for d, at in buckets for e in range(at << (top - d), (at + 1) << (top - d))]
+    return spark.createDataFrame(rows, "_entry long, bucket long"), top
 
 
-def in_buckets(rows: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+def in_buckets(rows: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
     """``rows`` with the bucket of their key; the directory is broadcast, its size is bounded."""
-    return rows.withColumn("_entry", prefix(depth)).join(F.broadcast(found.select(F.col("entry").alias("_entry"), "bucket")), "_entry").drop("_entry")
-
-
-def build_index(texts: DataFrame, found: DataFrame, depth: int) -> DataFrame:
-    """One row per distinct text: bucket, key, place in the chain, sha, the row that stays, its length, the group's size."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best")
-    # the text itself is the grouping key: equal bytes are one link of the chain, other bytes another
-    links = in_buckets(texts, found, depth).groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("group_size"), best)
-    links = written(links.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.minus")).alias("n_most")), "dedup-links")
-    chain = Window.partitionBy("bucket", "key").orderBy("sha", "n_most", "keep_id")
-    twin = F.coalesce(F.lag("sha").over(chain) == F.col("sha"), F.lit(False))
-    owned = links.repartitionByRange(parts, "bucket", "key").select("*", F.row_number().over(chain).alias("chain"), twin.alias("twin"))
-    index = written(owned, "dedup-index")
-    drop_shared(texts.sparkSession, links)
-    return index
-
-
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, mark (hash of the text, which tells rows of one id apart)."""
+    found, depth = entries(rows.sparkSession, buckets)
+    return rows.withColumn("_entry", prefix(depth)).join(F.broadcast(found), "_entry").drop("_entry")
+
+
+def best_row(n: str, doc_id: str) -> Column:
+    """Orders rows of a group: the longest text first, then the smallest id, null last."""
+    return F.struct((-F.col(n)).alias("minus"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"))
+
+
+class Index:
+    """Directory and buckets under ``root``: ``directory/<version>`` (bucket, depth, at, version) and ``buckets/version=<version>`` (bucket, key, sha, chain, group_size, keep_id, n_most, changed)."""
+
+    def __init__(self, spark: SparkSession, root: str, capacity: int = CAPACITY):
+        self.spark, self.root, self.capacity = spark, root.rstrip("/"), capacity
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/directory")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        whole = [int(f.getPath().getName()) for f in fs.listStatus(path) if fs.exists(f.getPath().suffix("/_SUCCESS"))] if fs.exists(path) else []
+        self.version = max(whole, default=0)
+        rows = spark.read.parquet(f"{self.root}/directory/{self.version}").collect() if self.version else []
+        #: version of the files of each bucket (local depth, prefix)
+        self.files = {(r["depth"], r["at"]): r["version"] for r in rows} or {(0, 0): 0}
+
+    def buckets(self) -> list[tuple[int, int]]:
+        return sorted(self.files, key=lambda b: b[1] << (MAX_DEPTH - b[0]))
+
+    def links(self, of: list[tuple[int, int]] | None = None) -> DataFrame | None:
+        """All links, or those of some buckets; None where nothing was inserted yet."""
+        at = [(named(*b), v) for b, v in self.files.items() if v and (of is None or b in set(of))]
+        if not at:
+            return None
+        which = self.spark.createDataFrame(at, "bucket long, version int")
+        return self.spark.read.parquet(f"{self.root}/buckets").join(F.broadcast(which), ["bucket", "version"], "left_semi").drop("version")
+
+    def insert(self, keys: DataFrame) -> DataFrame:
+        """Add the rows of ``keys`` (see ``keyed``); the links of all buckets that they went to, ``changed`` where one of them is."""
+        new = keys.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("group_size"), F.min(best_row("n", "doc_id")).alias("best")).withColumn("changed", F.lit(True))
+        new = written(new, "dedup-links")
+        load = loads(new)
+        hit = [(d, at) for d, at in self.buckets() if any(load[at << (MAX_DEPTH - d) : (at + 1) << (MAX_DEPTH - d)])]
+        old = self.links(hit)
+        both = new
+        if old is not None:
+            both = new.unionByName(old.select("key", "sha", "group_size", best_row("n_most", "keep_id").alias("best"), F.lit(False).alias("changed")))
+            load = loads(both)
+        parts = split(load, hit, self.capacity)
+        kept = {b: v for b, v in self.files.items() if b not in set(hit)}
+        version = self.version + 1
+        self.files = kept | {b: version for b in parts}
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        owned = in_buckets(both, self.buckets()).repartitionByRange(n, "bucket", "key")
+        merged = owned.groupBy("bucket", "key", "sha").agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"), F.max("changed").alias("changed"))
+        chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha")).alias("chain")
+        rows = merged.select("bucket", "key", "sha", chain, "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.minus")).alias("n_most"), "changed")
+        rows.write.mode("overwrite").parquet(f"{self.root}/buckets/version={version}")
+        self.version = version
+        drop_shared(self.spark, new)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/buckets/version={version}")
+
+    def commit(self) -> None:
+        """Write the directory: from now on the inserted links belong to the index."""
+        rows = [(named(*b), *b, v) for b, v in self.files.items()]
+        self.spark.createDataFrame(rows, "bucket long, depth int, at long, version int").coalesce(1).write.parquet(f"{self.root}/directory/{self.version}")
+
+
+def unequal(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links whose rows are not all the same bytes, or not as many as their group; ``texts`` as ``laid_out`` gives them."""
+    many = links.filter("changed and group_size > 1").select("key", "sha", "group_size")
+    slot = F.shiftrightunsigned(F.col("key"), 64 - SLOTS)
+    some = texts.withColumn("_slot", slot).join(F.broadcast(many.select(slot.alias("_slot")).distinct()), "_slot", "left_semi")
+    seen = some.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm").groupBy("key", "sha").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.count(F.lit(1)).alias("n"))
+    seen = seen.select("key", "sha", "n", (F.col("low") == F.col("high")).alias("same"))
+    return many.join(seen, ["key", "sha"], "left").filter(~F.coalesce(F.col("same") & (F.col("n") == F.col("group_size")), F.lit(False)))
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, mark (hash of the text, which tells rows of one id apart).
+
+    ``root``: folder of a kept index, ``earlier``: the rows inserted into it before (see above)."""
     spark = docs.sparkSession
+    index = Index(spark, root or f"{shared_dir(spark)}/corvine/dedup-index-{uuid.uuid4().hex}", capacity)
+    if index.version and earlier is None:
+        raise ValueError("this index holds rows already: name them as earlier, so that bytes can be compared")
     keys = written(keyed(docs, id_col, text_col), "dedup-keys")
-    buckets = directory(keys, capacity)
-    found, depth = entries(spark, buckets), max(d for d, _ in buckets)
-    index = build_index(laid_out(docs, id_col, text_col), found, depth)
-    if index.filter("twin").limit(1).count():
-        raise RuntimeError("two different texts share a 64-bit key and a SHA-256 value")
-    members = in_buckets(keys, found, depth).join(index.drop("chain", "twin"), ["bucket", "key", "sha"])
+    links = index.insert(keys)
+    texts = laid_out(docs, id_col, text_col).select("key", "norm")
+    if index.version > 1:
+        texts = texts.unionByName(laid_out(earlier, id_col, text_col).select("key", "norm"))
+    if unequal(links, texts).limit(1).count():
+        raise RuntimeError("texts with the same 64-bit key and SHA-256 value are not the same, or the index was made of other rows")
+    index.commit()
+    members = in_buckets(keys, index.buckets()).join(links.drop("chain", "changed"), ["bucket", "key", "sha"])
     return members.select(
         "doc_id",
         "keep_id",

@@ -83,23 +83,55 @@ def test_exact_dedup_of_awkward_ids(spark):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in got)
 
 
-def test_exact_dedup_chains_colliding_keys(spark, docs, monkeypatch):
+def test_exact_dedup_chains_colliding_keys(spark, docs, monkeypatch, tmp_path):
     """Texts that share all 64 key bits stand in one chain; bytes tell them apart."""
     plain = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
     laid = exact_dedup.laid_out
     monkeypatch.setattr(exact_dedup, "laid_out", lambda *a: laid(*a).withColumn("key", F.length("norm").cast("long") % 2))
     assert sorted(map(str, exact_dedup.exact_dedup(docs, capacity=1).collect())) == plain
-    index = exact_dedup.build_index(exact_dedup.laid_out(docs, "doc_id", "text"), exact_dedup.entries(spark, [(0, 0)]), 0)
-    assert index.agg(F.max("chain")).first()[0] > 2
+    links = exact_dedup.Index(spark, str(tmp_path / "index"), 1).insert(exact_dedup.keyed(docs))
+    assert links.agg(F.max("chain")).first()[0] > 2
+
+
+def test_exact_dedup_compares_bytes(spark, docs, monkeypatch):
+    """Two texts with one key and one hash are found out by their bytes."""
+    laid = exact_dedup.laid_out
+    monkeypatch.setattr(exact_dedup, "laid_out", lambda *a: laid(*a).withColumn("key", F.lit(5).cast("long")))
+    monkeypatch.setattr(F, "sha2", lambda c, bits: F.lit("00" * 32))
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_dedup(docs)
 
 
 def test_directory_doubles_where_buckets_are_full(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
-    small, large = exact_dedup.directory(keys, 100), exact_dedup.directory(keys, 5000)
+    load = exact_dedup.loads(keys)
+    small, large = exact_dedup.split(load, [(0, 0)], 100), exact_dedup.split(load, [(0, 0)], 5000)
     assert large == [(0, 0)] and len(small) >= 30 and len({d for d, _ in small}) > 1
-    found, depth = exact_dedup.entries(spark, small), max(d for d, _ in small)
+    found, depth = exact_dedup.entries(spark, small)
     assert found.count() == 2**depth
-    assert exact_dedup.in_buckets(keys, found, depth).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 100
+    assert exact_dedup.in_buckets(keys, small).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_kept_index_takes_further_rounds(spark, tmp_path):
+    """The second insertion is decided against both; buckets that it does not touch keep their files, and a wrong ``earlier`` is noticed."""
+    root = str(tmp_path / "index")
+    rows = [(i, f"text {i % 400}" + " " * (i % 3)) for i in range(700)]
+    old, new = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows[:500], rows[500:]))
+    exact_dedup.exact_dedup(old, 20, root=root).collect()
+    before = exact_dedup.Index(spark, root)
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(new, 20, root=root)
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_dedup(new, 20, root=root, earlier=old.filter("doc_id > 250"))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(new, 20, root=root, earlier=old).collect()}
+    whole = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(old.unionByName(new)).collect()}
+    assert got == {i: whole[i] for i in range(500, 700)}
+    one = spark.createDataFrame([(1000, "nothing like it"), (1001, "nothing like it ")], "doc_id long, text string")
+    again = exact_dedup.exact_dedup(one, 20, root=root, earlier=old.unionByName(new)).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in again} == {(1000, 1001, 2), (1001, 1001, 2)}
+    after = exact_dedup.Index(spark, root)
+    assert after.version == 3 and len(before.files) > 10 and sum(v < 3 for v in after.files.values()) >= len(after.files) - 2
+    assert after.links().select("key").distinct().count() == 401
 
 
 def test_token_counts(docs):
