@@ -4,7 +4,9 @@ A mask such as ``1101001011`` hashes the tokens under its ones and ignores the o
 which single tokens were replaced still shares hashes with the benchmark item. Hashes of all benchmark
 windows meet hashes of all document windows; around every hit the item is laid over the document on
 the hit's diagonal (and its neighbours, for a token put in or left out) and the tokens that agree are
-counted. A document is contaminated by an item when at least ``similarity`` of the item's tokens agree.
+counted. A document is contaminated by an item when at least ``similarity`` of the item's tokens agree, or, of
+an item longer than ``WINDOW`` tokens, at least ``similarity`` of the tokens of some window of ``WINDOW`` of its tokens:
+a passage that is cut out of a long item is found, too, however long the rest of the item is.
 
 The benchmark is a stated query set. It is read in blocks of at most ``block_bytes`` of text; only a
 block, whose size is checked, is ever broadcast, and each block is run against all documents. No
@@ -33,6 +35,7 @@ MASKS = ("111111", "1101001011", "1011010011", "1100110101", "1010011101")
 BAND = 8
 BLOCK_BYTES = 8 << 20
 TABLE_BITS = 22
+WINDOW = 50  # tokens of an item within which a part of it is judged by itself
 
 
 def windows(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,19 +98,29 @@ def lowered(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
-def overlaps(seeds: Seeds, words: Words, similarity: float) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(text, item, agreeing tokens, first byte, last byte, item tokens) of every contaminated pair."""
+def densest(agree: np.ndarray, window: int) -> tuple[int, int]:
+    """(agreeing tokens, first token) of the first window of an item in which most tokens agree; (0, 0) where the item is no longer than a window."""
+    if len(agree) <= window:
+        return 0, 0
+    sums = np.concatenate([[0], np.cumsum(agree)])
+    each = sums[window:] - sums[:-window]
+    at = int(np.argmax(each))
+    return int(each[at]), at
+
+
+def overlaps(seeds: Seeds, words: Words, similarity: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(text, item, agreeing tokens, first byte, last byte, item tokens, most agreeing tokens of a window) of every contaminated pair."""
     found = seeds.hits(words)
     i = 0
     while i < len(found):
         item, doc = found[i, 0], found[i, 1]
         j = i
-        best = (0, 0, 0)
+        best, part = (0, 0, 0), (0, 0, 0)
         mine = seeds.tokens[item]
         theirs = words.hash[words.at[doc] : words.at[doc] + words.count[doc]]
         while j < len(found) and found[j, 0] == item and found[j, 1] == doc:
             agree = np.zeros(len(mine), bool)
-            first, last = len(theirs), 0
+            where = np.zeros(len(mine), np.int64)  # the token of the text that agrees
             start = found[j, 2]
             while j < len(found) and found[j, 0] == item and found[j, 1] == doc and found[j, 2] - start <= BAND:
                 d = found[j, 2]
@@ -115,14 +128,21 @@ def overlaps(seeds: Seeds, words: Words, similarity: float) -> Iterator[tuple[in
                 if b > a:
                     same = np.flatnonzero(mine[a:b] == theirs[a + d : b + d]) + a
                     if len(same):
+                        where[same] = np.where(agree[same], np.minimum(where[same], same + d), same + d)
                         agree[same] = True
-                        first, last = min(first, same[0] + d), max(last, same[-1] + d)
                 j += 1
-            best = max(best, (int(agree.sum()), -int(first), int(last)))
-        if best[0] and best[0] >= similarity * len(mine):
-            a = words.at[doc]
+            if agree.any():
+                at = where[agree]
+                best = max(best, (len(at), -int(at.min()), int(at.max())))
+                n, k = densest(agree, window)
+                if n:
+                    at = where[k : k + window][agree[k : k + window]]
+                    part = max(part, (n, -int(at.min()), int(at.max())))
+        whole = best[0] and best[0] >= similarity * len(mine)
+        if whole or (part[0] and part[0] >= similarity * window):
+            a, (_, first, last) = words.at[doc], best if whole else part
             base = words.first[doc]
-            yield int(doc), int(item), best[0], int(words.start[a - best[1]] - base), int(words.end[a + best[2]] - base), len(mine)
+            yield int(doc), int(item), best[0], int(words.start[a - first] - base), int(words.end[a + last] - base), len(mine), part[0]
         i = j
 
 
@@ -138,12 +158,13 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """doc_id, item_id, n_agree, n_item, similarity, start, end (bytes of the lower-cased text) and mark (hash of the text, which tells rows of one id apart) of contaminated pairs."""
+    """doc_id, item_id, n_agree, n_item, n_window (most agreeing tokens of a window of the item; 0 for items no longer than one), similarity (n_agree / n_item), start, end (bytes of the
+    lower-cased text; of the window where the whole item does not suffice) and mark (hash of the text, which tells rows of one id apart) of contaminated pairs."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     item_type = to_arrow_type(kinds[1])
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, n_agree long, n_item long, start long, end long, mark long"
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, n_agree long, n_item long, n_window long, start long, end long, mark long"
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     parts = []
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
@@ -155,11 +176,11 @@ def contaminated(
                 texts, rows = [lowered(t) for t in batch.column(1).to_pylist()], []
                 for a, b in chunks([len(t) for t in texts]):
                     words = Words(texts[a:b], ALNUM)
-                    rows += [(a + doc, *rest) for doc, *rest in overlaps(seeds, words, similarity)]
+                    rows += [(a + doc, *rest) for doc, *rest in overlaps(seeds, words, similarity, window)]
                 where = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), pa.array([seeds.ids[r[1]] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 5, 3, 4)), batch.column(2).take(where)],
-                    ["doc_id", "item_id", "n_agree", "n_item", "start", "end", "mark"],
+                    [batch.column(0).take(where), pa.array([seeds.ids[r[1]] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 5, 6, 3, 4)), batch.column(2).take(where)],
+                    ["doc_id", "item_id", "n_agree", "n_item", "n_window", "start", "end", "mark"],
                 )
 
         parts.append(read.mapInArrow(run, schema))

@@ -231,15 +231,15 @@ def test_mixing_of_awkward_rows(spark, corpus):
     assert mixing.mixed(docs.filter("doc_id in (900, 901)")).count() == 2
 
 
-def laid_over(item, doc, band=decontamination.BAND):
-    """Most tokens of an item that agree on diagonals within the band, over all places."""
-    best = 0
+def laid_over(item, doc, band=decontamination.BAND, window=decontamination.WINDOW):
+    """Whether enough tokens of an item, or of a window of it, agree on diagonals within the band, over all places."""
     for first in range(-len(item) + 1, len(doc)):
         agree = set()
         for d in range(first, first + band + 1):
             agree |= {k for k in range(max(0, -d), min(len(item), len(doc) - d)) if item[k] == doc[k + d]}
-        best = max(best, len(agree))
-    return best
+        if len(agree) >= 0.8 * len(item) or any(len(agree & set(range(k, k + window))) >= 0.8 * window for k in range(len(item) - window + 1) if len(item) > window):
+            return True
+    return False
 
 
 def test_decontamination(spark):
@@ -266,7 +266,7 @@ def test_decontamination(spark):
     for i, t, _ in docs:
         for k, s in items:
             item = tok(s)
-            if laid_over(item, tok(t)) >= 0.8 * len(item):
+            if item and laid_over(item, tok(t)):
                 want.add((i, k))
     for block in (8 << 20, 200):
         got = decontamination.contaminated(table, bench, block_bytes=block).collect()
@@ -274,6 +274,22 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table, bench.limit(0)).count() == decontamination.contaminated(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_parts_of_long_items(spark):
+    """70 of 100 tokens, and 50 of 2,000 with five replaced, are found; 30 tokens in a row of a long item are not, nor 60 that lie scattered."""
+    words = [f"word{k}" for k in range(2000)]
+    items = [(1, " ".join(words[:100])), (2, " ".join(words))]
+    cut = words[1000:1050]
+    cut[5::10] = ["other"] * 5
+    scattered = [w if k % 5 < 3 else "none" for k, w in enumerate(words[200:300])]
+    docs = [(1, "a b " + " ".join(words[10:80]) + " c"), (2, " ".join(cut)), (3, " ".join(words[1500:1530])), (4, " ".join(scattered)), (5, "")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_agree, r.n_window) for r in got} == {(1, 1, 70, 50), (1, 2, 70, 50), (2, 2, 45, 45)}
+    one = next(r for r in got if (r.doc_id, r.item_id) == (1, 1))
+    text = dict(docs)[1]
+    assert text[one.start : one.end] == " ".join(words[10:60])
+    assert (one.similarity, one.n_item) == (0.7, 100)
+
+
 @pytest.mark.parametrize("kind", ["smallint", "tinyint", "int", "bigint", "string", "decimal(6,0)", "date"])
 def test_decontamination_item_ids_of_any_type(spark, kind):
     words = "one of the long passages that a benchmark asks about and that stands word by word in a text of the corpus too"
