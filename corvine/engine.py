@@ -249,14 +249,3 @@ def graded(cases: DataFrame, answers: DataFrame) -> DataFrame:
     quiet = (F.coalesce("level", F.lit(V.D)) == V.D) | T.is_abstention(F.col("answer"))
     right = F.exists("expected", lambda e: F.contains(F.lower(F.coalesce("answer", F.lit(""))), F.lower(e)))
     return met.select("query_id", "kind", quiet.alias("abstained"), (right & ~quiet).alias("correct"))
-
-
-def claims(answer: Column, passages: Column) -> Column:
-    """Default judge: sentences of the answer, each with whether a passage contains it."""
-    parts = F.filter(F.split(answer, r"(?<=[.?!])\s+"), lambda s: F.length(F.trim(s)) > 0)
-    return F.transform(parts, lambda s: F.struct(s.alias("claim_text"), F.exists(passages, lambda p: F.contains(p, F.trim(s))).alias("is_grounded")))
-
-
-def unsupported(claims_: Column, told: Column) -> Column:
-    """Claims told to be unsupported and those found ungrounded, each once."""
-    return F.array_union(F.coalesce(told, F.array().cast("array<string>")), F.transform(F.filter(claims_, lambda c: ~c["is_grounded"]), lambda c: c["claim_text"]))

@@ -31,7 +31,7 @@ def embed(text: Column) -> Column:
 
 def extractive(question: Column, passage: Column) -> Column:
     """Default generator: the best passage's first 300 characters."""
-    return F.when(passage.isNull(), NOTHING).otherwise(F.concat(F.lit("Según la documentación: "), F.substring(passage, 1, 300)))
+    return F.when(passage.isNull(), NOTHING).otherwise(F.concat(F.lit(decide.LEAD), F.substring(passage, 1, 300)))
 
 
 def entities_of(questions: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
@@ -59,14 +59,18 @@ def ask(
     scorer: Callable[[Column, Column], Column] = fusion.lexical_score,
     generator: Callable[[Column, Column], Column] = extractive,
     embedder: Callable[[Column], Column] = embed,
+    judge: Callable[[Column, Column, Column], Column] = decide.judge,
     local_model: bool = True,
     index: lexindex.Index | None = None,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """tenant_id, query_id, route, level, answer, confidence, n_sources, retried, notes. ``notes`` names what the plan did with a question: ``guard:`` and the
+    """tenant_id, query_id, route, level, answer, confidence, n_sources, retried, notes, unsupported. ``notes`` names what the plan did with a question: ``guard:`` and the
     rule that let it take the fast path or made it leave it, ``degree_fallback`` where the best connected nodes stood in for seeds, ``follow_ups`` where two more questions were asked. ``local_model``: reranking is cheap, so it is never passed over for
     exact identifiers or dominant candidates.
 
+    Answers of the fast path get the cheap audit. All others go before ``judge`` (question, answer, passages; see ``decide.judge``) with the best passages of the question; ``unsupported`` holds the
+    claims that no passage supports, redacted as the answer is. Questions of level D have no answer that could be judged.
+
     ``index`` and ``vectors`` (tenant_id, doc_id, embedding) are the kept index and embeddings of the chunks; without them they are made for this call. ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
     """
     safe = questions.filter(~is_injection(F.col("text")))
@@ -132,22 +136,30 @@ def ask(
         known = written(facts(asked, hops), "ask-facts")
         levels = decide.evidence(asked, hits, known).select(*KEY, "level", "n_passages", "rerank").join(known.select(*KEY, "note"), KEY, "left")
         first = F.row_number().over(Window.partitionBy(*KEY).orderBy("reranker_rank"))
-        top = hits.withColumn("_n", first).filter("_n = 1").select(*KEY, "doc_id").join(chunks.select("tenant_id", "doc_id", F.col("text").alias("passage")), ["tenant_id", "doc_id"])
+        best = hits.withColumn("_n", first).filter(F.col("_n") <= decide.JUDGED_PASSAGES).select(*KEY, "doc_id", "_n").join(chunks.select("tenant_id", "doc_id", "text"), ["tenant_id", "doc_id"])
+        read = F.array_sort(F.collect_list(F.struct("_n", F.substring("text", 1, decide.JUDGED_CHARS).alias("text"))))
+        top = best.groupBy(*KEY).agg(F.max(F.when(F.col("_n") == 1, F.col("text"))).alias("passage"), F.transform(read, lambda x: x["text"]).alias("passages"))
         met = asked.join(levels, KEY, "left").join(top, KEY, "left")
         answer = F.when(F.coalesce("level", F.lit(V.D)) == V.D, NOTHING).otherwise(generator(F.col("text"), F.col("passage")))
-        full = met.withColumn("answer", redact(answer))
+        met = met.withColumn("said", answer)
+        # level D has nothing to judge
+        heard = F.when(F.coalesce("level", F.lit(V.D)) != V.D, F.coalesce("passages", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+        full = written(met.withColumn("answer", redact(F.col("said"))).withColumn("verdict", judge(F.col("text"), F.col("said"), heard)).drop("passage", "passages", "said"), "ask-judged")
         grounding, confidence, _ = decide.fast_audit(F.coalesce("n_passages", F.lit(0)), F.col("answer"))
-        checked = full.withColumn("confidence", F.round(confidence * F.least(F.lit(1.0), F.greatest(F.coalesce("rerank", F.lit(0.0)), F.lit(0.0))), 2)).withColumn("faithful", grounding >= 0.7)
-        level = F.coalesce("level", F.lit(V.D))
+        level, fast = F.coalesce("level", F.lit(V.D)), F.col("route") == "FAST_PATH"
+        held = decide.judged_audit(F.col("verdict"), level, F.col("answer"))
+        quick = F.round(confidence * F.least(F.lit(1.0), F.greatest(F.coalesce("rerank", F.lit(0.0)), F.lit(0.0))), 2)
+        none = F.array().cast("array<string>")
+        checked = full.select("*", F.when(fast, quick).otherwise(held["confidence"]).alias("confidence"), F.when(fast, grounding >= 0.7).otherwise(held["is_faithful"]).alias("faithful"), F.when(fast, none).otherwise(F.transform(held["unsupported"], redact)).alias("unsupported"))
         step = decide.retry(level, F.col("faithful") & (F.col("confidence") >= 0.45), F.lit(iteration), F.col("confidence"))
         return checked.select(
             *KEY, "text", "route", "is_global", "needs_graph", decide.final_level(level, F.col("answer")).alias("level"), "answer", decide.final_confidence(level, F.col("answer"), F.col("confidence")).alias("confidence"),
-            F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_sources"), step.alias("next"), F.lit(iteration > 0).alias("retried"), F.concat_ws(",", "notes", "note").alias("notes"),
+            F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_sources"), step.alias("next"), F.lit(iteration > 0).alias("retried"), F.concat_ws(",", "notes", "note").alias("notes"), "unsupported",
         )
 
     one = written(attempt(routed, 5, 2, 0), "ask-first")
     again = one.filter("next = 'refine'").select(*KEY, "text", "route", "is_global", "needs_graph")
-    columns = [*KEY, "route", "level", "answer", "confidence", "n_sources", "retried", "notes"]
+    columns = [*KEY, "route", "level", "answer", "confidence", "n_sources", "retried", "notes", "unsupported"]
     if not again.limit(1).count():  # no question is tried again
         return one.select(*columns)
     two = attempt(again, 8, 3, 1)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
-from corvine.functions.text import any_in, exact_identifiers, is_abstention
+from corvine.functions.text import any_in, exact_identifiers, is_abstention, tokens
+from corvine.operators.fusion import lexical_score
 from corvine.operators.graph import holding
 
 
@@ -121,6 +122,57 @@ def audit(faithfulness: Column, relevancy: Column, n_grounded: Column, n_claims:
     }
 
 
+#: How the default generator begins an answer; it is no claim.
+LEAD = "Según la documentación: "
+#: What a judge gets to read of a question: this many passages, this much of each.
+JUDGED_PASSAGES, JUDGED_CHARS = 8, 900
+#: Runs of so many tokens are looked for in a passage, and so large a share of a claim's must be there.
+CLAIM_RUN, CLAIM_SHARE = 3, 0.8
+
+
+def grounded(claim: Column, passages: Column) -> Column:
+    """Whether a passage contains the claim, or most of its runs of ``CLAIM_RUN`` tokens (all tokens of a shorter claim)."""
+    runs = lambda t: F.when(F.size(t) >= CLAIM_RUN, F.transform(F.sequence(F.lit(1), F.size(t) - (CLAIM_RUN - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, CLAIM_RUN)))).otherwise(F.array(F.concat_ws(" ", t)))
+    padded = lambda text: F.concat(F.lit(" "), text, F.lit(" "))
+    # one-element array: the runs of the claim are cut once, not once per passage
+    own = F.filter(F.array(tokens(claim)), lambda t: F.size(t) > 0)
+    found = lambda p, r: F.size(F.filter(r, lambda x: F.contains(padded(F.concat_ws(" ", tokens(p))), padded(x)))) >= CLAIM_SHARE * F.size(r)
+    return F.exists(passages, lambda p: F.contains(p, F.trim(claim)) | F.exists(own, lambda t: found(p, runs(t))))
+
+
+def claims(answer: Column, passages: Column) -> Column:
+    """Sentences of the answer, each with whether a passage supports it."""
+    parts = F.filter(F.split(F.replace(answer, F.lit(LEAD), F.lit("")), r"(?<=[.?!])\s+"), lambda s: F.length(F.trim(s)) > 0)
+    return F.transform(parts, lambda s: F.struct(s.alias("claim_text"), F.coalesce(grounded(s, passages), F.lit(False)).alias("is_grounded")))
+
+
+def unsupported(claims_: Column, told: Column) -> Column:
+    """Claims told to be unsupported and those found ungrounded, each once."""
+    return F.array_union(F.coalesce(told, F.array().cast("array<string>")), F.transform(F.filter(claims_, lambda c: ~c["is_grounded"]), lambda c: c["claim_text"]))
+
+
+def judge(question: Column, answer: Column, passages: Column) -> Column:
+    """Default judge: faithfulness is the share of claims that a passage supports, relevancy that of the question's tokens in the answer.
+
+    Any judge gives a struct of faithfulness, relevancy, claims (claim_text, is_grounded) and the claims that it calls unsupported.
+    An abstention claims nothing; it is faithful and not relevant.
+    """
+    quiet = is_abstention(answer) | (F.size(passages) == 0)
+    found = F.when(quiet, F.array().cast("array<struct<claim_text: string, is_grounded: boolean>>")).otherwise(claims(answer, passages))
+    once = F.transform(F.array(found), lambda c: F.struct(
+        F.when(F.size(c) == 0, 1.0).otherwise(F.size(F.filter(c, lambda x: x["is_grounded"])) / F.size(c)).alias("faithfulness"),
+        F.when(quiet, 0.0).otherwise(lexical_score(question, answer)).alias("relevancy"), c.alias("claims"), F.array().cast("array<string>").alias("unsupported"),
+    ))
+    return F.element_at(once, 1)
+
+
+def judged_audit(verdict: Column, given: Column, response: Column) -> dict[str, Column]:
+    """``audit`` of what a judge said, with the ``unsupported`` claims."""
+    bad = unsupported(verdict["claims"], verdict["unsupported"])
+    n = F.size(F.filter(verdict["claims"], lambda c: c["is_grounded"]))
+    return audit(verdict["faithfulness"], verdict["relevancy"], n, F.size(verdict["claims"]), F.size(bad), given, response) | {"unsupported": bad}
+
+
 def retry(level_: Column, faithful: Column, iteration: Column, confidence: Column) -> Column:
     return F.when(level_.isin(V.D, V.C), "end").when(faithful | (iteration >= 1), "end").when(confidence >= 0.45, "end").otherwise("refine")
 

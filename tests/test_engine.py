@@ -415,6 +415,39 @@ def test_ask_answers_and_abstains(spark):
     assert got["2"].level in (V.D, V.C) and got["2"].confidence == 0
 
 
+def test_judge_holds_claims_against_passages(spark):
+    """Claims in other words order or with a word in between are told from invented ones; an abstention claims nothing."""
+    passages = ["El contrato marco de mantenimiento vale quinientos euros anuales y termina en marzo", "La sede central queda en Bilbao"]
+    rows = [
+        ("good", "contrato mantenimiento", "El contrato marco de mantenimiento vale quinientos euros anuales y termina en abril.", passages),
+        ("bad", "sede", "La sede central queda en Bilbao. El director se llama Juan Perez Garcia.", passages),
+        ("quiet", "sede", "No consta en la documentación disponible.", passages),
+        ("empty", "sede", "La sede central queda en Bilbao.", []),
+    ]
+    t = spark.createDataFrame(rows, "id string, q string, a string, p array<string>").withColumn("v", decide.judge(F.col("q"), F.col("a"), F.col("p")))
+    held = decide.judged_audit(F.col("v"), F.lit(V.B_LEVEL), F.col("a"))
+    got = {r.id: r for r in t.select("id", "v", *[c.alias(k) for k, c in held.items()]).collect()}
+    assert got["good"].unsupported == [] and got["good"].is_faithful and got["good"].confidence == 1.0
+    assert got["bad"].unsupported == ["El director se llama Juan Perez Garcia."] and not got["bad"].is_faithful and got["bad"].grounding_ratio == 0.5 and got["bad"].confidence == 0.25
+    for k in ("quiet", "empty"):
+        assert got[k].v.claims == [] and got[k].confidence == 0 and not got[k].is_faithful
+
+
+def test_ask_calls_the_judge(spark):
+    """What the generator invents reaches the result, redacted; the fast path is not judged."""
+    d = docs_of(spark, [("1", "El contrato CNT-2023-MRI-008 vale 500 euros anuales"), ("2", "Las maquinas del almacen comparten motores y repuestos con la planta")]).withColumn("filename", F.col("doc_id"))
+    nodes = spark.createDataFrame([("t", "maquinas", "Concept")], "tenant_id string, name string, type string")
+    edges = spark.createDataFrame([("t", "maquinas", "R", "planta")], "tenant_id string, src string, rel_type string, dst string")
+    q = ask_of(spark, [("rel", "¿Qué relación hay entre las maquinas y la planta?"), ("id", "CNT-2023-MRI-008")])
+    invent = lambda question, passage: F.concat(passage, F.lit(". La tarjeta de pago es 4111 1111 1111 1111 segun el jefe."))
+    got = {r.query_id: r for r in ask.ask(q, d, nodes, edges, generator=invent).collect()}
+    assert got["id"].route == "FAST_PATH" and got["id"].unsupported == []
+    assert got["rel"].route != "FAST_PATH" and got["rel"].level != V.D
+    assert len(got["rel"].unsupported) == 1 and "4111" not in got["rel"].unsupported[0] and "REDACTED_CARD" in got["rel"].unsupported[0]
+    plain = {r.query_id: r for r in ask.ask(q, d, nodes, edges).collect()}
+    assert plain["rel"].unsupported == [] and plain["rel"].confidence > got["rel"].confidence
+
+
 def test_ask_decides_on_reranking_and_overview(spark):
     """Global questions get every file's head; with a remote model exact codes are not reranked."""
     from corvine.plans import ask as asking

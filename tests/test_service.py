@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvine import engine as E
 from corvine.functions import vocab as V
+from corvine.plans import decide
 from corvine.sources import files
 
 A = "El contrato CNT-2023-MRI-008 lo firma Acme Industrial por 500 euros al año"
@@ -106,8 +107,8 @@ def test_grading_and_claims(spark):
     answers = spark.createDataFrame([("1", "Son 500 euros", V.A), ("2", "No consta", V.C)], "query_id string, answer string, level string")
     assert {r.query_id: (r.abstained, r.correct) for r in E.graded(cases, answers).collect()} == {"1": (False, True), "2": (True, False), "3": (True, False)}
     row = spark.createDataFrame([("Uno. Dos dos! Tres", ["a Uno. b", "Tres"], ["told"])], "a string, p array<string>, t array<string>")
-    c = E.claims(F.col("a"), F.col("p"))
-    r = row.select(c.alias("c"), E.unsupported(c, F.col("t")).alias("u")).first()
+    c = decide.claims(F.col("a"), F.col("p"))
+    r = row.select(c.alias("c"), decide.unsupported(c, F.col("t")).alias("u")).first()
     assert [x.is_grounded for x in r.c] == [True, False, True] and r.u == ["told", "Dos dos!"]
 
 
