@@ -8,7 +8,8 @@
   ``target`` of their neighbours is kept with the index.
 * *Search.* A question probes the lists of its nearest centres. A block of at most ``BLOCK`` questions meets all codes of those lists where they lie,
   in arrays: the estimated product is that with the list's centre plus one table entry per slice. Tasks keep the best ``pool`` estimates of a question,
-  the best ``pool`` of all are read as vectors, and their exact cosines give the answer.
+  the best ``pool`` of all are read as vectors, and their exact cosines give the answer. Where ``pool`` is no smaller than the index, every vector of the
+  probed lists would be looked at again: then that happens in the task that reads the list, and only the best ``k`` of a question leave it.
 
 Similarities are exact, as ``vector.cosine`` rounds them; only which documents are found is approximate. ``exact=True`` compares with all vectors.
 ``recall`` measures the share of the exact answer that is found.
@@ -26,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvine.operators import vector
+from corvine.operators.best import Best
 from corvine.session import ship
 from corvine.storage import broadcast_if_small, shared_dir, stamp, written
 
@@ -100,6 +103,14 @@ class Codes:
         return np.stack([q[:, s * width : (s + 1) * width] @ words.T for s, words in enumerate(self.book)], 1)
 
 
+def places_of(rows: list) -> dict[str, list[int]]:
+    """Places of each tenant's questions in a block."""
+    out: dict[str, list[int]] = {}
+    for j, r in enumerate(rows):
+        out.setdefault(r.tenant_id, []).append(j)
+    return out
+
+
 def train(vectors: DataFrame, lists: int, slices: int, sample: int = SAMPLE, seed: int = 5) -> Codes:
     """Centres and code books from at most ``sample`` vectors, the first by hash of their id."""
     some = vectors.orderBy(F.xxhash64("tenant_id", "doc_id")).limit(sample)
@@ -128,6 +139,7 @@ class Index:
     codes: Codes | None
     ids: str
     probes: int = 1
+    vectors: int = 0
 
     @classmethod
     def build(cls, vectors: DataFrame, root: str, lists: int | None = None, slices: int = 16, sample: int = SAMPLE, target: float = 0.98) -> Index:
@@ -154,7 +166,7 @@ class Index:
         sizes = coded.groupBy("tenant_id", "list").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_pieces"))
         pieces = coded.join(broadcast_if_small(sizes), ["tenant_id", "list"]).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("_pieces")).cast("int")).drop("_pieces")
         pieces.repartition("tenant_id", "list", "piece").sortWithinPartitions("list", "tenant_id", "doc_id").write.parquet(f"{root}/lists")
-        index = cls(spark, root, codes, ids.simpleString())
+        index = cls(spark, root, codes, ids.simpleString(), vectors=n)
         index.probes = index._needed(target)
         size = json.dumps({"lists": len(codes.centre), "slices": slices, "vectors": n, "probes": index.probes})
         spark.createDataFrame([(size,)], "about string").coalesce(1).write.text(f"{root}/about")
@@ -185,46 +197,94 @@ class Index:
         found = None
         for i in range(parts):
             some = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-            near = self._estimated(some, probes or self.probes, pool)
+            near = self._looked(some, probes or self.probes, k) if pool >= self.vectors else self._estimated(some, probes or self.probes, pool)
             found = near if found is None else found.unionByName(near)
+        if pool >= self.vectors:
+            return found
         ask = ["tenant_id", "query_id"]
         order = F.row_number().over(Window.partitionBy(*ask).orderBy(F.desc("estimate"), "doc_id"))
         best = found.withColumn("_n", order).filter(F.col("_n") <= pool).select(*ask, "list", "doc_id")
         met = self.lists().select("tenant_id", "list", "doc_id", "embedding").join(broadcast_if_small(best), ["tenant_id", "list", "doc_id"])
         both = met.join(broadcast_if_small(asked.withColumnRenamed("embedding", "asked")), ask)
-        dot: Column = vector.dot(F.col("embedding"), F.col("asked"))
-        norms = F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(vector.dot(F.col("asked"), F.col("asked")))
-        scored = both.select(*ask, "doc_id", vector.cosine(dot, norms).alias("similarity"))
+        names, dims = [*ask, "doc_id", "cosine"], self.codes.dims
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = (matrix(b.column(c), dims).astype(np.float64) for c in (3, 4))
+                norms = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.divide((x * y).sum(1), norms, out=np.zeros(len(x)), where=norms > 0))], names)
+
+        kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+        scored = both.select(*ask, "doc_id", "embedding", "asked").mapInArrow(run, f"tenant_id string, query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, cosine double")
+        scored = scored.select(*ask, "doc_id", F.round("cosine", 4).alias("similarity"))
         rank = F.row_number().over(Window.partitionBy(*ask).orderBy(F.desc("similarity"), "doc_id"))
         return scored.withColumn("vector_rank", rank).filter(F.col("vector_rank") <= k)
 
-    def _estimated(self, asked: DataFrame, probes: int, pool: int) -> DataFrame:
-        """The best ``pool`` estimates of each task and question of one block; the questions, at most ``BLOCK`` of them by hash, go to all tasks."""
-        rows = asked.collect()
+    def _probed(self, rows: list, probes: int) -> tuple[np.ndarray, dict[tuple[str, int], list[int]] | None]:
+        """Unit vectors of a block of questions, and who asks which list of which tenant; None if all ask all."""
         c = self.codes
         q = unit(np.array([r.embedding for r in rows], np.float32).reshape(len(rows), c.dims)) if rows else np.zeros((0, c.dims), np.float32)
-        probe = c.near(q, probes) if rows else np.zeros((0, 0), np.int64)
-        wanted = sorted({int(x) for x in probe.ravel()})
+        if probes >= len(c.centre):
+            return q, None
         who: dict[tuple[str, int], list[int]] = {}
-        for j, r in enumerate(rows):
-            for x in probe[j]:
-                who.setdefault((r.tenant_id, int(x)), []).append(j)
-        held = self.spark.sparkContext.broadcast((who, c.tables(q), q @ c.centre.T, [r.query_id for r in rows]))
+        for j, near in enumerate(c.near(q, probes) if rows else ()):
+            for x in near:
+                who.setdefault((rows[j].tenant_id, int(x)), []).append(j)
+        return q, who
+
+    def _read(self, who: dict[tuple[str, int], list[int]] | None) -> DataFrame:
+        return self.lists() if who is None else self.lists().filter(F.col("list").isin(sorted({x for _, x in who})))
+
+    def _looked(self, asked: DataFrame, probes: int, k: int) -> DataFrame:
+        """The exact best ``k`` of the probed lists for one block of questions."""
+        rows = asked.collect()
+        _, who = self._probed(rows, probes)
+        held = self.spark.sparkContext.broadcast((who, places_of(rows), np.array([r.embedding for r in rows], np.float64).reshape(len(rows), self.codes.dims)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            who, every, x = held.value
+            best = Best(len(x), k)
+            for b in batches:
+                b = b.take(pc.sort_indices(b.column("doc_id"), null_placement="at_start"))
+                for t in b.column("tenant_id").unique().to_pylist():
+                    own = b.filter(pc.equal(b.column("tenant_id"), t))
+                    for one in [None] if who is None else own.column("list").unique().to_pylist():
+                        places = np.array(every.get(t, []) if who is None else who.get((t, one), []), np.int64)
+                        if len(places):
+                            vector.meet(best, own if who is None else own.filter(pc.equal(own.column("list"), one)), places, x[places])
+            yield from best.batches("cosine")
+
+        near = self._read(who).select("tenant_id", "list", "doc_id", "embedding").mapInArrow(run, f"_q int, doc_id {self.ids}, cosine double")
+        return vector.ranked(near, rows, asked, k)
+
+    def _estimated(self, asked: DataFrame, probes: int, pool: int) -> DataFrame:
+        """The best ``pool`` estimates of each task and question of one block; the questions, at most ``BLOCK`` of them by hash, go to all tasks, which
+        make the tables of products themselves."""
+        rows = asked.collect()
+        q, who = self._probed(rows, probes)
+        held = self.spark.sparkContext.broadcast((who, places_of(rows), self.codes, q, [r.query_id for r in rows]))
         id_type = to_arrow_type(asked.schema["query_id"].dataType)
         names = ["tenant_id", "query_id", "list", "doc_id", "estimate"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            who, tables, base, ids = held.value
+            who, every, c, q, ids = held.value
+            tables, base = c.tables(q), q @ c.centre.T
+            slices = np.arange(tables.shape[1])[None]
             best: dict[int, list] = {}
             for b in batches:
-                tenants, lists = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
-                codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                for t in set(tenants):
-                    for x in np.unique(lists[tenants == t]):
-                        at = np.flatnonzero((tenants == t) & (lists == x))
+                lists = b.column(1).to_numpy()
+                flat = b.column(3)
+                codes = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                for t in b.column(0).unique().to_pylist():
+                    mine = pc.fill_null(pc.equal(b.column(0), t), False).to_numpy(zero_copy_only=False)
+                    for x in np.unique(lists[mine]):
+                        asks = every.get(t, ()) if who is None else who.get((t, int(x)), ())
+                        if not asks:
+                            continue
+                        at = np.flatnonzero(mine & (lists == x))
                         some = codes[at]
-                        for j in who.get((t, int(x)), ()):
-                            s = base[j, x] + tables[j][np.arange(some.shape[1])[None], some].sum(1)
+                        for j in asks:
+                            s = base[j, x] + tables[j][slices, some].sum(1)
                             keep = np.argpartition(-s, pool - 1)[:pool] if len(s) > pool else np.arange(len(s))
                             best.setdefault(j, []).append((t, int(x), s[keep], b.column(2).take(pa.array(at[keep]))))
             for j, parts in best.items():
@@ -236,7 +296,7 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array([parts[0][0]] * n), pa.array([ids[j]] * n, id_type), pa.array(lists[keep]), docs.take(pa.array(keep)), pa.array(s[keep].astype(np.float32))], names)
 
         kind = asked.schema["query_id"].dataType.simpleString()
-        codes = self.lists().filter(F.col("list").isin(wanted)).select("tenant_id", "list", "doc_id", "code")
+        codes = self._read(who).select("tenant_id", "list", "doc_id", "code")
         return codes.mapInArrow(run, f"tenant_id string, query_id {kind}, list int, doc_id {self.ids}, estimate float")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvine.operators import vecindex, vector
+from corvine.operators.best import Best
 
 
 def clusters(n, dims, groups, seed):
@@ -78,3 +79,27 @@ def test_nothing(spark, questions, tmp_path):
     assert index.search(questions).filter("doc_id = 1").count() == 30 and index.search(questions.limit(0)).count() == 0
     with pytest.raises(Exception, match="another length"):
         vecindex.Index.build(one.unionByName(spark.createDataFrame([("t", 2, [1.0])], one.schema)), str(tmp_path / "bad"))
+
+
+def test_whole_second_look_stays_in_its_task(vectors, questions, index):
+    """With a pool as large as the index each question brings no more than its best k out of a task, and few lists stay few lists."""
+    asked = questions.filter("query_id < 20")
+    assert index._looked(asked, 10**6, 5).count() == 100
+    want = {(r.query_id, r.doc_id): r.similarity for r in index.search(asked, 5, probes=2, pool=2900).collect()}
+    got = {(r.query_id, r.doc_id): r.similarity for r in index.search(asked, 5, probes=2, pool=10**6).collect()}
+    assert got == want
+
+
+def test_best_rows_of_a_task():
+    """Vectors in many batches, most of them copies: a task sends each question its k best rows, whatever the number of batches."""
+    import pyarrow as pa
+
+    best = Best(2, 3)
+    x = np.array([[1.0, 0.0], [0.0, 1.0]])
+    for at in range(50):
+        rows = [[1.0, 0.1 * ((at + j) % 3)] for j in range(40)]
+        own = pa.RecordBatch.from_arrays([pa.array(range(at * 40, at * 40 + 40)), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "embedding"])
+        vector.meet(best, own, np.array([0, 1]), x)
+    out = pa.Table.from_batches(best.batches("cosine")).to_pylist()
+    assert sorted(r["doc_id"] for r in out if r["_q"] == 0) == [0, 3, 6] and {round(r["cosine"], 4) for r in out if r["_q"] == 0} == {1.0}
+    assert len(out) == 6
