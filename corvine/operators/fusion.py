@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import vocab as V
 from corvine.functions.text import tokens
+from corvine.storage import broadcast_if_small, written
 
 KEYS = ["tenant_id", "query_id", "doc_id"]
 
@@ -55,8 +56,9 @@ def lexical_score(question: Column, passage: Column) -> Column:
 
 def rerank(fused: DataFrame, questions: DataFrame, passages: DataFrame, pool: int = 10, chars: int = 500, top: int = 5, scorer=lexical_score, missing: float | None = None) -> DataFrame:
     """Score the first ``pool`` candidates' first ``chars`` characters and keep the best ``top``; a null score counts as ``missing``."""
-    some = fused.filter(F.col("final_rank") <= pool).join(passages.select("tenant_id", "doc_id", F.substring("text", 1, chars).alias("passage")), ["tenant_id", "doc_id"])
-    asked = some.join(questions.select("tenant_id", "query_id", F.col("text").alias("question")), ["tenant_id", "query_id"])
+    # questions first: what has none drops out, and the rest is few rows beside the passages
+    some = fused.filter(F.col("final_rank") <= pool).join(questions.select("tenant_id", "query_id", F.col("text").alias("question")), ["tenant_id", "query_id"])
+    asked = passages.select("tenant_id", "doc_id", F.substring("text", 1, chars).alias("passage")).join(broadcast_if_small(written(some, "rerank-pool")), ["tenant_id", "doc_id"])
     scored = asked.withColumn("reranker_score", F.round(F.coalesce(scorer(F.col("question"), F.col("passage")), F.lit(missing).cast("double")), 4))
     rank = F.row_number().over(Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("reranker_score"), "final_rank"))
     return scored.withColumn("reranker_rank", rank).filter(F.col("reranker_rank") <= top).select(*KEYS, "reranker_score", "reranker_rank")
