@@ -195,31 +195,43 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
 
 
+def hashed_grams(text: str, size: int) -> Column:
+    """The runs of ``text`` as numbers, with the tenant in them."""
+    return F.transform(grams(F.col(text), size), lambda g: F.xxhash64("tenant_id", g))
+
+
 def candidates(long: DataFrame, short: DataFrame) -> DataFrame:
     """Pairs (tenant_id, long, short) that share the run of ``short`` that the fewest texts of ``long`` hold; texts shorter than any run are left out.
 
     Who holds a text holds all its runs, so the join may go by any of them: frequencies are counted first, and the rarest is taken. A run that
-    all names begin with brings nobody together unless a text has no other.
+    all names begin with brings nobody together unless a text has no other. Runs and texts of ``long`` meet as numbers of 64 bits; equal numbers of
+    unlike ones only add candidates.
     """
     wide, narrow = GRAMS
-    each = long.select("tenant_id", "long", F.explode(F.concat(grams(F.col("long"), wide), grams(F.col("long"), narrow))).alias("gram"))
-    own = short.select("tenant_id", "short", F.explode(F.when(F.length("short") >= wide, grams(F.col("short"), wide)).otherwise(grams(F.col("short"), narrow))).alias("gram"))
-    # plain joins: a small side is broadcast at run time, and counting it first would compute it twice
-    asked = own.select("tenant_id", "gram").distinct()
-    counted = each.join(asked, ["tenant_id", "gram"], "left_semi").groupBy("tenant_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    each = long.select(F.xxhash64("tenant_id", "long").alias("_long"), F.explode(F.concat(hashed_grams("long", wide), hashed_grams("long", narrow))).alias("gram"))
+    own = written(short.select("tenant_id", "short", F.explode(F.when(F.length("short") >= wide, hashed_grams("short", wide)).otherwise(hashed_grams("short", narrow))).alias("gram")), "grams-of-short")
+    asked = own.select("gram").distinct()
+    # what nobody asks for is neither kept nor dealt out twice
+    each = written(each.join(asked, "gram", "left_semi"), "grams-of-long")
+    counted = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a text one of whose runs nobody holds is held by nobody
-    rarest = own.join(counted, ["tenant_id", "gram"], "left").groupBy("tenant_id", "short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = own.join(counted, "gram", "left").groupBy("tenant_id", "short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     keys = rarest.filter("r.n > 0").select("tenant_id", "short", F.col("r.gram").alias("gram"))
-    return each.join(keys, ["tenant_id", "gram"]).select("tenant_id", "long", "short")
+    met = written(each.join(keys, "gram").select("tenant_id", "_long", "short"), "grams-met")
+    texts = long.select("tenant_id", "long", F.xxhash64("tenant_id", "long").alias("_long"))
+    return met.join(texts, ["tenant_id", "_long"]).select("tenant_id", "long", "short")
 
 
 def holding(long: DataFrame, short: DataFrame) -> DataFrame:
     """Pairs (tenant_id, long, short) where the text of ``long`` holds that of ``short``; both have tenant_id and a distinct text column.
 
-    Only texts shorter than any run of ``GRAMS`` meet all others of their tenant.
+    Only texts shorter than any run of ``GRAMS`` meet all others of their tenant. Both tables are read several times, and are written first.
     """
+    long, short = written(long.select("tenant_id", "long"), "holding-long"), written(short.select("tenant_id", "short"), "holding-short")
     met = candidates(long, short).filter(F.contains("long", F.col("short")))
     tiny = short.filter(F.length("short") < GRAMS[-1])
+    if not tiny.limit(1).count():
+        return met
     rest = long.join(tiny, "tenant_id").filter(F.contains("long", F.col("short"))).select("tenant_id", "long", "short")
     return met.unionByName(rest)
 
@@ -460,6 +472,11 @@ def viz_links(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> DataFrame
     return inner_edges(nodes.withColumn("n", rank).filter(F.col("n") <= limit), edges).select("tenant_id", F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel_type").alias("type"))
 
 
+def all_names(nodes: DataFrame) -> DataFrame:
+    """Distinct lower-case names, however many."""
+    return nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).distinct()
+
+
 def catalogue(nodes: DataFrame, limit: int = 10_000) -> DataFrame:
     """Distinct lower-case names of two characters or more, longest first."""
     names = nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).filter(F.length("name") >= 2).distinct()

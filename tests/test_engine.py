@@ -484,3 +484,15 @@ def test_ask_names_what_it_did(spark):
         found.setdefault(r.query_id, set()).add(r.entity)
     assert found == {"1": {"hub", "inc-2026-001"}, "2": {"solo", "palabras", "largas"}}
     assert [r.text for r in asking.follow_ups(asked.filter("query_id = '1'")).orderBy("ordinal").collect()] == ["el Hub y INC-2026-001", "el Hub y INC-2026-001 detalles", "el Hub y INC-2026-001 especificacion"]
+
+
+def test_mentions_know_every_name(spark, tmp_path):
+    """A short name is found however many longer ones there are; the catalogue of 10,000 longest names would not hold it."""
+    from corvine import catalog
+    from corvine.operators import graph
+    from corvine.plans import decide
+
+    nodes = spark.range(10_500).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("customer:"), "id").alias("name")).unionByName(spark.createDataFrame([("t", "Peru"), ("u", "Chile")], "tenant_id string, name string"))
+    asked = spark.createDataFrame([("t", 1, "de peru a customer:77 y chile"), ("t", 2, None), ("u", 3, "Chile")], "tenant_id string, query_id long, text string")
+    got = {(r.query_id, r.name) for r in decide.mentions(asked, graph.all_names(nodes)).collect()}
+    assert got == {(1, "peru"), (1, "customer:77"), (3, "chile")} and catalog.queries()
