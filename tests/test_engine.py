@@ -496,3 +496,14 @@ def test_mentions_know_every_name(spark, tmp_path):
     asked = spark.createDataFrame([("t", 1, "de peru a customer:77 y chile"), ("t", 2, None), ("u", 3, "Chile")], "tenant_id string, query_id long, text string")
     got = {(r.query_id, r.name) for r in decide.mentions(asked, graph.all_names(nodes)).collect()}
     assert got == {(1, "peru"), (1, "customer:77"), (3, "chile")} and catalog.queries()
+
+
+def test_uptime_query_beyond_a_hundred_hours(spark, tmp_path):
+    """As its SQL: lpad keeps two characters of the hours."""
+    import duckdb
+
+    from corvine import catalog
+
+    spark.createDataFrame([(59,), (359_999,), (360_000,), (6_000_123,)], "event_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    want = duckdb.sql(catalog.oracle_sql()["uptime"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, catalog.queries()["uptime"](spark, str(tmp_path)).collect())) == sorted(want)
