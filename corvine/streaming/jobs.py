@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corvine.operators import lexical
+from corvine.operators import lexindex
 from corvine.storage import shared_dir
 
 
@@ -44,25 +44,26 @@ def run_to_end(stream: DataFrame, mode: str, spark: SparkSession, name: str) ->
 
 
 def ingest(docs: DataFrame, postings_path: str, checkpoint: str):
-    """Documents (tenant_id, doc_id, text) into the posting table, partitioned by tenant.
+    """Documents (tenant_id, doc_id, text) into the table of counted documents: a row each, with its terms and their frequencies.
 
-    A batch appends its postings under its own batch number, so a repeated batch overwrites itself and
-    nothing is counted twice; readers keep the latest version of a document. A version without tokens is a row without term, so that it too
+    A batch appends its rows, without a shuffle, under its own batch number, so a repeated batch overwrites itself and
+    nothing is counted twice; readers keep the latest version of a document. A version without tokens is a row without terms, so that it too
     replaces the one before.
     """
 
     def put(batch: DataFrame, n: int) -> None:
-        blank = lexical.tokenized(batch).filter(F.size("tokens") == 0).select("tenant_id", F.lit(None).cast("string").alias("term"), "doc_id", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tf"))
-        posts = lexical.postings(batch).select(*blank.columns).unionByName(blank).withColumn("version", F.lit(n).cast("long"))
-        posts.write.mode("overwrite").parquet(f"{postings_path}/batch={n}")
+        lexindex.counted(batch).withColumn("version", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{postings_path}/batch={n}")
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(posts: DataFrame) -> DataFrame:
+def current(rows: DataFrame) -> DataFrame:
     """Postings of the latest version of each document."""
-    last = posts.groupBy("tenant_id", "doc_id").agg(F.max("version").alias("version"))
-    return posts.join(last, ["tenant_id", "doc_id", "version"], "left_semi").filter("term is not null").drop("version", "batch")
+    last = rows.groupBy("tenant_id", "doc_id").agg(F.max("version").alias("version"))
+    late = last.filter("version > 0").limit(1).count() > 0  # a single batch has but one version of each
+    kept = rows.join(last, ["tenant_id", "doc_id", "version"], "left_semi") if late else rows
+    each = kept.select("tenant_id", "doc_id", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
+    return each.select("tenant_id", F.col("_p.terms").alias("term"), "doc_id", "len", F.col("_p.tfs").cast("long").alias("tf"))
 
 
 #: States of an ingestion task and its progress.

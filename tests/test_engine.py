@@ -486,6 +486,17 @@ def test_ask_names_what_it_did(spark):
     assert [r.text for r in asking.follow_ups(asked.filter("query_id = '1'")).orderBy("ordinal").collect()] == ["el Hub y INC-2026-001", "el Hub y INC-2026-001 detalles", "el Hub y INC-2026-001 especificacion"]
 
 
+def test_ingested_documents_are_counted_where_they_are_read(spark, tmp_path):
+    """One row a document, blank ones too, and no file of a shuffle beyond those of the batch's own partitions."""
+    docs_of(spark, [("a", "uno dos dos"), ("b", ""), ("c", "de la dos")]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    jobs.ingest(stream, out, str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(out)
+    assert stored.count() == 3 and stored.filter("len = 0").count() == 1
+    assert sorted((r.term, r.tf, r.len) for r in jobs.current(stored).collect()) == [("dos", 1, 1), ("dos", 2, 3), ("uno", 1, 3)]
+
+
 def test_mentions_know_every_name(spark, tmp_path):
     """A short name is found however many longer ones there are; the catalogue of 10,000 longest names would not hold it."""
     from corvine import catalog
