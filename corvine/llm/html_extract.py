@@ -22,8 +22,9 @@ while their measured size is below ``BROADCAST_CHARS``, and then no page moves a
 joins on host are plain shuffled ones, whose large side can be split when a host is hot, and the html
 moves once. One row per (task, host) stands for a host before any shuffle.
 
-Matching is exact up to ``CELLS`` compared pairs a page; beyond that the children that remain are paired in label order, so that pages
-with very many siblings take linear time. Nothing recurses: markup may be nested to any depth.
+Matching is exact for pages of any size. Beyond ``CELLS`` compared pairs of nodes, kinds of subtrees are compared instead, with the same result:
+texts that the other page lacks tell no subtrees apart, so the rows of a long table are of few kinds. Time still grows with the product of the two
+numbers of siblings and of the two numbers of kinds. Nothing recurses: markup may be nested to any depth.
 
 Defined results: null and empty html give an empty text; broken markup is closed as browsers do for
 paragraphs, list items and table cells, stray quotes and unfinished tags as ``tags`` states; pages with null url form one host; repeated rows are extracted
@@ -35,10 +36,11 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -50,6 +52,8 @@ CONSTANT = 0.5
 LEAST = 3
 BROADCAST_CHARS = 8 << 20
 CELLS = 1 << 17
+#: Nodes of subtrees that are compared without the texts that only one of them holds.
+SMALL = 64
 #: Share of an element's text that one child must hold for the wrapper to step into it.
 DOMINANT = 0.5
 
@@ -296,48 +300,194 @@ def paths_of(tree: Tree) -> list[int]:
     return list(dict.fromkeys(at))
 
 
-def in_label_order(a: Tree, b: Tree, x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """Children paired greedily: each with the next one of its label."""
-    places: dict[str, list[int]] = defaultdict(list)
-    for k, q in enumerate(y):
-        places[b.label[q]].append(k)
-    out, after = [], 0
-    for p in x:
-        at = places.get(a.label[p])
-        if at:
-            k = bisect_left(at, after)
-            if k < len(at):
-                out.append((p, y[at[k]]))
-                after = at[k] + 1
-    return out
+def ends(x: list[int], y: list[int]) -> tuple[int, int]:
+    """How many numbers are equal at the beginnings and, behind these, at the ends of two lists."""
+    least = min(len(x), len(y))
+    head = 0
+    while head < least and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
+class Kinds:
+    """Subtrees of two pages by kind: those of one kind match equally well with whatever the other page holds.
+
+    A text that the other page lacks counts as none. Two of one kind weigh ``full``, the most that either can. Two small subtrees are
+    compared as what they are without the texts that only one of them holds.
+    """
+
+    def __init__(self, a: Tree, b: Tree):
+        both = set(a.text) & set(b.text)
+        self.seen: dict[tuple, int] = {}
+        self.label, self.text, self.kids, self.full, self.height, self.size, self.texts = [], [], [], [], [], [], []
+        self.of: list[list[int]] = []
+        for t in (a, b):
+            own = [0] * len(t.label)
+            for i in range(len(own) - 1, -1, -1):
+                own[i] = self.kind(t.label[i], t.text[i] if t.text[i] in both else "", tuple([own[k] for k in t.kids[i]]))
+            self.of.append(own)
+        self.less: dict[tuple[int, frozenset], int] = {}
+        self.weight: dict[tuple[int, int], float] = {}
+        self.weigh(self.of[0][0], self.of[1][0])
+
+    def kind(self, label: str, text: str, kids: tuple[int, ...]) -> int:
+        key = (label, text, kids)
+        at = self.seen.setdefault(key, len(self.seen))
+        if at == len(self.label):
+            self.label.append(label)
+            self.text.append(text)
+            self.kids.append(kids)
+            self.full.append((1.5 if text else 1.0) + sum([self.full[k] for k in kids]))
+            self.height.append(1 + max([self.height[k] for k in kids], default=-1))
+            self.size.append(1 + sum([self.size[k] for k in kids]))
+            own = [text] if text else []
+            self.texts.append(frozenset(own).union(*[self.texts[k] for k in kids]) if self.size[at] <= SMALL else None)
+        return at
+
+    def without(self, p: int, texts: frozenset) -> int:
+        """Kind of a small subtree ``p`` that has lost all other texts than ``texts``."""
+        own = self.texts[p] & texts
+        if len(own) == len(self.texts[p]):
+            return p
+        if (p, own) not in self.less:
+            self.less[p, own] = self.kind(self.label[p], self.text[p] if self.text[p] in own else "", tuple([self.without(k, own) for k in self.kids[p]]))
+        return self.less[p, own]
+
+    def key(self, p: int, q: int) -> tuple[int, int]:
+        """Kinds that weigh what ``p`` and ``q`` weigh."""
+        x, y = self.texts[p], self.texts[q]
+        return (p, q) if x is None or y is None else (self.without(p, y), self.without(q, x))
+
+    def weigh(self, u: int, v: int) -> None:
+        """Weights of two kinds and of all that theirs depends on."""
+        met, todo = {(u, v)}, [(u, v)]
+        while todo:
+            x, y = self.between(*todo.pop())
+            places: dict[str, set[int]] = defaultdict(set)
+            for q in y:
+                if self.kids[q]:
+                    places[self.label[q]].add(q)
+            new = {self.key(p, q) for p in set(x) if self.kids[p] for q in places.get(self.label[p], ()) if p != q}
+            new = {m for m in new if m[0] != m[1] and m not in self.weight} - met
+            met |= new
+            todo += new
+        for u, v in sorted(met, key=lambda m: self.height[m[0]]):
+            x, y = self.between(u, v)
+            head, tail = ends(self.kids[u], self.kids[v])
+            equal = sum(self.full[k] for k in self.kids[u][:head]) + sum(self.full[k] for k in self.kids[u][len(self.kids[u]) - tail :])
+            row = None
+            for row in self.rows(x, y, None, 0, len(x)) if x and y else ():
+                pass
+            self.weight[u, v] = (1.5 if self.text[u] and self.text[u] == self.text[v] else 1.0) + equal + (float(row[-1]) if row is not None else 0.0)
+
+    def between(self, u: int, v: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        x, y = self.kids[u], self.kids[v]
+        head, tail = ends(x, y)
+        return x[head : len(x) - tail], y[head : len(y) - tail]
+
+    def pair(self, p: int, q: int) -> float:
+        if p == q:
+            return self.full[p]
+        if self.label[p] != self.label[q]:
+            return 0.0
+        if self.kids[p] and self.kids[q]:
+            p, q = self.key(p, q)
+            if p == q:
+                return self.full[p]
+            if (p, q) not in self.weight:
+                self.weigh(p, q)
+            return self.weight[p, q]
+        return 1.5 if self.text[p] and self.text[p] == self.text[q] else 1.0
+
+    def rows(self, x: list[int], y: list[int], up: np.ndarray | None, begin: int, end: int) -> Iterator[np.ndarray]:
+        """Rows ``begin`` + 1 to ``end`` of the table of best weights of beginnings; ``up`` is the row before."""
+        distinct = list(dict.fromkeys(y))
+        at = {q: k for k, q in enumerate(distinct)}
+        which = np.array([at[q] for q in y])
+        by: dict[str, list[int]] = defaultdict(list)
+        for k, q in enumerate(distinct):
+            by[self.label[q]].append(k)
+        held: dict[int, np.ndarray] = {}
+        up = np.zeros(len(y) + 1) if up is None else up
+        for p in x[begin:end]:
+            if p not in held:
+                if len(held) * len(y) > CELLS:
+                    held.clear()
+                w = np.zeros(len(distinct))
+                for k in by.get(self.label[p], ()):
+                    w[k] = self.pair(p, distinct[k])
+                held[p] = w[which]
+            row = np.zeros(len(y) + 1)
+            np.maximum.accumulate(np.maximum(up[1:], up[:-1] + held[p]), out=row[1:])
+            yield row
+            up = row
+
+    def paired(self, x: list[int], y: list[int], cells: int) -> list[tuple[int, int]]:
+        """Places in ``x`` and ``y`` of a best matching; rows of the table are held at intervals and made again where there are more than ``cells``."""
+        n, c = len(x), len(y)
+        step = n if n * c <= cells else isqrt(n) + 1
+        kept = {0: np.zeros(c + 1)}
+        if step < n:
+            kept |= {k: row for k, row in enumerate(self.rows(x, y, None, 0, n), 1) if k % step == 0}
+        out, k, first = [], n, n
+        while k and c:
+            if k <= first:  # the block of rows that ends here
+                first = (k - 1) // step * step
+                best = [kept[first], *self.rows(x, y, kept[first], first, k)]
+            one, row, above = self.pair(x[k - 1], y[c - 1]), best[k - first], best[k - 1 - first]
+            if one and row[c] == above[c - 1] + one:
+                out.append((k - 1, c - 1))
+                k, c = k - 1, c - 1
+            elif row[c] == above[c]:
+                k -= 1
+            else:
+                c -= 1
+        return out
+
+
+def matched_by_kinds(a: Tree, b: Tree, cells: int) -> tuple[float, list[tuple[int, int]]]:
+    """What ``match`` gives, by kinds of subtrees."""
+    kinds = Kinds(a, b)
+    of_a, of_b = kinds.of
+    out, todo = [], [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        out.append((i, j))
+        x, y = a.kids[i], b.kids[j]
+        head, tail = ends([a.same[p] for p in x], [b.same[q] for q in y])
+        for p, q in (*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)):
+            out += [(p + k, q + k) for k in range(a.size[p])]
+        x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+        if x and y:
+            todo += [(x[k], y[c]) for k, c in kinds.paired([of_a[p] for p in x], [of_b[q] for q in y], cells)]
+    return kinds.weight[of_a[0], of_b[0]], sorted(out)
 
 
 def match(a: Tree, b: Tree, cells: int = CELLS) -> tuple[float, list[tuple[int, int]]]:
     """Simple tree matching: (weight, pairs of matched nodes).
 
     Equal labels weigh 1, equal texts a half more, so constant nodes keep their place. Equal subtrees at both ends of two lists of
-    children belong together in a best matching; what is between them is matched by dynamic programming.
+    children belong together in a best matching; what is between them is matched by dynamic programming. Beyond ``cells`` compared pairs
+    kinds of subtrees are compared; the result does not depend on ``cells``.
     """
     if a.label[0] != b.label[0]:
         return 0.0, []
     todo, met = [(0, 0)], []
+    limit = cells
     while todo:
         i, j = todo.pop()
         x, y = a.kids[i], b.kids[j]
-        least = min(len(x), len(y))
-        head = 0
-        while head < least and a.same[x[head]] == b.same[y[head]]:
-            head += 1
-        tail = 0
-        while tail < least - head and a.same[x[-1 - tail]] == b.same[y[-1 - tail]]:
-            tail += 1
+        head, tail = ends([a.same[p] for p in x], [b.same[q] for q in y])
         equal = [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)]
         x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-        cells -= len(x) * len(y)
-        greedy = in_label_order(a, b, x, y) if cells < 0 else None
-        pairs = greedy if greedy is not None else [(p, q) for p in x for q in y if a.label[p] == b.label[q]]
-        met.append((i, j, equal, x, y, greedy))
-        todo += [(p, q) for p, q in pairs if a.kids[p] and b.kids[q]]
+        limit -= len(x) * len(y)
+        if limit < 0:
+            return matched_by_kinds(a, b, cells)
+        met.append((i, j, equal, x, y))
+        todo += [(p, q) for p in x if a.kids[p] for q in y if b.kids[q] and a.label[p] == b.label[q]]
     weight: dict[tuple[int, int], float] = {}
     chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
@@ -348,12 +498,9 @@ def match(a: Tree, b: Tree, cells: int = CELLS) -> tuple[float, list[tuple[int,
             return weight[p, q]
         return 1.5 if a.text[p] and a.text[p] == b.text[q] else 1.0
 
-    for i, j, equal, x, y, greedy in reversed(met):
+    for i, j, equal, x, y in reversed(met):
         total = (1.5 if a.text[i] and a.text[i] == b.text[j] else 1.0) + sum(a.full[p] for p, _ in equal)
-        if greedy is not None:
-            total += sum(pair(p, q) for p, q in greedy)
-            chosen[i, j] = greedy
-        elif x and y:
+        if x and y:
             w = [[pair(p, q) for q in y] for p in x]
             n, m = len(x), len(y)
             best = [[0.0] * (m + 1)]

@@ -450,6 +450,27 @@ def test_tree_matching_is_optimal():
         assert few[0] <= weight and all(x.label[i] == y.label[j] for i, j in few[1])
 
 
+def test_matching_does_not_depend_on_a_limit():
+    """Comparing kinds of subtrees gives the weight and the pairs that comparing all nodes gives, and rows of a long list keep their partners."""
+    random.seed(5)
+
+    def tree(depth):
+        return [random.choice("pqr"), random.choice(["", "1", "2", str(random.random())]), [tree(depth - 1) for _ in range(random.randint(0, 4))] if depth else []]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        a[0] = b[0] = "p"
+        x, y = flat_tree(a), flat_tree(b)
+        assert html_extract.match(x, y, cells=0) == html_extract.match(x, y, cells=7) == html_extract.match(x, y, cells=1 << 40)
+    # an advert in the place of the first item: in label order it would take the partner of the article
+    items = [["li", f"{k}", []] for k in range(400)]
+    page = lambda name, more: flat_tree(["body", "", [["div", f"ad {name}", [["b", "", []]]] for _ in range(more)] + [["div", "", [["h1", "", []], ["p", name, []], ["p", "fixed", []]]]] + [["ul", name, [[*k[:1], f"{name} {k[1]}", []] for k in items]]]])
+    x, y = page("x", 0), page("y", 2)
+    weight, pairs = html_extract.match(x, y)
+    assert (1, 5) in pairs and (4, 8) in pairs and weight == 406.5
+    assert sum(i > 5 for i, _ in pairs) == 400
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
     from corvine.llm import exact_dedup
