@@ -16,8 +16,8 @@ sorts suffixes only where that is left open:
    induced sorting with disk-backed queues (``induced``), which carries common prefixes along; runs of suffixes
    whose common prefix reaches ``length`` are the
    equal windows, all but the earliest of which repeat. A seed with more than ``hot`` contexts is spread
-   over several shards; each hands on one digest per distinct window, and an ordinary minimum per digest
-   settles them.
+   over several shards; each hands on one digest per distinct window, packed into byte columns and dealt by digest as
+   seeds are, and the earliest of each digest settles them.
 4. Each document receives its repeated intervals and is cut.
 
 Equality of seeds and contexts is that of two independent 64-bit hashes over both (128 bits); equality in
@@ -53,6 +53,7 @@ SHARD_BYTES = 2 << 20
 WINDOWS = 1 << 20  # repeated windows of a shard that are merged at a time
 FLUSH_SEEDS = 1_500_000
 PIECE = 4 << 20
+WINDOW = np.dtype([("d", "<u8", 2), ("doc", "<i8"), ("lo", "<i4")])
 SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("width", "<i2"), ("twin", "?")])
 
 
@@ -333,14 +334,23 @@ def equal_windows(shard: Shard, length: int, disk: induced.Disk) -> Iterator[tup
         yield found, np.append(True, found[1:, 0] != found[:-1, 0])[: len(found)], text
 
 
-def resolved(shards_: DataFrame, shards: int, length: int) -> DataFrame:
-    """Per shard: cuts of documents; from salted shards also one (digest, doc, start) per distinct window."""
-    names = ["doc", "cuts", "digest", "start"]
+def resolved(shards_: DataFrame, shards: int, length: int, parts: int) -> DataFrame:
+    """Per shard: cuts of documents; from salted shards also the distinct windows (digest, doc, start), packed by part."""
+    names = ["doc", "cuts", "part", "windows"]
 
     def cuts_of(again: list[np.ndarray]) -> pa.RecordBatch:
         x = np.concatenate(again)
         ids, cuts = by_doc(intervals(x[:, 0], x[:, 1], x[:, 1] + length))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array([0] * len(ids), pa.int64())], names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+
+    def windows_of(kept: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(kept)
+        part = (x["d"][:, 0] % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[by], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [x[by[cut[p] : cut[p + 1]]].tobytes() for p in some]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with induced.Disk() as files:
@@ -350,6 +360,7 @@ def resolved(shards_: DataFrame, shards: int, length: int) -> DataFrame:
                     if (s, salted) not in held:
                         held[s, salted] = Shard(files)
                     held[s, salted].add(b, length)
+            kept, many = [], 0
             for key in sorted(held):
                 with induced.Disk() as disk:
                     again, n = [np.zeros((0, 2), np.int64)], 0
@@ -361,12 +372,45 @@ def resolved(shards_: DataFrame, shards: int, length: int) -> DataFrame:
                             again, n = again[:1], 0
                         if key[1] and len(found):
                             keep = found[best]
-                            digests = [hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in keep[:, 3].tolist()]
-                            yield pa.RecordBatch.from_arrays([pa.array(keep[:, 1]), pa.nulls(len(keep), pa.binary()), pa.array(digests, pa.binary()), pa.array(keep[:, 2])], names)
+                            x = np.zeros(len(keep), WINDOW)
+                            x["d"] = np.frombuffer(b"".join(hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in keep[:, 3].tolist()), np.uint64).reshape(-1, 2)
+                            x["doc"], x["lo"] = keep[:, 1], keep[:, 2]
+                            kept.append(x)
+                            many += len(x)
+                            if many > WINDOWS:
+                                yield windows_of(kept)
+                                kept, many = [], 0
                     if n:
                         yield cuts_of(again)
+            if many:
+                yield windows_of(kept)
+
+    return shards_.repartitionById(shards, "shard").mapInArrow(run, "doc long, cuts binary, part int, windows binary")
+
+
+def later_windows(x: np.ndarray) -> np.ndarray:
+    """Those windows of which an earlier one has the same digest."""
+    x = x[np.lexsort((x["lo"], x["doc"], x["d"][:, 1], x["d"][:, 0]))]
+    new = np.append(True, (x["d"][1:] != x["d"][:-1]).any(1))[: len(x)]
+    first = x[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return x[(x["doc"] != first["doc"]) | (x["lo"] != first["lo"])]
+
+
+def met_again(late: DataFrame, parts: int, length: int) -> DataFrame:
+    """doc, cuts of the windows of salted shards that stand earlier, too, a part at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(p, []).append(b)
+        for p in sorted(held):
+            x = later_windows(np.frombuffer(b"".join(held.pop(p)), WINDOW))
+            start = x["lo"].astype(np.int64)
+            ids, cuts = by_doc(intervals(x["doc"], start, start + length))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.binary())], ["doc", "cuts"])
 
-    return shards_.repartitionById(shards, "shard").mapInArrow(run, "doc long, cuts binary, digest binary, start long")
+    return late.filter(F.col("windows").isNotNull()).select("part", "windows").repartitionById(parts, "part").mapInArrow(run, "doc long, cuts binary")
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -391,18 +435,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     marks = written(settled(deal(source.select("doc", "text"), parts, length, gram), parts, length, hot), "repeat-marks")
     total = marks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(parts, -(-total // SHARD_BYTES))
-    late = written(resolved(opened(source, marks, shards, length), shards, length), "repeat-windows")
-    hot = late.filter(F.col("digest").isNotNull()).select("digest", "doc", "start")
-    least = hot.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"))
-    again = hot.join(least, "digest").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start")
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, start = (np.array(c.to_pylist(), np.int64) for c in batch.columns)
-            ids, cuts = by_doc(intervals(doc, start, start + length))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.binary())], ["doc", "cuts"])
-
-    every = marks.filter(F.col("cuts").isNotNull()).select("doc", "cuts").union(late.filter(F.col("cuts").isNotNull()).select("doc", "cuts")).union(again.mapInArrow(widen, "doc long, cuts binary"))
+    late = written(resolved(opened(source, marks, shards, length), shards, length, parts), "repeat-windows")
+    every = marks.filter(F.col("cuts").isNotNull()).select("doc", "cuts").union(late.filter(F.col("cuts").isNotNull()).select("doc", "cuts")).union(met_again(late, parts, length))
     lists = every.groupBy("doc").agg(F.collect_list("cuts").alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

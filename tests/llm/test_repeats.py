@@ -199,6 +199,23 @@ def test_signature_estimates_similarity():
     assert (again[0] == sig[0]).all()
 
 
+def test_windows_of_a_frequent_seed_travel_packed(spark):
+    """A passage with 300 different continuations: the shards hand on blobs, not a row per distinct window, and nothing is lost."""
+    random.seed(11)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(random.choices(letters, k=140))
+    rows = [(i, passage + "".join(random.choices(letters, k=90))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    source = suffix_dedup.numbered(docs, "doc_id", "text", 4)
+    marks = suffix_dedup.settled(suffix_dedup.deal(source.select("doc", "text"), 4, 100, 32), 4, 100, hot=8)
+    late = suffix_dedup.resolved(suffix_dedup.opened(source, marks, 4, 100), 4, 100, 4).collect()
+    windows = sum(len(r.windows or b"") for r in late) // suffix_dedup.WINDOW.itemsize
+    assert windows > 3000 and sum(r.windows is not None for r in late) <= 16
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs, hot=8).collect()}
+    assert got[0] == 0 and all(got[i] >= 140 for i in range(1, 300))
+    assert got == {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+
+
 @pytest.mark.parametrize(("hot", "tasks"), [(2, 5), (1024, 1), (1024, 5)])
 def test_repeated_rows_keep_their_bytes(spark, passages, hot, tasks):
     """A row that occurs again with its id is no repeat of itself, in settled and in open seeds."""
