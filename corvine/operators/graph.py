@@ -472,15 +472,14 @@ def viz_links(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> DataFrame
     return inner_edges(nodes.withColumn("n", rank).filter(F.col("n") <= limit), edges).select("tenant_id", F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel_type").alias("type"))
 
 
-def all_names(nodes: DataFrame) -> DataFrame:
-    """Distinct lower-case names, however many."""
-    return nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).distinct()
+def all_names(nodes: DataFrame, least: int = 0) -> DataFrame:
+    """Distinct lower-case names of ``least`` characters or more, however many."""
+    return nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).filter(F.length("name") >= least).distinct()
 
 
 def catalogue(nodes: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Distinct lower-case names of two characters or more, longest first."""
-    names = nodes.select("tenant_id", F.lower(F.trim("name")).alias("name")).filter(F.length("name") >= 2).distinct()
-    return first_rows(names, ["tenant_id"], [F.desc(F.length("name")), F.col("name")], limit, "n")
+    """The ``limit`` longest distinct lower-case names of two characters or more. Only ``router_catalogue`` shows it; names are looked for among ``all_names``."""
+    return first_rows(all_names(nodes, 2), ["tenant_id"], [F.desc(F.length("name")), F.col("name")], limit, "n")
 
 
 def lookup(nodes: DataFrame, questions: DataFrame, limit: int = 15) -> DataFrame:

@@ -36,13 +36,19 @@ def extractive(question: Column, passage: Column) -> Column:
 
 def entities_of(questions: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Names of the catalogue and identifiers that a question holds, each once; where it holds none, its words of more than three characters."""
+    return plain_words(questions) if catalogue is None else entities_among(questions, decide.mentions(questions, catalogue))
+
+
+def plain_words(questions: DataFrame) -> DataFrame:
     words = F.filter(tokens(F.col("text")), lambda t: F.length(t) > 3)
-    plain = questions.select(*KEY, F.explode(F.array_distinct(words)).alias("entity"))
-    if catalogue is None:
-        return plain
-    named = decide.mentions(questions, catalogue).select(*KEY, F.col("name").alias("entity"))
+    return questions.select(*KEY, F.explode(F.array_distinct(words)).alias("entity"))
+
+
+def entities_among(questions: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``entities_of`` by ``mentions`` (tenant_id, query_id, name) that are known already, of these questions and of others."""
+    named = mentions.join(questions.select(*KEY), KEY, "left_semi").select(*KEY, F.col("name").alias("entity"))
     known = written(named.unionByName(questions.select(*KEY, F.explode(F.transform(exact_identifiers(F.col("text")), F.lower)).alias("entity"))).distinct(), "known-entities")
-    return known.unionByName(plain.join(known.select(*KEY).distinct(), KEY, "left_anti"))
+    return known.unionByName(plain_words(questions).join(known.select(*KEY).distinct(), KEY, "left_anti"))
 
 
 def follow_ups(questions: DataFrame) -> DataFrame:
@@ -74,8 +80,9 @@ def ask(
     ``index`` and ``vectors`` (tenant_id, doc_id, embedding) are the kept index and embeddings of the chunks; without them they are made for this call. ``questions``: tenant_id, query_id, text; ``chunks``: tenant_id, doc_id, filename, text; ``nodes`` and ``edges`` as in the graph operators.
     """
     safe = questions.filter(~is_injection(F.col("text")))
-    names = written(graph.catalogue(nodes), "ask-names")
-    routed = written(safe.join(decide.route(safe, names), KEY), "ask-routes")
+    # every name is looked for, once: both attempts take their entities from here
+    named = written(decide.mentions(safe, graph.all_names(nodes, 2)), "ask-mentions")
+    routed = written(safe.join(decide.routed(safe, named), KEY), "ask-routes")
     if index is None:
         index = lexindex.Index.build(chunks, f"{shared_dir(chunks.sparkSession)}/corvine/ask-index-{uuid.uuid4().hex}")
     if vectors is None:
@@ -121,7 +128,7 @@ def ask(
 
     def facts(asked: DataFrame, hops: int) -> DataFrame:
         need = asked.filter("needs_graph")
-        found = written(graph.seeds(nodes, graph.expanded_terms(written(entities_of(need, names), "ask-entities"))), "ask-seeds").select(*KEY, "name", "type").withColumn("note", F.lit(None).cast("string"))
+        found = written(graph.seeds(nodes, graph.expanded_terms(written(entities_among(need, named), "ask-entities"))), "ask-seeds").select(*KEY, "name", "type").withColumn("note", F.lit(None).cast("string"))
         # questions about everything that name nothing in the graph get its best connected nodes
         wide = need.filter("is_global").select(*KEY).join(found, KEY, "left_anti").join(central, "tenant_id").withColumn("note", F.lit("degree_fallback"))
         found = written(found.unionByName(wide), "ask-seeds")

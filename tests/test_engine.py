@@ -509,6 +509,19 @@ def test_mentions_know_every_name(spark, tmp_path):
     assert got == {(1, "peru"), (1, "customer:77"), (3, "chile")} and catalog.queries()
 
 
+def test_ask_knows_every_name(spark):
+    """Names shorter than 10,000 others count for the route, names of one character and of other organisations do not."""
+    from corvine.plans import ask as asking
+
+    few = [("t", n, "Place") for n in ("Peru", "Chile", "Cuba", "z", "w", "k")] + [("u", "Oman", "Place")]
+    nodes = spark.range(10_500).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("customer:"), "id").alias("name"), F.lit("Organization").alias("type")).unionByName(spark.createDataFrame(few, "tenant_id string, name string, type string"))
+    edges = spark.createDataFrame([("t", "Peru", "NEAR", "Chile"), ("t", "customer:10499", "IN", "Cuba")], "tenant_id string, src string, rel_type string, dst string")
+    chunks_ = spark.createDataFrame([("t", 1, "a.md", "una receta de pan con harina y agua")], "tenant_id string, doc_id long, filename string, text string")
+    q = ask_of(spark, [("three", "clima de peru y chile y cuba"), ("tiny", "clima de z w k"), ("other", "oman chile cuba"), ("long", "peru chile customer:10499")])
+    got = {r.query_id: r.route for r in asking.ask(q, chunks_, nodes, edges).collect()}
+    assert got == {"three": "FULL_GRAPH_RAG", "tiny": "HYBRID_PATH", "other": "HYBRID_PATH", "long": "FULL_GRAPH_RAG"}
+
+
 def test_uptime_query_beyond_a_hundred_hours(spark, tmp_path):
     """As its SQL: lpad keeps two characters of the hours."""
     import duckdb
